@@ -32,9 +32,24 @@ def test_same_ids_as_the_library(own, library):
     for text in texts:
         assert own.encode(text) == library.encode_ordinary(text), repr(text[:50])
         assert own.decode(own.encode(text)) == text.encode()
+    many, counts = own.encode_all(texts)
+    cut = iter(many.tolist())
+    assert [[next(cut) for _ in range(n)] for n in counts] == [library.encode_ordinary(x) for x in texts]
+    for text in ("aaaaaaaa" * 4, "thethethe" * 9, "abcabcabc" * 500):
+        raw = text.encode()
+        assert own.merged(raw) == tuple(own.merged_together([raw])[0].tolist()) == tuple(library.encode_ordinary(text))
     assert not any(own.low) and not any(own.middle)
 
 
+def test_any_pattern():
+    pattern = r"\p{N}|[^\s\p{N}]+|\s+"
+    own = bpe.Codec(open(PATH, "rb").read(), pattern)
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(PATH, "rb"))}
+    library = tiktoken.Encoding("other", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    for text in ("", "a12 b", "Ünï 3½\u00a0x", "\n\n 77"):
+        assert own.encode(text) == library.encode_ordinary(text)
+
+
 def test_columns(spark, library):
     rows = [Row(ids=1, text="The theatre", raw="x"), Row(ids=2, text=None, raw="y"), Row(ids=3, text="", raw=None)]
     df = spark.createDataFrame(rows, "ids long, text string, raw string")

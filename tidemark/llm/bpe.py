@@ -20,6 +20,7 @@ import re
 import sys
 import unicodedata
 from collections.abc import Iterator
+from functools import cache
 from heapq import heappop, heappush
 from pathlib import Path
 
@@ -28,14 +29,34 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .textkernels import span_hashes
+
 #: Distinct pre-tokens whose ids a worker remembers before it starts afresh.
 REMEMBERED = 400_000
+#: Pre-tokens up to so many bytes share one rank queue; longer ones get one each.
+TOGETHER_BYTES = 256
+#: Characters of text that are encoded at a time (a single longer text at once).
+CHUNK_CHARS = 4 << 20
 #: The largest ranks file that is broadcast.
 RANKS_BYTES = 64 << 20
 #: White space as the tokenizer's regular expressions have it (White_Space of Unicode).
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
+#: The pattern whose cuts are found for whole batches of texts; others go through re.
+SPACED_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+@cache
+def _kinds() -> np.ndarray:
+    """Of every code point: 1 letter, 2 number, 3 other, 4 white space."""
+    firsts = np.array([ord(unicodedata.category(chr(i))[0]) for i in range(sys.maxunicode + 1)], np.uint8)
+    kinds = np.full(len(firsts), 3, np.uint8)
+    kinds[firsts == ord("L")], kinds[firsts == ord("N")] = 1, 2
+    kinds[[i for i in range(0x3001) if re.match(f"[{WHITE}]", chr(i))]] = 4
+    return kinds
+
+
 def _category(first: str) -> str:
     """The ranges of all characters whose general category starts with `first`."""
     found, begin = [], None
@@ -76,17 +97,28 @@ class Codec:
     def __init__(self, ranks_file: bytes, pattern: str):
         pairs = (line.split() for line in ranks_file.splitlines() if line.strip())
         self.ranks = {base64.b64decode(token): int(rank) for token, rank in pairs}
-        self.any_text, self.ascii_text = compiled(pattern)
-        self.longest = max(map(len, self.ranks), default=0)
+        self.any_text, self.ascii_text = compiled(pattern) if pattern != SPACED_PATTERN else (None, None)
         words = (max(self.ranks.values(), default=0) >> 6) + 1
         self.low = [0] * words
         self.middle = [0] * ((words >> 6) + 1)
-        self.known: dict[str, tuple[int, ...]] = {}
-        size = max(self.ranks.values(), default=-1) + 1
-        tokens = [b""] * size
+        self.pattern = pattern
+        tokens = [b""] * (max(self.ranks.values(), default=-1) + 1)
         for token, rank in self.ranks.items():
             tokens[rank] = token
-        self.tokens = tokens
+        self.token_bytes = np.frombuffer(b"".join(tokens), np.uint8)
+        self.token_sizes = np.array([len(x) for x in tokens], np.int64)
+        self.token_begins = self.token_sizes.cumsum() - self.token_sizes
+        self.byte_ids = np.array([self.ranks[bytes([i])] for i in range(256)], np.int64)
+        get = self.ranks.get
+        both = {}
+        for token, rank in self.ranks.items():
+            for i in range(1, len(token)):
+                left, right = get(token[:i]), get(token[i:])
+                if left is not None and right is not None:
+                    both[left << 32 | right] = rank
+        self.pair_keys = np.array(sorted(both), np.int64)
+        self.pair_values = np.array([both[x] for x in self.pair_keys.tolist()], np.int64)
+        self.forget()
 
     def merged(self, piece: bytes) -> tuple[int, ...]:
         """The ids of one pre-token."""
@@ -157,22 +189,205 @@ class Codec:
             i = after[i]
         return tuple(ids)
 
+    def merged_together(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces, how many each has): one rank queue for all pieces.
+
+        The pieces lie side by side and no pair crosses a border. From the lowest
+        bucket each piece gives its leftmost position; the others wait, since the
+        merge may have made a pair of a lower rank in the same piece.
+        """
+        sizes = np.array([len(x) for x in pieces], np.int64)
+        n = int(sizes.sum())
+        token = self.byte_ids[np.frombuffer(b"".join(pieces), np.uint8)]
+        last = sizes.cumsum() - 1
+        piece = np.repeat(np.arange(len(pieces)), sizes)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        after[last], before[last + 1 - sizes] = -1, -1
+        pair = np.full(n, -1, np.int64)
+        inner = np.flatnonzero(after >= 0)
+        pair[inner] = self.pair_ranks(token[inner], token[inner + 1])
+        low, middle, top = self.low, self.middle, 0
+        buckets: dict[int, list[int]] = {}
+        queued = inner[pair[inner] >= 0]
+        queued = queued[np.argsort(pair[queued], kind="stable")]
+        found, begins = np.unique(pair[queued], return_index=True)
+        for r, part in zip(found.tolist(), np.split(queued, begins[1:]) if len(found) else []):
+            buckets[r] = part.tolist()
+            low[r >> 6] |= 1 << (r & 63)
+            middle[r >> 12] |= 1 << (r >> 6 & 63)
+            top |= 1 << (r >> 12)
+        while top:
+            a = (top & -top).bit_length() - 1
+            m = middle[a]
+            b = a << 6 | (m & -m).bit_length() - 1
+            w = low[b]
+            r = b << 6 | (w & -w).bit_length() - 1
+            at = np.array(buckets[r])
+            at = at[pair[at] == r]  # the others are stale
+            if len(at) > 1:
+                at.sort()
+                first = np.ones(len(at), bool)
+                np.not_equal(piece[at[1:]], piece[at[:-1]], out=first[1:])
+                wait = at[~first]
+                at = at[first]
+            else:
+                wait = at[:0]
+            if len(wait):
+                buckets[r] = wait.tolist()
+            else:
+                del buckets[r]
+                w &= w - 1
+                low[b] = w
+                if not w:
+                    m &= m - 1
+                    middle[a] = m
+                    if not m:
+                        top &= top - 1
+            if not len(at):
+                continue
+            j = after[at]
+            k = after[j]
+            after[at], pair[j], pair[at], token[j], token[at] = k, -1, -1, -1, r
+            inside = k >= 0
+            before[k[inside]] = at[inside]
+            left = before[at]
+            left = left[left >= 0]
+            changed = np.concatenate([at[inside], left])
+            if len(changed):
+                ranks = self.pair_ranks(token[changed], token[after[changed]])
+                pair[changed] = ranks
+                for q, i in zip(ranks.tolist(), changed.tolist()):
+                    if q >= 0:
+                        if q in buckets:
+                            buckets[q].append(i)
+                        else:
+                            buckets[q] = [i]
+                            low[q >> 6] |= 1 << (q & 63)
+                            middle[q >> 12] |= 1 << (q >> 6 & 63)
+                            top |= 1 << (q >> 12)
+        alive = token >= 0
+        return token[alive].astype(np.int32), np.bincount(piece[alive], minlength=len(pieces))
+
+    def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of the token that two neighbours make together, or -1."""
+        key = left.astype(np.int64) << 32 | right
+        at = np.searchsorted(self.pair_keys, key)
+        at[at == len(self.pair_keys)] = 0
+        return np.where(self.pair_keys[at] == key, self.pair_values[at], -1)
+
+    def pieces(self, joined: str, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Character positions at which pre-tokens of some texts begin and end.
+
+        joined: the texts, with one character between each two, at `borders`.
+        """
+        if self.pattern != SPACED_PATTERN:
+            begins, ends, begin = [], [], 0
+            for end in [*borders.tolist(), len(joined)]:
+                text = joined[begin:end]
+                for found in (self.ascii_text if text.isascii() else self.any_text).finditer(text):
+                    begins.append(begin + found.start())
+                    ends.append(begin + found.end())
+                begin = end + 1
+            return np.array(begins, np.int64), np.array(ends, np.int64)
+        point = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        kind = _kinds()[point]
+        kind[borders] = 0
+        n = len(point)
+        before = np.concatenate([[0], kind[:-1]]).astype(np.uint8)
+        behind = np.concatenate([kind[1:], [0]]).astype(np.uint8)
+        begin = (kind != before) | (kind == 0)
+        space, blank = kind == 4, point == 32
+        # the last white character before a word stands alone or, if a space, goes with the word
+        begin |= space & (behind != 4) & (behind != 0)
+        begin[1:] &= ~(blank[:-1] & space[:-1] & (kind[1:] != 4) & (kind[1:] != 0))
+        mark = np.flatnonzero((point == 39) & begin & (before != 3) & (behind == 1))
+        if len(mark):
+            one = point[mark + 1]
+            two = np.where(mark + 2 < n, point[np.minimum(mark + 2, n - 1)], 0)
+            two = np.where(kind[np.minimum(mark + 2, n - 1)] == 1, two, 0)
+            short = np.isin(one, [ord(x) for x in "stmd"])
+            long = ((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))
+            mark, width = mark[short | long], np.where(short, 1, 2)[short | long]
+            begin[mark + 1] = False
+            stop = mark + 1 + width
+            stop = stop[stop < n]
+            begin[stop[kind[stop] == 1]] = True
+        starts = np.flatnonzero(begin)
+        ends = np.concatenate([starts[1:], [n]])
+        real = kind[starts] != 0
+        return starts[real], ends[real]
+
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, how many each has)."""
+        joined = "\0".join(texts)
+        sizes = np.array([len(x) for x in texts], np.int64)
+        borders = (sizes + 1).cumsum()[:-1] - 1
+        starts, ends = self.pieces(joined, borders)
+        row = np.searchsorted(borders, starts, "right")
+        raw = joined.encode()
+        data = np.frombuffer(raw, np.uint8)
+        if len(raw) != len(joined):
+            point = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+            place = np.concatenate([[0], np.cumsum(1 + (point >= 0x80) + (point >= 0x800).astype(np.int64) + (point >= 0x10000))])
+            starts, ends = place[starts], place[ends]
+        key, check = span_hashes(data, starts, ends), span_hashes(data, starts, ends, seed=1)
+        found, first, which = np.unique(key, return_index=True, return_inverse=True)
+        checks = check[first].tolist()
+        slots, unseen = np.empty(len(found), np.int64), []
+        for i, (k, c) in enumerate(zip(found.tolist(), checks)):
+            slot = self.known.get((k, c))
+            if slot is None:
+                unseen.append(i)
+                slot = -1
+            slots[i] = slot
+        if np.any(check != check[first][which]):
+            raise ValueError("two pre-tokens have the same 64-bit hash")  # one in 2^64 pairs; the task is not to give wrong ids
+        if unseen:
+            if len(self.known) + len(unseen) > REMEMBERED:
+                self.forget()
+                unseen = list(range(len(found)))
+            a, b = starts[first[unseen]], ends[first[unseen]]
+            texts_new = [raw[x:y] for x, y in zip(a.tolist(), b.tolist())]
+            short = [i for i, x in enumerate(texts_new) if len(x) <= TOGETHER_BYTES]
+            ids, counts = self.merged_together([texts_new[i] for i in short])
+            parts, sizes_new = [ids], np.zeros(len(texts_new), np.int64)
+            order = list(short)
+            sizes_new[short] = counts
+            for i, x in enumerate(texts_new):
+                if len(x) > TOGETHER_BYTES:
+                    got = np.array(self.merged(x), np.int32)
+                    parts.append(got)
+                    order.append(i)
+                    sizes_new[i] = len(got)
+            self.remember(np.concatenate(parts), sizes_new[order])
+            base = len(self.sizes) - len(order)
+            for j, i in enumerate(order):
+                slots[unseen[i]] = base + j
+                self.known[(int(found[unseen[i]]), checks[unseen[i]])] = base + j
+        slot = slots[which]
+        size = self.sizes[slot]
+        out = self.flat[np.repeat(self.begins[slot] - size.cumsum() + size, size) + np.arange(size.sum())]
+        return out, np.bincount(row, size, len(texts)).astype(np.int64)
+
+    def remember(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.begins = np.concatenate([self.begins, len(self.flat) + sizes.cumsum() - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.flat = np.concatenate([self.flat, ids])
+
+    def forget(self) -> None:
+        self.known: dict[tuple[int, int], int] = {}
+        self.begins, self.sizes, self.flat = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)
+
     def encode(self, text: str) -> list[int]:
-        known, merged = self.known, self.merged
-        ids: list[int] = []
-        for piece in (self.ascii_text if text.isascii() else self.any_text).findall(text):
-            got = known.get(piece)
-            if got is None:
-                got = merged(piece.encode())
-                if len(piece) <= 64:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    known[piece] = got
-            ids += got
-        return ids
+        return self.encode_all([text])[0].tolist()
+
+    def decode_all(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(bytes of all ids, how many each gives)."""
+        size = self.token_sizes[ids]
+        return self.token_bytes[np.repeat(self.token_begins[ids] - size.cumsum() + size, size) + np.arange(size.sum())], size
 
     def decode(self, ids) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+        return self.decode_all(np.asarray(ids, np.int64))[0].tobytes()
 
 
 _CODECS: dict[bytes, Codec] = {}
@@ -186,6 +401,11 @@ def codec(ranks_file: bytes, pattern: str) -> Codec:
     return _CODECS[key]
 
 
+def _bits(values: pa.Array) -> pa.Buffer | None:
+    """The validity bitmap of an array, from its first value on."""
+    return pa.array(values.is_valid().to_numpy(zero_copy_only=False)).buffers()[1] if values.null_count else None
+
+
 def _ranks(spark: SparkSession, path: str):
     blob = Path(path).read_bytes()
     if len(blob) > RANKS_BYTES:
@@ -201,15 +421,18 @@ def encoder(spark: SparkSession, ranks_path: str, pattern: str):
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = codec(shared.value, pattern)
         for texts in batches:
-            ids, ends, missing = [], [0], []
-            for text in texts:
-                value = text.as_py()
-                missing.append(value is None)
-                if value:
-                    ids.append(np.array(own.encode(value), dtype=np.int32))
-                ends.append(ends[-1] + (len(ids[-1]) if value else 0))
-            flat = pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32), pa.int32())
-            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat, mask=pa.array(missing, pa.bool_()))
+            values = texts.to_pylist()
+            size, parts, counts, group = 0, [np.empty(0, np.int32)], [], []
+            for i, value in enumerate(values):
+                group.append(value or "")
+                size += len(group[-1])
+                if size >= CHUNK_CHARS or i == len(values) - 1:
+                    ids, count = own.encode_all(group)
+                    parts.append(ids)
+                    counts.append(count)
+                    size, group = 0, []
+            ends = np.concatenate([[0], *counts]).cumsum().astype(np.int32)
+            yield pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts)), mask=texts.is_null())
 
     return encode
 
@@ -223,8 +446,9 @@ def decoder(spark: SparkSession, ranks_path: str, pattern: str):
         own = codec(shared.value, pattern)
         for lists in batches:
             ids, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-            valid = lists.is_valid().to_numpy(zero_copy_only=False)
-            yield pa.array([own.decode(ids[a:b].tolist()) if ok else None for a, b, ok in zip(ends[:-1], ends[1:], valid)], pa.binary())
+            data, size = own.decode_all(ids[ends[0] : ends[-1]])
+            place = np.concatenate([[0], size]).cumsum()[ends - ends[0]].astype(np.int32)
+            yield pa.Array.from_buffers(pa.binary(), len(lists), [_bits(lists), pa.py_buffer(place), pa.py_buffer(data)])
 
     return decode
 

@@ -84,18 +84,19 @@ def words(texts: pa.Array, separators: np.ndarray = WHITE_BYTES) -> Iterator[Wor
         yield Words(part, starts, finish, row, a, b - a)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte span."""
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each byte span; another seed gives an independent one."""
     lengths = ends - starts
     out = np.full(len(starts), 0x243F6A8885A308D3, np.uint64) + lengths.astype(np.uint64)
+    base = _BASE if not seed else mix(np.array([seed], np.uint64))[0] | np.uint64(1)
     active = np.flatnonzero(lengths <= _LONG_WORD)
     k = 0
     while len(active):
         active = active[lengths[active] > k]
-        out[active] = out[active] * _BASE + data[starts[active] + k]
+        out[active] = out[active] * base + data[starts[active] + k]
         k += 1
     for i in np.flatnonzero(lengths > _LONG_WORD):
-        out[i] = xxhash.xxh64_intdigest(data[starts[i] : ends[i]].tobytes())
+        out[i] = xxhash.xxh64_intdigest(data[starts[i] : ends[i]].tobytes(), seed)
     return mix(out)
 
 

@@ -6,13 +6,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, toxicity
+from . import bpe, chat, decontamination, linededup, orderhash, substrings, toxicity, urlfilter, warc
 from .common import sha256_hex, table, text_batches
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document, and the texts that they decode to."""
-    text_batches(spark)
+    text_batches(spark, 1024)
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     coded = bpe.decode(bpe.encode(docs, path, pattern), path, pattern)
@@ -24,9 +24,40 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of every document is windows of the benchmark."""
+    found = decontamination.annotated(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), out="c")
+    ids = F.concat_ws(",", "c.items")
+    return found.select("doc_id", "c.n_words", "c.n_hit", F.size("c.items").cast("long").alias("n_items"), sha256_hex(ids).alias("items_sha256"), "c.contaminated")
+
+
+OP10_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT coalesce(item_id::VARCHAR, '') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+starts AS (SELECT item, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS s FROM b WHERE len(w) > 0),
+win AS (SELECT DISTINCT item, least(13, len(w)) AS n, array_to_string(w[s:s + 12], ' ') AS k FROM starts),
+sizes AS (SELECT DISTINCT n FROM win),
+places AS (SELECT r, n, w, unnest(range(1, len(w) - n + 2)) AS s FROM d, sizes WHERE len(w) >= n),
+hits AS (SELECT DISTINCT r, s, win.n, item FROM (SELECT r, n, s, array_to_string(w[s:s + n - 1], ' ') AS k FROM places) p JOIN win ON p.n = win.n AND p.k = win.k),
+words AS (SELECT r, count(DISTINCT pos) AS n_hit FROM (SELECT r, unnest(range(s, s + n)) AS pos FROM hits) GROUP BY r),
+items AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS ids FROM hits GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)
+"""
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_bpe, op9_toxicity)}
+    made = (chat.op1_chat_format, orderhash.op2_order_minhash, urlfilter.op3_url_filter, op4_bpe, substrings.op5_substring_dedup, warc.op7_warc, linededup.op8_line_dedup, op9_toxicity, op10_decontamination)
+    return {f.__name__: f for f in made}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_chat_format": chat.OP1_SQL,
+        "op3_url_filter": urlfilter.OP3_SQL,
+        "op5_substring_dedup": substrings.OP5_SQL,
+        "op7_warc": warc.OP7_SQL,
+        "op8_line_dedup": linededup.OP8_SQL,
+        "op10_decontamination": OP10_SQL,
+    }

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontamination, linededup, orderhash, substrings, toxicity, urlfilter, warc
+from . import bpe, chat, decontamination, linededup, orderhash, setjoin, substrings, toxicity, urlfilter, warc
 from .common import sha256_hex, table, text_batches
 
 
@@ -48,7 +48,7 @@ FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)
 
 
 def queries() -> dict:
-    made = (chat.op1_chat_format, orderhash.op2_order_minhash, urlfilter.op3_url_filter, op4_bpe, substrings.op5_substring_dedup, warc.op7_warc, linededup.op8_line_dedup, op9_toxicity, op10_decontamination)
+    made = (chat.op1_chat_format, orderhash.op2_order_minhash, urlfilter.op3_url_filter, op4_bpe, substrings.op5_substring_dedup, setjoin.op6_jaccard_join, warc.op7_warc, linededup.op8_line_dedup, op9_toxicity, op10_decontamination)
     return {f.__name__: f for f in made}
 
 
@@ -57,6 +57,7 @@ def oracle_sql() -> dict[str, str]:
         "op1_chat_format": chat.OP1_SQL,
         "op3_url_filter": urlfilter.OP3_SQL,
         "op5_substring_dedup": substrings.OP5_SQL,
+        "op6_jaccard_join": setjoin.OP6_SQL,
         "op7_warc": warc.OP7_SQL,
         "op8_line_dedup": linededup.OP8_SQL,
         "op10_decontamination": OP10_SQL,

@@ -79,7 +79,8 @@ def index(docs: DataFrame, terms: DataFrame, path: str | None = None) -> DataFra
     spark = docs.sparkSession
     path = path or new_folder(spark, "postings")
     postings = _placed_terms(docs, "doc_id").join(small(terms), "term").select("term", "key_a", "key_b", "pos")
-    postings.repartitionByRange("term", "key_a", "pos").sortWithinPartitions("term", "key_a", "key_b", "pos").write.parquet(path)
+    # a frequent term's list is dealt out by document, so that no task holds it all
+    postings.repartition("term", F.pmod("key_a", F.lit(64))).sortWithinPartitions("term", "key_a", "key_b", "pos").write.parquet(path)
     return spark.read.schema(postings.schema).parquet(path)
 
 

@@ -33,7 +33,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import let
-from ..plans.scratch import stored
 from .common import sha256_hex, table
 
 EDITS = 2
@@ -161,30 +160,45 @@ def first_lines(keyed: DataFrame) -> DataFrame:
     return first.groupBy("place.key").agg(F.array_sort(F.collect_set("place.at")).alias("lines"))
 
 
+#: Bits of a line's reference that hold its place; the others are of its document's key.
+_AT = (1 << 20) - 1
+
+
+def _reference(key: Column, at: Column) -> Column:
+    """A line in one long. Lines may share one; each is then fetched and verified, so that only work is lost."""
+    return key.bitwiseAND(F.lit(~_AT)).bitwiseOR(at.cast("bigint").bitwiseAND(F.lit(_AT)))
+
+
+def _lines_at(keyed: DataFrame, places: DataFrame) -> DataFrame:
+    """(doc_id, key, at, line) of places (key, lines array<int>)."""
+    found = keyed.select("doc_id", "text", F.col("__key").alias("key")).join(places, "key")
+    cut = let(lines_of(F.col("text")), lambda w: F.transform(F.filter("lines", lambda i: i < F.size(w)), lambda i: F.struct(i.alias("at"), F.element_at(w, i + 1).alias("line"))))
+    return found.select("doc_id", "key", cut.alias("found")).select("doc_id", "key", F.explode("found").alias("x")).select("doc_id", "key", "x.at", "x.line")
+
+
 def near_lines(keyed: DataFrame, firsts: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
     """(key, at): places among the first lines that have an earlier line within `edits` edits."""
-    of_firsts = keyed.select("doc_id", "text", F.col("__key").alias("key")).join(firsts, "key")
-    placed = of_firsts.select("key", let(lines_of(F.col("text")), lambda w: F.transform("lines", lambda i: F.struct(i.alias("at"), F.element_at(w, i + 1).alias("line")))).alias("found"))
-    each = placed.select("key", F.explode("found").alias("x")).select("key", "x.at", "x.line").where((F.char_length("line") >= least) & ~_blank(F.col("line")))
-    indexed = each.select(F.explode(index_keys(F.col("line"), edits)).alias("k"), F.col("key").alias("key_a"), F.col("at").alias("at_a"))
-    probes = each.select(F.explode(probe_keys(F.col("line"), edits)).alias("k"), F.col("key").alias("key_b"), F.col("at").alias("at_b"))
-    met = indexed.join(probes, "k").where((F.col("key_a") != F.col("key_b")) | (F.col("at_a") != F.col("at_b")))
-    a, b = F.struct(F.col("key_a").alias("key"), F.col("at_a").alias("at")), F.struct(F.col("key_b").alias("key"), F.col("at_b").alias("at"))
-    pairs = stored(met.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct().select(F.col("a.key").alias("key_a"), F.col("a.at").alias("at_a"), F.col("b.key").alias("key_b"), F.col("b.at").alias("at_b")), "line-pairs")
-    needed = pairs.select(F.col("key_a").alias("key"), F.col("at_a").alias("at")).unionByName(pairs.select(F.col("key_b").alias("key"), F.col("at_b").alias("at"))).groupBy("key").agg(F.collect_set("at").alias("lines"))
-    texts = keyed.select("doc_id", "text", F.col("__key").alias("key")).join(needed, "key")
-    texts = texts.select("doc_id", "key", let(lines_of(F.col("text")), lambda w: F.transform("lines", lambda i: F.struct(i.alias("at"), F.element_at(w, i + 1).alias("line")))).alias("found"))
-    texts = stored(texts.select("doc_id", "key", F.explode("found").alias("x")).select("doc_id", "key", "x.at", "x.line").dropDuplicates(["key", "at"]), "line-texts")
-    own = lambda s: texts.select(F.col("key").alias(f"key_{s}"), F.col("at").alias(f"at_{s}"), F.col("doc_id").alias(f"doc_{s}"), F.col("line").alias(f"line_{s}"))
-    near = pairs.join(own("a"), ["key_a", "at_a"]).join(own("b"), ["key_b", "at_b"]).where(within(F.col("line_a"), F.col("line_b"), edits))
-    place = lambda s: F.struct(F.col(f"doc_{s}").alias("doc"), F.col(f"key_{s}").alias("key"), F.col(f"at_{s}").alias("at"))
-    return near.select(F.greatest(place("a"), place("b")).alias("x")).select("x.key", "x.at").distinct()
+    each = _lines_at(keyed, firsts).where((F.char_length("line") >= least) & ~_blank(F.col("line"))).withColumn("ref", _reference(F.col("key"), F.col("at")))
+    indexed = each.select(F.explode(index_keys(F.col("line"), edits)).alias("k"), F.col("ref").alias("ref_a"))
+    probes = each.select(F.explode(probe_keys(F.col("line"), edits)).alias("k"), F.col("ref").alias("ref_b"))
+    met = indexed.join(probes, "k").where("ref_a != ref_b")
+    pairs = met.select(F.least("ref_a", "ref_b").alias("ref_a"), F.greatest("ref_a", "ref_b").alias("ref_b")).distinct()
+    needed = pairs.select(F.explode(F.array("ref_a", "ref_b")).alias("ref")).distinct()
+    # a reference gives back the first lines that have it
+    refs = firsts.select("key", F.explode("lines").alias("at")).withColumn("ref", _reference(F.col("key"), F.col("at"))).join(needed, "ref", "left_semi")
+    texts = _lines_at(keyed, refs.groupBy("key").agg(F.collect_set("at").alias("lines"))).withColumn("ref", _reference(F.col("key"), F.col("at"))).dropDuplicates(["key", "at"])
+    own = lambda s: texts.select(F.col("ref").alias(f"ref_{s}"), F.struct(F.col("doc_id").alias("doc"), "key", "at").alias(f"place_{s}"), F.col("line").alias(f"line_{s}"))
+    near = pairs.join(own("a"), "ref_a").join(own("b"), "ref_b").where(within(F.col("line_a"), F.col("line_b"), edits))
+    return near.select(F.greatest("place_a", "place_b").alias("x")).select("x.key", "x.at").distinct()
 
 
 def deduped(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
-    """docs with __lines and __kept, the number of lines before and after, and their text of the kept lines."""
+    """docs with __lines and __kept, the number of lines before and after, and their text of the kept lines.
+
+    All in one job: what several steps read is exchanged once and reused.
+    """
     keyed = _with_key(docs)
-    firsts = stored(first_lines(keyed), "first-lines")
+    firsts = first_lines(keyed)
     near = near_lines(keyed, firsts, edits, least).groupBy("key").agg(F.collect_set("at").alias("near"))
     stay = firsts.join(near, "key", "left").select(F.col("key").alias("__of"), F.when(F.col("near").isNull(), F.col("lines")).otherwise(F.array_sort(F.array_except("lines", "near"))).alias("__stay"))
     joined = keyed.join(stay, F.col("__key") == F.col("__of"), "left")

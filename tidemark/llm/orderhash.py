@@ -74,7 +74,7 @@ def _tuples(s: Column) -> Column:
             h, g = F.shiftright(a, PLACE_BITS), F.shiftright(b, PLACE_BITS)
             return F.when(before, F.xxhash64(h, g)).otherwise(F.xxhash64(g, h))
 
-        return pair(j).bitwiseAND(F.lit(0xFFFF)).cast("int")
+        return (pair(j).bitwiseAND(F.lit(0xFFFF)) - 0x8000).cast("smallint")
 
     def points(firsts: Column) -> Column:
         """The first k-mer from each of the points on: firsts are the first ones of their bins."""
@@ -91,7 +91,7 @@ def _tuples(s: Column) -> Column:
 
 
 def fingerprint(text: Column, k: int = WORDS) -> Column:
-    """The fingerprint of a text: 64 16-bit values as array<int>, or an empty array."""
+    """The fingerprint of a text: 64 16-bit values as array<smallint>, or an empty array."""
 
     def of(h: Column) -> Column:
         # places of a text with more than 2^25 k-mers are coarsened; their order stays
@@ -99,14 +99,14 @@ def fingerprint(text: Column, k: int = WORDS) -> Column:
         packed = F.sort_array(F.transform(h, lambda x, i: F.shiftleft(x, PLACE_BITS).bitwiseOR((i / coarse).cast("bigint"))))
         repeats = F.size(F.array_distinct(h)) < F.size(h)
         numbered = let(packed, lambda s: F.when(repeats, _numbered(s)).otherwise(s))
-        return F.when(F.size(h) > 0, let(numbered, _tuples)).otherwise(F.array().cast("array<int>"))
+        return F.when(F.size(h) > 0, let(numbered, _tuples)).otherwise(F.array().cast("array<smallint>"))
 
     return let(kmer_hashes(text, k), of)
 
 
 def digits(prints: Column) -> Column:
     """A fingerprint as hexadecimal digits, four for each order."""
-    return F.array_join(F.transform(prints, lambda x: F.lpad(F.hex(x), 4, "0")), "")
+    return F.array_join(F.transform(prints, lambda x: F.lpad(F.hex(x.cast("int") + 0x8000), 4, "0")), "")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -135,25 +135,32 @@ def followers(docs: DataFrame) -> DataFrame:
     return here.join(F.broadcast(after), "range").select("key_a", "key_b", "need", F.coalesce("next", "over").alias("next")).select("key_a", "key_b", "need", F.col("next.key_a").alias("next_a"), F.col("next.key_b").alias("next_b"))
 
 
-def edited(docs: DataFrame) -> DataFrame:
-    """(doc_id, key_a, key_b, next_a, next_b, text, edited): texts whose last third is the next document's beginning."""
-    after = stored(followers(docs), "followers")
-    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *row_keys("doc_id", "text")).repartition("key_a", "key_b")
+def keyed_texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, key_a, key_b), dealt out by key: the one exchange of texts, which several steps read."""
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *row_keys("doc_id", "text")).repartition("key_a", "key_b")
+
+
+def edited(keyed: DataFrame, after: DataFrame) -> DataFrame:
+    """(doc_id, next_a, next_b, text, edited): texts whose last third is the next document's beginning.
+
+    Only as much of the next text is sent as is needed.
+    """
     sent = keyed.select(F.col("key_a").alias("next_a"), F.col("key_b").alias("next_b"), F.col("text").alias("other")).join(after, ["next_a", "next_b"])
     tails = sent.select("key_a", "key_b", "next_a", "next_b", "need", F.expr("substring(other, 1, need)").alias("tail")).dropDuplicates(["key_a", "key_b"])
-    return keyed.join(tails, ["key_a", "key_b"]).select(
-        "doc_id", "key_a", "key_b", "next_a", "next_b", "text", F.concat(F.expr("substring(text, 1, char_length(text) - need)"), "tail").alias("edited")
-    )
+    return keyed.join(tails, ["key_a", "key_b"]).select("doc_id", "next_a", "next_b", "text", F.concat(F.expr("substring(text, 1, char_length(text) - need)"), "tail").alias("edited"))
 
 
 def compared(docs: DataFrame) -> DataFrame:
-    """Fingerprints of all texts and of their edited texts, and how alike they are."""
-    made = edited(docs).select(
-        "doc_id", "key_a", "key_b", "next_a", "next_b", F.char_length("text").cast("long").alias("n_chars"), sha256_hex(F.col("edited")).alias("edited_sha256"),
-        fingerprint(F.col("text")).alias("own"), fingerprint(F.col("edited")).alias("changed"),
+    """Fingerprints of all texts and of their edited texts, and how alike they are.
+
+    A text's fingerprint is made twice, for itself and for the document before
+    it: that takes less than to store it and move it once more.
+    """
+    keyed = keyed_texts(docs)
+    made = edited(keyed, stored(followers(docs), "followers")).select(
+        "doc_id", "next_a", "next_b", F.char_length("text").cast("long").alias("n_chars"), sha256_hex(F.col("edited")).alias("edited_sha256"), fingerprint(F.col("text")).alias("own"), fingerprint(F.col("edited")).alias("changed")
     )
-    made = stored(made, "fingerprints")
-    others = made.select(F.col("key_a").alias("next_a"), F.col("key_b").alias("next_b"), F.col("own").alias("following")).dropDuplicates(["next_a", "next_b"])
+    others = keyed.select(F.col("key_a").alias("next_a"), F.col("key_b").alias("next_b"), fingerprint(F.col("text")).alias("following")).dropDuplicates(["next_a", "next_b"])
     return made.join(others, ["next_a", "next_b"]).select(
         "doc_id", "n_chars", "edited_sha256", digits(F.col("own")).alias("fingerprint"), digits(F.col("changed")).alias("edited_fingerprint"),
         likeness(F.col("own"), F.col("changed")).alias("near_edited"), likeness(F.col("own"), F.col("following")).alias("near_next"),

@@ -13,11 +13,14 @@ fingerprints met in a run, or twice in the batch, are its hits. Then the batch
 becomes a run itself, and when there are more than `most_runs` runs the smallest
 ones are merged into one.
 
-A hit only says that two windows may be equal. Of the windows with a hit
-fingerprint, and of no others, a 128-bit BLAKE2 digest of the very words is
-taken; windows whose digest occurs at two places are repeats, and the words they
-cover are removed. Digests are counted with partial sums and joined back by an
-ordinary join, so no group of copies meets in one task.
+A hit only says that windows may be equal; then the words decide. A stretch is
+a row of windows that share a fingerprint's place. Of the stretches with a hit,
+and of no others, a 128-bit BLAKE2 digest of the very words is taken. Windows of
+a stretch whose digest occurs twice are repeats. What is left are stretches with
+the fingerprint, but not the words, of another one: of each such wording, once,
+the windows get digests of their own. So copies are settled stretch by stretch,
+by counts with partial sums and ordinary joins, and no group of copies meets in
+one task.
 
 Defined cases: null and empty texts have no words; texts of fewer than 35 words
 have no window and keep all; repeated rows of one document repeat each other;
@@ -27,6 +30,7 @@ only doc_id and text are read.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.scratch import new_folder, stored
+from ..plans.scratch import stored
 from .common import table, text_batches
 from .textkernels import Words, span_hashes, windows, words
 
@@ -85,18 +89,18 @@ def chosen(df: DataFrame) -> DataFrame:
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of fingerprints below one folder of the shared store."""
+    """Sorted immutable runs of fingerprints, as bucketed tables of the warehouse."""
 
-    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None, most_runs: int = MOST_RUNS):
-        self.spark, self.path, self.most_runs = spark, path or new_folder(spark, "fingerprints"), most_runs
+    def __init__(self, spark: SparkSession, name: str | None = None, buckets: int | None = None, most_runs: int = MOST_RUNS):
+        self.spark, self.name, self.most_runs = spark, name or f"fingerprints_{uuid.uuid4().hex[:12]}", most_runs
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.runs: list[tuple[str, int]] = []  # table and rows
         self.made = 0
 
     def _write(self, rows: DataFrame) -> None:
         self.made += 1
-        name = f"run_{self.path.rsplit('-', 1)[-1][:12]}_{self.made:04d}"
-        rows.repartition(self.buckets, "fingerprint").write.format("parquet").bucketBy(self.buckets, "fingerprint").sortBy("fingerprint").option("path", f"{self.path}/{name}").saveAsTable(name)
+        name = f"{self.name}_{self.made:04d}"
+        rows.repartition(self.buckets, "fingerprint").write.format("parquet").bucketBy(self.buckets, "fingerprint").sortBy("fingerprint").saveAsTable(name)
         self.runs.append((name, self.spark.table(name).count()))
 
     def add(self, docs: DataFrame) -> DataFrame:
@@ -116,11 +120,15 @@ class FingerprintIndex:
         while len(self.runs) > self.most_runs:
             self.runs.sort(key=lambda x: -x[1])
             (a, _), (b, _) = self.runs.pop(), self.runs.pop()
-            both = self.spark.table(a).unionByName(self.spark.table(b)).groupBy("fingerprint").agg(F.sum("n").alias("n"))
-            self._write(both)
+            self._write(self.spark.table(a).unionByName(self.spark.table(b)).groupBy("fingerprint").agg(F.sum("n").alias("n")))
             for name in (a, b):
                 self.spark.sql(f"DROP TABLE {name}")
 
+    def drop(self) -> None:
+        for name, _ in self.runs:
+            self.spark.sql(f"DROP TABLE {name}")
+        self.runs = []
+
 
 def _windows_of(df: DataFrame) -> DataFrame:
     """(key, begin, end, hits): stretches of windows that share a fingerprint, for documents."""
@@ -139,10 +147,20 @@ def _windows_of(df: DataFrame) -> DataFrame:
     return df.mapInArrow(run, "key long, fingerprint long, begin int, end int")
 
 
-def digests(df: DataFrame, size: int = WINDOW) -> DataFrame:
-    """(key, at, digest_a, digest_b) of the windows in the stretches of each text.
+def _joined(own: Words, a: int, b: int) -> tuple[bytes, np.ndarray]:
+    """Words a to b of a chunk with one space between, and where each begins."""
+    starts, lengths = own.starts[a:b], own.ends[a:b] - own.starts[a:b]
+    place = np.concatenate([[0], (lengths + 1).cumsum()])
+    data = np.full(place[-1], 32, np.uint8)
+    inner = np.arange(lengths.sum()) - np.repeat(lengths.cumsum() - lengths, lengths)
+    data[np.repeat(place[:-1], lengths) + inner] = own.data[np.repeat(starts, lengths) + inner]
+    return data.tobytes(), place
+
+
+def digests(df: DataFrame, each: bool, size: int = WINDOW) -> DataFrame:
+    """(key, fingerprint, begin, end, digest_a, digest_b) of stretches, or of each of their windows.
 
-    df: key, text, stretches array<struct<begin:int,end:int>>.
+    df: key, text, stretches array<struct<fingerprint:bigint,begin:int,end:int>>.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,35 +168,30 @@ def digests(df: DataFrame, size: int = WINDOW) -> DataFrame:
             keys, lists = batch.column(0).to_numpy(), batch.column(2).to_pylist()
             for own in words(batch.column(1)):
                 base = np.concatenate([[0], own.counts().cumsum()])
-                out_keys, out_at, out = [], [], []
+                rows, out = [], []
                 for r in range(own.rows):
-                    stretches = lists[own.first + r]
-                    if not stretches:
+                    if not lists[own.first + r]:
                         continue
-                    a, b = base[r], base[r + 1]
-                    data = own.data[own.starts[a] : own.ends[b - 1]]
-                    starts, ends = own.starts[a:b] - own.starts[a], own.ends[a:b] - own.starts[a]
-                    # words side by side with one space between
-                    lengths = ends - starts
-                    place = np.concatenate([[0], (lengths + 1).cumsum()])
-                    joined = np.full(place[-1], 32, np.uint8)
-                    joined[np.repeat(place[:-1] - lengths.cumsum() + lengths, lengths) + np.arange(lengths.sum())] = data[np.repeat(starts - lengths.cumsum() + lengths, lengths) + np.arange(lengths.sum())]
-                    text = joined.tobytes()
-                    for x in stretches:
-                        for at in range(x["begin"], x["end"] + 1):
-                            out.append(hashlib.blake2b(text[place[at] : place[at + size] - 1], digest_size=16).digest())
-                            out_at.append(at)
-                            out_keys.append(keys[own.first + r])
+                    text, place = _joined(own, base[r], base[r + 1])
+                    n, key = len(place) - 1, int(keys[own.first + r])
+                    for x in lists[own.first + r]:
+                        parts = ((i, i) for i in range(x["begin"], x["end"] + 1)) if each else ((x["begin"], x["end"]),)
+                        for begin, end in parts:
+                            if end + size <= n:
+                                out.append(hashlib.blake2b(text[place[begin] : place[end + size] - 1], digest_size=16).digest())
+                                rows.append((key, x["fingerprint"], begin, end))
                 found = np.frombuffer(b"".join(out), np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(out_keys, np.int64)), pa.array(np.array(out_at, np.int32)), pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], ["key", "at", "digest_a", "digest_b"])
+                own_columns = [np.array(c) for c in zip(*rows)] or [np.empty(0, np.int64)] * 4
+                arrays = [pa.array(c.astype(k)) for c, k in zip(own_columns, (np.int64, np.int64, np.int32, np.int32))]
+                yield pa.RecordBatch.from_arrays([*arrays, pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], ["key", "fingerprint", "begin", "end", "digest_a", "digest_b"])
 
-    return df.mapInArrow(run, "key long, at int, digest_a long, digest_b long")
+    return df.mapInArrow(run, "key long, fingerprint long, begin int, end int, digest_a long, digest_b long")
 
 
 def removed(df: DataFrame, size: int = WINDOW) -> DataFrame:
     """(doc_id, n_words, n_removed, kept): texts without the words that repeats cover.
 
-    df: doc_id, text, repeats array<int>, the windows to take out.
+    df: doc_id, text, repeats array<struct<begin:int,end:int>>, the windows to take out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,10 +202,10 @@ def removed(df: DataFrame, size: int = WINDOW) -> DataFrame:
                 base = np.concatenate([[0], counts.cumsum()])
                 mine = repeats.slice(own.first, own.rows)
                 sizes = np.nan_to_num(mine.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
-                at = mine.flatten().to_numpy() + np.repeat(base[:-1], sizes)
+                ranges, shift = mine.flatten(), np.repeat(base[:-1], sizes)
                 turns = np.zeros(len(own.row) + 1, np.int64)
-                np.add.at(turns, at, 1)
-                np.add.at(turns, at + size, -1)
+                np.add.at(turns, ranges.field("begin").to_numpy() + shift, 1)
+                np.add.at(turns, np.minimum(ranges.field("end").to_numpy() + shift + size, len(own.row)), -1)
                 keep = turns.cumsum()[:-1] == 0
                 row, starts, ends = own.row[keep], own.starts[keep], own.ends[keep]
                 lengths = ends - starts
@@ -213,28 +226,37 @@ def removed(df: DataFrame, size: int = WINDOW) -> DataFrame:
     return df.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
 
 
-def dedup(docs: DataFrame, batches: int = BATCHES, path: str | None = None) -> DataFrame:
+def dedup(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     """(doc_id, n_words, n_removed, kept) of all documents.
 
     They are taken into a fresh index in batches, by a hash of their rows.
     """
     spark = docs.sparkSession
     text_batches(spark)
-    # a row's own key: rows repeated in full have one each
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    index = FingerprintIndex(spark, path)
+    index = FingerprintIndex(spark)
     hits = None
     for i in range(batches):
         found = index.add(rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)) == i))
         hits = found if hits is None else hits.unionByName(found)
     hits = stored(hits.distinct(), "all-hits")
-    keyed = rows.withColumn("key", F.xxhash64("doc_id", "text")).repartition("key")
+    index.drop()
+    keyed = rows.withColumn("key", F.xxhash64("doc_id", "text"))
     places = _windows_of(keyed.select("key", "text")).join(hits, "fingerprint", "left_semi")
-    stretches = places.groupBy("key").agg(F.collect_set(F.struct("begin", "end")).alias("stretches"))
-    windows_at = stored(digests(keyed.join(stretches, "key").select("key", "text", "stretches")), "digests")
-    twice = windows_at.groupBy("digest_a", "digest_b").agg(F.count("*").alias("n")).where("n > 1").select("digest_a", "digest_b")
-    repeats = windows_at.join(twice, ["digest_a", "digest_b"], "left_semi").groupBy("key").agg(F.collect_set("at").alias("repeats"))
-    return removed(keyed.join(repeats, "key", "left").select("doc_id", "text", F.coalesce("repeats", F.array().cast("array<int>")).alias("repeats")))
+    lists = lambda df: df.groupBy("key").agg(F.collect_set(F.struct("fingerprint", "begin", "end")).alias("stretches"))
+    found = stored(digests(keyed.join(lists(places), "key").select("key", "text", "stretches"), False), "stretches")
+    content = ["fingerprint", "digest_a", "digest_b"]
+    wordings = stored(found.groupBy(*content).agg(F.count("*").alias("n"), F.min(F.struct("key", "begin", "end")).alias("one")), "wordings")
+    several = wordings.groupBy("fingerprint").agg(F.count("*").alias("k")).where("k > 1").select("fingerprint")
+    ones = wordings.join(several, "fingerprint", "left_semi").select("fingerprint", "one.*", "n")
+    each = stored(digests(keyed.join(lists(ones), "key").select("key", "text", "stretches"), True), "windows")
+    twice = each.groupBy("digest_a", "digest_b").agg(F.count("*").alias("k")).where("k > 1").select("digest_a", "digest_b")
+    # windows of a wording that stands once; those of the others are repeats anyway
+    alone = each.join(twice, ["digest_a", "digest_b"], "left_semi").select("key", "begin", "end")
+    copied = found.join(wordings.where("n > 1").select(*content), content, "left_semi").select("key", "begin", "end")
+    repeats = copied.unionByName(alone).groupBy("key").agg(F.collect_set(F.struct("begin", "end")).alias("repeats"))
+    none = F.array().cast("array<struct<begin:int,end:int>>")
+    return removed(keyed.join(repeats, "key", "left").select("doc_id", "text", F.coalesce("repeats", none).alias("repeats")))
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

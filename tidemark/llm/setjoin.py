@@ -97,6 +97,11 @@ def _sketch(tokens: np.ndarray) -> bytes:
     return (mix(np.array(least)) & np.uint64(255)).astype(np.uint8).tobytes()
 
 
+def _digest(tokens: np.ndarray) -> int:
+    """64 bits that stand for a set."""
+    return int((mix(tokens).sum() + np.uint64(len(tokens))).view(np.int64))
+
+
 def profiles(docs: DataFrame, k: int, runs: int, choices: float) -> DataFrame:
     """(doc_id, set_a, set_b, size, sketch, nodes): a digest of each set, and its nodes of the first level."""
 
@@ -106,8 +111,8 @@ def profiles(docs: DataFrame, k: int, runs: int, choices: float) -> DataFrame:
             for first, sets in _token_sets(batch.column(1), k):
                 a, b, sketches, nodes = [], [], [], []
                 for s in sets:
-                    a.append(int((mix(s).sum() + np.uint64(len(s))).view(np.int64)))
-                    b.append(int(mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum().view(np.int64)))
+                    a.append(_digest(s))
+                    b.append(_digest(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)))
                     sketches.append(_sketch(s) if len(s) else b"")
                     nodes.append(np.unique(np.concatenate([_chosen(s, r, choices) for r in range(runs)])) if len(s) else np.empty(0, np.int64))
                 yield pa.RecordBatch.from_arrays(
@@ -119,12 +124,14 @@ def profiles(docs: DataFrame, k: int, runs: int, choices: float) -> DataFrame:
 
 
 def token_sets(docs: DataFrame, k: int) -> DataFrame:
-    """(set, tokens) of rows (set, text): the set's hashes, eight bytes each."""
+    """(set, tokens) of rows (set, text): the set's hashes, eight bytes each; rows whose text has another set go."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, sets in _token_sets(batch.column(1), k):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(sets)), pa.array([s.tobytes() for s in sets], pa.binary())], ["set", "tokens"])
+                # another text may have the same doc_id
+                found = [(i, s.tobytes()) for i, s in zip(batch.column(0).slice(first, len(sets)).to_pylist(), sets) if _digest(s) == i]
+                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int64()), pa.array([s for _, s in found], pa.binary())], ["set", "tokens"])
 
     return docs.mapInArrow(run, "set long, tokens binary")
 

@@ -93,7 +93,7 @@ def ladder(book: DataFrame, s: Settings = DEFAULT) -> DataFrame:
 def forward(log: DataFrame, horizon: int) -> DataFrame:
     """log (panel, bar_idx, pnl) with fwd_dd, fwd_vol, fwd_breach over the next bars, where all of them exist."""
     w = series().rowsBetween(1, horizon)
-    kept = log.withColumn("__next", F.collect_list("pnl").over(w)).where(F.size("__next") == horizon)
+    kept = log.withColumn("__next", F.collect_list("pnl").over(w)).withColumn("fwd_vol", F.stddev_pop("pnl").over(w) * F.sqrt(F.lit(float(YEAR)))).where(F.size("__next") == horizon)
 
     def step(acc: Column, r: Column) -> Column:
         e = acc.e * F.exp(r)
@@ -101,7 +101,7 @@ def forward(log: DataFrame, horizon: int) -> DataFrame:
         return F.struct(e.alias("e"), peak.alias("peak"), F.least(acc.dd, e / peak - 1).alias("dd"))
 
     fall = F.aggregate("__next", F.struct(F.lit(1.0).alias("e"), F.lit(1.0).alias("peak"), F.lit(0.0).alias("dd")), step, lambda a: a.dd)
-    return kept.withColumn("fwd_dd", fall).withColumn("fwd_vol", F.stddev_pop("pnl").over(w) * F.sqrt(F.lit(float(YEAR)))).withColumn("fwd_breach", F.exists("__next", lambda r: r < -0.02).cast("int")).drop("__next")
+    return kept.withColumn("fwd_dd", fall).withColumn("fwd_breach", F.exists("__next", lambda r: r < -0.02).cast("int")).drop("__next")
 
 
 def lead_lag(log: DataFrame, horizon: int = 5, z: float = 1.5) -> DataFrame:

@@ -270,8 +270,7 @@ def avg_pairwise_corr(spark, d):
 
 @query("SELECT bar_date::VARCHAR AS bar_date, bar_idx, round(avg_corr, 6) AS avg_corr, round(corr_mean, 6) AS corr_mean, round(corr_std, 6) AS corr_std, round(corr_z, 4) + 0.0 AS corr_z, bucket FROM z")
 def corr_z_path(spark, d):
-    out = features.corr_z_path(P(spark, d)).drop("panel")
-    return rounded(out).withColumn("corr_z", F.round("corr_z", 4) + 0.0)
+    return rounded(features.corr_z_path(P(spark, d)).withColumn("corr_z", F.round("corr_z", 4)))
 
 
 # ---- risk ----
@@ -581,12 +580,12 @@ _MASS = """CASE WHEN corr_z > 1.5 THEN 0.22 WHEN corr_z > 1.5 * 0.65 THEN 0.10 E
   + CASE regime WHEN 'STRESSED' THEN 0.16 WHEN 'TRANSITION' THEN 0.11 ELSE 0 END + CASE WHEN regime = 'STRESSED' AND corr_z > 1 THEN 0.24 ELSE 0 END + CASE WHEN corr_z < -1 THEN 0.08 ELSE 0 END + CASE WHEN ann_vol > 0.1 * 1.2 THEN 0.06 ELSE 0 END + CASE WHEN avg_corr > 0.7 THEN 0.12 WHEN avg_corr > 0.45 THEN 0.06 ELSE 0 END"""
 
 
-@query(f"SELECT bar_idx, round(m, 4)::DOUBLE AS mass, round(greatest(least(0.22 + 0.38 * 0.72 + 0.28 * (1 - greatest(least(anomalies / 14.0, 1), 0)) + 0.22 * greatest(least(m::DOUBLE / 0.85, 1), 0) - CASE WHEN priority = 'transition' THEN 0.08 ELSE 0 END, 0.92), 0.18), 3)::DOUBLE AS confidence FROM (SELECT *, {_MASS} AS m FROM dc)")
+@query(f"SELECT bar_idx, round(m, 4)::DOUBLE AS mass, round(greatest(least(0.22 + 0.38 * 0.72 + 0.28 * (1 - greatest(least(anomalies / 14.0, 1), 0)) + 0.22 * greatest(least(m::DOUBLE / 0.85, 1), 0) - CASE WHEN priority = 'transition' THEN 0.08 ELSE 0 END, 0.92), 0.18), 4)::DOUBLE AS confidence FROM (SELECT *, {_MASS} AS m FROM dc)")
 def confidence(spark, d):
     _, bars = _bars(spark, d)
     out = decide.traced(bars.withColumn("vol_ann", F.col("ann_vol")))
     mass = F.aggregate("drivers", F.lit(0.0), lambda acc, x: acc + x.delta)
-    return rounded(out.select("bar_idx", F.round(mass, 4).alias("mass"), F.round("confidence", 3).alias("confidence")))
+    return rounded(out.select("bar_idx", F.round(mass, 4).alias("mass"), "confidence"))
 
 
 @query()
@@ -617,11 +616,10 @@ def narrative_headline(spark, d):
     return decide.narrated(decide.decided(bars).withColumn("vol_ann", F.col("ann_vol"))).select("bar_idx", "headline")
 
 
-@query("""SELECT bar_idx, round(corr_z - lag(corr_z) OVER w, 4) + 0.0 AS corr_z_1, round(corr_z - lag(corr_z, 5) OVER w, 4) + 0.0 AS corr_z_5, round(corr_z - lag(corr_z, 20) OVER w, 4) + 0.0 AS corr_z_20, round(var_99 - lag(var_99) OVER w, 6) + 0.0 AS var_99_1, round(var_99 - lag(var_99, 5) OVER w, 6) + 0.0 AS var_99_5,
+@query("""SELECT bar_idx, round(corr_z - lag(corr_z) OVER w, 6) + 0.0 AS corr_z_1, round(corr_z - lag(corr_z, 5) OVER w, 6) + 0.0 AS corr_z_5, round(corr_z - lag(corr_z, 20) OVER w, 6) + 0.0 AS corr_z_20, round(var_99 - lag(var_99) OVER w, 8) + 0.0 AS var_99_1, round(var_99 - lag(var_99, 5) OVER w, 8) + 0.0 AS var_99_5,
   coalesce(lag(regime) OVER w <> regime, false) AS regime_changed, round(exposure - lag(exposure) OVER w, 4)::DOUBLE + 0.0 AS exposure_1 FROM dc WINDOW w AS (ORDER BY bar_idx)""")
 def recent_changes(spark, d):
-    out = decide.recent_changes(_decided(spark, d)).drop("notes")
-    return rounded(out.select("bar_idx", *[F.round(c, 4).alias(c) for c in ("corr_z_1", "corr_z_5", "corr_z_20")], F.round("var_99_1", 6).alias("var_99_1"), F.round("var_99_5", 6).alias("var_99_5"), "regime_changed", "exposure_1"))
+    return rounded(decide.recent_changes(_decided(spark, d)).drop("notes"), 8)
 
 
 @query("""SELECT rank, bar_idx, round(d, 5) AS distance FROM (SELECT row_number() OVER (ORDER BY d, bar_idx) AS rank, bar_idx, d FROM (SELECT h.bar_idx, sqrt(pow((h.corr_z - c.corr_z) / s1, 2) + pow((h.ann_vol - c.ann_vol) / s2, 2) + pow((h.drawdown - c.drawdown) / s3, 2) + pow((h.var_99 - c.var_99) / s4, 2)) AS d

@@ -22,7 +22,8 @@ from ..sources import panels
 def event_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a stream of its files."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
+    events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
+    return events.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def run_once(stream: DataFrame, mode: str, name: str) -> DataFrame:

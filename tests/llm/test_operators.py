@@ -104,6 +104,14 @@ def test_lines_against_brute_force(spark):
     assert linededup.deduped(df.limit(0)).count() == 0
 
 
+def test_lines_of_one_reference(spark):
+    rng = random.Random(6)
+    lines = ["".join(rng.choices("abcdefghijklmnop", k=40)) for _ in range(600)]
+    lines[5 + 256] = lines[5][:10] + lines[5][11] + lines[5][10] + lines[5][12:]
+    got = linededup.deduped(spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string")).first()
+    assert got["__kept"] == 599 and lines[5 + 256] not in got.text.split("\n")
+
+
 def test_lines_awkward(awkward):
     got = linededup.deduped(awkward)
     assert got.count() == awkward.count() and got.columns[:5] == awkward.columns

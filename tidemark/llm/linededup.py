@@ -11,8 +11,8 @@ doc_id, then row key, then place; blank lines stay.
    other share a segment, and where it may stand in the longer line follows from
    the two lengths. So a line is indexed under (length, number, segment) and
    looked up under the few substrings that lengths of 0 to `edits` less allow.
-3. Places where an index entry and a substring meet are pairs to verify. The
-   band of the edit distance matrix that counts, 2 * edits + 1 diagonals, is
+3. Places where an index entry and a substring meet are pairs to verify, if the
+   lines' characters of odd number allow it. The band of the edit distance matrix that counts, 2 * edits + 1 diagonals, is
    kept in the bits of one long and moved a character at a time.
 
 Only DataFrame functions are used. Documents are dealt out once by their row
@@ -160,13 +160,28 @@ def first_lines(keyed: DataFrame) -> DataFrame:
     return first.groupBy("place.key").agg(F.array_sort(F.collect_set("place.at")).alias("lines"))
 
 
-#: Bits of a line's reference that hold its place; the others are of its document's key.
-_AT = (1 << 20) - 1
+#: A line's reference is one long: 36 bits of its document's key, 8 of its place,
+#: and 20 that say of which characters it has an odd number.
+_ODD_BITS, _AT_BITS = 20, 8
+_ODD, _AT = (1 << _ODD_BITS) - 1, (1 << _AT_BITS) - 1
 
 
-def _reference(key: Column, at: Column) -> Column:
-    """A line in one long. Lines may share one; each is then fetched and verified, so that only work is lost."""
-    return key.bitwiseAND(F.lit(~_AT)).bitwiseOR(at.cast("bigint").bitwiseAND(F.lit(_AT)))
+def _place_bits(key: Column, at: Column) -> Column:
+    """The reference without its last 20 bits.
+
+    Lines may share one; each is then fetched and verified, so that only work is lost.
+    """
+    return F.shiftright(key, _ODD_BITS + _AT_BITS) * (_AT + 1) + at.cast("bigint").bitwiseAND(F.lit(_AT))
+
+
+def _odd_characters(line: Column) -> Column:
+    """A bit for each of 20 classes of characters: set if the line has an odd number of them."""
+    bit = lambda c: F.call_function("shiftleft", F.lit(1), F.ascii(c) % _ODD_BITS)
+    return F.aggregate(F.split(line, ""), F.lit(0), lambda acc, c: acc.bitwiseXOR(bit(c))).cast("bigint")
+
+
+def _reference(key: Column, at: Column, line: Column) -> Column:
+    return F.shiftleft(_place_bits(key, at), _ODD_BITS).bitwiseOR(_odd_characters(line))
 
 
 def _lines_at(keyed: DataFrame, places: DataFrame) -> DataFrame:
@@ -178,17 +193,21 @@ def _lines_at(keyed: DataFrame, places: DataFrame) -> DataFrame:
 
 def near_lines(keyed: DataFrame, firsts: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
     """(key, at): places among the first lines that have an earlier line within `edits` edits."""
-    each = _lines_at(keyed, firsts).where((F.char_length("line") >= least) & ~_blank(F.col("line"))).withColumn("ref", _reference(F.col("key"), F.col("at")))
+    each = _lines_at(keyed, firsts).where((F.char_length("line") >= least) & ~_blank(F.col("line"))).withColumn("ref", _reference(F.col("key"), F.col("at"), F.col("line")))
     indexed = each.select(F.explode(index_keys(F.col("line"), edits)).alias("k"), F.col("ref").alias("ref_a"))
     probes = each.select(F.explode(probe_keys(F.col("line"), edits)).alias("k"), F.col("ref").alias("ref_b"))
-    met = indexed.join(probes, "k").where("ref_a != ref_b")
-    pairs = met.select(F.least("ref_a", "ref_b").alias("ref_a"), F.greatest("ref_a", "ref_b").alias("ref_b")).distinct()
-    needed = pairs.select(F.explode(F.array("ref_a", "ref_b")).alias("ref")).distinct()
+    # an edit changes the parity of two characters at most
+    close = F.bit_count(F.col("ref_a").bitwiseXOR(F.col("ref_b")).bitwiseAND(F.lit(_ODD))) <= 2 * edits
+    met = indexed.join(probes, "k").where((F.col("ref_a") != F.col("ref_b")) & close)
+    # lines of one reference don't meet above; the few that there are pair up among themselves
+    same = each.groupBy("ref").agg(F.count("*").alias("n")).where("n > 1").select(F.col("ref").alias("ref_a"), F.col("ref").alias("ref_b"))
+    pairs = met.select(F.least("ref_a", "ref_b").alias("ref_a"), F.greatest("ref_a", "ref_b").alias("ref_b")).unionByName(same).distinct()
+    needed = pairs.select(F.explode(F.array("ref_a", "ref_b")).alias("ref")).select(F.shiftright("ref", _ODD_BITS).alias("place")).distinct()
     # a reference gives back the first lines that have it
-    refs = firsts.select("key", F.explode("lines").alias("at")).withColumn("ref", _reference(F.col("key"), F.col("at"))).join(needed, "ref", "left_semi")
-    texts = _lines_at(keyed, refs.groupBy("key").agg(F.collect_set("at").alias("lines"))).withColumn("ref", _reference(F.col("key"), F.col("at"))).dropDuplicates(["key", "at"])
+    refs = firsts.select("key", F.explode("lines").alias("at")).withColumn("place", _place_bits(F.col("key"), F.col("at"))).join(needed, "place", "left_semi")
+    texts = _lines_at(keyed, refs.groupBy("key").agg(F.collect_set("at").alias("lines"))).withColumn("ref", _reference(F.col("key"), F.col("at"), F.col("line"))).dropDuplicates(["key", "at"])
     own = lambda s: texts.select(F.col("ref").alias(f"ref_{s}"), F.struct(F.col("doc_id").alias("doc"), "key", "at").alias(f"place_{s}"), F.col("line").alias(f"line_{s}"))
-    near = pairs.join(own("a"), "ref_a").join(own("b"), "ref_b").where(within(F.col("line_a"), F.col("line_b"), edits))
+    near = pairs.join(own("a"), "ref_a").join(own("b"), "ref_b").where((F.col("place_a") != F.col("place_b")) & within(F.col("line_a"), F.col("line_b"), edits))
     return near.select(F.greatest("place_a", "place_b").alias("x")).select("x.key", "x.at").distinct()
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark import config
 from tidemark.functions import kernels
 from tidemark.operators import decide, detect, features, portfolio, research, risk, stress
-from tidemark.sources import panels
+from tidemark.sources import panels, reports
 
 #: strategy: Sharpe, Sharpe before costs, worst fall, the same before costs, mean turnover, growth, growth before costs
 GOLDEN = {
@@ -131,3 +131,17 @@ def test_settings(tmp_path):
     assert (s.risk_free, s.portfolio.max_weight, s.portfolio.cost_bps) == (0.01, 0.5, 3)
     with pytest.raises(ValueError):
         config.load(None, {"TIDEMARK__nothing": "1"})
+
+
+def test_interpolation_and_reports(spark):
+    rows = [("p", (pd.Timestamp("2020-01-01") + pd.Timedelta(days=d)).date(), i + 1, v) for i, (d, v) in enumerate([(0, None), (1, 1.0), (2, None), (5, 5.0), (6, None)])]
+    df = spark.createDataFrame(rows, "panel string, bar_date date, bar_idx int, x double")
+    assert [r.x for r in features.interpolated(df, "x").orderBy("bar_idx").collect()] == [1.0, 1.0, 2.0, 5.0, 5.0]
+    assert reports.markdown(df.select("panel", "x").limit(2)) == "| panel | x |\n| - | - |\n| p |  |\n| p | 1 |"
+    once = reports.patched("# t", "m", "a")
+    assert reports.patched(once, "m", "b") == once.replace("a", "b")
+    import json
+
+    one = spark.createDataFrame([("p", 1.0)], "panel string, v double")
+    got = json.loads(reports.risk_report(one, one, one, one, one.limit(0)).first().report)
+    assert got["state"] == {"v": 1.0} and got["var"] == [{"v": 1.0}] and "signals" not in got

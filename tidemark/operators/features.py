@@ -55,6 +55,12 @@ def sample_covariance(panel: DataFrame, window: int = YEAR) -> DataFrame:
     return pairs(recent, False).groupBy(*PAIR).agg(F.covar_samp("ra", "rb").alias("cov"), F.count("*").alias("n"))
 
 
+def both_ways(cov: DataFrame) -> DataFrame:
+    """(panel, asset, other, ...) of pair rows a <= b: each off-diagonal pair in both directions."""
+    ways = F.when(F.col("a") == F.col("b"), F.array(F.struct(F.col("a").alias("asset"), F.col("b").alias("other")))).otherwise(F.array(F.struct(F.col("a").alias("asset"), F.col("b").alias("other")), F.struct(F.col("b").alias("asset"), F.col("a").alias("other"))))
+    return cov.withColumn("way", F.explode(ways)).select("*", "way.asset", "way.other").drop("way")
+
+
 def ewma_covariance(panel: DataFrame, window: int = YEAR, lam: float = 0.94) -> DataFrame:
     """(panel, a, b, cov) with weights 1, (1-l), (1-l)l, (1-l)l^2... from the last bar back, about weighted means."""
     r = last_bars(returns(panel), window).where("lr is not null")
@@ -192,3 +198,20 @@ def overlay(panel: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     label = F.when(z > s.corr.z_high, "STRESSED").when(z < s.corr.z_low, "CALM").otherwise("NORMAL")
     falls = portfolio_drawdown(panel, equal_weights(panel)).select("panel", "bar_idx", (F.col("drawdown") * 100).alias("drawdown_pct"))
     return corr_z(bars, s).join(falls, ["panel", "bar_idx"]).select("panel", "bar_date", "bar_idx", "drawdown_pct", "corr_z", label.alias("label"))
+
+
+def interpolated(bars: DataFrame, value: str) -> DataFrame:
+    """bars with gaps of `value` filled by time between the known neighbours, and from the nearest one at the ends."""
+    past, future = series().rowsBetween(Window.unboundedPreceding, 0), series().rowsBetween(0, Window.unboundedFollowing)
+    known = lambda c: F.when(F.col(value).isNotNull(), F.col(c))
+    v0, d0 = F.last(value, ignorenulls=True).over(past), F.last(known("bar_date"), ignorenulls=True).over(past)
+    v1, d1 = F.first(value, ignorenulls=True).over(future), F.first(known("bar_date"), ignorenulls=True).over(future)
+    out = bars.withColumns({"__v0": v0, "__d0": d0, "__v1": v1, "__d1": d1})
+    share = F.datediff("bar_date", "__d0") / F.nullif(F.datediff("__d1", "__d0"), F.lit(0))
+    between = F.col("__v0") + (F.col("__v1") - F.col("__v0")) * share
+    return out.withColumn(value, F.coalesce(F.col(value), between, "__v1", "__v0")).drop("__v0", "__d0", "__v1", "__d1")
+
+
+def regime_summary(log: DataFrame, value: str = "pnl") -> DataFrame:
+    """(panel, regime, mean, sd, n) of a value by regime."""
+    return log.groupBy("panel", "regime").agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.count(value).alias("n"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
 from ..functions import kernels
-from .features import PAIR, YEAR, equal_weights, last_bars, pairs, portfolio_returns, returns, returns_10d, sample_covariance, series, whole
+from .features import PAIR, YEAR, both_ways, equal_weights, last_bars, pairs, portfolio_returns, returns, returns_10d, sample_covariance, series, whole
 
 
 def cornish_fisher(z: Column, skew: Column, kurt: Column) -> Column:
@@ -91,8 +91,7 @@ def parametric(panel: DataFrame, weights: DataFrame, alpha: float = 0.99, window
 def risk_contributions(cov: DataFrame, weights: DataFrame, budget: float = DEFAULT.risk_budget) -> DataFrame:
     """(panel, asset, w, contribution, share, status): each asset's part of the portfolio's deviation, against a budget."""
     w = weights.withColumn("w", F.col("w") / F.sum("w").over(whole()))
-    both = cov.select("panel", F.col("a").alias("asset"), F.col("b").alias("other"), "cov").unionByName(cov.where("a != b").select("panel", F.col("b").alias("asset"), F.col("a").alias("other"), "cov"))
-    marginal = both.join(w.select("panel", F.col("asset").alias("other"), F.col("w").alias("wo")), ["panel", "other"]).groupBy("panel", "asset").agg(F.sum(F.col("cov") * F.col("wo")).alias("m")).join(w, ["panel", "asset"])
+    marginal = both_ways(cov).join(w.select("panel", F.col("asset").alias("other"), F.col("w").alias("wo")), ["panel", "other"]).groupBy("panel", "asset").agg(F.sum(F.col("cov") * F.col("wo")).alias("m")).join(w, ["panel", "asset"])
     part = marginal.withColumn("p", F.col("w") * F.col("m"))
     sigma = F.sqrt(F.sum("p").over(whole()))
     out = part.select("panel", "asset", "w", (F.col("p") / sigma).alias("contribution"), (F.col("p") / F.sum("p").over(whole())).alias("share"))

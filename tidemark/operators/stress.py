@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
-from .features import whole
+from .features import both_ways, whole
 
 #: Scenario shocks by asset (fixed values).
 SHOCKS = {
@@ -57,8 +57,7 @@ def reverse_stress(weights: DataFrame, cov: DataFrame, target: float, bound: flo
     bound would change it.
     """
     w = normalized_weights(weights)
-    both = cov.select("panel", F.col("a").alias("asset"), F.col("b").alias("other"), (F.col("cov") + F.when(F.col("a") == F.col("b"), ridge).otherwise(0.0)).alias("cov"))
-    both = both.unionByName(cov.where("a != b").select("panel", F.col("b").alias("asset"), F.col("a").alias("other"), "cov"))
+    both = both_ways(cov.withColumn("cov", F.col("cov") + F.when(F.col("a") == F.col("b"), ridge).otherwise(0.0)))
     m = both.join(w.select("panel", F.col("asset").alias("other"), F.col("w").alias("wo")), ["panel", "other"]).groupBy("panel", "asset").agg(F.sum(F.col("cov") * F.col("wo")).alias("m")).join(w, ["panel", "asset"])
     v = F.sum(F.col("w") * F.col("m")).over(whole())
     out = m.select("panel", "asset", (F.col("m") * target / v).alias("shock"), (F.lit(target * target) / v).alias("distance_sq"))

@@ -12,6 +12,15 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 
 
+def steady(spark: SparkSession) -> None:
+    """Deal the rows of a union anew before they are grouped.
+
+    A sum over a union came out in parts once where Spark took the union's
+    inputs to be partitioned alike; the extra exchange rules that out.
+    """
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which every executor sees.
 

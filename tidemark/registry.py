@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from dataclasses import replace
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from .config import DEFAULT
 from .functions import kernels
 from .operators import alpha, decide, detect, features, portfolio, research, risk, stress
-from .plans.scratch import stored
+from .plans.scratch import steady, stored
 from .sources import panels
 from .streaming import jobs
 
@@ -108,8 +109,17 @@ def rounded(df: DataFrame, digits: int = 6, drop: tuple = ("panel",)) -> DataFra
     return df.select(*[shown[t](c).alias(c) if t in shown else F.col(c) for c, t in df.dtypes if c not in drop])
 
 
+def _steadily(f: Callable) -> Callable:
+    @wraps(f)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        steady(spark)
+        return f(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, (f, _) in _QUERIES.items()}
+    return {name: _steadily(f) for name, (f, _) in _QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import changed_ascii_case, let
-from ..plans.scratch import new_folder, small, stored
+from ..plans.scratch import new_folder, small, steady, stored
 from .common import row_keys
 
 WINDOW = 13
@@ -121,6 +121,7 @@ def annotated(docs: DataFrame, items: DataFrame, size: int = WINDOW, share: int
     A word is hit if it lies in an occurrence of a window; a document is
     contaminated if `share` times its hit words reach its words.
     """
+    steady(docs.sparkSession)
     found = stored(windows(items, size), "windows")
     chosen = stored(anchors(docs, found), "anchors")
     postings = index(docs, stored(chosen.select("term").distinct(), "anchor-terms"))

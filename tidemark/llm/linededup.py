@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import let
+from ..plans.scratch import steady
 from .common import sha256_hex, table
 
 EDITS = 2
@@ -146,6 +147,7 @@ def within(a: Column, b: Column, edits: int = EDITS) -> Column:
 
 def _with_key(docs: DataFrame) -> DataFrame:
     """docs with __key (never null) and, dealt out by it, in the one exchange that all steps read."""
+    steady(docs.sparkSession)
     return docs.select("*", F.xxhash64("doc_id", "text").alias("__key")).repartition("__key")
 
 

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.scratch import stored
+from ..plans.scratch import steady, stored
 from .common import table, text_batches
 from .textkernels import mix, shingles, words
 
@@ -341,6 +341,7 @@ def joined(docs: DataFrame, k: int = WORDS, least: float = LEAST, recall: float
     """
     spark = docs.sparkSession
     text_batches(spark)
+    steady(spark)
     runs = runs_for(recall, least, choices)
     rows = docs.select(F.coalesce("doc_id", F.lit(_NULL_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     light = stored(profiles(rows, k, runs, choices), "profiles")

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.scratch import stored
+from ..plans.scratch import steady, stored
 from .common import table, text_batches
 from .textkernels import Words, span_hashes, windows, words
 
@@ -233,6 +233,7 @@ def dedup(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     """
     spark = docs.sparkSession
     text_batches(spark)
+    steady(spark)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     index = FingerprintIndex(spark)
     hits = None

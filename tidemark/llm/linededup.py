@@ -15,9 +15,8 @@ doc_id, then row key, then place; blank lines stay.
    lines' characters of odd number allow it. The band of the edit distance matrix that counts, 2 * edits + 1 diagonals, is
    kept in the bits of one long and moved a character at a time.
 
-Only DataFrame functions are used. Documents are dealt out once by their row
-key; this exchange is read three times: for the substrings, for the texts of the
-pairs and for the result.
+Only DataFrame functions are used. Documents are dealt out by their row key; first
+lines, pairs and the pairs' texts are stored, as several steps read them.
 
 Defined cases: null and empty texts have no lines and stay as they are; lines
 below `least` characters are compared for equality only; rows that repeat a
@@ -33,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import let
-from ..plans.scratch import steady
+from ..plans.scratch import steady, stored
 from .common import sha256_hex, table
 
 EDITS = 2
@@ -146,7 +145,7 @@ def within(a: Column, b: Column, edits: int = EDITS) -> Column:
 
 
 def _with_key(docs: DataFrame) -> DataFrame:
-    """docs with __key (never null) and, dealt out by it, in the one exchange that all steps read."""
+    """docs with __key (never null) and dealt out by it."""
     steady(docs.sparkSession)
     return docs.select("*", F.xxhash64("doc_id", "text").alias("__key")).repartition("__key")
 
@@ -204,22 +203,21 @@ def near_lines(keyed: DataFrame, firsts: DataFrame, edits: int = EDITS, least: i
     # lines of one reference don't meet above; the few that there are pair up among themselves
     same = each.groupBy("ref").agg(F.count("*").alias("n")).where("n > 1").select(F.col("ref").alias("ref_a"), F.col("ref").alias("ref_b"))
     pairs = met.select(F.least("ref_a", "ref_b").alias("ref_a"), F.greatest("ref_a", "ref_b").alias("ref_b")).unionByName(same).distinct()
+    pairs = stored(pairs, "line-pairs")
     needed = pairs.select(F.explode(F.array("ref_a", "ref_b")).alias("ref")).select(F.shiftright("ref", _ODD_BITS).alias("place")).distinct()
     # a reference gives back the first lines that have it
     refs = firsts.select("key", F.explode("lines").alias("at")).withColumn("place", _place_bits(F.col("key"), F.col("at"))).join(needed, "place", "left_semi")
     texts = _lines_at(keyed, refs.groupBy("key").agg(F.collect_set("at").alias("lines"))).withColumn("ref", _reference(F.col("key"), F.col("at"), F.col("line"))).dropDuplicates(["key", "at"])
+    texts = stored(texts, "line-texts")
     own = lambda s: texts.select(F.col("ref").alias(f"ref_{s}"), F.struct(F.col("doc_id").alias("doc"), "key", "at").alias(f"place_{s}"), F.col("line").alias(f"line_{s}"))
     near = pairs.join(own("a"), "ref_a").join(own("b"), "ref_b").where((F.col("place_a") != F.col("place_b")) & within(F.col("line_a"), F.col("line_b"), edits))
     return near.select(F.greatest("place_a", "place_b").alias("x")).select("x.key", "x.at").distinct()
 
 
 def deduped(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
-    """docs with __lines and __kept, the number of lines before and after, and their text of the kept lines.
-
-    All in one job: what several steps read is exchanged once and reused.
-    """
+    """docs with __lines and __kept, the number of lines before and after, and their text of the kept lines."""
     keyed = _with_key(docs)
-    firsts = first_lines(keyed)
+    firsts = stored(first_lines(keyed), "first-lines")
     near = near_lines(keyed, firsts, edits, least).groupBy("key").agg(F.collect_set("at").alias("near"))
     stay = firsts.join(near, "key", "left").select(F.col("key").alias("__of"), F.when(F.col("near").isNull(), F.col("lines")).otherwise(F.array_sort(F.array_except("lines", "near"))).alias("__stay"))
     joined = keyed.join(stay, F.col("__key") == F.col("__of"), "left")

@@ -153,10 +153,11 @@ def action(layer: Column) -> Column:
 
 
 _ORDER = {"ZSCORE": 1, "CUSUM": 2, "MAHAL": 3, "VR": 4, "DRAWDOWN": 5}
+LAYERS = tuple(_ORDER)
 
 
-def anomalies(panel: DataFrame, weights: DataFrame, s: Settings = DEFAULT, layers: tuple = tuple(_ORDER)) -> DataFrame:
-    """The kept events of each bar: the last 20 in the order of layers and assets, with an action."""
+def layer_events(panel: DataFrame, weights: DataFrame, s: Settings = DEFAULT, layers: tuple = LAYERS) -> DataFrame:
+    """The events of the named layers, one under another."""
     made = {
         "ZSCORE": lambda: zscore_layer(panel, weights, s), "CUSUM": lambda: cusum_layer(panel, weights, s), "MAHAL": lambda: mahalanobis_layer(panel, s),
         "VR": lambda: variance_ratio_layer(panel), "DRAWDOWN": lambda: drawdown_layer(panel, weights, s),
@@ -164,6 +165,12 @@ def anomalies(panel: DataFrame, weights: DataFrame, s: Settings = DEFAULT, layer
     events = None
     for name in layers:
         events = made[name]() if events is None else events.unionByName(made[name]())
+    return events
+
+
+def anomalies(panel: DataFrame, weights: DataFrame, s: Settings = DEFAULT, layers: tuple = LAYERS) -> DataFrame:
+    """The kept events of each bar: the last 20 in the order of layers and assets, with an action."""
+    events = layer_events(panel, weights, s, layers)
     order = F.create_map(*[x for k, v in _ORDER.items() for x in (F.lit(k), F.lit(v))])[F.col("layer")]
     kept = conjunction(events, s).withColumn("k", F.row_number().over(Window.partitionBy("panel", "bar_idx").orderBy(order.desc(), F.desc("asset"), F.desc("metric"))))
     return kept.where(F.col("k") <= s.anomaly.most_events).drop("k").withColumn("action", action(F.col("layer")))

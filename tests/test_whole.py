@@ -1,12 +1,15 @@
 """Results that need the whole job: all layers, books, folds, bars and lines, against brute force."""
 
+from itertools import product
+
 import numpy as np
 import pandas as pd
 import pytest
 
 from tidemark import registry
 from tidemark.functions import kernels
-from tidemark.operators import features
+from tidemark.config import DEFAULT
+from tidemark.operators import features, portfolio, research
 
 
 def long_panel(spark, closes):
@@ -88,3 +91,47 @@ def test_queries_with_sql_have_a_form_over_five_layers(spark, monkeypatch):
     monkeypatch.setattr(registry, "P", lambda *_: panel)
     found = {n: {r.layer for r in registry.queries()[n](spark, "").select("layer").distinct().collect()} for n in ("conjunction", "conjunction_five")}
     assert found["conjunction"] == set(registry.SQL_LAYERS) and found["conjunction_five"] == {"ZSCORE", "CUSUM", "MAHAL", "VR", "DRAWDOWN"}
+
+
+def moving_together(bars=170, assets=4):
+    rng = np.random.default_rng(9)
+    beta = np.array([0.6, 0.9, 1.2, 1.5])[:assets]
+    steps = rng.normal(0, 0.01, (bars, 1)) * beta + rng.normal(0, 0.004, (bars, assets))
+    return 100 * np.exp(steps.cumsum(0))
+
+
+def bars_of(spark, rows):
+    return spark.createDataFrame(rows, "panel string, bar_idx int, regime string, anomalies long, corr_z double, bucket string, var_99 double")
+
+
+def least_variance(sigma, cap):
+    """Every choice of which weights are nought, at the cap or free, and the best that is allowed."""
+    n, best = len(sigma), None
+    for kind in product((0, cap, None), repeat=n):
+        free = [i for i in range(n) if kind[i] is None]
+        w = np.array([0.0 if x is None else x for x in kind])
+        if free:
+            k = len(free)
+            a = np.block([[2 * sigma[np.ix_(free, free)], np.ones((k, 1))], [np.ones((1, k)), np.zeros((1, 1))]])
+            w[free] = np.linalg.solve(a, np.r_[-2 * sigma[free] @ w, 1 - w.sum()])[:k]
+        if abs(w.sum() - 1) < 1e-9 and w.min() > -1e-12 and w.max() < cap + 1e-12 and (best is None or w @ sigma @ w < best @ sigma @ best):
+            best = w
+    return best
+
+
+def test_stressed_bars_hold_the_least_variance(spark):
+    closes = moving_together()
+    panel = long_panel(spark, closes)
+    bars = bars_of(spark, [("p", t, "STRESSED", 0, 0.0, "normal", 0.02) for t in range(131, 170)])
+    got = {r.bar_idx: r for r in research.backtest(panel, bars, ("full",)).collect()}
+    lr, prior, net = np.diff(np.log(closes), axis=0), np.full(4, 0.25), DEFAULT.backtest.cash
+    for t in range(131, 170):
+        sigma = np.cov(lr[: t - 1], rowvar=False)
+        w = least_variance(sigma, DEFAULT.portfolio.max_weight)
+        vol = np.sqrt(np.full(4, 0.25) @ sigma @ np.full(4, 0.25) * 252)
+        w = portfolio.constrained(w * min(DEFAULT.portfolio.target_vol / vol, 1.0), prior, DEFAULT)
+        turn = abs(w - prior).sum()
+        net *= (1 - turn * DEFAULT.portfolio.cost_bps / 1e4) * np.exp(w @ lr[t - 1])
+        assert (got[t].turnover, got[t].equity) == pytest.approx((turn, net), rel=1e-5, abs=1e-7), t
+        prior = w
+    assert len(got) == 39

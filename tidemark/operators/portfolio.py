@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -114,28 +112,26 @@ def raw_targets(panel: DataFrame, bars: DataFrame, mode: str, s: Settings = DEFA
     return signal_inverse_vol(gated).select(*BAR, "asset", "w", *(["regime"] if mode == "full" else []))
 
 
-def book(panel: DataFrame, targets: DataFrame, forecast: DataFrame, s: Settings = DEFAULT, use_target: bool = True, covariances: DataFrame | None = None) -> DataFrame:
+def book(panel: DataFrame, targets: DataFrame, forecast: DataFrame, s: Settings = DEFAULT, use_target: bool = True, calmest: DataFrame | None = None) -> DataFrame:
     """(strategy, panel, bar_idx, equity, gross_equity, turnover, pnl, w_sum): the fold over bars.
 
     targets: (strategy, panel, bar_idx, asset, w [, regime]); forecast: (panel,
-    bar_idx, vol), the equal-weight portfolio's yearly volatility. Each bar's
-    weights earn the return to the next bar. Turnover caps make a bar depend on
+    bar_idx, vol), the equal-weight portfolio's yearly volatility; calmest: what
+    STRESSED bars hold instead of their targets (least_variance). Each bar's weights earn the return to the next bar. Turnover caps make a bar depend on
     the one before, so a group is one strategy of one panel, with arrays of its
     bars; strategies, panels, folds and ablations run side by side.
     """
     r = returns(panel).withColumn("next", F.lead("lr").over(by_asset())).where("next is not null").select(*BAR, "asset", "next")
     rows = targets.join(r, [*BAR, "asset"]).join(forecast, BAR)
-    if covariances is not None:
-        cells = covariances.groupBy(*BAR).agg(F.to_json(F.collect_list(F.struct("a", "b", "cov"))).alias("cells"))
-        rows = rows.join(cells, BAR, "left")
+    if calmest is not None:
+        rows = rows.join(calmest.withColumnRenamed("w", "__calm"), [*BAR, "asset"], "left")
+        rows = rows.withColumn("w", F.when(F.col("regime") == "STRESSED", F.coalesce("__calm", F.lit(0.0))).otherwise(F.col("w"))).drop("__calm")
 
     def fold(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["bar_idx", "asset"])
         assets = sorted(rows["asset"].unique())
         w_in, ret = (rows.pivot(index="bar_idx", columns="asset", values=c)[assets] for c in ("w", "next"))
         vol = rows.groupby("bar_idx")["vol"].first()
-        regime = rows.groupby("bar_idx")["regime"].first() if "regime" in rows else None
-        cells = rows.groupby("bar_idx")["cells"].first() if "cells" in rows else None
         prior, net, gross, out = np.full(len(assets), 1 / len(assets)), s.backtest.cash, s.backtest.cash, []
         for i, t in enumerate(w_in.index):
             x = ret.loc[t].fillna(0.0).to_numpy()
@@ -145,12 +141,6 @@ def book(panel: DataFrame, targets: DataFrame, forecast: DataFrame, s: Settings
                 out.append((*key, int(t), net, gross, 0.0, pnl, float(prior.sum())))
                 continue
             w = w_in.loc[t].fillna(0.0).to_numpy()
-            if regime is not None and regime[t] == "STRESSED" and cells is not None:
-                sigma = np.zeros((len(assets), len(assets)))
-                for c in json.loads(cells[t]):
-                    a, b = assets.index(c["a"]), assets.index(c["b"])
-                    sigma[a, b] = sigma[b, a] = c["cov"]
-                w = kernels.min_variance(sigma, s.portfolio.max_weight)
             if use_target and vol[t] > 1e-12:
                 w = w * min(s.portfolio.target_vol / vol[t], s.portfolio.max_leverage)
             w = constrained(w, prior, s)
@@ -175,17 +165,24 @@ def period_pnl(held: DataFrame, panel: DataFrame) -> DataFrame:
     return held.join(step, [*BAR, "asset"]).groupBy(*BAR).agg(F.sum(F.col("shares") * F.col("move")).alias("pnl"))
 
 
-def min_variance_weights(cov: DataFrame, cap: float = DEFAULT.portfolio.max_weight) -> DataFrame:
-    """(panel, asset, w) of least variance; a group is one panel's covariance."""
+def min_variance_weights(cov: DataFrame, cap: float = DEFAULT.portfolio.max_weight, keys: tuple = ("panel",)) -> DataFrame:
+    """(keys, asset, w) of least variance; a group is one covariance."""
 
     def solve(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         assets = sorted(set(rows["a"]) | set(rows["b"]))
         sigma = np.zeros((len(assets), len(assets)))
         for a, b, c in zip(rows["a"], rows["b"], rows["cov"]):
             sigma[assets.index(a), assets.index(b)] = sigma[assets.index(b), assets.index(a)] = c
-        return pd.DataFrame({"panel": key[0], "asset": assets, "w": kernels.min_variance(sigma, cap)})
+        return pd.DataFrame({**dict(zip(keys, key)), "asset": assets, "w": kernels.min_variance(sigma, cap)})
+
+    types = dict(cov.dtypes)
+    return cov.select(*keys, "a", "b", "cov").groupBy(*keys).applyInPandas(solve, ", ".join(f"{k} {types[k]}" for k in keys) + ", asset string, w double")
+
 
-    return cov.select("panel", "a", "b", "cov").groupBy("panel").applyInPandas(solve, "panel string, asset string, w double")
+def least_variance(panel: DataFrame, bars: DataFrame, s: Settings = DEFAULT) -> DataFrame:
+    """(panel, bar_idx, asset, w) of least variance at each STRESSED bar, under its trailing covariance."""
+    cov = rolling_covariances(panel, s).join(bars.where("regime = 'STRESSED'").select(*BAR), BAR, "left_semi")
+    return min_variance_weights(cov.where("cov is not null"), s.portfolio.max_weight, tuple(BAR))
 
 
 def class_share(weights: DataFrame, classes: DataFrame, name: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
+from ..plans.scratch import stored
 from . import decide, portfolio
 from .features import PAIR, YEAR, equal_weights, pairs, portfolio_returns, returns, series, whole
 from .portfolio import BAR
@@ -28,15 +29,20 @@ def forecast_vol(panel: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     return cov.join(n, "panel").groupBy(*BAR).agg((F.sqrt(F.sum(term) / F.pow(F.first("n"), 2)) * F.sqrt(F.lit(float(YEAR)))).alias("vol"))
 
 
-def backtest(panel: DataFrame, bars: DataFrame, modes: tuple = portfolio.MODES, s: Settings = DEFAULT, name: str = "", **ablation) -> DataFrame:
-    """The book of each mode over bars (regime, anomalies, corr_z, bucket, var_99), from the warm-up to the last bar but one."""
+def backtest(panel: DataFrame, bars: DataFrame, modes: tuple = portfolio.MODES, s: Settings = DEFAULT, name: str = "", calmest: DataFrame | None = None, **ablation) -> DataFrame:
+    """The book of each mode over bars (regime, anomalies, corr_z, bucket, var_99), from the warm-up to the last bar but one.
+
+    calmest: portfolio.least_variance, if it is made already; only `full` holds it.
+    """
     use_target = ablation.pop("use_target", True)
     targets = None
     for mode in modes:
         one = portfolio.raw_targets(panel, bars, mode, s, **ablation).join(bars.select(*BAR), BAR).withColumn("strategy", F.lit(name or mode))
         one = one if "regime" in one.columns else one.withColumn("regime", F.lit("CALM"))
         targets = one if targets is None else targets.unionByName(one)
-    return portfolio.book(panel, targets, forecast_vol(panel, s), s, use_target)
+    if calmest is None and "full" in modes:
+        calmest = portfolio.least_variance(panel, bars, s)
+    return portfolio.book(panel, targets, forecast_vol(panel, s), s, use_target, calmest)
 
 
 ABLATIONS = {
@@ -48,17 +54,17 @@ ABLATIONS = {
 
 def ablations(panel: DataFrame, bars: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     """The measures of `full` under each set of switched-off parts."""
-    out = None
+    out, calmest = None, stored(portfolio.least_variance(panel, bars, s), "least-variance")
     for name, parts in ABLATIONS.items():
-        one = backtest(panel, bars, ("full",), s, name, **parts)
+        one = backtest(panel, bars, ("full",), s, name, calmest, **parts)
         out = one if out is None else out.unionByName(one)
     return summary(out, s)
 
 
 def cost_sweep(panel: DataFrame, bars: DataFrame, costs: tuple = (5.0, 10.0, 20.0), s: Settings = DEFAULT) -> DataFrame:
-    out = None
+    out, calmest = None, stored(portfolio.least_variance(panel, bars, s), "least-variance")
     for bps in costs:
-        one = backtest(panel, bars, ("full",), replace(s, portfolio=replace(s.portfolio, cost_bps=bps)), f"cost_{bps:g}")
+        one = backtest(panel, bars, ("full",), replace(s, portfolio=replace(s.portfolio, cost_bps=bps)), f"cost_{bps:g}", calmest)
         out = one if out is None else out.unionByName(one)
     return summary(out, s)
 
@@ -222,7 +228,8 @@ def walk_forward(panel: DataFrame, bars: DataFrame, s: Settings = DEFAULT, mode:
     targets = portfolio.raw_targets(panel, own.drop("fold", "train_end", "test_begin", "test_end", "z_high", "z_low"), mode, s).join(own.select(*BAR, "fold"), BAR)
     targets = targets.withColumn("strategy", F.concat(F.lit("fold_"), F.col("fold").cast("string"))).drop("fold")
     targets = targets if "regime" in targets.columns else targets.withColumn("regime", F.lit("CALM"))
-    return summary(portfolio.book(panel, targets, forecast_vol(panel, s), s), s)
+    calmest = portfolio.least_variance(panel, bars, s) if mode == "full" else None
+    return summary(portfolio.book(panel, targets, forecast_vol(panel, s), s, calmest=calmest), s)
 
 
 def decision_log(panel: DataFrame, bars: DataFrame, s: Settings = DEFAULT) -> DataFrame:

@@ -1,10 +1,12 @@
 """Results that need the whole job: all layers, books, folds, bars and lines, against brute force."""
 
+from dataclasses import replace
 from itertools import product
 
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark import registry
 from tidemark.functions import kernels
@@ -135,3 +137,26 @@ def test_stressed_bars_hold_the_least_variance(spark):
         assert (got[t].turnover, got[t].equity) == pytest.approx((turn, net), rel=1e-5, abs=1e-7), t
         prior = w
     assert len(got) == 39
+
+
+@pytest.mark.parametrize("mode", ["full", "vol_target_only"])
+def test_walk_forward_folds_run_from_the_warm_up(spark, mode):
+    rng = np.random.default_rng(11)
+    panel = long_panel(spark, moving_together(291, 3)).localCheckpoint()
+    regimes = ("CALM", "TRANSITION", "STRESSED")
+    z = rng.normal(0, 1.2, 160)
+    bars = bars_of(spark, [("p", 131 + i, regimes[rng.integers(3)], int(rng.integers(5)), float(z[i]), "normal", 0.02) for i in range(160)]).localCheckpoint()
+    s = replace(DEFAULT, backtest=replace(DEFAULT.backtest, train_bars=180, test_bars=50))
+    got = {r.strategy: r.asDict() for r in research.walk_forward(panel, bars, s, mode).collect()}
+    assert set(got) == {"fold_0", "fold_1"}
+    for k in (0, 1):
+        end = 180 + 50 * k
+        past = z[: end - 131]
+        own = replace(s, corr=replace(s.corr, z_high=float(np.quantile(past, 0.9)), z_low=float(np.quantile(past, 0.1))))
+        # the fold's history alone, under settings that hold its thresholds
+        cut = bars.where(f"bar_idx < {end + 50}").withColumn("bucket", features.bucket(F.col("corr_z"), own))
+        book = research.backtest(panel.where(f"bar_idx <= {end + 50}"), cut, (mode,), own, f"fold_{k}").where(f"bar_idx >= {end}")
+        want = research.summary(book, own).first().asDict()
+        assert want["n"] == 49
+        have = got[f"fold_{k}"]
+        assert {c: have[c] for c in want if c not in research.STRATEGY} == pytest.approx({c: want[c] for c in want if c not in research.STRATEGY}, rel=1e-9, abs=1e-12)

@@ -91,10 +91,11 @@ def rolling_covariances(panel: DataFrame, s: Settings = DEFAULT) -> DataFrame:
 MODES = ("baseline", "vol_target_only", "momentum_naive", "placebo_random", "signals_only", "corr_signal_only", "full")
 
 
-def raw_targets(panel: DataFrame, bars: DataFrame, mode: str, s: Settings = DEFAULT, by_regime: bool = True, by_anomaly: bool = True, use_decision: bool = True) -> DataFrame:
+def raw_targets(panel: DataFrame, bars: DataFrame, mode: str, s: Settings = DEFAULT, by_regime: bool = True, by_anomaly: bool = True, use_decision: bool = True, sleeves: DataFrame | None = None, vols: DataFrame | None = None) -> DataFrame:
     """(panel, bar_idx, asset, w): what a mode wants to hold, before constraints.
 
     bars: one row a bar with regime, anomalies, corr_z, bucket, var_99. Only `full` reads decisions.
+    sleeves, vols: alpha.sleeves and volatilities of the panel, if they are made already.
     """
     if mode == "baseline":
         return panel.join(bars.select(*BAR), BAR).join(equal_weights(panel), ["panel", "asset"]).select(*BAR, "asset", "w")
@@ -105,9 +106,9 @@ def raw_targets(panel: DataFrame, bars: DataFrame, mode: str, s: Settings = DEFA
     if mode == "placebo_random":
         noise = F.sqrt(-2 * F.log((F.abs(F.xxhash64(F.lit(s.seed), "bar_idx", "asset")) % 999_983 + 1) / 999_984.0)) * F.cos(F.lit(2 * np.pi) * (F.abs(F.xxhash64("asset", "bar_idx", F.lit(s.seed))) % 999_983) / 999_983.0)
         return from_signals(panel.select(*BAR, "asset", noise.alias("signal")), s).select(*BAR, "asset", "w")
-    signals = alpha.correlation_only(panel, bars, s) if mode == "corr_signal_only" else alpha.combined(alpha.sleeves(panel, s), bars, s)
+    signals = alpha.correlation_only(panel, bars, s) if mode == "corr_signal_only" else alpha.combined(alpha.sleeves(panel, s) if sleeves is None else sleeves, bars, s)
     chosen = decide.decided(bars, s) if mode == "full" and use_decision else decide.neutral(bars)
-    rows = signals.drop("bar_date", "bucket").join(chosen, BAR).join(volatilities(panel), [*BAR, "asset"])
+    rows = signals.drop("bar_date", "bucket").join(chosen, BAR).join(volatilities(panel) if vols is None else vols, [*BAR, "asset"])
     gated = rows.withColumn("signal", decide.applied(F.col("signal") * alpha.gate(F.col("regime"), F.col("anomalies"), by_regime, by_anomaly)))
     return signal_inverse_vol(gated).select(*BAR, "asset", "w", *(["regime"] if mode == "full" else []))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
 from ..plans.scratch import stored
-from . import decide, portfolio
+from . import alpha, decide, portfolio
 from .features import PAIR, YEAR, equal_weights, pairs, portfolio_returns, returns, series, whole
 from .portfolio import BAR
 from .risk import portfolio_variance, rolling_var
@@ -220,16 +220,35 @@ def walk_forward_folds(path: DataFrame, s: Settings = DEFAULT) -> DataFrame:
 
 
 def walk_forward(panel: DataFrame, bars: DataFrame, s: Settings = DEFAULT, mode: str = "full") -> DataFrame:
-    """(strategy, panel, ...) measures of each fold's test window under its own thresholds; folds run side by side."""
-    folds = walk_forward_folds(bars, s)
-    own = bars.join(folds, "panel").where((F.col("bar_idx") >= F.col("test_begin")) & (F.col("bar_idx") <= F.col("test_end")))
-    z = F.col("corr_z")
-    own = own.withColumn("bucket", F.when(z > F.col("z_high"), "crisis_spike").when(z < F.col("z_low"), "diversification").otherwise("normal"))
-    targets = portfolio.raw_targets(panel, own.drop("fold", "train_end", "test_begin", "test_end", "z_high", "z_low"), mode, s).join(own.select(*BAR, "fold"), BAR)
-    targets = targets.withColumn("strategy", F.concat(F.lit("fold_"), F.col("fold").cast("string"))).drop("fold")
+    """(strategy, panel, ...) measures of each fold's test window under its own thresholds; folds run side by side.
+
+    A fold is a strategy from the warm-up to the end of its test window, so that
+    weights, turnover caps and costs carry over; only the measures are cut to the window.
+    """
+    folds = stored(walk_forward_folds(bars, s), "folds")
+    runs = folds.select("panel", F.concat(F.col("fold").cast("string"), F.lit(":"), "panel").alias("__run"), "test_end", "z_high", "z_low")
+
+    def each(df: DataFrame, *keep: str) -> DataFrame:
+        """df up to the end of each fold, whose number leads the panel's name."""
+        own = df.join(runs, "panel").where(F.col("bar_idx") <= F.col("test_end")).withColumn("panel", F.col("__run"))
+        return own.select(*df.columns, *keep)
+
+    if mode in ("signals_only", "corr_signal_only", "full"):
+        own = each(bars, "z_high", "z_low")
+        z = F.col("corr_z")
+        own = own.withColumn("bucket", F.when(z > F.col("z_high"), "crisis_spike").when(z < F.col("z_low"), "diversification").otherwise("normal"))
+        made = None if mode == "corr_signal_only" else each(stored(alpha.sleeves(panel, s), "sleeves"))
+        targets = portfolio.raw_targets(each(panel), own, mode, s, sleeves=made, vols=each(stored(portfolio.volatilities(panel), "volatilities")))
+    else:
+        targets = each(portfolio.raw_targets(panel, bars, mode, s).join(bars.select(*BAR), BAR))
+    run = F.split("panel", ":", 2)
+    targets = targets.withColumn("strategy", F.concat(F.lit("fold_"), run[0])).withColumn("panel", run[1])
     targets = targets if "regime" in targets.columns else targets.withColumn("regime", F.lit("CALM"))
     calmest = portfolio.least_variance(panel, bars, s) if mode == "full" else None
-    return summary(portfolio.book(panel, targets, forecast_vol(panel, s), s, calmest=calmest), s)
+    book = portfolio.book(panel, targets, forecast_vol(panel, s), s, calmest=calmest)
+    windows = folds.select("panel", F.concat(F.lit("fold_"), F.col("fold").cast("string")).alias("strategy"), "test_begin", "test_end")
+    tested = book.join(windows, STRATEGY).where(F.col("bar_idx").between(F.col("test_begin"), F.col("test_end"))).select(*book.columns)
+    return summary(stored(tested, "tested"), s)
 
 
 def decision_log(panel: DataFrame, bars: DataFrame, s: Settings = DEFAULT) -> DataFrame:

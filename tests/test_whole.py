@@ -160,3 +160,20 @@ def test_walk_forward_folds_run_from_the_warm_up(spark, mode):
         assert want["n"] == 49
         have = got[f"fold_{k}"]
         assert {c: have[c] for c in want if c not in research.STRATEGY} == pytest.approx({c: want[c] for c in want if c not in research.STRATEGY}, rel=1e-9, abs=1e-12)
+
+
+def test_mahalanobis_judges_every_bar(spark, monkeypatch):
+    rng = np.random.default_rng(13)
+    steps = rng.normal(0, 0.01, (600, 3))
+    steps[[79, 300, 560]] *= 8
+    panel = long_panel(spark, 100 * np.exp(steps.cumsum(0)))
+    monkeypatch.setattr(registry, "P", lambda *_: panel)
+    lr, want = steps[1:], {}
+    for t in range(30, 600):
+        x = lr[max(0, t - 252) : t]
+        d = x[-1] - x.mean(0)
+        m = d @ np.linalg.pinv(np.cov(x, rowvar=False)) @ d
+        if m > kernels.chi2_quantile(0.999, 3):
+            want[t + 1] = m
+    got = {r.bar_idx: r.metric for r in registry.queries()["mahalanobis_layer"](spark, "").collect()}
+    assert min(want) < 100 and got == pytest.approx(want, rel=1e-5)

@@ -478,7 +478,7 @@ def cusum_layer(spark, d):
 
 @query()
 def mahalanobis_layer(spark, d):
-    return rounded(detect.mahalanobis_layer(P(spark, d), bars=500))
+    return rounded(detect.mahalanobis_layer(P(spark, d)))
 
 
 @layered("SELECT bar_date::VARCHAR AS bar_date, bar_idx, round(avg_corr, 6) AS avg_corr, round(corr_z, 4) + 0.0 AS corr_z, bucket, round(ann_vol, 6) AS ann_vol, round(drawdown, 6) AS drawdown, anomalies, regime FROM b")

@@ -177,3 +177,12 @@ def test_mahalanobis_judges_every_bar(spark, monkeypatch):
             want[t + 1] = m
     got = {r.bar_idx: r.metric for r in registry.queries()["mahalanobis_layer"](spark, "").collect()}
     assert min(want) < 100 and got == pytest.approx(want, rel=1e-5)
+
+
+def test_pairs_are_counted(spark, monkeypatch):
+    closes = moving_together(200, 3)
+    panel = long_panel(spark, closes).withColumn("close", F.when((F.col("asset") != "A2") | (F.col("bar_idx") > 40), F.col("close")))
+    monkeypatch.setattr(registry, "P", lambda *_: panel)
+    got = {r.bar_idx: r.n_pairs for r in registry.queries()["avg_pairwise_corr"](spark, "").collect()}
+    # A2 has its first return at bar 42 and the 130th at bar 171
+    assert got == {t: 1 if t < 171 else 3 for t in range(131, 201)}

@@ -158,12 +158,12 @@ def coverage_aligned(panel: DataFrame, window: int = YEAR, share: float = 0.97,
 
 
 def average_correlation(panel: DataFrame, s: Settings = DEFAULT, warmup: int | None = None) -> DataFrame:
-    """(panel, bar_date, bar_idx, avg_corr): mean of all pairs' rolling correlations, once `warmup` returns are known."""
+    """(panel, bar_date, bar_idx, avg_corr, n_pairs): mean of all pairs' rolling correlations, once `warmup` returns are known, and of how many."""
     warmup = s.backtest.warmup if warmup is None else warmup
     r = returns(panel).where("lr is not null")
     w = Window.partitionBy(*PAIR).orderBy("bar_idx").rowsBetween(-(s.corr.cov_window - 1), 0)
     rolled = pairs(r).select("panel", "bar_date", "bar_idx", F.corr("ra", "rb").over(w).alias("rho"), F.count("*").over(w).alias("n"))
-    return rolled.where(F.col("n") >= min(warmup, s.corr.cov_window)).groupBy("panel", "bar_date", "bar_idx").agg(F.avg("rho").alias("avg_corr"))
+    return rolled.where(F.col("n") >= min(warmup, s.corr.cov_window)).groupBy("panel", "bar_date", "bar_idx").agg(F.avg("rho").alias("avg_corr"), F.count("*").alias("n_pairs"))
 
 
 def corr_z(bars: DataFrame, s: Settings = DEFAULT) -> DataFrame:
@@ -182,7 +182,7 @@ def bucket(z: Column, s: Settings = DEFAULT) -> Column:
 
 def corr_z_path(panel: DataFrame, s: Settings = DEFAULT, warmup: int | None = None) -> DataFrame:
     """Is correlation stress elevated? (panel, bar_date, bar_idx, avg_corr, corr_mean, corr_std, corr_z, bucket)."""
-    return corr_z(average_correlation(panel, s, warmup), s)
+    return corr_z(average_correlation(panel, s, warmup).drop("n_pairs"), s)
 
 
 def overlay(panel: DataFrame, s: Settings = DEFAULT) -> DataFrame:

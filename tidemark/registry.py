@@ -290,7 +290,7 @@ def universe_filter(spark, d):
 
 @query("""SELECT bar_date::VARCHAR AS bar_date, bar_idx, round(avg(rho), 6) AS avg_corr, count(*) AS n_pairs FROM rho WHERE n >= 130 GROUP BY 1, 2""")
 def avg_pairwise_corr(spark, d):
-    return rounded(features.average_correlation(P(spark, d)).withColumn("n_pairs", F.lit(15).cast("long")))
+    return rounded(features.average_correlation(P(spark, d)))
 
 
 @query("SELECT bar_date::VARCHAR AS bar_date, bar_idx, round(avg_corr, 6) AS avg_corr, round(corr_mean, 6) AS corr_mean, round(corr_std, 6) AS corr_std, round(corr_z, 4) + 0.0 AS corr_z, bucket FROM z")

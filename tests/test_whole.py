@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidemark import registry
 from tidemark.functions import kernels
 from tidemark.config import DEFAULT
+from tidemark.llm import chat
 from tidemark.operators import features, portfolio, research
 
 
@@ -186,3 +187,15 @@ def test_pairs_are_counted(spark, monkeypatch):
     got = {r.bar_idx: r.n_pairs for r in registry.queries()["avg_pairwise_corr"](spark, "").collect()}
     # A2 has its first return at bar 42 and the 130th at bar 171
     assert got == {t: 1 if t < 171 else 3 for t in range(131, 201)}
+
+
+def test_long_conversations_of_rewriting_templates(spark):
+    turns = [("assistant" if i % 2 else "user", f"t{i}") for i in range(230)]
+    df = spark.createDataFrame([(1, i, *t) for i, t in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    forgetful = lambda ts: "".join(f"<{r}>{t if i == len(ts) - 1 or r == 'user' else ''};" for i, (r, t) in enumerate(ts))
+    sliding = lambda ts: "".join(f"<{r}>{t};" for r, t in ts[-100:])
+    for template in (forgetful, sliding):
+        rows = chat.formatted(df, template).orderBy("segment").collect()
+        assert "".join(r.formatted for r in rows) == template(turns)
+        assert [x.rewrites for r in rows for x in r.spans] == [x["rewrites"] for x in chat.spans(turns, template, [])[1]]
+    assert chat.formatted(df).count() == 3

@@ -8,13 +8,13 @@ before the common part no longer hold. A turn's text within its span is found
 by rendering the prefix once more with a probe in place of the last text.
 
 Conversations are dealt out by their id, sorted by turn within the tasks, and
-read as a stream, so a task holds one segment at a time, never a conversation.
-A segment ends after SEGMENT_TURNS turns or SEGMENT_CHARS characters (as
+read as a stream, so with the operator's own template, LINES, a task holds one
+segment at a time, never a conversation. A segment ends after SEGMENT_TURNS turns or SEGMENT_CHARS characters (as
 rendering all prefixes takes time in the square of both); the next segment is
 rendered behind the conversation's first turn and the last turn before it, whose
-output is taken off. For a template whose turns depend on no more than these the
-segments joined are the text of the whole conversation; LINES, the operator's
-own template, is one.
+output is taken off. As LINES shows each turn by itself, the segments joined are
+the text of the whole conversation. Any other template may rewrite what it has
+shown, so its conversations are rendered by whole prefixes, one at a time in memory.
 
 Defined cases: null roles and texts are empty; turns of a conversation are in
 order of turn (nulls first), then role, then text, and repeated rows stay; rows
@@ -133,9 +133,13 @@ def _in_order(df: DataFrame) -> DataFrame:
 def formatted(df: DataFrame, template: Template = lines, segment_turns: int = SEGMENT_TURNS, segment_chars: int = SEGMENT_CHARS) -> DataFrame:
     """(conv_id, segment, formatted, spans) of conversations (conv_id, turn, role, text).
 
-    Segments of a conversation come in order, one after another in one task.
+    Segments of a conversation come in order, one after another in one task. Only
+    `lines`, which shows each turn by itself, is cut into segments: another template
+    may rewrite any turn before, so its conversations are rendered by whole prefixes,
+    each in one segment whatever its length.
     """
     text_batches(df.sparkSession)
+    cut = template is lines
     kind = _span_type()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,7 +165,7 @@ def formatted(df: DataFrame, template: Template = lines, segment_turns: int = SE
                     now, begun, segment, first, last = conv, True, 0, (role, text), None
                 turns.append((role, text))
                 size += len(text)
-                if len(turns) >= segment_turns or size >= segment_chars:
+                if cut and (len(turns) >= segment_turns or size >= segment_chars):
                     flush()
             if sum(len(x[2]) for x in out) > 1 << 20:
                 yield batch()

@@ -234,12 +234,20 @@ def clean(docs: DataFrame) -> DataFrame:
     return found.where((F.col("__kept") > 0) | (F.col("__lines") == 0)).select(*docs.columns)
 
 
-def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document without the lines that an earlier line nearly equals."""
-    found = deduped(table(spark, sf_dir, "documents").select("doc_id", "text"))
+def _digests(found: DataFrame) -> DataFrame:
     return found.select("doc_id", F.col("__lines").cast("long").alias("n_lines"), (F.col("__lines") - F.col("__kept")).cast("long").alias("n_removed"), sha256_hex(F.coalesce("text", F.lit(""))).alias("kept_sha256"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that an earlier line nearly equals; short lines only if they are equal, as in the SQL."""
+    return _digests(deduped(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op8_line_dedup_short(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with lines of every length compared; it has no SQL."""
+    return _digests(deduped(table(spark, sf_dir, "documents").select("doc_id", "text"), least=1))
+
+
 OP8_SQL = r"""
 WITH d AS (SELECT doc_id, text, CASE WHEN coalesce(text, '') = '' THEN []::VARCHAR[] ELSE string_split(text, chr(10)) END AS lines FROM documents),
 each AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM d),

@@ -48,7 +48,7 @@ FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)
 
 
 def queries() -> dict:
-    made = (chat.op1_chat_format, orderhash.op2_order_minhash, urlfilter.op3_url_filter, op4_bpe, substrings.op5_substring_dedup, setjoin.op6_jaccard_join, warc.op7_warc, linededup.op8_line_dedup, op9_toxicity, op10_decontamination)
+    made = (chat.op1_chat_format, orderhash.op2_order_minhash, urlfilter.op3_url_filter, op4_bpe, substrings.op5_substring_dedup, setjoin.op6_jaccard_join, warc.op7_warc, linededup.op8_line_dedup, linededup.op8_line_dedup_short, op9_toxicity, op10_decontamination)
     return {f.__name__: f for f in made}
 
 

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows that one broadcast side may have at most; beyond it joins shuffle.
 BROADCAST_ROWS = 200_000
+#: Bytes that it may have, as text.
+BROADCAST_BYTES = 32 << 20
 
 
 def steady(spark: SparkSession) -> None:
@@ -43,19 +48,56 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A session setting for the time of a block; what it was before comes back."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
+def tidied(spark: SparkSession):
+    """A block whose jobs remove their shuffle files once they have ended well."""
+    return setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs only the tasks that ran on it.
+    The job's shuffle files go when the table stands, so that a chain of such
+    steps takes the disk of its tables and of the running step only.
     """
     path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    with tidied(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most `rows` rows, else df itself.
+def dropped(*tables: DataFrame) -> None:
+    """Delete the folders of stored tables that no frame still in use reads."""
+    bare = lambda path: re.sub("/+", "/", path.removeprefix("file:"))
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if not bare(folder).startswith(bare(shared_dir(spark))):
+                raise ValueError(f"{folder} is no folder of stored()")
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if it has at most `rows` rows and `most_bytes` bytes, else df itself.
 
-    Counting reads df once more, so pass a stored or trivially cheap frame.
+    Rows are counted, and bytes are summed up over the values as text, so pass a
+    stored or trivially cheap frame.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    size = F.sum(sum((F.coalesce(F.length(F.col(c).cast("string")), F.lit(0)) + 8 for c in df.columns), F.lit(8)))
+    n, held = df.limit(rows + 1).agg(F.count("*"), F.coalesce(size, F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and held <= most_bytes else df

@@ -116,7 +116,7 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def followers(docs: DataFrame) -> DataFrame:
-    """(key_a, key_b, next_a, next_b, need): for each document the one after it by descending doc_id.
+    """(doc_id, key_a, key_b, next_a, next_b, need): for each document the one after it by descending doc_id.
 
     Ids and keys are dealt out by ranges of doc_id, so that no task sees all;
     the last row of a range is followed by the first of the next range, and the
@@ -132,12 +132,16 @@ def followers(docs: DataFrame) -> DataFrame:
     firsts = here.where("nth = 1").select("range", "own")
     line = Window.orderBy("range")
     after = firsts.select("range", F.coalesce(F.lead("own").over(line), F.first("own").over(line)).alias("over"))
-    return here.join(F.broadcast(after), "range").select("key_a", "key_b", "need", F.coalesce("next", "over").alias("next")).select("key_a", "key_b", "need", F.col("next.key_a").alias("next_a"), F.col("next.key_b").alias("next_b"))
+    return here.join(F.broadcast(after), "range").select("doc_id", "key_a", "key_b", "need", F.coalesce("next", "over").alias("next")).select("doc_id", "key_a", "key_b", "need", F.col("next.key_a").alias("next_a"), F.col("next.key_b").alias("next_b"))
 
 
 def keyed_texts(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, key_a, key_b), dealt out by key: the one exchange of texts, which several steps read."""
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *row_keys("doc_id", "text")).repartition("key_a", "key_b")
+    """(text, key_a, key_b), dealt out by key: the one exchange of texts.
+
+    All three steps that read it need all its columns and no more, so that none
+    is pruned and the exchange is made once.
+    """
+    return docs.select(F.coalesce("text", F.lit("")).alias("text"), *row_keys("doc_id", "text")).repartition("key_a", "key_b")
 
 
 def edited(keyed: DataFrame, after: DataFrame) -> DataFrame:
@@ -146,7 +150,7 @@ def edited(keyed: DataFrame, after: DataFrame) -> DataFrame:
     Only as much of the next text is sent as is needed.
     """
     sent = keyed.select(F.col("key_a").alias("next_a"), F.col("key_b").alias("next_b"), F.col("text").alias("other")).join(after, ["next_a", "next_b"])
-    tails = sent.select("key_a", "key_b", "next_a", "next_b", "need", F.expr("substring(other, 1, need)").alias("tail")).dropDuplicates(["key_a", "key_b"])
+    tails = sent.select("doc_id", "key_a", "key_b", "next_a", "next_b", "need", F.expr("substring(other, 1, need)").alias("tail")).dropDuplicates(["key_a", "key_b"])
     return keyed.join(tails, ["key_a", "key_b"]).select("doc_id", "next_a", "next_b", "text", F.concat(F.expr("substring(text, 1, char_length(text) - need)"), "tail").alias("edited"))
 
 

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from tidemark import registry
 from tidemark.functions import kernels
 from tidemark.config import DEFAULT
-from tidemark.llm import chat, linededup
 from tidemark.operators import features, portfolio, research
 
 
@@ -187,39 +186,3 @@ def test_pairs_are_counted(spark, monkeypatch):
     got = {r.bar_idx: r.n_pairs for r in registry.queries()["avg_pairwise_corr"](spark, "").collect()}
     # A2 has its first return at bar 42 and the 130th at bar 171
     assert got == {t: 1 if t < 171 else 3 for t in range(131, 201)}
-
-
-def test_long_conversations_of_rewriting_templates(spark):
-    turns = [("assistant" if i % 2 else "user", f"t{i}") for i in range(230)]
-    df = spark.createDataFrame([(1, i, *t) for i, t in enumerate(turns)], "conv_id long, turn long, role string, text string")
-    forgetful = lambda ts: "".join(f"<{r}>{t if i == len(ts) - 1 or r == 'user' else ''};" for i, (r, t) in enumerate(ts))
-    sliding = lambda ts: "".join(f"<{r}>{t};" for r, t in ts[-100:])
-    for template in (forgetful, sliding):
-        rows = chat.formatted(df, template).orderBy("segment").collect()
-        assert "".join(r.formatted for r in rows) == template(turns)
-        assert [x.rewrites for r in rows for x in r.spans] == [x["rewrites"] for x in chat.spans(turns, template, [])[1]]
-    assert chat.formatted(df).count() == 3
-
-
-def edits(a, b):
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        new = [i]
-        for j, y in enumerate(b, 1):
-            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
-        row = new
-    return row[-1]
-
-
-def test_short_lines_are_compared_too(spark):
-    rng = np.random.default_rng(17)
-    docs = [(i, "\n".join("".join(rng.choice(list("abcdefghijklmnop"), rng.integers(0, 28))) for _ in range(3))) for i in range(40)]
-    docs += [(50, "a heading of 23 letters\nhome"), (51, "a heading of 23 lettres\nx\nhomes and more")]
-    seen, want = [], {}
-    for i, text in docs:
-        kept = [x for k, x in enumerate(text.split("\n")) if not x or all(edits(x, y) > 2 for y in seen + [z for z in text.split("\n")[:k] if z])]
-        seen += [x for x in text.split("\n") if x]
-        want[i] = "\n".join(kept)
-    df = spark.createDataFrame(docs, "doc_id long, text string")
-    got = {r.doc_id: r.text for r in linededup.deduped(df, least=1).collect()}
-    assert got == want and "lettres" not in got[51]

@@ -41,6 +41,34 @@ def test_same_ids_as_the_library(own, library):
     assert not any(own.low) and not any(own.middle)
 
 
+def test_small_memory_and_equal_hashes(library, monkeypatch):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices(["the", "theatre", "zq" * 200, "né", "x1", "ratio nal"], k=30)) for _ in range(40)]
+    want = [library.encode_ordinary(x) for x in texts]
+    hashes = bpe.span_hashes
+    # only three values of the first hash: most pre-tokens share it with others
+    monkeypatch.setattr(bpe, "span_hashes", lambda data, a, b, seed=0: hashes(data, a, b, seed) if seed else hashes(data, a, b) % 3)
+    monkeypatch.setattr(bpe, "REMEMBERED", 4)
+    own = bpe.Codec(open(PATH, "rb").read(), P.PATTERN)
+    assert [own.encode(x) for x in texts] == want == [own.encode(x) for x in texts]
+    many, counts = own.encode_all(texts)
+    assert many.tolist() == [i for x in want for i in x] and counts.tolist() == [len(x) for x in want]
+
+
+def test_coded_is_encode_and_decode(spark, library, monkeypatch):
+    texts = [None, "", "The theatre", "né " * 500, None, "a" * 3000]
+    df = spark.createDataFrame([(i, x, "r") for i, x in enumerate(texts)], "ids long, text string, other string")
+    got = {r.ids: r for r in bpe.coded(df, PATH, P.PATTERN, ids="tokens").collect()}
+    for i, x in enumerate(texts):
+        assert (got[i].tokens, got[i].raw and bytes(got[i].raw)) == ((None, None) if x is None else (library.encode_ordinary(x), x.encode())), i
+    own, arrow = bpe.Codec(open(PATH, "rb").read(), P.PATTERN), pytest.importorskip("pyarrow").array(texts)
+    whole = bpe._encoded(own, arrow)
+    monkeypatch.setattr(bpe, "CHUNK_CHARS", 10)
+    monkeypatch.setattr(bpe, "CHUNK_IDS", 7)
+    assert bpe._encoded(own, arrow).to_pylist() == whole.to_pylist()
+    assert bpe._decoded(own, whole).to_pylist() == [x if x is None else x.encode() for x in texts]
+
+
 def test_any_pattern():
     pattern = r"\p{N}|[^\s\p{N}]+|\s+"
     own = bpe.Codec(open(PATH, "rb").read(), pattern)

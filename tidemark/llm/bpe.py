@@ -8,8 +8,12 @@ lowest rank. A position whose pair has changed since it was queued is stale and
 is skipped when it comes up. One merge so costs a constant number of word
 operations however long the pre-token is.
 
+A worker holds the ranks, one chunk of texts and a memory of pre-tokens that it
+has met, each of a stated size, whatever the texts are.
+
 Defined cases: a null text encodes as null ids and decodes as null; an empty
-text gives no ids; other columns are kept as they are, whatever their names.
+text gives no ids; other columns are kept as they are, whatever their names; two
+pre-tokens of one 64-bit hash are told apart by a second hash.
 """
 
 from __future__ import annotations
@@ -31,12 +35,15 @@ from pyspark.sql import functions as F
 
 from .textkernels import span_hashes
 
-#: Distinct pre-tokens whose ids a worker remembers before it starts afresh.
-REMEMBERED = 400_000
+#: Distinct pre-tokens, and ids in all, that a worker remembers before it starts afresh.
+REMEMBERED = 300_000
+REMEMBERED_IDS = 2_000_000
 #: Pre-tokens up to so many bytes share one rank queue; longer ones get one each.
 TOGETHER_BYTES = 256
 #: Characters of text that are encoded at a time (a single longer text at once).
-CHUNK_CHARS = 4 << 20
+CHUNK_CHARS = 1 << 20
+#: Ids that are decoded at a time (those of a single longer text at once).
+CHUNK_IDS = 1 << 18
 #: The largest ranks file that is broadcast.
 RANKS_BYTES = 64 << 20
 #: White space as the tokenizer's regular expressions have it (White_Space of Unicode).
@@ -332,50 +339,47 @@ class Codec:
             starts, ends = place[starts], place[ends]
         key, check = span_hashes(data, starts, ends), span_hashes(data, starts, ends, seed=1)
         found, first, which = np.unique(key, return_index=True, return_inverse=True)
-        checks = check[first].tolist()
-        slots, unseen = np.empty(len(found), np.int64), []
-        for i, (k, c) in enumerate(zip(found.tolist(), checks)):
-            slot = self.known.get((k, c))
-            if slot is None:
-                unseen.append(i)
-                slot = -1
-            slots[i] = slot
-        if np.any(check != check[first][which]):
-            raise ValueError("two pre-tokens have the same 64-bit hash")  # one in 2^64 pairs; the task is not to give wrong ids
-        if unseen:
-            if len(self.known) + len(unseen) > REMEMBERED:
-                self.forget()
-                unseen = list(range(len(found)))
-            a, b = starts[first[unseen]], ends[first[unseen]]
-            texts_new = [raw[x:y] for x, y in zip(a.tolist(), b.tolist())]
-            short = [i for i, x in enumerate(texts_new) if len(x) <= TOGETHER_BYTES]
-            ids, counts = self.merged_together([texts_new[i] for i in short])
-            parts, sizes_new = [ids], np.zeros(len(texts_new), np.int64)
-            order = list(short)
-            sizes_new[short] = counts
-            for i, x in enumerate(texts_new):
-                if len(x) > TOGETHER_BYTES:
-                    got = np.array(self.merged(x), np.int32)
-                    parts.append(got)
-                    order.append(i)
-                    sizes_new[i] = len(got)
-            self.remember(np.concatenate(parts), sizes_new[order])
-            base = len(self.sizes) - len(order)
-            for j, i in enumerate(order):
-                slots[unseen[i]] = base + j
-                self.known[(int(found[unseen[i]]), checks[unseen[i]])] = base + j
+        odd = np.flatnonzero(check != check[first][which])
+        if len(odd):  # another pre-token has the same hash: these are looked up by both hashes
+            first = np.concatenate([first, odd])
+            which[odd] = len(found) + np.arange(len(odd))
+            found = key[first]
+        checks = check[first]
+        at = np.minimum(np.searchsorted(self.keys, found), max(len(self.keys) - 1, 0))
+        met = (self.keys[at] == found) & (self.checks[at] == checks) if len(self.keys) else np.zeros(len(found), bool)
+        slots = np.where(met, self.slots[at], -1) if len(self.keys) else np.full(len(found), -1)
+        unseen = np.flatnonzero(~met)
+        if len(unseen):
+            pieces = [raw[x:y] for x, y in zip(starts[first[unseen]].tolist(), ends[first[unseen]].tolist())]
+            length = np.array([len(x) for x in pieces])
+            short, long = np.flatnonzero(length <= TOGETHER_BYTES), np.flatnonzero(length > TOGETHER_BYTES)
+            ids, counts = self.merged_together([pieces[i] for i in short])
+            parts = [ids] + [np.array(self.merged(pieces[i]), np.int32) for i in long]
+            counts = np.concatenate([counts, [len(x) for x in parts[1:]]]).astype(np.int64)
+            order = unseen[np.concatenate([short, long])]
+            slots[order] = len(self.sizes) + np.arange(len(order))
+            self.remember(found[order], checks[order], np.concatenate(parts), counts)
         slot = slots[which]
         size = self.sizes[slot]
         out = self.flat[np.repeat(self.begins[slot] - size.cumsum() + size, size) + np.arange(size.sum())]
+        if len(self.sizes) > REMEMBERED or len(self.flat) > REMEMBERED_IDS:
+            self.forget()
         return out, np.bincount(row, size, len(texts)).astype(np.int64)
 
-    def remember(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+    def remember(self, keys: np.ndarray, checks: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Take in pre-tokens and their ids; of pre-tokens of one key only the first is found again."""
+        slots = len(self.sizes) + np.arange(len(sizes))
         self.begins = np.concatenate([self.begins, len(self.flat) + sizes.cumsum() - sizes])
         self.sizes = np.concatenate([self.sizes, sizes])
         self.flat = np.concatenate([self.flat, ids])
+        keys, new = np.unique(keys, return_index=True)
+        at = np.searchsorted(self.keys, keys)
+        fresh = self.keys[np.minimum(at, len(self.keys) - 1)] != keys if len(self.keys) else np.ones(len(keys), bool)
+        at, keys, new = at[fresh], keys[fresh], new[fresh]
+        self.keys, self.checks, self.slots = np.insert(self.keys, at, keys), np.insert(self.checks, at, checks[new]), np.insert(self.slots, at, slots[new])
 
     def forget(self) -> None:
-        self.known: dict[tuple[int, int], int] = {}
+        self.keys, self.checks, self.slots = np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64)
         self.begins, self.sizes, self.flat = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)
 
     def encode(self, text: str) -> list[int]:
@@ -413,6 +417,34 @@ def _ranks(spark: SparkSession, path: str):
     return spark.sparkContext.broadcast(blob)
 
 
+def _encoded(own: Codec, texts: pa.Array) -> pa.ListArray:
+    size, parts, counts, group = 0, [np.empty(0, np.int32)], [], []
+    for i, value in enumerate(texts):
+        group.append(value.as_py() or "")
+        size += len(group[-1])
+        if size >= CHUNK_CHARS or i == len(texts) - 1:
+            ids, count = own.encode_all(group)
+            parts.append(ids)
+            counts.append(count)
+            size, group = 0, []
+    ends = np.concatenate([[0], *counts]).cumsum().astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts)), mask=texts.is_null())
+
+
+def _decoded(own: Codec, lists: pa.ListArray) -> pa.Array:
+    ids, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy().astype(np.int64)
+    parts, sizes, a = [np.empty(0, np.uint8)], [np.zeros(1, np.int64)], 0
+    while a < len(lists):
+        b = max(a + 1, int(np.searchsorted(ends, ends[a] + CHUNK_IDS, "right")) - 1)
+        data, size = own.decode_all(ids[ends[a] : ends[b]])
+        total = np.concatenate([[0], size.cumsum()])
+        parts.append(data)
+        sizes.append(np.diff(total[ends[a : b + 1] - ends[a]]))
+        a = b
+    place = np.concatenate(sizes).cumsum().astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(lists), [_bits(lists), pa.py_buffer(place), pa.py_buffer(np.concatenate(parts))])
+
+
 def encoder(spark: SparkSession, ranks_path: str, pattern: str):
     """A function of a string column that gives its ids as array<int>."""
     shared = _ranks(spark, ranks_path)
@@ -421,18 +453,7 @@ def encoder(spark: SparkSession, ranks_path: str, pattern: str):
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = codec(shared.value, pattern)
         for texts in batches:
-            values = texts.to_pylist()
-            size, parts, counts, group = 0, [np.empty(0, np.int32)], [], []
-            for i, value in enumerate(values):
-                group.append(value or "")
-                size += len(group[-1])
-                if size >= CHUNK_CHARS or i == len(values) - 1:
-                    ids, count = own.encode_all(group)
-                    parts.append(ids)
-                    counts.append(count)
-                    size, group = 0, []
-            ends = np.concatenate([[0], *counts]).cumsum().astype(np.int32)
-            yield pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts)), mask=texts.is_null())
+            yield _encoded(own, texts)
 
     return encode
 
@@ -445,14 +466,25 @@ def decoder(spark: SparkSession, ranks_path: str, pattern: str):
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = codec(shared.value, pattern)
         for lists in batches:
-            ids, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-            data, size = own.decode_all(ids[ends[0] : ends[-1]])
-            place = np.concatenate([[0], size]).cumsum()[ends - ends[0]].astype(np.int32)
-            yield pa.Array.from_buffers(pa.binary(), len(lists), [_bits(lists), pa.py_buffer(place), pa.py_buffer(data)])
+            yield _decoded(own, lists)
 
     return decode
 
 
+def coded(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids", raw: str = "raw") -> DataFrame:
+    """encode() and then decode(), by the same workers: df with the columns `ids` and `raw`."""
+    shared = _ranks(df.sparkSession, ranks_path)
+
+    @F.arrow_udf("ids array<int>, raw binary")
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        own = codec(shared.value, pattern)
+        for texts in batches:
+            lists = _encoded(own, texts)
+            yield pa.StructArray.from_arrays([lists, _decoded(own, lists)], ["ids", "raw"])
+
+    return df.withColumn("__coded", both(F.col(text))).withColumns({ids: F.col("__coded.ids"), raw: F.col("__coded.raw")}).drop("__coded")
+
+
 def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """df with the column `ids`: the token ids of its column `text`."""
     return df.withColumn(ids, encoder(df.sparkSession, ranks_path, pattern)(F.col(text)))

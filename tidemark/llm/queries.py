@@ -12,10 +12,10 @@ from .common import sha256_hex, table, text_batches
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document, and the texts that they decode to."""
-    text_batches(spark, 1024)
+    text_batches(spark)
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    coded = bpe.decode(bpe.encode(docs, path, pattern), path, pattern)
+    coded = bpe.coded(docs, path, pattern)
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), sha256_hex(bpe.ids_text(F.col("ids"))).alias("ids_sha256"), sha256_hex(F.col("raw")).alias("decoded_sha256"))
 
 
@@ -48,7 +48,7 @@ FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)
 
 
 def queries() -> dict:
-    made = (chat.op1_chat_format, orderhash.op2_order_minhash, urlfilter.op3_url_filter, op4_bpe, substrings.op5_substring_dedup, setjoin.op6_jaccard_join, warc.op7_warc, linededup.op8_line_dedup, linededup.op8_line_dedup_short, op9_toxicity, op10_decontamination)
+    made = (chat.op1_chat_format, orderhash.op2_order_minhash, urlfilter.op3_url_filter, op4_bpe, substrings.op5_substring_dedup, setjoin.op6_jaccard_join, warc.op7_warc, linededup.op8_line_dedup, op9_toxicity, op10_decontamination)
     return {f.__name__: f for f in made}
 
 

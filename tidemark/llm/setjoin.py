@@ -6,17 +6,21 @@ similarity of 0.8 or more.
 1. Documents of equal sets are one class, whatever their number; from here on a
    class is one set.
 2. A node of the search is a group of sets that have chosen the same tokens so
-   far. In a run, a set chooses each of its tokens with probability c / size,
-   by a hash of the token and the node, so that two sets choose the same shared
-   tokens. Similar sets meet in some child node; others seldom do. Nodes of up
-   to `leaf` sets are leaves; larger ones choose again, and so on. A node whose
-   sets mostly stay together (a group of near copies) is a leaf as well.
-3. `runs` independent runs start from the root, so many that two sets of the
-   least similarity are missed with a probability below 1 - `recall`.
+   far. In a run from the root, a set chooses each of its tokens with probability
+   c / size, by a hash of the token and the run, so that two sets choose the same
+   shared tokens. `runs` runs are so many that two sets of the least similarity
+   are missed with a probability below 1 - `recall`.
+3. Nodes of up to `leaf` sets are leaves. A set of a larger node goes on along
+   `paths` paths of three more tokens each: the smallest ones under orders that
+   a hash of the node picks from the 32 of the set's sketch. Two sets take such a
+   path together with the third power of their similarity, so that the merely
+   related part while similar ones meet again, missed with a probability below
+   1 - `recall`. Neither the texts nor their tokens are read for that. A node whose
+   sets mostly agree in the orders (a group of near copies) is a leaf as well.
 4. A pair of sets is compared in the first of the leaves that both are in, and
-   so once. A sketch of 32 bytes a set rules out hopeless pairs, then the sets
-   themselves are intersected. Leaves of many sets are cut into blocks, and
-   blocks are compared with blocks, so that no task holds a large leaf.
+   so once. The sketch rules out hopeless pairs; only the sets of the others are
+   made again from their texts and intersected. Leaves of many sets are cut into
+   blocks, and blocks are compared with blocks, so that no task holds a large leaf.
 5. Leaves give the number of links of each set, and edges that join linked sets;
    classes that hang together get the smallest doc_id among them, by label
    propagation with pointer jumping over checkpointed tables.
@@ -33,11 +37,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.scratch import steady, stored
-from .common import table, text_batches
+from ..plans.scratch import small, steady, stored
+from .common import row_keys, table, text_batches
 from .textkernels import mix, shingles, words
 
 WORDS = 5
@@ -46,11 +50,15 @@ RECALL = 0.9999
 #: Tokens that a set chooses at a node, on average.
 CHOICES = 4.0
 #: Sets that are compared without choosing again.
-LEAF = 48
+LEAF = 96
+#: Tokens of a path below the first level.
+STEPS = 3
 #: Levels of choosing; what is large after the last is compared in blocks.
 LEVELS = 4
 #: Sets in a block of a large leaf.
-BLOCK = 256
+BLOCK = 1024
+#: Orders of the sketch by which a node is judged to be dense, and what share of its sets agrees then.
+SAMPLED, DENSE = 4, 0.6
 SKETCH = 32
 #: Of 32 sketch bytes so many agree at least in pairs worth comparing: at a
 #: similarity of 0.8 fewer do once in a million pairs.
@@ -68,6 +76,11 @@ def runs_for(recall: float, least: float, choices: float) -> int:
     return max(1, math.ceil(math.log(1 - recall) / (-least * choices)))
 
 
+def paths_for(recall: float, least: float, steps: int = STEPS) -> int:
+    """How many paths of `steps` tokens keep the chance of missing a pair below 1 - recall."""
+    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - least**steps)))
+
+
 def _token_sets(texts: pa.Array, k: int) -> Iterator[tuple[int, list[np.ndarray]]]:
     """(first row, the sorted distinct shingle hashes of each text), by chunks."""
     for own in words(texts):
@@ -103,7 +116,10 @@ def _digest(tokens: np.ndarray) -> int:
 
 
 def profiles(docs: DataFrame, k: int, runs: int, choices: float) -> DataFrame:
-    """(doc_id, set_a, set_b, size, sketch, nodes): a digest of each set, and its nodes of the first level."""
+    """(doc_id, key_a, key_b, set_a, set_b, size, sketch, nodes) of rows (doc_id, text, key_a, key_b).
+
+    set_a and set_b are a digest of each set, nodes those of the first level.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,11 +132,11 @@ def profiles(docs: DataFrame, k: int, runs: int, choices: float) -> DataFrame:
                     sketches.append(_sketch(s) if len(s) else b"")
                     nodes.append(np.unique(np.concatenate([_chosen(s, r, choices) for r in range(runs)])) if len(s) else np.empty(0, np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(first, len(sets)), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array(sketches, pa.binary()), pa.array(nodes, pa.list_(pa.int64()))],
-                    ["doc_id", "set_a", "set_b", "size", "sketch", "nodes"],
+                    [*(c.slice(first, len(sets)) for c in (ids, batch.column(2), batch.column(3))), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array(sketches, pa.binary()), pa.array(nodes, pa.list_(pa.int64()))],
+                    ["doc_id", "key_a", "key_b", "set_a", "set_b", "size", "sketch", "nodes"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, set_a long, set_b long, size int, sketch binary, nodes array<long>")
+    return docs.mapInArrow(run, "doc_id long, key_a long, key_b long, set_a long, set_b long, size int, sketch binary, nodes array<long>")
 
 
 def token_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -136,23 +152,6 @@ def token_sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, "set long, tokens binary")
 
 
-def _children(members: DataFrame, choices: float) -> DataFrame:
-    """(parent, node, set) of rows (node, set, tokens)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            parents, sets, nodes = [], [], []
-            for node, ident, tokens in zip(*(c.to_pylist() for c in batch.columns)):
-                found = _chosen(np.frombuffer(tokens, np.uint64), node, choices)
-                nodes.append(found)
-                parents += [node] * len(found)
-                sets += [ident] * len(found)
-            flat = np.concatenate(nodes) if nodes else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(parents, pa.int64()), pa.array(flat), pa.array(sets, pa.int64())], ["parent", "node", "set"])
-
-    return members.mapInArrow(run, "parent long, node long, set long")
-
-
 def _sized(members: DataFrame) -> DataFrame:
     """members with n, the number of rows of their node; nodes of one row go."""
     counts = members.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
@@ -194,15 +193,13 @@ def _own_pairs(rows: list[tuple], leaf: int, least: float) -> np.ndarray:
             agree += column[:, None] == column[None, :]
         low &= agree >= AGREE
     if low.any():
-        earlier = {x for r in rows for x in r[7] if x < leaf}
-        if earlier:
-            place = {x: i for i, x in enumerate(earlier)}
-            inside = np.zeros((m, len(place)), np.float32)
-            for i, r in enumerate(rows):
-                for x in r[7]:
-                    if x < leaf:
-                        inside[i, place[x]] = 1
-            low &= (inside @ inside.T) == 0
+        counts = [sum(x < leaf for x in r[7]) for r in rows]
+        flat, row = np.array([x for r in rows for x in r[7] if x < leaf], np.int64), np.repeat(np.arange(m), counts)
+        order = np.argsort(flat, kind="stable")
+        flat, row = flat[order], row[order]
+        for own in np.split(row, np.flatnonzero(flat[1:] != flat[:-1]) + 1):
+            if len(own) > 1:  # its members have met there
+                low[np.ix_(own, own)] = False
     return low
 
 
@@ -296,26 +293,48 @@ def _links(members: DataFrame, least: float) -> DataFrame:
     return members.mapInArrow(run, "set long, links long, other long")
 
 
-def leaves(nodes: DataFrame, sets: DataFrame, leaf: int, levels: int, choices: float) -> DataFrame:
-    """(leaf, set, n): where the search ends, from the nodes (node, set, n) of the first level."""
-    done = nodes.where(F.col("n") <= leaf).select(F.col("node").alias("leaf"), "set", "n")
+def _order(node: Column, i: int) -> Column:
+    """Which byte of the sketch (from 1) a node's i-th order is."""
+    return (F.pmod(F.xxhash64(node, F.lit(i)), F.lit(SKETCH)) + 1).cast("int")
+
+
+def _orders(node: Column, path: int, steps: int) -> list[Column]:
+    """The places in the sketch that a path from a node goes by: all of them different."""
+    first = F.pmod(F.xxhash64(node, F.lit(path)), F.lit(SKETCH * SKETCH)).cast("int")
+    # an odd step goes round all 32 places before it comes back
+    return [F.pmod(first + i * (2 * F.floor(first / SKETCH) + 1), F.lit(SKETCH)).cast("int") + 1 for i in range(steps)]
+
+
+def dense_nodes(large: DataFrame) -> DataFrame:
+    """(node) of rows (node, set, n, sketch): nodes of which most sets agree in a few orders."""
+    some = F.array(*[F.struct(F.lit(i).alias("i"), F.substring("sketch", _order(F.col("node"), i), F.lit(1)).alias("least")) for i in range(SAMPLED)])
+    counts = large.select("node", "n", F.explode(some).alias("x")).groupBy("node", "x").agg(F.count("*").alias("together"), F.first("n").alias("n"))
+    most = counts.groupBy("node", "x.i").agg((F.max("together") / F.first("n")).alias("share"))
+    return most.groupBy("node").agg(F.avg("share").alias("share")).where(F.col("share") > DENSE).select("node")
+
+
+def children(large: DataFrame, paths: int, steps: int = STEPS) -> DataFrame:
+    """(node, set) of the next level, of rows (node, set, sketch); several rows may be the same."""
+    node = F.col("node")
+    ways = [F.xxhash64(node, F.lit(p), *[F.substring("sketch", at, F.lit(1)) for at in _orders(node, p, steps)]) for p in range(paths)]
+    return large.select(F.explode(F.array(*ways)).alias("node"), "set")
+
+
+def leaves(nodes: DataFrame, sketches: DataFrame, leaf: int, levels: int, paths: int) -> DataFrame:
+    """(leaf, set, n): where the search ends, from the nodes (node, set, n) of the first level and sketches (set, sketch)."""
+    ended = lambda df: df.select(F.col("node").alias("leaf"), "set", "n")
+    done = ended(nodes.where(F.col("n") <= leaf))
     large = nodes.where(F.col("n") > leaf)
     for level in range(2, levels + 1):
         if large.isEmpty():
             return done
-        down = stored(_children(large.select("node", "set").join(sets, "set").select("node", "set", "tokens"), choices), "children")
-        counts = down.groupBy("parent", "node").agg(F.count("*").alias("n"))
-        parents = large.select(F.col("node").alias("parent"), F.col("n").alias("above")).distinct()
-        # how much of a node stays together: children of more than half its sets, by rows
-        dense = counts.join(parents, "parent").groupBy("parent").agg((F.sum(F.when(F.col("n") * 2 > F.col("above"), F.col("n")).otherwise(0)) / F.sum("n")).alias("together")).where("together > 0.6").select("parent")
-        dense = stored(dense, "dense")
-        kept = large.join(dense.withColumnRenamed("parent", "node"), "node", "left_semi").select(F.col("node").alias("leaf"), "set", "n")
-        done = done.unionByName(kept)
-        below = down.join(dense, "parent", "left_anti").join(counts.where("n > 1").select("node", "n").distinct(), "node").select("node", "set", "n").distinct()
-        below = stored(below, "nodes")
-        done = done.unionByName(below.where(F.col("n") <= leaf).select(F.col("node").alias("leaf"), "set", "n"))
+        known = stored(large.join(sketches, "set").select("node", "set", "n", "sketch"), "large-nodes")
+        dense = stored(dense_nodes(known), "dense")
+        done = done.unionByName(ended(known.join(dense, "node", "left_semi")))
+        below = stored(_sized(children(known.join(dense, "node", "left_anti"), paths)), "nodes")
+        done = done.unionByName(ended(below.where(F.col("n") <= leaf)))
         large = below.where(F.col("n") > leaf)
-    return done.unionByName(large.select(F.col("node").alias("leaf"), "set", "n"))
+    return done.unionByName(ended(large))
 
 
 def components(sets: DataFrame, edges: DataFrame) -> DataFrame:
@@ -334,27 +353,24 @@ def components(sets: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def joined(docs: DataFrame, k: int = WORDS, least: float = LEAST, recall: float = RECALL, choices: float = CHOICES, leaf: int = LEAF, levels: int = LEVELS) -> DataFrame:
-    """(doc_id, class_id, set_a, set_b, n_links) of all documents.
+    """(doc_id, key_a, key_b, class_id, part, n_links) of all documents.
 
     class_id is the smallest doc_id among the documents that hang together by
-    links; n_links counts the other documents of similarity `least` or more.
+    links, part a number of theirs (of documents without shingles, of each row);
+    n_links counts the other documents of similarity `least` or more. key_a and
+    key_b stand for the row's id and text.
     """
     spark = docs.sparkSession
     text_batches(spark)
     steady(spark)
     runs = runs_for(recall, least, choices)
-    rows = docs.select(F.coalesce("doc_id", F.lit(_NULL_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select(F.coalesce("doc_id", F.lit(_NULL_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *row_keys("doc_id", "text"))
     light = stored(profiles(rows, k, runs, choices), "profiles")
     full = light.where("size > 0")
     classes = full.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("nodes").alias("nodes"))
     classes = stored(classes.withColumnRenamed("set_a", "set"), "classes")
     nodes = stored(_sized(classes.select(F.explode("nodes").alias("node"), "set")), "nodes")
-    met = nodes.select("set").distinct()
-    # one text stands for the copies of a set: that of the smallest doc_id
-    wanted = classes.join(met, "set", "left_semi").select(F.col("first_id").alias("doc_id"), "set")
-    texts = rows.join(wanted, "doc_id").select("set", "text")
-    sets = stored(token_sets(texts, k).dropDuplicates(["set"]), "sets")
-    ends = stored(leaves(nodes, sets, leaf, levels, choices * 1.5), "leaves")
+    ends = stored(leaves(nodes, classes.select("set", "sketch"), leaf, levels, paths_for(recall, least)).distinct(), "leaves")
     lists = ends.groupBy("set").agg(F.array_sort(F.collect_set("leaf")).alias("leaves"))
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     placed = ends.join(classes.select("set", "size", "sketch"), "set").join(lists, "set").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
@@ -362,7 +378,11 @@ def joined(docs: DataFrame, k: int = WORDS, least: float = LEAST, recall: float
     members = spread.select("leaf", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "set", "block", "size", "sketch", "leaves")
     ordered = lambda df: df.repartition("leaf", "i", "j").sortWithinPartitions("leaf", "i", "j", "set")
     worth = stored(_worth(ordered(members), least), "worth")
-    compared = ordered(worth.join(classes.select("set", "copies"), "set").join(sets, "set").select(*worth.columns, "copies", "tokens"))
+    # one text stands for the copies of a set: that of the smallest doc_id
+    wanted = stored(classes.join(worth.select("set").distinct(), "set", "left_semi").select(F.col("first_id").alias("doc_id"), "set"), "wanted-sets")
+    texts = rows.select("doc_id", "text").join(small(wanted), "doc_id").select("set", "text")
+    sets = token_sets(texts, k).dropDuplicates(["set"])
+    compared = ordered(worth.join(small(stored(classes.join(wanted, "set", "left_semi").select("set", "copies"), "copies")), "set").join(sets, "set").select(*worth.columns, "copies", "tokens"))
     found = stored(_links(compared, least), "links")
     labels = components(classes, found)
     firsts = classes.select(F.col("set").alias("label"), "first_id", "copies")
@@ -370,20 +390,25 @@ def joined(docs: DataFrame, k: int = WORDS, least: float = LEAST, recall: float
     ids = parts.groupBy("part").agg(F.min("first_id").alias("class_id"))
     links = found.groupBy("set").agg(F.sum("links").alias("links"))
     known = classes.select("set", "set_b", "first_id", "copies").join(labels, "set", "left").join(ids.withColumnRenamed("part", "label"), "label", "left").join(links, "set", "left")
-    known = known.select(F.col("set").alias("set_a"), "set_b", F.coalesce("class_id", "first_id").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    out = light.select("doc_id", "set_a", "set_b", "size").join(known, ["set_a", "set_b"], "left")
+    known = known.select(F.col("set").alias("set_a"), "set_b", F.coalesce("label", "set").alias("part"), F.coalesce("class_id", "first_id").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    out = light.select("doc_id", "key_a", "key_b", "set_a", "set_b", "size").join(known, ["set_a", "set_b"], "left")
     real = lambda c: F.when(F.col(c) != _NULL_ID, F.col(c))
-    return out.select(real("doc_id").alias("doc_id"), F.when(F.col("size") > 0, real("class_id")).otherwise(real("doc_id")).alias("class_id"), "set_a", "set_b", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    words = F.col("size") > 0
+    return out.select(real("doc_id").alias("doc_id"), "key_a", "key_b", F.when(words, real("class_id")).otherwise(real("doc_id")).alias("class_id"), F.when(words, F.col("part")).otherwise(F.col("key_a")).alias("part"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs with one document of each group of linked ones: that of the smallest doc_id.
+    """docs with one document of each group of linked ones: one of the smallest doc_id.
 
-    Rows that repeat it in full go too; another text under the same doc_id stays.
+    Rows that repeat it in full go too. Of several texts under one doc_id each is
+    judged by itself; documents without a word link to none and stay.
     """
-    stay = joined(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__stays")).distinct()
-    kept = docs.join(stay, docs["doc_id"].eqNullSafe(F.col("__stays")), "left_semi")
-    return kept.withColumn("__text", F.xxhash64("text")).dropDuplicates(["doc_id", "__text"]).drop("__text")
+    firsts = joined(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class_id", "part").agg(F.min(F.struct("key_a", "key_b")).alias("one"))
+    stay = stored(firsts.select(F.col("one.key_a").alias("__stay_a"), F.col("one.key_b").alias("__stay_b")), "staying")
+    a, b = row_keys("doc_id", "text")
+    keyed = docs.select("*", a.alias("__key_a"), b.alias("__key_b"))
+    kept = keyed.join(small(stay), (F.col("__key_a") == F.col("__stay_a")) & (F.col("__key_b") == F.col("__stay_b")), "left_semi")
+    return kept.dropDuplicates(["__key_a", "__key_b"]).drop("__key_a", "__key_b")
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,8 @@ the prefixes of 1, 2, 3... turns, and compares each output with the one before:
 what is new is the last turn's span. Where the earlier output isn't a prefix of
 the later one, the template has rewritten history; the turn is marked, and spans
 before the common part no longer hold. A turn's text within its span is found
-by rendering the prefix once more with a probe in place of the last text.
+by rendering the prefix once more with a probe in place of the last text: a
+private-use character that neither the turns nor the template's output have.
 
 Conversations are dealt out by their id, sorted by turn within the tasks, and
 read as a stream, so with the operator's own template, LINES, a task holds one
@@ -16,7 +17,8 @@ output is taken off. As LINES shows each turn by itself, the segments joined are
 the text of the whole conversation. Any other template may rewrite what it has
 shown, so its conversations are rendered by whole prefixes, one at a time in memory.
 
-Defined cases: null roles and texts are empty; turns of a conversation are in
+Defined cases: a text that the template doesn't show as a piece has the place -1,
+and digests() stops at such a text of the assistant; null roles and texts are empty; turns of a conversation are in
 order of turn (nulls first), then role, then text, and repeated rows stay; rows
 without a conv_id are one conversation; an empty table gives no rows. Only the
 named columns are read.
@@ -36,8 +38,9 @@ from .common import table, text_batches
 
 SEGMENT_TURNS = 96
 SEGMENT_CHARS = 1 << 18
-#: A private-use character that stands for a text whose place is looked for.
-PROBE = "\ue000"
+#: Private-use characters, of which one stands for a text whose place is looked for.
+PRIVATE = (range(0xE000, 0xF900), range(0xF0000, 0xFFFFE), range(0x100000, 0x10FFFE))
+_PRIVATE = re.compile("[\ue000-\uf8ff\U000f0000-\U000ffffd\U00100000-\U0010fffd]")
 
 #: Strings that steer this template or other common ones.
 CONTROLS = ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "[ROLE]", "[/ROLE]", "<|im_start|>", "<|im_end|>", "<|endoftext|>")
@@ -93,6 +96,16 @@ def read_back(text: str) -> list[Turn]:
     return out
 
 
+def probe_for(*texts: str) -> str:
+    """The first private-use character that none of the texts has; ValueError if they have all 137,468."""
+    used = {x for text in texts if not text.isascii() for x in _PRIVATE.findall(text)}
+    for block in PRIVATE:
+        for i in block:
+            if chr(i) not in used:
+                return chr(i)
+    raise ValueError("the texts have every private-use character")
+
+
 def spans(turns: list[Turn], template: Template, context: list[Turn]) -> tuple[str, list[dict]]:
     """(text, a dict for each turn) of the turns rendered behind a context.
 
@@ -102,12 +115,17 @@ def spans(turns: list[Turn], template: Template, context: list[Turn]) -> tuple[s
     """
     head = template(context) if context else ""
     before, found = head, []
+    said = [x for turn in context for x in turn]
+    probe = probe_for(head, *said)
     for i, (role, text) in enumerate(turns):
         prefix = context + turns[: i + 1]
         now = template(prefix)
         kept = len(before) if now.startswith(before) else len(commonprefix((before, now)))
-        probed = template([*prefix[:-1], (role, PROBE)])
-        a, b = probed.find(PROBE), len(probed) - probed.rfind(PROBE) - 1
+        said += (role, text)
+        if probe in role or probe in text or probe in now:
+            probe = probe_for(now, *said)
+        probed = template([*prefix[:-1], (role, probe)])
+        a, b = probed.find(probe), len(probed) - probed.rfind(probe) - 1
         seen = a >= kept and len(now) - b >= a and now[:a] == probed[:a] and now.endswith(probed[len(probed) - b :])
         cut = len(head)
         found.append({"role": role, "begin": kept - cut, "end": len(now) - cut, "text_begin": a - cut if seen else -1, "text_end": len(now) - b - cut if seen else -1, "rewrites": kept < len(before), "kept": kept - cut})
@@ -144,14 +162,15 @@ def formatted(df: DataFrame, template: Template = lines, segment_turns: int = SE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
-        now, begun, segment, first, last, turns, size = None, False, 0, None, None, [], 0
+        now, begun, segment, context, turns, size = None, False, 0, [], [], 0
 
         def flush() -> None:
-            nonlocal segment, last, turns, size
+            nonlocal segment, context, turns, size
             if turns:
-                context = [x for x in (first, last) if x is not None] if segment else []
                 out.append((now, segment, *spans(turns, template, context)))
-                segment, last, turns, size = segment + 1, turns[-1], [], 0
+                # the first turn and, if there are more, the last one
+                context = [*(context or turns)[:1], *(context + turns)[1:][-1:]]
+                segment, turns, size = segment + 1, [], 0
 
         def batch() -> pa.RecordBatch:
             columns = [list(x) for x in zip(*out)] or [[], [], [], []]
@@ -162,7 +181,7 @@ def formatted(df: DataFrame, template: Template = lines, segment_turns: int = SE
             for conv, _, role, text in zip(*(c.to_pylist() for c in rows.columns)):
                 if conv != now or not begun:
                     flush()
-                    now, begun, segment, first, last = conv, True, 0, (role, text), None
+                    now, begun, segment, context = conv, True, 0, []
                 turns.append((role, text))
                 size += len(text)
                 if cut and (len(turns) >= segment_turns or size >= segment_chars):
@@ -199,6 +218,8 @@ def digests(segments: DataFrame) -> DataFrame:
                 for x in found:
                     own[5] += x["rewrites"]
                     if x["role"] == "assistant":
+                        if x["text_begin"] < 0:
+                            raise ValueError(f"conversation {conv}: the template doesn't show an assistant's text as a piece")
                         said = unescape(text[x["text_begin"] : x["text_end"]])
                         own[2] += len(said)
                         own[3].update(said.encode())

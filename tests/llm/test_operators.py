@@ -93,7 +93,7 @@ def test_lines_against_brute_force(spark):
         kept = []
         for line in (text or "").split("\n") if text else []:
             blank = line.strip(" ") == ""
-            near = any(line == s or (len(line) >= 24 and len(s) >= 24 and abs(len(line) - len(s)) <= 2 and lev(line, s) <= 2) for s in seen)
+            near = any(line == s or (abs(len(line) - len(s)) <= 2 and lev(line, s) <= 2) for s in seen)
             if blank or not near:
                 kept.append(line)
             if not blank:
@@ -101,15 +101,36 @@ def test_lines_against_brute_force(spark):
         want[i] = "\n".join(kept) if text else text
     got = {r.doc_id: r.text for r in linededup.deduped(df).collect()}
     assert got == want
+    # keys of more than one line count as crowded, so that rare grams decide
+    assert {r.doc_id: r.text for r in linededup.deduped(df, hot=1).collect()} == want
     assert linededup.deduped(df.limit(0)).count() == 0
 
 
-def test_lines_of_one_reference(spark):
+def test_crowded_keys(spark):
+    """Near copies share most segments; few of their pairs are met, and none is missed."""
     rng = random.Random(6)
-    lines = ["".join(rng.choices("abcdefghijklmnop", k=40)) for _ in range(600)]
-    lines[5 + 256] = lines[5][:10] + lines[5][11] + lines[5][10] + lines[5][12:]
-    got = linededup.deduped(spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string")).first()
-    assert got["__kept"] == 599 and lines[5 + 256] not in got.text.split("\n")
+    base = sentence(rng, 60).split()
+    lines = []
+    for i in range(300):
+        w = list(base)
+        w[rng.randrange(60)] = "".join(rng.choices("abcdefghijklmnop", k=9))
+        lines.append(" ".join(w))
+    lines += [x[:40] + "#" + x[41:] for x in lines[:5]] + ["ab", "c", "dé", "xyz", "wxyz", "1234567", "1294567", "abababab", "babababa"]
+    rows = [(i, x) for i, x in enumerate(lines)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    gone = {r.doc_id for r in linededup.deduped(df).where("__kept = 0").collect()}
+    near = df.alias("a").crossJoin(df.alias("b")).where((F.col("a.doc_id") < F.col("b.doc_id")) & (F.levenshtein("a.text", "b.text") <= 2)).select("b.doc_id").distinct().collect()
+    assert gone == {r.doc_id for r in near} and {300, 304, 306, 307} <= gone
+    # all alike: compared with the earliest line, and not with each other
+    alike = spark.createDataFrame([(i, base_line[:i] + "#" + base_line[i + 1 :]) for i, base_line in ((i, " ".join(base)) for i in range(300))], "doc_id long, text string")
+    firsts = linededup.first_lines(alike)
+    own, probes = (firsts.select(F.explode(F.slice("keys", *x)).alias("k"), "ref") for x in ((1, 3), (4, 100)))
+    gone, pairs = linededup.crowded_lines(alike, firsts, own, probes, 2)
+    assert gone.count() == firsts.count() - 1 > 200 and pairs.count() < 3_000 and linededup.deduped(alike).where("__kept = 1").count() == 1
+    # segments in common, but far from each other
+    firsts = linededup.first_lines(df)
+    own, probes = (firsts.select(F.explode(F.slice("keys", *x)).alias("k"), "ref") for x in ((1, 3), (4, 100)))
+    assert linededup.crowded_lines(df, firsts, own, probes, 2)[1].count() < 3_000 < own.withColumnRenamed("ref", "a").join(probes, "k").where("a != ref").count()
 
 
 def test_lines_awkward(awkward):
@@ -140,6 +161,26 @@ def test_substrings_against_brute_force(spark, awkward):
     assert substrings.dedup(df.limit(0)).count() == 0
 
 
+def test_substrings_by_batches(spark):
+    rng = random.Random(10)
+    parts = [sentence(rng, 20) for _ in range(12)]
+    rows = [(i, " ".join(rng.choices(parts, k=rng.randrange(1, 7)))) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    old, new, late = df.where("doc_id < 20"), df.where("doc_id between 20 and 39"), df.where("doc_id >= 40")
+    index = substrings.FingerprintIndex(spark, "kept_fingerprints", most_runs=1)
+    found = substrings.add_batch(index, old)
+    alone = substrings.without(substrings._keyed(old), found)
+    assert rows_of(alone, "doc_id", "n_words", "n_removed", "kept") == windows_removed(rows[:20])
+    found = found.unionByName(substrings.add_batch(index, new, old))
+    again = substrings.FingerprintIndex.open(spark, "kept_fingerprints", most_runs=1)
+    assert again.runs == index.runs and len(again.runs) == 1 and again.buckets == index.buckets
+    found = found.unionByName(substrings.add_batch(again, late, df.where("doc_id < 40")))
+    assert rows_of(substrings.without(substrings._keyed(df), found), "doc_id", "n_words", "n_removed", "kept") == windows_removed(rows)
+    again.drop()
+    with pytest.raises(ValueError):
+        substrings.FingerprintIndex.open(spark, "kept_fingerprints")
+
+
 def shingle_set(text):
     w = text.split()
     return frozenset(tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))) if w else frozenset()
@@ -374,6 +415,42 @@ def test_toxicity_learns_pairs(spark):
     assert empty.where("score = 0 and predicted = 0").count() == docs.count()
 
 
+def test_toxicity_of_pairs_that_say_nothing_alone(spark):
+    """Toxic are texts with exactly one of two words, each of which is as common among the others."""
+    rng = random.Random(4)
+    rows = []
+    for i in range(4000):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        rows.append((i, " ".join(rng.choices(["oak", "elm", "ash", "fir"], k=3) + ["kip"] * a + ["vos"] * b), int(a != b)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    machine = toxicity.train(docs.drop("toxic"), docs.select("doc_id", "toxic").where("doc_id % 4 != 0"))
+    found = toxicity.score(docs, machine).where("doc_id % 4 = 0").select("toxic", (F.col("score") >= 0.5).cast("int").alias("p")).collect()
+    assert np.mean([r.toxic == r.p for r in found]) > 0.97
+
+
+def test_machine_against_brute_force():
+    rng = np.random.default_rng(3)
+    own = toxicity.Machine(np.arange(9), -0.4, rng.normal(size=9), rng.normal(size=(9, 4)))
+    rows = [sorted(rng.choice(9, n, replace=False)) for n in (0, 1, 2, 5, 9)]
+    want = []
+    for r in rows:
+        z = own.bias + sum(own.linear[i] for i in r) + sum(own.factors[i] @ own.factors[j] for k, i in enumerate(r) for j in r[k + 1 :])
+        want.append(1 / (1 + np.exp(-z)))
+    at = np.array([i for r in rows for i in r], int)
+    assert own.scores(np.repeat(np.arange(5), [len(r) for r in rows]), at, 5) == pytest.approx(want)
+
+
+def test_toxicity_takes_bounded_rows(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "_trained", lambda toxic, sizes, buckets, *_: seen.append((list(sizes), len(buckets))) or toxicity.Machine())
+    docs = spark.createDataFrame([(1, f"word{chr(97 + i)} other") for i in range(20)] * 3 + [(i, "a b c") for i in range(2, 30)] + [(40, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(1, 1), (None, 1), (3, None)], "doc_id long, toxic int")
+    toxicity.train(docs, labels)
+    toxicity.train(docs, labels, max_labelled=7)
+    toxicity.train(docs, labels, max_terms=10)
+    assert len(seen[0][0]) == 30 and len(seen[1][0]) <= 7 and seen[2][1] <= 10
+
+
 def test_toxicity_held_out(spark):
     d = "/root/testdata/sf0.1"
     got = toxicity.judged(table(spark, d, "documents"), table(spark, d, "labels")).join(table(spark, d, "labels"), "doc_id").where("held_out")

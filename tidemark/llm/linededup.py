@@ -5,23 +5,29 @@ within `edits` edits of it (equal texts included). Lines come in order of
 doc_id, then row key, then place; blank lines stay.
 
 1. Equal lines are settled by their hashes: of each distinct text the first line
-   is left, and the others go.
-2. Each line that is left, of `least` characters or more, is split into
-   edits + 1 segments of even length. Two lines within `edits` edits of each
-   other share a segment, and where it may stand in the longer line follows from
-   the two lengths. So a line is indexed under (length, number, segment) and
-   looked up under the few substrings that lengths of 0 to `edits` less allow.
-3. Places where an index entry and a substring meet are pairs to verify, if the
-   lines' characters of odd number allow it. The band of the edit distance matrix that counts, 2 * edits + 1 diagonals, is
-   kept in the bits of one long and moved a character at a time.
-
-Only DataFrame functions are used. Documents are dealt out by their row key; first
-lines, pairs and the pairs' texts are stored, as several steps read them.
-
-Defined cases: null and empty texts have no lines and stay as they are; lines
-below `least` characters are compared for equality only; rows that repeat a
-document in full are one document and lose the same lines; a document that loses
-all lines has an empty text. Other columns are kept.
+   is left, and the others go. The same pass gives a line's keys.
+2. Each line is split into edits + 1 segments of even length. Two lines within
+   `edits` edits of each other share a segment, and where it may stand in the
+   longer line follows from the two lengths. So a line is indexed under (length,
+   number, segment) and looked up under the few substrings that lengths of 0 to
+   `edits` less allow.
+3. Lines meet where an index entry and a substring do. Under a key of more than
+   HOT lines, as near copies have it, each is first compared with the earliest
+   line only, which settles groups of lines that are all alike. The others must
+   share one of the grams that are rarest in each as well (true of all lines
+   within `edits` edits), so that such a group isn't paired in full.
+4. The lines that meet are read again and verified, if their characters of odd
+   number allow it. The band of the edit distance matrix that counts, 2 * edits + 1
+   diagonals, is kept in the bits of one long and moved a character at a time.
+
+Only DataFrame functions are used. Hashes of lines are moved, texts once, at the
+end; first lines, pairs and the pairs' texts are stored, as several steps read them.
+
+Defined cases: null and empty texts have no lines and stay as they are; lines of
+up to `edits` characters are all within `edits` edits of each other; rows that
+repeat a document in full are one document and lose the same lines; a document
+that loses all lines has an empty text. Other columns are kept. Two different
+lines within `edits` edits whose 64-bit hashes are equal would not be compared.
 """
 
 from __future__ import annotations
@@ -32,12 +38,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import let
-from ..plans.scratch import steady, stored
-from .common import sha256_hex, table
+from ..plans.scratch import dropped, small, steady, stored
+from .common import row_keys, sha256_hex, table
 
 EDITS = 2
-#: Characters that a line needs to be compared for more than equality.
-LEAST = 24
+#: Lines under one key from which on they must share a rare gram as well.
+HOT = 32
+#: Characters of a gram.
+GRAM = 3
 
 
 def lines_of(text: Column) -> Column:
@@ -62,36 +70,24 @@ def _key(length: Column, number: int, part: Column) -> Column:
     return F.xxhash64(length.cast("int"), F.lit(number), part)
 
 
-def index_keys(line: Column, edits: int = EDITS) -> Column:
-    """The keys of a line's own segments."""
+def index_keys(line: Column, n: Column, edits: int = EDITS) -> list[Column]:
+    """The keys of the segments of a line of n characters."""
+    return [_key(n, i, F.substring(line, *segment(n, i, edits))) for i in range(edits + 1)]
 
-    def keys(n: Column) -> Column:
-        out = []
-        for i in range(edits + 1):
-            begin, size = segment(n, i, edits)
-            out.append(_key(n, i, F.substring(line, begin, size)))
-        return F.array(*out)
-
-    return let(F.char_length(line), keys)
 
-
-def probe_keys(line: Column, edits: int = EDITS) -> Column:
+def probe_keys(line: Column, n: Column, edits: int = EDITS) -> list[Column]:
     """The keys under which a line of the same length, or up to `edits` less, can have indexed a common segment.
 
     Of a shorter line's segment i only those places count that leave room for at
     most i edits before it and edits - i behind it, seen from both ends.
     """
-
-    def keys(n: Column) -> Column:
-        out = []
-        for less in range(edits + 1):
-            for i in range(edits + 1):
-                begin, size = segment(n - less, i, edits)
-                low, high = max(-i, less - (edits - i)), min(i, less + (edits - i))
-                out += [_key(n - less, i, F.substring(line, begin + move, size)) for move in range(low, high + 1)]
-        return F.array_distinct(F.array(*out))
-
-    return let(F.char_length(line), keys)
+    out = []
+    for less in range(edits + 1):
+        for i in range(edits + 1):
+            begin, size = segment(n - less, i, edits)
+            low, high = max(-i, less - (edits - i)), min(i, less + (edits - i))
+            out += [_key(n - less, i, F.substring(line, begin + move, size)) for move in range(low, high + 1)]
+    return out
 
 
 def within(a: Column, b: Column, edits: int = EDITS) -> Column:
@@ -144,88 +140,159 @@ def within(a: Column, b: Column, edits: int = EDITS) -> Column:
     return F.when(far, False).when(F.char_length(a) * F.char_length(b) == 0, True).otherwise(let(both, lambda t: walk(t.x, t.y)))
 
 
-def _with_key(docs: DataFrame) -> DataFrame:
-    """docs with __key (never null) and dealt out by it."""
-    steady(docs.sparkSession)
-    return docs.select("*", F.xxhash64("doc_id", "text").alias("__key")).repartition("__key")
+def _odd_characters(line: Column) -> Column:
+    """A bit for each of 64 classes of characters: set if the line has an odd number of them."""
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.ascii(c) % 64)
+    return F.aggregate(F.split(line, ""), F.lit(0).cast("bigint"), lambda acc, c: acc.bitwiseXOR(bit(c)))
 
 
-def first_lines(keyed: DataFrame) -> DataFrame:
-    """(key, lines array<int>): of each document the places of lines that no earlier line equals; blank ones too."""
-    each = keyed.select("doc_id", F.col("__key").alias("key"), F.posexplode(lines_of(F.col("text"))).alias("at", "line"))
-    # a blank line is like no other one
-    h = F.when(_blank(F.col("line")), F.xxhash64("key", "at")).otherwise(F.xxhash64("line"))
-    g = F.when(_blank(F.col("line")), F.xxhash64("at", "key")).otherwise(F.xxhash64(F.lit(1), "line"))
-    known = each.select(h.alias("h"), g.alias("g"), F.struct("doc_id", "key", "at").alias("place"))
-    first = known.groupBy("h", "g").agg(F.min("place").alias("place"))
-    return first.groupBy("place.key").agg(F.array_sort(F.collect_set("place.at")).alias("lines"))
+def _close(a: str, b: str, edits: int) -> Column:
+    """Whether two lines' odd characters allow so few edits: one changes the parity of two characters at most."""
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= 2 * edits
 
 
-#: A line's reference is one long: 36 bits of its document's key, 8 of its place,
-#: and 20 that say of which characters it has an odd number.
-_ODD_BITS, _AT_BITS = 20, 8
-_ODD, _AT = (1 << _ODD_BITS) - 1, (1 << _AT_BITS) - 1
+def gram_hashes(line: Column, q: int = GRAM) -> Column:
+    """Hashes of a line's runs of q characters, each with how often it has occurred before."""
 
+    def numbered(grams: Column) -> Column:
+        def runs(s: Column) -> Column:
+            begins = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda j: (j == 0) | (F.get(s, j) != F.get(s, j - 1)))
+            one = lambda b: lambda begin, r: F.transform(F.sequence(begin, F.coalesce(F.get(b, r + 1), F.size(s)) - 1), lambda j: F.xxhash64(F.get(s, j), j - begin))
+            return let(begins, lambda b: F.flatten(F.transform(b, one(b))))
 
-def _place_bits(key: Column, at: Column) -> Column:
-    """The reference without its last 20 bits.
+        return F.when(F.size(F.array_distinct(grams)) == F.size(grams), F.transform(grams, lambda x: F.xxhash64(x, F.lit(0)))).otherwise(let(F.array_sort(grams), runs))
 
-    Lines may share one; each is then fetched and verified, so that only work is lost.
+    places = F.sequence(F.lit(1), F.greatest(F.char_length(line) - (q - 1), F.lit(1)))
+    return let(F.transform(places, lambda i: F.xxhash64(F.substring(line, i, q))), numbered)
+
+
+def _scanned(docs: DataFrame) -> DataFrame:
+    """(doc_id, key_a, key_b, at, line) of all lines that aren't blank."""
+    each = docs.select("doc_id", *row_keys("doc_id", "text"), F.posexplode(lines_of(F.col("text"))).alias("at", "line"))
+    return each.where(~_blank(F.col("line")))
+
+
+def first_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
+    """(ref, doc_id, key_a, key_b, at, keys): each distinct line's first place and its keys, those of its own segments first.
+
+    ref is a 64-bit hash of the line. Lines are told apart by 128 bits. A text
+    is not moved: its lines' hashes are.
     """
-    return F.shiftright(key, _ODD_BITS + _AT_BITS) * (_AT + 1) + at.cast("bigint").bitwiseAND(F.lit(_AT))
+    each = _scanned(docs).select(
+        F.xxhash64("line").alias("ref"), F.xxhash64(F.lit(1), "line").alias("other"), "doc_id", "key_a", "key_b", "at", F.char_length("line").alias("n"), "line"
+    )
+    keyed = each.select("ref", "other", F.struct("doc_id", "key_a", "key_b", "at", F.array(*index_keys(F.col("line"), F.col("n"), edits), *probe_keys(F.col("line"), F.col("n"), edits)).alias("keys")).alias("place"))
+    return keyed.groupBy("ref", "other").agg(F.min("place").alias("place")).select("ref", "place.*")
 
 
-def _odd_characters(line: Column) -> Column:
-    """A bit for each of 20 classes of characters: set if the line has an odd number of them."""
-    bit = lambda c: F.call_function("shiftleft", F.lit(1), F.ascii(c) % _ODD_BITS)
-    return F.aggregate(F.split(line, ""), F.lit(0), lambda acc, c: acc.bitwiseXOR(bit(c))).cast("bigint")
-
-
-def _reference(key: Column, at: Column, line: Column) -> Column:
-    return F.shiftleft(_place_bits(key, at), _ODD_BITS).bitwiseOR(_odd_characters(line))
-
-
-def _lines_at(keyed: DataFrame, places: DataFrame) -> DataFrame:
-    """(doc_id, key, at, line) of places (key, lines array<int>)."""
-    found = keyed.select("doc_id", "text", F.col("__key").alias("key")).join(places, "key")
-    cut = let(lines_of(F.col("text")), lambda w: F.transform(F.filter("lines", lambda i: i < F.size(w)), lambda i: F.struct(i.alias("at"), F.element_at(w, i + 1).alias("line"))))
-    return found.select("doc_id", "key", cut.alias("found")).select("doc_id", "key", F.explode("found").alias("x")).select("doc_id", "key", "x.at", "x.line")
-
-
-def near_lines(keyed: DataFrame, firsts: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
-    """(key, at): places among the first lines that have an earlier line within `edits` edits."""
-    each = _lines_at(keyed, firsts).where((F.char_length("line") >= least) & ~_blank(F.col("line"))).withColumn("ref", _reference(F.col("key"), F.col("at"), F.col("line")))
-    indexed = each.select(F.explode(index_keys(F.col("line"), edits)).alias("k"), F.col("ref").alias("ref_a"))
-    probes = each.select(F.explode(probe_keys(F.col("line"), edits)).alias("k"), F.col("ref").alias("ref_b"))
-    # an edit changes the parity of two characters at most
-    close = F.bit_count(F.col("ref_a").bitwiseXOR(F.col("ref_b")).bitwiseAND(F.lit(_ODD))) <= 2 * edits
-    met = indexed.join(probes, "k").where((F.col("ref_a") != F.col("ref_b")) & close)
-    # lines of one reference don't meet above; the few that there are pair up among themselves
-    same = each.groupBy("ref").agg(F.count("*").alias("n")).where("n > 1").select(F.col("ref").alias("ref_a"), F.col("ref").alias("ref_b"))
-    pairs = met.select(F.least("ref_a", "ref_b").alias("ref_a"), F.greatest("ref_a", "ref_b").alias("ref_b")).unionByName(same).distinct()
-    pairs = stored(pairs, "line-pairs")
-    needed = pairs.select(F.explode(F.array("ref_a", "ref_b")).alias("ref")).select(F.shiftright("ref", _ODD_BITS).alias("place")).distinct()
-    # a reference gives back the first lines that have it
-    refs = firsts.select("key", F.explode("lines").alias("at")).withColumn("place", _place_bits(F.col("key"), F.col("at"))).join(needed, "place", "left_semi")
-    texts = _lines_at(keyed, refs.groupBy("key").agg(F.collect_set("at").alias("lines"))).withColumn("ref", _reference(F.col("key"), F.col("at"), F.col("line"))).dropDuplicates(["key", "at"])
-    texts = stored(texts, "line-texts")
-    own = lambda s: texts.select(F.col("ref").alias(f"ref_{s}"), F.struct(F.col("doc_id").alias("doc"), "key", "at").alias(f"place_{s}"), F.col("line").alias(f"line_{s}"))
-    near = pairs.join(own("a"), "ref_a").join(own("b"), "ref_b").where((F.col("place_a") != F.col("place_b")) & within(F.col("line_a"), F.col("line_b"), edits))
-    return near.select(F.greatest("place_a", "place_b").alias("x")).select("x.key", "x.at").distinct()
-
-
-def deduped(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
+def _wanted(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """(ref, place, line, odd) of some first lines (key_a, key_b, at, ref), read from their documents again."""
+    of = places.groupBy("key_a", "key_b").agg(F.collect_set(F.struct("at", "ref")).alias("wanted"))
+    texts = docs.select("text", *row_keys("doc_id", "text"), "doc_id").join(small(stored(of, "wanted-lines")), ["key_a", "key_b"]).dropDuplicates(["key_a", "key_b"])
+    cut = let(lines_of(F.col("text")), lambda w: F.transform("wanted", lambda x: F.struct(x.ref.alias("ref"), x.at.alias("at"), F.element_at(w, x.at + 1).alias("line"))))
+    each = texts.select("doc_id", "key_a", "key_b", F.explode(cut).alias("x"))
+    return each.select("x.ref", F.struct("doc_id", "key_a", "key_b", "x.at").alias("place"), "x.line", _odd_characters(F.col("x.line")).alias("odd"))
+
+
+def _hot_tokens(lines: DataFrame, edits: int) -> DataFrame:
+    """(ref, token): the rarest grams of lines (ref, line), of which lines within `edits` edits share one.
+
+    An edit changes GRAM grams at most, so that of the GRAM * edits + 1 first
+    ones in any order one is left. Lines that may have no more grams than that
+    meet under a token of their own.
+    """
+    most = GRAM * edits
+    grams = stored(lines.select("ref", F.char_length("line").alias("n"), F.explode(gram_hashes(F.col("line"))).alias("gram")), "grams")
+    counts = grams.groupBy("gram").agg(F.count("*").alias("often"))
+    best = grams.join(counts, "gram").groupBy("ref").agg(F.slice(F.array_sort(F.collect_set(F.struct("often", "gram"))), 1, most + 1).alias("best"))
+    rare = best.select("ref", F.explode("best.gram").alias("token"))
+    few = lines.where(F.char_length("line") <= most + GRAM - 1 + edits).select("ref", F.lit(0).cast("bigint").alias("token"))
+    return rare.unionByName(few).distinct()
+
+
+def _compared(pairs: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
+    """(ref): of pairs (ref_a, ref_b) of lines (ref, place, line, odd) within `edits` edits the later lines."""
+    own = lambda s: lines.select(*[F.col(c).alias(f"{c}_{s}") for c in ("ref", "place", "line", "odd")])
+    near = pairs.join(own("a"), "ref_a").join(own("b"), "ref_b").where(_close("odd_a", "odd_b", edits) & within(F.col("line_a"), F.col("line_b"), edits))
+    return near.select(F.when(F.col("place_a") < F.col("place_b"), F.col("ref_b")).otherwise(F.col("ref_a")).alias("ref")).distinct()
+
+
+def _unordered(pairs: DataFrame) -> DataFrame:
+    return pairs.where("ref_a != ref_b").select(F.least("ref_a", "ref_b").alias("ref_a"), F.greatest("ref_a", "ref_b").alias("ref_b")).distinct()
+
+
+def crowded_lines(docs: DataFrame, firsts: DataFrame, own: DataFrame, probes: DataFrame, edits: int) -> tuple[DataFrame, DataFrame]:
+    """Of lines that meet under crowded keys: (ref) of those known to go, (ref_a, ref_b) of pairs to verify yet.
+
+    own, probes: (k, ref), the index entries and the substrings of those keys.
+    """
+    refs = own.select("ref").unionByName(probes.select("ref")).distinct()
+    lines = stored(_wanted(docs, firsts.join(refs, "ref", "left_semi").select("key_a", "key_b", "at", "ref")), "crowded-lines")
+    places = lines.select("ref", "place")
+    # first each line is compared with the earliest line of its keys: that settles groups of lines that are all alike
+    leads = own.join(places, "ref").groupBy("k").agg(F.min(F.struct("place", "ref")).alias("lead"))
+    led = probes.join(leads, "k").select(F.col("lead.ref").alias("ref_a"), F.col("ref").alias("ref_b"))
+    gone = stored(_compared(_unordered(led), lines, edits), "led-lines")
+    # then lines that share a rare gram, unless the later one is settled
+    known = lines.join(gone.withColumn("gone", F.lit(True)), "ref", "left").select("ref", "place", "odd", F.coalesce("gone", F.lit(False)).alias("gone"))
+    tokens = stored(_hot_tokens(lines.select("ref", "line"), edits).join(known, "ref"), "rare-grams")
+    side = lambda df, s: df.join(tokens, "ref").select("k", "token", *[F.col(c).alias(f"{c}_{s}") for c in ("ref", "place", "odd", "gone")])
+    a, b = side(own, "a"), side(probes, "b")
+    meet = (a["k"] == b["k"]) & (a["token"] == b["token"]) & _close("odd_a", "odd_b", edits) & (((F.col("place_a") < F.col("place_b")) & ~F.col("gone_b")) | ((F.col("place_b") < F.col("place_a")) & ~F.col("gone_a")))
+    pairs = stored(_unordered(a.join(b, meet).select("ref_a", "ref_b")), "crowded-pairs")
+    dropped(lines, tokens)
+    return gone, pairs
+
+
+def near_lines(docs: DataFrame, firsts: DataFrame, edits: int = EDITS, hot: int = HOT) -> DataFrame:
+    """(key_a, key_b, at): places of the first lines that have an earlier line within `edits` edits.
+
+    Lines meet under a key. Under a key of more than `hot` lines they must share
+    one of their rarest grams as well, and are first compared with one line only.
+    """
+    n = edits + 1
+    own = firsts.select(F.explode(F.slice("keys", 1, n)).alias("k"), "ref")
+    probes = firsts.select(F.explode(F.array_distinct(F.slice("keys", n + 1, 1_000))).alias("k"), "ref")
+    crowded = stored(own.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("k"), "crowded-keys")
+    paired = lambda a, b: a.withColumnRenamed("ref", "ref_a").join(b.withColumnRenamed("ref", "ref_b"), "k").select("ref_a", "ref_b")
+    gone = None
+    if crowded.isEmpty():
+        pairs = stored(_unordered(paired(own, probes)), "line-pairs")
+    else:
+        keys = small(crowded)
+        own_hot, probes_hot = stored(own.join(keys, "k"), "crowded-own"), stored(probes.join(keys, "k"), "crowded-probes")
+        gone, more = crowded_lines(docs, firsts, own_hot, probes_hot, edits)
+        pairs = stored(_unordered(paired(own.join(keys, "k", "left_anti"), probes.join(keys, "k", "left_anti")).unionByName(more)), "line-pairs")
+        dropped(own_hot, probes_hot, more, crowded)
+    refs = pairs.select(F.explode(F.array("ref_a", "ref_b")).alias("ref")).distinct()
+    lines = stored(_wanted(docs, firsts.join(refs, "ref", "left_semi").select("key_a", "key_b", "at", "ref")), "line-texts")
+    near = _compared(pairs, lines, edits)
+    near = stored(near if gone is None else near.unionByName(gone).distinct(), "near-lines")
+    dropped(pairs, lines)
+    return firsts.join(small(near), "ref", "left_semi").select("key_a", "key_b", "at")
+
+
+def deduped(docs: DataFrame, edits: int = EDITS, hot: int = HOT) -> DataFrame:
     """docs with __lines and __kept, the number of lines before and after, and their text of the kept lines."""
-    keyed = _with_key(docs)
-    firsts = stored(first_lines(keyed), "first-lines")
-    near = near_lines(keyed, firsts, edits, least).groupBy("key").agg(F.collect_set("at").alias("near"))
-    stay = firsts.join(near, "key", "left").select(F.col("key").alias("__of"), F.when(F.col("near").isNull(), F.col("lines")).otherwise(F.array_sort(F.array_except("lines", "near"))).alias("__stay"))
-    joined = keyed.join(stay, F.col("__key") == F.col("__of"), "left")
-    n = F.coalesce(F.size("__stay"), F.lit(0))
-    kept = let(lines_of(F.col("text")), lambda w: F.array_join(F.transform("__stay", lambda i: F.element_at(w, i + 1)), "\n"))
+    steady(docs.sparkSession)
+    rows = docs.select("doc_id", "text")
+    firsts = stored(first_lines(rows, edits), "first-lines")
+    near = near_lines(rows, firsts, edits, hot)
+    places = firsts.select("key_a", "key_b", "at").join(near, ["key_a", "key_b", "at"], "left_anti")
+    stay = stored(places.groupBy(F.col("key_a").alias("__a"), F.col("key_b").alias("__b")).agg(F.collect_set("at").alias("__stay")), "kept-lines")
+    dropped(firsts)
+    a, b = row_keys("doc_id", "text")
+    keyed = docs.select("*", a.alias("__key_a"), b.alias("__key_b"))
+    joined = keyed.join(stay, (F.col("__key_a") == F.col("__a")) & (F.col("__key_b") == F.col("__b")), "left")
+
+    def kept(w: Column) -> Column:
+        return F.filter(w, lambda line, i: _blank(line) | F.coalesce(F.array_contains("__stay", i), F.lit(False)))
+
     has_text = F.coalesce(F.col("text"), F.lit("")) != ""
-    text = F.when(has_text, F.when(n > 0, kept).otherwise("")).otherwise(F.col("text"))
-    return joined.select(*[text.alias("text") if c == "text" else joined[c] for c in docs.columns], F.size(lines_of(F.col("text"))).alias("__lines"), F.when(has_text, n).otherwise(0).alias("__kept"))
+    lines = let(lines_of(F.col("text")), lambda w: F.struct(F.size(w).alias("n"), kept(w).alias("kept")))
+    found = joined.select(*[joined[c] for c in docs.columns], lines.alias("__found"))
+    text = F.when(has_text, F.array_join("__found.kept", "\n")).otherwise(F.col("text"))
+    return found.select(*[text.alias("text") if c == "text" else found[c] for c in docs.columns], F.col("__found.n").alias("__lines"), F.size("__found.kept").alias("__kept"))
 
 
 def clean(docs: DataFrame) -> DataFrame:
@@ -239,23 +306,28 @@ def _digests(found: DataFrame) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document without the lines that an earlier line nearly equals; short lines only if they are equal, as in the SQL."""
+    """Every document without the lines that an earlier line nearly equals."""
     return _digests(deduped(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
-def op8_line_dedup_short(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same with lines of every length compared; it has no SQL."""
-    return _digests(deduped(table(spark, sf_dir, "documents").select("doc_id", "text"), least=1))
-
-
 OP8_SQL = r"""
-WITH d AS (SELECT doc_id, text, CASE WHEN coalesce(text, '') = '' THEN []::VARCHAR[] ELSE string_split(text, chr(10)) END AS lines FROM documents),
+WITH RECURSIVE d AS (SELECT doc_id, text, CASE WHEN coalesce(text, '') = '' THEN []::VARCHAR[] ELSE string_split(text, chr(10)) END AS lines FROM documents),
 each AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM d),
-first AS (SELECT line, min((doc_id, pos)) AS place FROM each WHERE trim(line, ' ') <> '' GROUP BY line),
-long AS (SELECT line, place, length(line) AS n FROM first WHERE length(line) >= 24),
+first AS (SELECT line, min((doc_id, pos)) AS place, length(line) AS n FROM each WHERE trim(line, ' ') <> '' GROUP BY line),
+-- levenshtein() counts bytes, of which an edit changes four at most
+pairs AS (
+  SELECT a.line AS a, b.line AS b, levenshtein(a.line, b.line) AS bytes FROM first a JOIN first b ON b.n BETWEEN a.n - 2 AND a.n + 2
+  WHERE a.place < b.place AND abs(strlen(a.line) - strlen(b.line)) <= 8 AND levenshtein(a.line, b.line) <= 8),
+wide AS (SELECT a, b, string_split(a, '') AS x, string_split(b, '') AS y FROM pairs WHERE strlen(a) <> length(a) OR strlen(b) <> length(b)),
+-- a row of the distance matrix of characters after another; runs of more than two insertions don't count
+matrix AS (
+  SELECT a, b, x, y, 0 AS j, range(0, len(x) + 1) AS r FROM wide
+  UNION ALL
+  SELECT a, b, x, y, j, list_transform(range(0, len(t)), lambda i: least(t[i + 1], CASE WHEN i > 0 THEN t[i] + 1 ELSE 99 END, CASE WHEN i > 1 THEN t[i - 1] + 2 ELSE 99 END)) AS r
+  FROM (SELECT a, b, x, y, j + 1 AS j, list_transform(range(0, len(r)), lambda i: CASE WHEN i = 0 THEN r[1] + 1 ELSE least(r[i + 1] + 1, r[i] + (x[i] <> y[j + 1])::INT) END) AS t FROM matrix WHERE j < len(y))),
 gone AS (
-  SELECT DISTINCT b.line FROM long a JOIN long b ON b.n BETWEEN a.n - 2 AND a.n + 2
-  WHERE a.place < b.place AND abs(strlen(a.line) - strlen(b.line)) <= 8 AND levenshtein(a.line, b.line) <= 2),
+  SELECT b AS line FROM pairs WHERE bytes <= 2 AND strlen(a) = length(a) AND strlen(b) = length(b)
+  UNION SELECT b FROM matrix WHERE j = len(y) AND r[-1] <= 2),
 kept AS (
   SELECT e.doc_id, count(*) AS n, string_agg(e.line, chr(10) ORDER BY e.pos) AS text
   FROM each e LEFT JOIN first f ON e.line = f.line

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -74,12 +75,16 @@ def monte_carlo_analytic(panel: DataFrame, weights: DataFrame, s: Settings = DEF
 
 
 def monte_carlo_sampled(panel: DataFrame, weights: DataFrame, sims: int = 10_000, s: Settings = DEFAULT) -> DataFrame:
-    """(panel, horizon, sim, x): seeded draws of portfolio returns, dealt over tasks by their number."""
+    """(panel, horizon, sim, x): seeded draws of portfolio returns, dealt over tasks; horizons and panels draw independently."""
     law = monte_carlo_analytic(panel, weights, s).where(F.col("alpha") == s.var_alphas[0]).select("panel", "horizon", "mu", "sigma")
-    draws = panel.sparkSession.range(0, sims, 1, 8).select(F.col("id").alias("sim"), F.randn(s.seed).alias("z"))
-    # a draw for each panel and horizon: an equi-join on a constant with the few laws
-    keyed = draws.withColumn("k", F.lit(1)).join(F.broadcast(law.withColumn("k", F.lit(1)).limit(1_000)), "k")
-    return keyed.select("panel", "horizon", "sim", (F.col("mu") + F.col("sigma") * F.col("z")).alias("x"))
+    parts = 16
+    # each law is dealt over its draws in two steps, so that no task makes all of them
+    dealt = law.select("*", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")).repartition("panel", "horizon", "part")
+    draws = dealt.select("*", F.explode(F.sequence(F.lit(0), F.lit(-(-sims // parts) - 1))).alias("i")).withColumn("sim", (F.col("i") * parts + F.col("part")).cast("bigint")).where(F.col("sim") < sims)
+    # uniform numbers from hashes, independent for each panel, horizon and draw, and the same in every run
+    uniform = lambda n: (F.shiftrightunsigned(F.xxhash64(F.lit(s.seed), F.lit(n), "panel", "horizon", "sim"), 11) + 0.5) / float(1 << 53)
+    z = F.sqrt(-2 * F.log(uniform(1))) * F.cos(2 * math.pi * uniform(2))
+    return draws.select("panel", "horizon", "sim", (F.col("mu") + F.col("sigma") * z).alias("x"))
 
 
 def parametric(panel: DataFrame, weights: DataFrame, alpha: float = 0.99, window: int = YEAR) -> DataFrame:

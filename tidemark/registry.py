@@ -633,7 +633,7 @@ def rebalance_signals(spark, d):
     return rounded(decide.rebalance_signals(state, risk.risk_contributions(features.sample_covariance(panel), _w(panel)), _w(panel), targets))
 
 
-@layered("SELECT bar_idx, CASE WHEN exposure < 0.75 OR priority IN ('stress_corr_override', 'corr_crisis', 'anomaly_suppress') THEN 'Defensive posture: exposure reduced' WHEN regime = 'TRANSITION' THEN 'Transition regime: conviction trimmed' WHEN bucket = 'diversification' THEN 'Diversification supportive: standard path' ELSE 'Risk-aware monitoring: keep discipline' END AS headline FROM dc")
+@layered("SELECT bar_idx, CASE WHEN exposure < 0.75 OR priority IN ('stress_corr_override', 'corr_crisis', 'anomaly_suppress') THEN 'cut back' WHEN regime = 'TRANSITION' THEN 'hold less' WHEN bucket = 'diversification' THEN 'room to add' ELSE 'as planned' END || ': ' || priority || ' at ' || printf('%.2f', exposure) AS headline FROM dc")
 def narrative_headline(spark, d, layers):
     _, bars = _bars(spark, d, layers)
     return decide.narrated(decide.decided(bars).withColumn("vol_ann", F.col("ann_vol"))).select("bar_idx", "headline")

@@ -18,6 +18,11 @@ def text_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """docs as one column, row, so that no name put beside it can clash; "row.*" gives the columns back."""
+    return docs.select(F.struct(*docs.columns).alias("row"))
+
+
 def sha256_hex(value: Column) -> Column:
     return F.sha2(value, 256)
 

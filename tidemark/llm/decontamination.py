@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import changed_ascii_case, let
 from ..plans.scratch import new_folder, small, steady, stored
-from .common import row_keys
+from .common import packed, row_keys
 
 WINDOW = 13
 #: Posting lists that are intersected for each window.
@@ -115,24 +115,21 @@ def proximity_matches(postings: DataFrame, terms: list[str], span: int) -> DataF
     return lead
 
 
-def annotated(docs: DataFrame, items: DataFrame, size: int = WINDOW, share: int = 20, out: str = "contamination") -> DataFrame:
-    """docs with a struct `out` of n_words, n_hit, items (sorted) and contaminated.
-
-    A word is hit if it lies in an occurrence of a window; a document is
-    contaminated if `share` times its hit words reach its words.
-    """
+def _judged(docs: DataFrame, items: DataFrame, size: int, share: int) -> DataFrame:
+    """(row, found): the documents, and the struct that annotated() describes."""
     steady(docs.sparkSession)
     found = stored(windows(items, size), "windows")
     chosen = stored(anchors(docs, found), "anchors")
     postings = index(docs, stored(chosen.select("term").distinct(), "anchor-terms"))
-    places = phrase_places(postings, chosen).join(small(found), "window").groupBy("key_a", "key_b").agg(F.collect_set(F.struct("start", "words", "items")).alias("__places")).withColumnsRenamed({"key_a": "__place_a", "key_b": "__place_b"})
-    keyed = docs.select("*", *[k.alias(f"__{n}") for k, n in zip(row_keys("doc_id", "text"), ("a", "b"))])
-    joined = keyed.join(places, (F.col("__a") == F.col("__place_a")) & (F.col("__b") == F.col("__place_b")), "left")
+    keys = ["key_a", "key_b"]
+    places = phrase_places(postings, chosen).join(small(found), "window").groupBy(*keys).agg(F.collect_set(F.struct("start", "words", "items")).alias("places"))
+    joined = packed(docs).select("row", *row_keys("row.doc_id", "row.text")).join(places, keys, "left")
+    text = F.col("row.text")
     real = F.when(
-        F.col("__places").isNotNull(),
-        let(words(changed_ascii_case(F.col("text"))), lambda w: F.filter("__places", lambda p: F.slice(w, p.start + 1, F.size(p.words)) == p.words)),
+        F.col("places").isNotNull(),
+        let(words(changed_ascii_case(text)), lambda w: F.filter("places", lambda p: F.slice(w, p.start + 1, F.size(p.words)) == p.words)),
     )
-    n_words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
+    n_words = F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
     no_items = F.array().cast("array<string>")
 
     def verdict(hits: Column) -> Column:
@@ -141,9 +138,18 @@ def annotated(docs: DataFrame, items: DataFrame, size: int = WINDOW, share: int
         ids = F.array_sort(F.array_distinct(F.flatten(F.transform(hits, lambda p: p["items"]))))
         return let(F.struct(n_words.alias("n_words"), n_hit.alias("n_hit"), F.coalesce(ids, no_items).alias("items")), lambda x: x.withField("contaminated", (x.n_hit > 0) & (x.n_hit * share >= x.n_words)))
 
-    return joined.select(*[docs[c] for c in docs.columns], let(real, verdict).alias(out))
+    return joined.select("row", let(real, verdict).alias("found"))
+
+
+def annotated(docs: DataFrame, items: DataFrame, size: int = WINDOW, share: int = 20, out: str = "contamination") -> DataFrame:
+    """docs with a struct `out` of n_words, n_hit, items (sorted) and contaminated.
+
+    A word is hit if it lies in an occurrence of a window; a document is
+    contaminated if `share` times its hit words reach its words.
+    """
+    return _judged(docs, items, size, share).select("row.*", F.col("found").alias(out))
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents that aren't contaminated, with their columns."""
-    return annotated(docs, items, out="__contamination").where("not __contamination.contaminated").drop("__contamination")
+    return _judged(docs, items, WINDOW, 20).where("not found.contaminated").select("row.*")

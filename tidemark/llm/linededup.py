@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import let
 from ..plans.scratch import dropped, small, steady, stored
-from .common import row_keys, sha256_hex, table
+from .common import packed, row_keys, sha256_hex, table
 
 EDITS = 2
 #: Lines under one key from which on they must share a rare gram as well.
@@ -272,33 +272,41 @@ def near_lines(docs: DataFrame, firsts: DataFrame, edits: int = EDITS, hot: int
     return firsts.join(small(near), "ref", "left_semi").select("key_a", "key_b", "at")
 
 
-def deduped(docs: DataFrame, edits: int = EDITS, hot: int = HOT) -> DataFrame:
-    """docs with __lines and __kept, the number of lines before and after, and their text of the kept lines."""
+def _deduped(docs: DataFrame, edits: int, hot: int) -> DataFrame:
+    """(row, text, lines, kept): documents, their text of the kept lines, and the number of lines before and after."""
     steady(docs.sparkSession)
     rows = docs.select("doc_id", "text")
     firsts = stored(first_lines(rows, edits), "first-lines")
     near = near_lines(rows, firsts, edits, hot)
-    places = firsts.select("key_a", "key_b", "at").join(near, ["key_a", "key_b", "at"], "left_anti")
-    stay = stored(places.groupBy(F.col("key_a").alias("__a"), F.col("key_b").alias("__b")).agg(F.collect_set("at").alias("__stay")), "kept-lines")
+    keys = ["key_a", "key_b"]
+    places = firsts.select(*keys, "at").join(near, [*keys, "at"], "left_anti")
+    stay = stored(places.groupBy(*keys).agg(F.collect_set("at").alias("stay")), "kept-lines")
     dropped(firsts)
-    a, b = row_keys("doc_id", "text")
-    keyed = docs.select("*", a.alias("__key_a"), b.alias("__key_b"))
-    joined = keyed.join(stay, (F.col("__key_a") == F.col("__a")) & (F.col("__key_b") == F.col("__b")), "left")
+    joined = packed(docs).select("row", *row_keys("row.doc_id", "row.text")).join(stay, keys, "left")
 
     def kept(w: Column) -> Column:
-        return F.filter(w, lambda line, i: _blank(line) | F.coalesce(F.array_contains("__stay", i), F.lit(False)))
+        return F.filter(w, lambda line, i: _blank(line) | F.coalesce(F.array_contains("stay", i), F.lit(False)))
+
+    text = F.col("row.text")
+    found = joined.select("row", let(lines_of(text), lambda w: F.struct(F.size(w).alias("n"), kept(w).alias("kept"))).alias("found"))
+    left = F.when(F.coalesce(text, F.lit("")) != "", F.array_join("found.kept", "\n")).otherwise(text)
+    return found.select("row", left.alias("text"), F.col("found.n").alias("lines"), F.size("found.kept").alias("kept"))
+
 
-    has_text = F.coalesce(F.col("text"), F.lit("")) != ""
-    lines = let(lines_of(F.col("text")), lambda w: F.struct(F.size(w).alias("n"), kept(w).alias("kept")))
-    found = joined.select(*[joined[c] for c in docs.columns], lines.alias("__found"))
-    text = F.when(has_text, F.array_join("__found.kept", "\n")).otherwise(F.col("text"))
-    return found.select(*[text.alias("text") if c == "text" else found[c] for c in docs.columns], F.col("__found.n").alias("__lines"), F.size("__found.kept").alias("__kept"))
+def _shortened(found: DataFrame, columns: list[str]) -> list[Column]:
+    return [found["text"] if c == "text" else found[f"row.{c}"] for c in columns]
+
+
+def deduped(docs: DataFrame, edits: int = EDITS, hot: int = HOT) -> DataFrame:
+    """docs with their text of the kept lines, and __lines and __kept, the number of lines before and after."""
+    found = _deduped(docs, edits, hot)
+    return found.select(*_shortened(found, docs.columns), F.col("lines").alias("__lines"), F.col("kept").alias("__kept"))
 
 
 def clean(docs: DataFrame) -> DataFrame:
     """The documents with their repeated lines taken out; those that have nothing left go."""
-    found = deduped(docs)
-    return found.where((F.col("__kept") > 0) | (F.col("__lines") == 0)).select(*docs.columns)
+    found = _deduped(docs, EDITS, HOT).where("kept > 0 or lines = 0")
+    return found.select(*_shortened(found, docs.columns))
 
 
 def _digests(found: DataFrame) -> DataFrame:

@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.scratch import small, steady, stored
-from .common import row_keys, table, text_batches
+from .common import packed, row_keys, table, text_batches
 from .textkernels import mix, shingles, words
 
 WORDS = 5
@@ -404,11 +404,9 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     judged by itself; documents without a word link to none and stay.
     """
     firsts = joined(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class_id", "part").agg(F.min(F.struct("key_a", "key_b")).alias("one"))
-    stay = stored(firsts.select(F.col("one.key_a").alias("__stay_a"), F.col("one.key_b").alias("__stay_b")), "staying")
-    a, b = row_keys("doc_id", "text")
-    keyed = docs.select("*", a.alias("__key_a"), b.alias("__key_b"))
-    kept = keyed.join(small(stay), (F.col("__key_a") == F.col("__stay_a")) & (F.col("__key_b") == F.col("__stay_b")), "left_semi")
-    return kept.dropDuplicates(["__key_a", "__key_b"]).drop("__key_a", "__key_b")
+    stay = stored(firsts.select("one.*"), "staying")
+    keyed = packed(docs).select("row", *row_keys("row.doc_id", "row.text"))
+    return keyed.join(small(stay), ["key_a", "key_b"], "left_semi").dropDuplicates(["key_a", "key_b"]).select("row.*")
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,8 @@ fingerprint's place was chosen in one batch of documents. A new batch is
 merge-joined with each run, bucket by bucket, without moving the run; the
 fingerprints met in a run, or twice in the batch, are its hits. Then the batch
 becomes a run itself, and when there are more than `most_runs` runs the smallest
-ones are merged into one.
+ones are merged into one. The index can be kept and opened again: add_batch()
+gives the repeats that one more batch brings about, in it and in its history.
 
 A hit only says that windows may be equal; then the words decide. A stretch is
 a row of windows that share a fingerprint's place. Of the stretches with a hit,
@@ -30,6 +31,7 @@ only doc_id and text are read.
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -38,8 +40,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.scratch import steady, stored
-from .common import table, text_batches
+from ..plans.scratch import setting, steady, stored, tidied
+from .common import row_keys, table, text_batches
 from .textkernels import Words, span_hashes, windows, words
 
 WINDOW = 35
@@ -97,10 +99,23 @@ class FingerprintIndex:
         self.runs: list[tuple[str, int]] = []  # table and rows
         self.made = 0
 
+    @classmethod
+    def open(cls, spark: SparkSession, name: str, most_runs: int = MOST_RUNS) -> "FingerprintIndex":
+        """The index of that name, from the runs that the catalog has of it."""
+        runs = sorted(t.name for t in spark.catalog.listTables() if re.fullmatch(rf"{re.escape(name)}_\d+", t.name))
+        if not runs:
+            raise ValueError(f"the catalog has no run of {name}")
+        buckets = next(int(r.data_type) for r in spark.sql(f"DESCRIBE TABLE EXTENDED {runs[0]}").collect() if r.col_name == "Num Buckets")
+        own = cls(spark, name, buckets, most_runs)
+        own.runs = [(x, spark.table(x).count()) for x in runs]
+        own.made = int(runs[-1].rsplit("_", 1)[1])
+        return own
+
     def _write(self, rows: DataFrame) -> None:
         self.made += 1
         name = f"{self.name}_{self.made:04d}"
-        rows.repartition(self.buckets, "fingerprint").write.format("parquet").bucketBy(self.buckets, "fingerprint").sortBy("fingerprint").saveAsTable(name)
+        with tidied(self.spark):  # one file a bucket
+            rows.repartition(self.buckets, "fingerprint").write.format("parquet").bucketBy(self.buckets, "fingerprint").sortBy("fingerprint").saveAsTable(name)
         self.runs.append((name, self.spark.table(name).count()))
 
     def add(self, docs: DataFrame) -> DataFrame:
@@ -111,7 +126,9 @@ class FingerprintIndex:
         hits = batch.where("n > 1").select("fingerprint")
         for name, _ in before:
             hits = hits.unionByName(batch.where("n = 1").select("fingerprint").join(self.spark.table(name), "fingerprint", "left_semi"))
-        hits = stored(hits.distinct(), "hits")
+        # with one file a bucket, a run is sorted as it is read
+        with setting(self.spark, "spark.sql.legacy.bucketedTableScan.outputOrdering", "true"):
+            hits = stored(hits.distinct(), "hits")
         self.compact()
         return hits
 
@@ -131,20 +148,20 @@ class FingerprintIndex:
 
 
 def _windows_of(df: DataFrame) -> DataFrame:
-    """(key, begin, end, hits): stretches of windows that share a fingerprint, for documents."""
+    """(key_a, key_b, fingerprint, begin, end): stretches of windows that share a fingerprint, for documents (key_a, key_b, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column(0).to_numpy()
-            for own in words(batch.column(1)):
+            keys = [c.to_numpy() for c in batch.columns[:2]]
+            for own in words(batch.column(2)):
                 first, prints, at = fingerprints(own)
                 cut = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else np.empty(0, int)
                 last = np.concatenate([cut[1:], [len(at)]]) - 1 if len(at) else cut
                 base = np.concatenate([[0], own.counts().cumsum()])
                 row = own.row[first[cut]]
-                yield pa.RecordBatch.from_arrays([pa.array(keys[own.first + row]), pa.array(prints[cut]), pa.array((first[cut] - base[row]).astype(np.int32)), pa.array((first[last] - base[row]).astype(np.int32))], ["key", "fingerprint", "begin", "end"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(k[own.first + row]) for k in keys), pa.array(prints[cut]), pa.array((first[cut] - base[row]).astype(np.int32)), pa.array((first[last] - base[row]).astype(np.int32))], ["key_a", "key_b", "fingerprint", "begin", "end"])
 
-    return df.mapInArrow(run, "key long, fingerprint long, begin int, end int")
+    return df.mapInArrow(run, "key_a long, key_b long, fingerprint long, begin int, end int")
 
 
 def _joined(own: Words, a: int, b: int) -> tuple[bytes, np.ndarray]:
@@ -158,34 +175,34 @@ def _joined(own: Words, a: int, b: int) -> tuple[bytes, np.ndarray]:
 
 
 def digests(df: DataFrame, each: bool, size: int = WINDOW) -> DataFrame:
-    """(key, fingerprint, begin, end, digest_a, digest_b) of stretches, or of each of their windows.
+    """(key_a, key_b, fingerprint, begin, end, digest_a, digest_b) of stretches, or of each of their windows.
 
-    df: key, text, stretches array<struct<fingerprint:bigint,begin:int,end:int>>.
+    df: key_a, key_b, text, stretches array<struct<fingerprint:bigint,begin:int,end:int>>.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, lists = batch.column(0).to_numpy(), batch.column(2).to_pylist()
-            for own in words(batch.column(1)):
+            keys, lists = [c.to_numpy() for c in batch.columns[:2]], batch.column(3).to_pylist()
+            for own in words(batch.column(2)):
                 base = np.concatenate([[0], own.counts().cumsum()])
                 rows, out = [], []
                 for r in range(own.rows):
                     if not lists[own.first + r]:
                         continue
                     text, place = _joined(own, base[r], base[r + 1])
-                    n, key = len(place) - 1, int(keys[own.first + r])
+                    n, key = len(place) - 1, [int(k[own.first + r]) for k in keys]
                     for x in lists[own.first + r]:
                         parts = ((i, i) for i in range(x["begin"], x["end"] + 1)) if each else ((x["begin"], x["end"]),)
                         for begin, end in parts:
                             if end + size <= n:
                                 out.append(hashlib.blake2b(text[place[begin] : place[end + size] - 1], digest_size=16).digest())
-                                rows.append((key, x["fingerprint"], begin, end))
+                                rows.append((*key, x["fingerprint"], begin, end))
                 found = np.frombuffer(b"".join(out), np.int64).reshape(-1, 2)
-                own_columns = [np.array(c) for c in zip(*rows)] or [np.empty(0, np.int64)] * 4
-                arrays = [pa.array(c.astype(k)) for c, k in zip(own_columns, (np.int64, np.int64, np.int32, np.int32))]
-                yield pa.RecordBatch.from_arrays([*arrays, pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], ["key", "fingerprint", "begin", "end", "digest_a", "digest_b"])
+                own_columns = [np.array(c) for c in zip(*rows)] or [np.empty(0, np.int64)] * 5
+                arrays = [pa.array(c.astype(k)) for c, k in zip(own_columns, (np.int64, np.int64, np.int64, np.int32, np.int32))]
+                yield pa.RecordBatch.from_arrays([*arrays, pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], ["key_a", "key_b", "fingerprint", "begin", "end", "digest_a", "digest_b"])
 
-    return df.mapInArrow(run, "key long, fingerprint long, begin int, end int, digest_a long, digest_b long")
+    return df.mapInArrow(run, "key_a long, key_b long, fingerprint long, begin int, end int, digest_a long, digest_b long")
 
 
 def removed(df: DataFrame, size: int = WINDOW) -> DataFrame:
@@ -226,38 +243,70 @@ def removed(df: DataFrame, size: int = WINDOW) -> DataFrame:
     return df.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select("*", *row_keys("doc_id", "text"))
+
+
+def repeats(keyed: DataFrame, hits: DataFrame) -> DataFrame:
+    """(key_a, key_b, begin, end): windows, from the first of a stretch to its last, that stand elsewhere too.
+
+    keyed: doc_id, text, key_a, key_b; hits: the fingerprints that may be repeated.
+    """
+    keys = ["key_a", "key_b"]
+    places = _windows_of(keyed.select(*keys, "text")).join(hits, "fingerprint", "left_semi")
+    lists = lambda df: df.groupBy(*keys).agg(F.collect_set(F.struct("fingerprint", "begin", "end")).alias("stretches"))
+    found = stored(digests(keyed.join(lists(places), keys).select(*keys, "text", "stretches"), False), "stretches")
+    content = ["fingerprint", "digest_a", "digest_b"]
+    wordings = stored(found.groupBy(*content).agg(F.count("*").alias("n"), F.min(F.struct(*keys, "begin", "end")).alias("one")), "wordings")
+    several = wordings.groupBy("fingerprint").agg(F.count("*").alias("k")).where("k > 1").select("fingerprint")
+    ones = wordings.join(several, "fingerprint", "left_semi").select("fingerprint", "one.*", "n")
+    each = stored(digests(keyed.join(lists(ones), keys).select(*keys, "text", "stretches"), True), "windows")
+    twice = each.groupBy("digest_a", "digest_b").agg(F.count("*").alias("k")).where("k > 1").select("digest_a", "digest_b")
+    # windows of a wording that stands once; those of the others are repeats anyway
+    alone = each.join(twice, ["digest_a", "digest_b"], "left_semi").select(*keys, "begin", "end")
+    copied = found.join(wordings.where("n > 1").select(*content), content, "left_semi").select(*keys, "begin", "end")
+    return copied.unionByName(alone)
+
+
+def without(keyed: DataFrame, found: DataFrame) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept) of documents (doc_id, text, key_a, key_b) without their repeats."""
+    lists = found.groupBy("key_a", "key_b").agg(F.collect_set(F.struct("begin", "end")).alias("repeats"))
+    none = F.array().cast("array<struct<begin:int,end:int>>")
+    return removed(keyed.join(lists, ["key_a", "key_b"], "left").select("doc_id", "text", F.coalesce("repeats", none).alias("repeats")))
+
+
+def add_batch(index: FingerprintIndex, batch: DataFrame, history: DataFrame | None = None) -> DataFrame:
+    """(key_a, key_b, begin, end): the repeats that a batch of documents brings about.
+
+    history: the documents that the index has taken in before, whose windows
+    may be repeats from now on too. Together with what earlier calls gave, the
+    rows are the repeats of all documents.
+    """
+    text_batches(index.spark)
+    steady(index.spark)
+    rows = _keyed(batch)
+    hits = index.add(rows.select("text"))
+    return stored(repeats(rows if history is None else _keyed(history).unionByName(rows), hits), "batch-repeats")
+
+
 def dedup(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     """(doc_id, n_words, n_removed, kept) of all documents.
 
-    They are taken into a fresh index in batches, by a hash of their rows.
+    They are taken into a fresh index in batches, by a hash of their rows; what
+    the index has met is verified once, when all are in.
     """
     spark = docs.sparkSession
     text_batches(spark)
     steady(spark)
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    keyed = _keyed(docs)
     index = FingerprintIndex(spark)
     hits = None
     for i in range(batches):
-        found = index.add(rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)) == i))
+        found = index.add(keyed.where(F.pmod("key_a", F.lit(batches)) == i).select("text"))
         hits = found if hits is None else hits.unionByName(found)
     hits = stored(hits.distinct(), "all-hits")
     index.drop()
-    keyed = rows.withColumn("key", F.xxhash64("doc_id", "text"))
-    places = _windows_of(keyed.select("key", "text")).join(hits, "fingerprint", "left_semi")
-    lists = lambda df: df.groupBy("key").agg(F.collect_set(F.struct("fingerprint", "begin", "end")).alias("stretches"))
-    found = stored(digests(keyed.join(lists(places), "key").select("key", "text", "stretches"), False), "stretches")
-    content = ["fingerprint", "digest_a", "digest_b"]
-    wordings = stored(found.groupBy(*content).agg(F.count("*").alias("n"), F.min(F.struct("key", "begin", "end")).alias("one")), "wordings")
-    several = wordings.groupBy("fingerprint").agg(F.count("*").alias("k")).where("k > 1").select("fingerprint")
-    ones = wordings.join(several, "fingerprint", "left_semi").select("fingerprint", "one.*", "n")
-    each = stored(digests(keyed.join(lists(ones), "key").select("key", "text", "stretches"), True), "windows")
-    twice = each.groupBy("digest_a", "digest_b").agg(F.count("*").alias("k")).where("k > 1").select("digest_a", "digest_b")
-    # windows of a wording that stands once; those of the others are repeats anyway
-    alone = each.join(twice, ["digest_a", "digest_b"], "left_semi").select("key", "begin", "end")
-    copied = found.join(wordings.where("n > 1").select(*content), content, "left_semi").select("key", "begin", "end")
-    repeats = copied.unionByName(alone).groupBy("key").agg(F.collect_set(F.struct("begin", "end")).alias("repeats"))
-    none = F.array().cast("array<struct<begin:int,end:int>>")
-    return removed(keyed.join(repeats, "key", "left").select("doc_id", "text", F.coalesce("repeats", none).alias("repeats")))
+    return without(keyed, repeats(keyed, hits))
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,17 +7,19 @@ to one of 2^20 buckets and counts once a text. The machine scores
     w0 + sum_i w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j
 
 so that a pair of terms (an insult with the mention of a group) can weigh more
-than its two parts. Buckets enter the model if labels depend on them: the
-`max_terms` of the greatest chi-squared statistic over the training rows.
+than its two parts. Every bucket that `min_rows` training rows or more have is in
+the model, however little it says by itself; an L1 penalty on weights and factors
+takes those back to nought that help neither alone nor in pairs.
 
-Training takes at most `max_labelled` labelled rows, those with the smallest
-hash of doc_id, and runs on the driver over their at most max_terms bits each;
-both bounds are parameters. Scoring reads every whole text, in tasks.
+Training takes at most `max_labelled` labelled doc_ids, those of the smallest hash,
+one text of each, and of these as many as have `max_terms` terms together. So much
+comes to the driver and is fitted there by mini-batches that touch the batch's
+terms only; both bounds are parameters. Scoring reads every whole text, in tasks.
 
 Defined cases: null and empty texts have no terms and score sigmoid(w0); labels
 that are null, and those of unknown documents, are left out; several labels of
-one doc_id count as toxic if any is; with no labelled row at all every score is
-0. Only doc_id and text of the documents are read, so other columns can't clash.
+one doc_id count as toxic if any is; of several texts under one doc_id that of the
+smallest hash is learnt from; with no labelled row at all every score is 0. Only doc_id and text of the documents are read, so other columns can't clash.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_batches
+from .common import packed, text_batches
 from .textkernels import mix, span_hashes, words
 
 BUCKETS = 1 << 20
@@ -91,55 +93,76 @@ def terms_of(df: DataFrame) -> DataFrame:
     return df.select("doc_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic int, terms array<int>")
 
 
-def _trained(rows: list, terms: np.ndarray, factors: int, epochs: int, seed: int) -> Machine:
-    """Adagrad on the log loss over mini-batches; rows hold (toxic, indices into terms)."""
+def _trained(toxic: np.ndarray, sizes: np.ndarray, buckets: np.ndarray, min_rows: int, factors: int, visits: int, passes: int, seed: int) -> Machine:
+    """Adagrad on the log loss with an L1 penalty, over mini-batches.
+
+    toxic, sizes: of each row; buckets: the rows' distinct terms, one row after
+    another. Rows are gone through until `visits` have been seen, or `passes` times.
+    """
     rng = np.random.default_rng(seed)
-    y = np.array([r[0] for r in rows], float)
-    x = np.zeros((len(rows), len(terms)), np.uint8)
-    for i, (_, at) in enumerate(rows):
-        x[i, at] = 1
+    y = toxic.astype(float)
+    terms = np.flatnonzero(np.bincount(buckets, minlength=BUCKETS) >= min_rows)
+    index = np.full(BUCKETS, -1, np.int32)
+    index[terms] = np.arange(len(terms))
+    at, row = index[buckets], np.repeat(np.arange(len(y)), sizes)
+    row, at = row[at >= 0], at[at >= 0]
+    ends = np.concatenate([[0], np.bincount(row, minlength=len(y)).cumsum()])
     share = (y.sum() + 0.5) / (len(y) + 1)
-    b, w, v = float(np.log(share / (1 - share))), np.zeros(len(terms)), rng.normal(0, 0.02, (len(terms), factors))
+    b, w, v = float(np.log(share / (1 - share))), np.zeros(len(terms)), rng.normal(0, 0.02, (factors, len(terms)))
     gb, gw, gv = 1e-3, np.full(len(w), 1e-3), np.full(v.shape, 1e-3)
-    rate, decay, step = 0.15, 2e-5, 256
-    for _ in range(epochs):
+    rate, penalty, step = 0.15, 1e-3, 256
+
+    def moved(x: np.ndarray, squares: np.ndarray, slope: np.ndarray, speed: float) -> np.ndarray:
+        pace = speed / np.sqrt(squares)
+        x = x - pace * slope
+        return np.sign(x) * np.maximum(np.abs(x) - pace * penalty, 0)
+
+    for _ in range(min(passes, -(-visits // len(y)))):
         order = rng.permutation(len(y))
         for part in np.split(order, range(step, len(order), step)):
-            xs = x[part].astype(float)
-            sums = xs @ v
-            z = b + xs @ w + 0.5 * ((sums**2).sum(1) - xs @ (v**2).sum(1))
-            err = (1 / (1 + np.exp(-np.clip(z, -60, 60))) - y[part]) / len(part)
-            db, dw = err.sum(), xs.T @ err + decay * w
-            dv = xs.T @ (err[:, None] * sums) - v * (xs.T @ err)[:, None] + decay * v
-            gb, gw, gv = gb + db**2, gw + dw**2, gv + dv**2
-            b, w, v = b - rate * db / np.sqrt(gb), w - rate * dw / np.sqrt(gw), v - 0.2 * rate * dv / np.sqrt(gv)
-    return Machine(terms, b, w, v)
-
-
-def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 12_000, max_terms: int = 1_024, factors: int = 6, epochs: int = 12, seed: int = 11) -> Machine:
-    """Fit a machine to at most max_labelled rows of labels (doc_id, toxic)."""
+            m, size = len(part), ends[part + 1] - ends[part]
+            mine = np.repeat(np.arange(m), size)
+            cols, own = np.unique(at[np.repeat(ends[part] - size.cumsum() + size, size) + np.arange(size.sum())], return_inverse=True)
+            z, sums = b + np.bincount(mine, w[cols][own], m), []
+            for f in range(factors):
+                vf = v[f, cols][own]
+                sums.append(np.bincount(mine, vf, m))
+                z = z + 0.5 * (sums[f] ** 2 - np.bincount(mine, vf * vf, m))
+            err = (1 / (1 + np.exp(-np.clip(z, -60, 60))) - y[part]) / m
+            each = err[mine]
+            dw, db = np.bincount(own, each, len(cols)), err.sum()
+            gb += db * db
+            b -= rate * db / np.sqrt(gb)
+            gw[cols] += dw**2
+            w[cols] = moved(w[cols], gw[cols], dw, rate)
+            for f in range(factors):
+                dv = np.bincount(own, each * sums[f][mine], len(cols)) - v[f, cols] * dw
+                gv[f, cols] += dv**2
+                v[f, cols] = moved(v[f, cols], gv[f, cols], dv, 0.2 * rate)
+    used = (w != 0) | (v != 0).any(0)
+    return Machine(terms[used], b, w[used], v[:, used].T.copy())
+
+
+def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 12_000, max_terms: int = 16_000_000, min_rows: int = 3, factors: int = 6, visits: int = 120_000, passes: int = 40, seed: int = 11) -> Machine:
+    """Fit a machine to at most max_labelled texts, of max_terms terms in all, with labels (doc_id, toxic)."""
     text_batches(docs.sparkSession)
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     sample = known.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(max_labelled)
     # max_labelled rows of two numbers: a proven bound for the broadcast
-    found = terms_of(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")).persist()
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
+    one = found.groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("one")).select("doc_id", "toxic", F.col("one.text").alias("text"))
+    rows = terms_of(one).persist()
     try:
-        n, n1 = found.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-        if not n:
+        order = rows.select("doc_id", F.size("terms").alias("n")).orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").collect()  # max_labelled rows at most
+        fit = int((np.cumsum([r.n for r in order]) <= max_terms).sum())
+        if not fit:
             return Machine()
-        by_term = found.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n"), F.sum("toxic").alias("a"))
-        n0 = n - n1
-        # chi-squared of the 2 x 2 table of term by label
-        a, b = F.col("a"), F.col("n") - F.col("a")
-        c, d = F.lit(n1) - a, F.lit(n0) - b
-        chi = n * F.pow(a * d - b * c, F.lit(2)) / F.greatest((a + b) * (c + d) * F.lit(float(max(n1 * n0, 1))), F.lit(1.0))
-        chosen = by_term.where("n >= 3").orderBy(chi.desc(), "term").limit(max_terms).select("term")
-        terms = np.array(sorted(r.term for r in chosen.collect()), np.int64)  # max_terms rows at most
-        wanted = F.array(*[F.lit(int(t)) for t in terms]) if len(terms) else F.array().cast("array<int>")
-        rows = found.select("doc_id", "toxic", F.array_sort(F.array_intersect("terms", wanted)).alias("terms")).orderBy("doc_id").collect()
-        return _trained([(r.toxic, np.searchsorted(terms, r.terms)) for r in rows], terms, factors, epochs, seed)
+        chosen = rows if fit == len(order) else rows.join(F.broadcast(rows.sparkSession.createDataFrame([(r.doc_id,) for r in order[:fit]], "doc_id long")), "doc_id")
+        got = chosen.orderBy("doc_id").toArrow()  # max_terms numbers at most
     finally:
-        found.unpersist()
+        rows.unpersist()
+    lists = got.column("terms").combine_chunks()
+    return _trained(got.column("toxic").to_numpy(), lists.value_lengths().to_numpy(), lists.flatten().to_numpy(), min_rows, factors, visits, passes, seed)
 
 
 def score(docs: DataFrame, machine: Machine, text: str = "text", out: str = "score") -> DataFrame:
@@ -176,4 +199,4 @@ def judged(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
 def clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that the machine doesn't reject, with their columns."""
     machine = train(docs, labels.where(~held_out()))
-    return score(docs, machine, out="__toxicity").where(F.col("__toxicity") < threshold).drop("__toxicity")
+    return score(packed(docs), machine, text="row.text").where(F.col("score") < threshold).select("row.*")

@@ -5,6 +5,12 @@ with nothing left; of each group of near-equal documents one stays; documents
 contaminated by the benchmark go; the rest is encoded to token ids and decoded.
 A stage works on what the one before it kept, and all but the last return the
 columns of documents.
+
+Defined cases: a document with a null, empty or blank text passes every stage, as
+nothing in it is toxic, repeated or contaminated, and gets no ids; rows that repeat a
+document in full, and rows of one text under other ids, end as one row; of several
+texts under one doc_id each is judged by itself; with no documents no row is left;
+columns beside those of documents are kept until the last stage, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +29,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return linededup.clean(docs).withColumn("n_chars", F.char_length("text").cast("long"))
+    return linededup.clean(docs).withColumn("n_chars", F.coalesce(F.char_length("text").cast("long"), F.col("n_chars")))
 
 
 def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,10 +42,10 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Per document its ids, and digests of the ids and of the text they decode to."""
-    text_batches(spark, 1024)
+    text_batches(spark)
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     rows = docs.select("doc_id", "lang", "source", F.coalesce("text", F.lit("")).alias("text"))
-    coded = bpe.decode(bpe.encode(rows, path, pattern), path, pattern)
+    coded = bpe.coded(rows, path, pattern)
     ids = F.col("ids")
     return coded.select("doc_id", "lang", "source", F.size(ids).cast("long").alias("n_tokens"), ids, sha256_hex(bpe.ids_text(ids)).alias("ids_sha256"), sha256_hex(F.col("raw")).alias("decoded_sha256"))
 
@@ -52,7 +58,7 @@ STAGES = [
     ("bpe", tokenize),
 ]
 
-#: A trained model and a tokenizer have no SQL; the stages are tested one by one instead.
+#: A trained model and a tokenizer have no SQL; tests/llm compares each stage and the whole with brute force.
 ORACLE_SQL = None
 
 

@@ -820,6 +820,60 @@ def weights_drift(spark, d):
     return rounded(stress.weights_drift(_w(panel), target))
 
 
+@query("SELECT bar_idx, asset, round((close / lag(close) OVER (PARTITION BY asset ORDER BY bar_idx) - 1) * 100, 6) AS pct FROM p")
+def daily_pct(spark, d):
+    return rounded(stress.daily_pct(P(spark, d)))
+
+
+_ASSETS = ("AF", "AO", "NF", "NO", "RF", "RO")
+
+
+@query("SELECT a, " + ", ".join(f"round(max(rho) FILTER (b = '{x}'), 6) AS \"{x}\"" for x in _ASSETS) + " FROM cov GROUP BY a")
+def correlation_heatmap(spark, d):
+    return rounded(stress.correlation_matrix(risk.correlations(P(spark, d)), list(_ASSETS)))
+
+
+@query("""SELECT bar_idx, layer, severity, asset, round(metric, 5) AS metric, rank FROM (SELECT *, row_number() OVER (ORDER BY CASE severity WHEN 'CRITICAL' THEN 0 WHEN 'WARNING' THEN 1 ELSE 2 END, metric DESC, asset, layer) AS rank
+  FROM kept WHERE bar_idx = (SELECT max(bar_idx) FROM kept)) WHERE rank <= 12""")
+def anomaly_feed(spark, d):
+    return rounded(stress.feed(_events(P(spark, d), SQL_LAYERS)).select("bar_idx", "layer", "severity", "asset", "metric", "rank"), 5)
+
+
+@query("""SELECT bin, count(*) AS n, round(min(pr), 8) AS low FROM (SELECT pr, least(floor((pr - lo) / ((hi - lo) / 55)), 54)::INT AS bin FROM pr, (SELECT min(pr) AS lo, max(pr) AS hi FROM pr)) GROUP BY bin""")
+def return_histogram(spark, d):
+    return rounded(stress.histogram(risk.portfolio_of(P(spark, d)), "pr"), 8)
+
+
+@query("SELECT bar_idx, round(corr_z, 4) + 0.0 AS corr_z, bucket FROM z ORDER BY bar_idx DESC LIMIT 250")
+def overlay_tail(spark, d):
+    return rounded(stress.tail_rows(features.corr_z_path(P(spark, d)), 250).select("bar_idx", "corr_z", "bucket"), 4)
+
+
+@query("SELECT bar_idx, round(corr_z, 4) + 0.0 AS corr_z, bucket FROM (SELECT *, row_number() OVER (ORDER BY bar_idx) - 1 AS k, count(*) OVER () AS n FROM z) WHERE k % greatest(1, n // 500) = 0")
+def overlay_thinned(spark, d):
+    return rounded(stress.downsampled(features.corr_z_path(P(spark, d)), 500).select("bar_idx", "corr_z", "bucket"), 4)
+
+
+@query(f"SELECT horizon, alpha, round(h.var * 100, 4) AS hs, round(m.var * 100, 4) AS mc FROM ({_QUERIES['hs_var_cvar_grid'][1]}) h JOIN ({_QUERIES['mc_var_analytic'][1]}) m USING (horizon, alpha)")
+def var_grid(spark, d):
+    panel = P(spark, d)
+    made = risk.historical(risk.portfolio_horizons(panel, _w(panel)), ["panel", "horizon"], "x", DEFAULT.var_alphas).select("panel", "horizon", "alpha", "var", F.lit("hs").alias("method"))
+    made = made.unionByName(risk.monte_carlo_analytic(panel, _w(panel)).select("panel", "horizon", "alpha", "var", F.lit("mc").alias("method")))
+    return rounded(stress.var_grid(made.withColumn("var", F.round("var", 6))), 4)
+
+
+@query(f"SELECT asset, shock FROM (SELECT asset, shock, row_number() OVER (ORDER BY abs(shock) DESC, asset) AS k FROM ({_QUERIES['reverse_stress'][1]})) WHERE k <= 3")
+def reverse_stress_top(spark, d):
+    panel = P(spark, d)
+    return rounded(stress.largest(stress.reverse_stress(_w(panel), features.sample_covariance(panel), -0.1), "shock", 3).select("asset", "shock"))
+
+
+@query("SELECT bar_idx, CASE WHEN move > 0.05 THEN 'up' WHEN move < -0.05 THEN 'down' ELSE 'flat' END AS arrow FROM (SELECT bar_idx, corr_z - lag(corr_z) OVER (ORDER BY bar_idx) AS move FROM z)")
+def corr_z_arrow(spark, d):
+    path = features.corr_z_path(P(spark, d))
+    return path.select("bar_idx", stress.arrow(F.col("corr_z") - F.lag("corr_z").over(features.series())).alias("arrow"))
+
+
 @query()
 def snapshot(spark, d):
     return stress.snapshot(_decided(spark, d).drop("secondary"))

@@ -220,6 +220,22 @@ def test_jaccard_join_against_brute_force(spark, awkward):
     assert setjoin.joined(df.limit(0)).count() == 0
 
 
+def test_jaccard_join_recall(spark):
+    """Pairs barely similar enough, among texts that share a passage, through small leaves."""
+    rng = random.Random(14)
+    passage, rows = sentence(rng, 45), []
+    for _ in range(120):
+        w = [f"{rng.choice(WORD)}{rng.randrange(9)}" for _ in range(100)]
+        other = list(w)
+        other[20], other[70] = "changed", "words"
+        rows += [(len(rows), " ".join(w)), (len(rows) + 1, " ".join(other))]
+    rows += [(len(rows) + i, " ".join(f"{rng.choice(WORD)}{rng.randrange(9)}" for _ in range(40)) + " " + passage) for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sum(x[2] for x in linked(rows))
+    got = setjoin.joined(df, leaf=8).agg(F.sum("n_links")).first()[0]
+    assert want >= 240 and 0.995 * want <= got <= want
+
+
 def test_decontamination_against_brute_force(spark, awkward):
     docs = texts(awkward)
     long = next(t for d, t in docs if d == 11).split()
@@ -312,6 +328,47 @@ def test_fingerprints_against_brute_force(awkward):
     assert one.f == order_minhash(loop)
 
 
+def agreement(a, b):
+    """The share of four-digit values that two fingerprints have in common."""
+    if not a or not b:
+        return float(a == b)
+    return sum(a[i : i + 4] == b[i : i + 4] for i in range(0, len(a), 4)) / 64
+
+
+def test_likeness_follows_edits_and_order(spark):
+    rng = random.Random(12)
+    rows = []
+    for g in range(24):
+        base = [f"v{rng.randrange(5000)}" for _ in range(400)]
+        rows.append((g, -1, " ".join(base), " ".join(base)))
+        for changes in (2, 8, 24, 60):
+            w = list(base)
+            for at in rng.sample(range(400), changes):
+                w[at] = f"x{rng.randrange(5000)}"
+            rows.append((g, changes, " ".join(base), " ".join(w)))
+        blocks = [base[i : i + 20] for i in range(0, 400, 20)]
+        rng.shuffle(blocks)
+        rows.append((g, 1000, " ".join(base), " ".join(x for b in blocks for x in b)))
+    df = spark.createDataFrame(rows, "g int, changes int, a string, b string").repartition(8)
+    near = {r.changes: r.n for r in df.groupBy("changes").agg(F.avg(orderhash.likeness(orderhash.fingerprint(F.col("a")), orderhash.fingerprint(F.col("b")))).alias("n")).collect()}
+    assert near[-1] == 1.0 > near[2] > near[8] > near[24] > near[60]
+    # swapped blocks keep four of five k-mers, as 17 changed words do, but not their order
+    kept = 4 / 5
+    assert near[1000] < 0.8 * kept / (2 - kept) and near[1000] < near[8]
+
+
+def test_texts_are_exchanged_once(spark, awkward):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = orderhash.compared(awkward)
+        got.collect()
+        final = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert final.count("ReusedExchange") == 2 and final.count("REPARTITION_BY_COL") == 3
+
+
 def test_edited_texts(spark, awkward):
     df = awkward.where("doc_id is not null and doc_id != 10")
     docs = sorted(texts(df), key=lambda x: -x[0])
@@ -324,6 +381,10 @@ def test_edited_texts(spark, awkward):
     by = {r.doc_id: r for r in got}
     assert by[1].fingerprint == by[2].fingerprint and by[2].near_next == 1.0 and 0 <= by[11].near_edited < 1
     assert by[5].fingerprint == "" and by[5].near_next == 1.0 and by[7].near_next == 0.0
+    for i, (d, t) in enumerate(docs):
+        after = docs[(i + 1) % len(docs)][1]
+        near = [agreement(order_minhash(t), order_minhash(x)) for x in (t[: len(t) - len(t) // 3] + after[: len(t) // 3], after)]
+        assert [by[d].near_edited, by[d].near_next] == pytest.approx(near), d
     assert orderhash.compared(awkward).count() == awkward.count()
     assert orderhash.compared(awkward.limit(0)).count() == 0
 

@@ -335,6 +335,16 @@ def cornish_fisher_multiplier(spark, d):
     return rounded(risk.tail_shape(risk.portfolio_of(P(spark, d))), 5)
 
 
+#: The multiplier of cornish_fisher_multiplier, not rounded.
+_TAIL = f"""SELECT abs((z + (z * z - 1) * skew / 6 + (z * z * z - 3 * z) * kurt / 24 - (2 * z * z * z - 5 * z) * skew * skew / 36) / z) AS tail FROM (
+  SELECT {_Z[0.99]!r}::DOUBLE AS z, avg(pow(pr - mu, 3)) / pow(avg(pow(pr - mu, 2)), 1.5) AS skew, avg(pow(pr - mu, 4)) / pow(avg(pow(pr - mu, 2)), 2) - 3 AS kurt FROM (SELECT pr, avg(pr) OVER () AS mu FROM pr))"""
+
+
+def _with_tail(panel: DataFrame, bars: DataFrame) -> DataFrame:
+    """bars with tail, the panel's measured multiplier."""
+    return bars.join(F.broadcast(risk.tail_shape(risk.portfolio_of(panel)).select("panel", F.col("multiplier").alias("tail"))), "panel")
+
+
 _RC = "SELECT a AS asset, 1.0 / any_value(k) AS w, sum(cov / k) / any_value(k) AS p FROM cov, k GROUP BY 1"
 
 
@@ -617,19 +627,22 @@ def driver_masses(spark, d):
     return decide.traced(bars.withColumn("vol_ann", F.col("ann_vol"))).select("bar_idx", F.array_join("lines", " | ").alias("lines"), "conclusion")
 
 
-@query("SELECT bar_idx, round(CASE WHEN hedge THEN least(0.35, greatest(0, beta * 0.4)) ELSE 0 END, 6)::DOUBLE AS notional, CASE WHEN hedge THEN 'corr_or_stress_hedge' ELSE 'none' END AS notes FROM dc, (SELECT avg(beta) AS beta FROM (SELECT x.asset, CASE WHEN x.asset = 'AF' THEN 1.0 ELSE regr_slope(x.lr, y.lr) END AS beta FROM rec x LEFT JOIN (SELECT bar_idx, lr FROM rec WHERE asset = 'AF') y USING (bar_idx) GROUP BY 1))")
+@query(f"""SELECT bar_idx, round(CASE WHEN hedge THEN least(0.35, greatest(0, beta * 0.4)) ELSE 0 END + overlay * 0.5, 6)::DOUBLE AS notional,
+  coalesce(nullif(concat_ws(',', CASE WHEN hedge THEN 'corr_or_stress_hedge' END, CASE WHEN overlay > 0 THEN 'tail_overlay' END), ''), 'none') AS notes
+  FROM dc, (SELECT CASE WHEN tail <= 1.35 THEN 0 ELSE least(0.25, (tail - 1.35) * 0.2) END AS overlay FROM ({_TAIL})),
+  (SELECT avg(beta) AS beta FROM (SELECT x.asset, CASE WHEN x.asset = 'AF' THEN 1.0 ELSE regr_slope(x.lr, y.lr) END AS beta FROM rec x LEFT JOIN (SELECT bar_idx, lr FROM rec WHERE asset = 'AF') y USING (bar_idx) GROUP BY 1))""")
 def hedge_bundle(spark, d):
     panel, bars = _bars(spark, d)
     b = decide.portfolio_beta(features.beta(panel, "AF"), _w(panel))
-    return rounded(decide.hedges(decide.decided(bars).withColumn("tail", F.lit(1.0)).join(b, "panel")).select("bar_idx", "notional", "notes"))
+    return rounded(decide.hedges(_with_tail(panel, decide.decided(bars)).join(b, "panel")).select("bar_idx", "notional", "notes"))
 
 
-@query(f"SELECT type, priority, asset, round(value, 6) AS value FROM (SELECT CASE WHEN s > 0.0625 THEN 'REDUCE_RISK' ELSE 'INCREASE' END AS type, CASE WHEN s > 0.0625 THEN 'HIGH' ELSE 'MEDIUM' END AS priority, asset, s AS value FROM (SELECT asset, p / sum(p) OVER () AS s FROM ({_RC})) WHERE s > 0.0625 OR s < 0.0075 UNION ALL SELECT 'REBALANCE', 'MEDIUM', NULL, v FROM (SELECT max(abs(1 / k - w)) AS v FROM ({_IV}), m, k WHERE bar_idx = m) WHERE v > 0.05 UNION ALL SELECT 'REDUCE_RISK', 'HIGH', NULL, var_99 FROM bv, m WHERE bar_idx = m AND var_99 > 0.05 UNION ALL SELECT 'CORRELATION_ALERT', 'CRITICAL', NULL, avg_corr FROM bv, m WHERE bar_idx = m AND avg_corr > 0.7 UNION ALL SELECT 'DRAWDOWN_STOP', 'CRITICAL', NULL, drawdown FROM bv, m WHERE bar_idx = m AND drawdown < -0.15)")
+@query(f"SELECT type, priority, asset, round(value, 6) AS value FROM (SELECT CASE WHEN s > 0.0625 THEN 'REDUCE_RISK' ELSE 'INCREASE' END AS type, CASE WHEN s > 0.0625 THEN 'HIGH' ELSE 'MEDIUM' END AS priority, asset, s AS value FROM (SELECT asset, p / sum(p) OVER () AS s FROM ({_RC})) WHERE s > 0.0625 OR s < 0.0075 UNION ALL SELECT 'REBALANCE', 'MEDIUM', NULL, v FROM (SELECT max(abs(1 / k - w)) AS v FROM ({_IV}), m, k WHERE bar_idx = m) WHERE v > 0.05 UNION ALL SELECT 'REDUCE_RISK', 'HIGH', NULL, var_99 FROM bv, m WHERE bar_idx = m AND var_99 > 0.05 UNION ALL SELECT 'CORRELATION_ALERT', 'CRITICAL', NULL, avg_corr FROM bv, m WHERE bar_idx = m AND avg_corr > 0.7 UNION ALL SELECT 'DRAWDOWN_STOP', 'CRITICAL', NULL, drawdown FROM bv, m WHERE bar_idx = m AND drawdown < -0.15 UNION ALL SELECT 'HEDGE', 'HIGH', NULL, tail FROM ({_TAIL}) WHERE tail > 1.5)")
 def rebalance_signals(spark, d):
     panel, bars = _bars(spark, d)
     last = lambda df: features.last_bars(df, 1)
     targets = last(portfolio.inverse_vol(portfolio.volatilities(panel))).select("panel", "asset", "w")
-    state = last(bars).withColumn("tail", F.lit(1.0))
+    state = _with_tail(panel, last(bars))
     return rounded(decide.rebalance_signals(state, risk.risk_contributions(features.sample_covariance(panel), _w(panel)), _w(panel), targets))
 
 

@@ -177,7 +177,8 @@ def failure_windows(log: DataFrame, window: int = 5, worst: int = 5) -> DataFram
     ).where(F.col("n") == window)
     ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("panel").orderBy("total", "bar_idx"))).where(F.col("rank") <= worst)
     names = ("CALM", "STRESSED", "TRANSITION")
-    counts = [F.size(F.filter("regimes", lambda x, n=n: x == n)) for n in names]
+    of = lambda name: lambda x: x == name
+    counts = [F.size(F.filter("regimes", of(n))) for n in names]
     mode = F.when(counts[0] >= F.greatest(counts[1], counts[2]), names[0]).when(counts[1] >= counts[2], names[1]).otherwise(names[2])
     severe = F.col("total") < -0.03 * F.sqrt(F.lit(float(window)))
     stressy = F.exists("priorities", lambda p: p.startswith("stress") | (p == "corr_crisis"))

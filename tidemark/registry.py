@@ -766,9 +766,15 @@ def by_regime_perf(spark, d, layers):
     return rounded(out.withColumn("sharpe", F.round("sharpe", 4)), 5)
 
 
-@query("SELECT rank, bar_idx AS begin_idx, e AS end_idx, round(total, 6) AS total FROM (SELECT *, row_number() OVER (ORDER BY total, bar_idx) AS rank FROM (SELECT bar_idx, sum(pnl) OVER w AS total, count(*) OVER w AS n, max(bar_idx) OVER w AS e FROM lg WINDOW w AS (ORDER BY bar_idx ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)) WHERE n = 5) WHERE rank <= 5")
+@query("""SELECT rank, bar_idx AS begin_idx, e AS end_idx, round(total, 6) AS total, concat_ws(',', CASE WHEN mode = 'STRESSED' AND total > 0.01 THEN 'false_stress_candidate' END,
+  CASE WHEN severe AND before = 'CALM' AND NOT stressy THEN 'late_derisk_candidate' END, CASE WHEN severe THEN 'severe_drawdown_window' END, CASE WHEN breaches >= 3 THEN 'var_breach_cluster' END,
+  CASE WHEN list_contains(ps, 'anomaly_suppress') AND total < -0.02 THEN 'anomaly_suppress_stress_persisted' END) AS tags
+  FROM (SELECT *, row_number() OVER (ORDER BY total, bar_idx) AS rank, total < -0.03 * sqrt(5) AS severe, len(list_filter(ps, lambda p: p LIKE 'stress%' OR p = 'corr_crisis')) > 0 AS stressy,
+    CASE WHEN c >= greatest(s, t) THEN 'CALM' WHEN s >= t THEN 'STRESSED' ELSE 'TRANSITION' END AS mode
+  FROM (SELECT bar_idx, sum(pnl) OVER w AS total, count(*) OVER w AS n, max(bar_idx) OVER w AS e, list(priority) OVER w AS ps, sum((var_99 > 0 AND pnl < -var_99)::INT) OVER w AS breaches, lag(regime) OVER (ORDER BY bar_idx) AS before,
+    sum((regime = 'CALM')::INT) OVER w AS c, sum((regime = 'STRESSED')::INT) OVER w AS s, sum((regime = 'TRANSITION')::INT) OVER w AS t FROM lg WINDOW w AS (ORDER BY bar_idx ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)) WHERE n = 5) WHERE rank <= 5""")
 def failure_windows(spark, d):
-    return rounded(research.failure_windows(_log(spark, d)).drop("tags"))
+    return rounded(research.failure_windows(_log(spark, d, SQL_LAYERS)).withColumn("tags", F.concat_ws(",", "tags")))
 
 
 @layered("SELECT many, count(*) AS n, round(avg(v), 8) AS next_vol FROM (SELECT anomalies >= 3 AS many, stddev_samp(pnl) OVER w AS v, count(pnl) OVER w AS k FROM lg WINDOW w AS (ORDER BY bar_idx ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING)) WHERE k = 5 GROUP BY 1")

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.scratch import small, steady, stored
+from ..plans.scratch import dropped, small, steady, stored
 from .common import packed, row_keys, table, text_batches
 from .textkernels import mix, shingles, words
 
@@ -50,7 +50,7 @@ RECALL = 0.9999
 #: Tokens that a set chooses at a node, on average.
 CHOICES = 4.0
 #: Sets that are compared without choosing again.
-LEAF = 96
+LEAF = 512
 #: Tokens of a path below the first level.
 STEPS = 3
 #: Levels of choosing; what is large after the last is compared in blocks.
@@ -331,7 +331,9 @@ def leaves(nodes: DataFrame, sketches: DataFrame, leaf: int, levels: int, paths:
         known = stored(large.join(sketches, "set").select("node", "set", "n", "sketch"), "large-nodes")
         dense = stored(dense_nodes(known), "dense")
         done = done.unionByName(ended(known.join(dense, "node", "left_semi")))
-        below = stored(_sized(children(known.join(dense, "node", "left_anti"), paths)), "nodes")
+        down = stored(children(known.join(dense, "node", "left_anti"), paths), "children")
+        below = stored(_sized(down), "nodes")
+        dropped(down)
         done = done.unionByName(ended(below.where(F.col("n") <= leaf)))
         large = below.where(F.col("n") > leaf)
     return done.unionByName(ended(large))

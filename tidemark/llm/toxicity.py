@@ -101,12 +101,15 @@ def _trained(toxic: np.ndarray, sizes: np.ndarray, buckets: np.ndarray, min_rows
     """
     rng = np.random.default_rng(seed)
     y = toxic.astype(float)
-    terms = np.flatnonzero(np.bincount(buckets, minlength=BUCKETS) >= min_rows)
+    # by parts and in 32 bits, as all this lies in the driver's memory
+    often = sum(np.bincount(part, minlength=BUCKETS) for part in np.array_split(buckets, len(buckets) // 500_000 + 1))
+    terms = np.flatnonzero(often >= min_rows)
     index = np.full(BUCKETS, -1, np.int32)
     index[terms] = np.arange(len(terms))
-    at, row = index[buckets], np.repeat(np.arange(len(y)), sizes)
-    row, at = row[at >= 0], at[at >= 0]
-    ends = np.concatenate([[0], np.bincount(row, minlength=len(y)).cumsum()])
+    at = index[buckets]
+    known = at >= 0
+    ends = np.concatenate([[0], np.cumsum(known, dtype=np.int32)])[np.concatenate([[0], sizes.cumsum()])]
+    at = at[known]
     share = (y.sum() + 0.5) / (len(y) + 1)
     b, w, v = float(np.log(share / (1 - share))), np.zeros(len(terms)), rng.normal(0, 0.02, (factors, len(terms)))
     gb, gw, gv = 1e-3, np.full(len(w), 1e-3), np.full(v.shape, 1e-3)

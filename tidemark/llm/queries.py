@@ -1,4 +1,4 @@
-"""The queries of the ten operators: thin forms that bring results into the columns asked for."""
+"""The queries of the operators: thin forms that bring results into the columns asked for."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontamination, linededup, orderhash, setjoin, substrings, toxicity, urlfilter, warc
+from . import ballhash, bpe, chat, decontamination, dualtree, linededup, orderhash, setjoin, substrings, toxicity, urlfilter, vectorcodes, warc
 from .common import sha256_hex, table, text_batches
 
 
@@ -48,7 +48,7 @@ FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)
 
 
 def queries() -> dict:
-    made = (chat.op1_chat_format, orderhash.op2_order_minhash, urlfilter.op3_url_filter, op4_bpe, substrings.op5_substring_dedup, setjoin.op6_jaccard_join, warc.op7_warc, linededup.op8_line_dedup, op9_toxicity, op10_decontamination)
+    made = (chat.op1_chat_format, orderhash.op2_order_minhash, urlfilter.op3_url_filter, op4_bpe, substrings.op5_substring_dedup, setjoin.op6_jaccard_join, warc.op7_warc, linededup.op8_line_dedup, op9_toxicity, op10_decontamination, dualtree.op11_centroids, ballhash.op12_simhash, vectorcodes.op13_vector_codes)
     return {f.__name__: f for f in made}
 
 
@@ -61,4 +61,6 @@ def oracle_sql() -> dict[str, str]:
         "op7_warc": warc.OP7_SQL,
         "op8_line_dedup": linededup.OP8_SQL,
         "op10_decontamination": OP10_SQL,
+        "op11_centroids": dualtree.OP11_SQL,
+        "op13_vector_codes": vectorcodes.OP13_SQL,
     }

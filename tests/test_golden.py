@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark import config
 from tidemark.functions import kernels
+from tidemark.plans.scratch import stored
 from tidemark.operators import decide, detect, features, portfolio, research, risk, stress
 from tidemark.sources import panels, reports
 
@@ -21,6 +22,8 @@ GOLDEN = {
     "corr_signal_only": (-1.2279, -1.2184, -0.119044, -0.11886, 0.002675, -0.05114, -0.05052),
     "full": (-2.2329, -1.4478, -0.186071, -0.151859, 0.236617, -0.128052, -0.074698),
 }
+#: strategy: share of bars that lose more than the VaR of the weights before them, longest run of such bars
+BREACHES = {"baseline": (0.018587, 1), "vol_target_only": (0.01487, 1), "momentum_naive": (0.022305, 1), "signals_only": (0.003717, 1), "corr_signal_only": (0.01487, 1), "full": (0.003717, 1)}
 
 
 @pytest.fixture(scope="module")
@@ -42,12 +45,14 @@ def bars(panel, tmp_path_factory):
 def test_published_ladder(panel, bars):
     assert bars.where("bar_idx < 400").count() == 269
     assert bars.where("corr_z > 1.5 and bar_idx < 400").count() == 51
-    book = research.backtest(panel, bars, tuple(GOLDEN))
+    s = replace(config.DEFAULT, backtest=replace(config.DEFAULT.backtest, var_draws=1500))
+    book = stored(research.backtest(panel, bars, tuple(GOLDEN), s), "book")
     got = {r.strategy: r for r in research.ladder(book).collect()}
     for name, want in GOLDEN.items():
         r = got[name]
         have = (r.sharpe, r.sharpe_gross, r.max_dd, r.max_dd_gross, r.mean_turnover, r.cagr, r.cagr_gross)
         assert have == pytest.approx(want, abs=1.01e-6), name
+        assert (r.var_breach_rate, r.breach_cluster_max) == pytest.approx(BREACHES[name], abs=1e-6), name
     ends = book.where("strategy = 'signals_only'").agg(F.min_by("equity", "bar_idx"), F.max_by("equity", "bar_idx")).first()
     assert tuple(ends) == pytest.approx((994186.6661, 859370.2972), abs=1e-3)
 

@@ -12,6 +12,7 @@ from tidemark import registry
 from tidemark.functions import kernels
 from tidemark.config import DEFAULT
 from tidemark.operators import features, portfolio, research
+from tidemark.plans.scratch import stored
 
 
 def long_panel(spark, closes):
@@ -139,13 +140,45 @@ def test_stressed_bars_hold_the_least_variance(spark):
     assert len(got) == 39
 
 
+def test_decisions_read_the_var_of_the_weights_held(spark):
+    closes = moving_together(190)
+    closes[60, 2] = np.nan
+    panel = long_panel(spark, closes).withColumn("close", F.when(~F.isnan("close"), F.col("close")))
+    bars = bars_of(spark, [("p", t, "CALM", 0, -2.0 if t % 7 == 0 else 0.0, "normal", 9.0) for t in range(131, 190) if t % 11])
+    s = replace(DEFAULT, risk_limit_var99=0.0268)
+    book = research.backtest(panel, bars, ("momentum_naive", "vol_target_only", "full"), s)
+    log = {(r.strategy, r.bar_idx): r for r in research.backtest_log(book, bars, s).collect()}
+    lr = np.diff(np.log(closes), axis=0)
+    whole = ~np.isnan(lr).any(1)
+    tenth = np.array([i >= 9 and whole[i - 9 : i + 1].all() for i in range(len(lr))])
+    prior = np.full(4, 0.25)
+    for t in (b for b in range(131, 190) if b % 11):
+        have = np.flatnonzero(whole[: t - 1])[-252:]
+        x, own = lr[have] @ (prior / prior.sum()), lr[[i for i in have if tenth[i]]] @ (prior / prior.sum())
+        normal = -kernels.normal_quantile(0.01) * np.sqrt(x.var(ddof=1) + 1e-10 * ((prior / prior.sum()) ** 2).sum()) - own.mean()
+        past = -np.quantile(own, 0.01)
+        r = log["momentum_naive", t]
+        assert (r.var_99, r.hs_var_99) == pytest.approx((normal, past), rel=1e-9) and r.disagreement == (abs(past - normal) / normal > 0.35), t
+        top = np.argsort(-np.nansum(lr[max(0, t - 61) : t - 1], axis=0), kind="stable")[:2]
+        w = np.zeros(4)
+        w[top] = 0.5
+        sigma = np.array([[np.cov(*lr[: t - 1][~np.isnan(lr[: t - 1, [a, b]]).any(1)][:, [a, b]].T)[0, 1] for b in range(4)] for a in range(4)])
+        prior = portfolio.constrained(w * min(0.1 / np.sqrt(sigma.mean() * 252), 1.0), prior, s)
+    full = [r for (name, _), r in log.items() if name == "full"]
+    hot = {r.var_99 > s.risk_limit_var99 for r in full}
+    assert hot == {True, False} and {log["vol_target_only", 131].priority} == {"signals_only_neutral"}
+    for r in full:
+        want = "var_breach_risk" if r.var_99 > s.risk_limit_var99 else "diversification_regime" if r.corr_z < -1 else "normal"
+        assert r.priority == want, r.bar_idx
+
+
 @pytest.mark.parametrize("mode", ["full", "vol_target_only"])
 def test_walk_forward_folds_run_from_the_warm_up(spark, mode):
     rng = np.random.default_rng(11)
-    panel = long_panel(spark, moving_together(291, 3)).localCheckpoint()
+    panel = stored(long_panel(spark, moving_together(291, 3)), "panel")
     regimes = ("CALM", "TRANSITION", "STRESSED")
     z = rng.normal(0, 1.2, 160)
-    bars = bars_of(spark, [("p", 131 + i, regimes[rng.integers(3)], int(rng.integers(5)), float(z[i]), "normal", 0.02) for i in range(160)]).localCheckpoint()
+    bars = bars_of(spark, [("p", 131 + i, regimes[rng.integers(3)], int(rng.integers(5)), float(z[i]), "normal", 0.02) for i in range(160)])
     s = replace(DEFAULT, backtest=replace(DEFAULT.backtest, train_bars=180, test_bars=50))
     got = {r.strategy: r.asDict() for r in research.walk_forward(panel, bars, s, mode).collect()}
     assert set(got) == {"fold_0", "fold_1"}

@@ -89,6 +89,10 @@ class Backtest:
     train_bars: int = 504
     test_bars: int = 63
     rebalance_every: int = 1
+    var_alpha: float = 0.99
+    disagreement: float = 0.35
+    #: Normal draws of the assets' returns a bar for a book's VaR; with none it is what draws tend to.
+    var_draws: int = 0
 
 
 @dataclass(frozen=True)

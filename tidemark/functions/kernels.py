@@ -64,6 +64,22 @@ def mahalanobis(x: np.ndarray) -> float:
     return float(diff @ np.linalg.pinv(np.atleast_2d(np.cov(x, rowvar=False))) @ diff)
 
 
+def cholesky(sigma: np.ndarray, ridge: float = 1e-10) -> np.ndarray:
+    """The lower factor of sigma, or of stacked sigmas, with a ridge; of the nearest semidefinite matrix if sigma has none.
+
+    The repair cuts negative eigenvalues to nought, so that draws keep the covariance in all directions that have one.
+    """
+    sigma = (sigma + np.swapaxes(sigma, -1, -2)) / 2
+    eye = np.eye(sigma.shape[-1])
+    try:
+        return np.linalg.cholesky(sigma + ridge * eye)
+    except np.linalg.LinAlgError:
+        values, vectors = np.linalg.eigh(sigma)
+        fixed = (vectors * np.maximum(values, 0)[..., None, :]) @ np.swapaxes(vectors, -1, -2)
+        size = np.trace(fixed, axis1=-2, axis2=-1)[..., None, None] / len(eye)
+        return np.linalg.cholesky(fixed + np.maximum(ridge, 1e-9 * size) * eye)
+
+
 def absorption(r: np.ndarray) -> float:
     """Share of the largest eigenvalue of a correlation matrix, negative ones cut to 0."""
     values = np.clip(np.linalg.eigvalsh(r), 0, None)

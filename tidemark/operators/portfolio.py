@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from typing import NamedTuple
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
 from ..functions import kernels
+from ..plans.scratch import stored
 from ..sources.panels import by_asset, trailing
 from . import alpha, decide
-from .features import PAIR, YEAR, equal_weights, pairs, returns
+from .features import PAIR, YEAR, equal_weights, pairs, returns, returns_10d
 
 BAR = ["panel", "bar_idx"]
 
@@ -91,68 +96,183 @@ def rolling_covariances(panel: DataFrame, s: Settings = DEFAULT) -> DataFrame:
 MODES = ("baseline", "vol_target_only", "momentum_naive", "placebo_random", "signals_only", "corr_signal_only", "full")
 
 
+class Made(NamedTuple):
+    """What every book of a panel reads; stored once, whatever the number of books."""
+
+    sleeves: DataFrame | None
+    vols: DataFrame
+    forecast: DataFrame
+    lines: DataFrame
+    calmest: DataFrame | None
+
+
+def forecast_vol(panel: DataFrame, s: Settings = DEFAULT) -> DataFrame:
+    """(panel, bar_idx, vol): yearly volatility of the equal-weight portfolio over trailing returns."""
+    cov = rolling_covariances(panel, s)
+    n = panel.select("panel", "asset").distinct().groupBy("panel").agg(F.count("*").alias("n"))
+    term = F.col("cov") * F.when(F.col("a") == F.col("b"), 1).otherwise(2)
+    return cov.join(n, "panel").groupBy(*BAR).agg((F.sqrt(F.sum(term) / F.pow(F.first("n"), 2)) * F.sqrt(F.lit(float(YEAR)))).alias("vol"))
+
+
+def made(panel: DataFrame, bars: DataFrame, modes: tuple = MODES, s: Settings = DEFAULT) -> Made:
+    """The parts that books of these modes share."""
+    sleeves = stored(alpha.sleeves(panel, s), "sleeves") if {"signals_only", "full"} & {*modes} else None
+    calmest = stored(least_variance(panel, bars, s), "least-variance") if "full" in modes else None
+    return Made(sleeves, stored(volatilities(panel), "volatilities"), stored(forecast_vol(panel, s), "forecast"), stored(return_lines(panel), "return-lines"), calmest)
+
+
 def raw_targets(panel: DataFrame, bars: DataFrame, mode: str, s: Settings = DEFAULT, by_regime: bool = True, by_anomaly: bool = True, use_decision: bool = True, sleeves: DataFrame | None = None, vols: DataFrame | None = None) -> DataFrame:
-    """(panel, bar_idx, asset, w): what a mode wants to hold, before constraints.
+    """(panel, bar_idx, asset, w, w_hot, regime): what a mode wants to hold, before constraints.
 
-    bars: one row a bar with regime, anomalies, corr_z, bucket, var_99. Only `full` reads decisions.
+    w_hot: the same if the VaR of the weights held is beyond its limit; it may differ from w for `full`
+    only, which alone reads decisions. bars: one row a bar with regime, anomalies, corr_z, bucket.
     sleeves, vols: alpha.sleeves and volatilities of the panel, if they are made already.
     """
+    plain = lambda rows: rows.select(*BAR, "asset", "w", F.col("w").alias("w_hot"), F.lit("CALM").alias("regime"))
     if mode == "baseline":
-        return panel.join(bars.select(*BAR), BAR).join(equal_weights(panel), ["panel", "asset"]).select(*BAR, "asset", "w")
+        return plain(panel.join(bars.select(*BAR), BAR).join(equal_weights(panel), ["panel", "asset"]))
     if mode == "vol_target_only":
-        return inverse_vol(volatilities(panel)).select(*BAR, "asset", "w")
+        return plain(inverse_vol(volatilities(panel) if vols is None else vols))
     if mode == "momentum_naive":
-        return top_momentum(panel, s=s)
+        return plain(top_momentum(panel, s=s))
     if mode == "placebo_random":
         noise = F.sqrt(-2 * F.log((F.abs(F.xxhash64(F.lit(s.seed), "bar_idx", "asset")) % 999_983 + 1) / 999_984.0)) * F.cos(F.lit(2 * np.pi) * (F.abs(F.xxhash64("asset", "bar_idx", F.lit(s.seed))) % 999_983) / 999_983.0)
-        return from_signals(panel.select(*BAR, "asset", noise.alias("signal")), s).select(*BAR, "asset", "w")
+        return plain(from_signals(panel.select(*BAR, "asset", noise.alias("signal")), s))
     signals = alpha.correlation_only(panel, bars, s) if mode == "corr_signal_only" else alpha.combined(alpha.sleeves(panel, s) if sleeves is None else sleeves, bars, s)
-    chosen = decide.decided(bars, s) if mode == "full" and use_decision else decide.neutral(bars)
-    rows = signals.drop("bar_date", "bucket").join(chosen, BAR).join(volatilities(panel) if vols is None else vols, [*BAR, "asset"])
-    gated = rows.withColumn("signal", decide.applied(F.col("signal") * alpha.gate(F.col("regime"), F.col("anomalies"), by_regime, by_anomaly)))
-    return signal_inverse_vol(gated).select(*BAR, "asset", "w", *(["regime"] if mode == "full" else []))
-
-
-def book(panel: DataFrame, targets: DataFrame, forecast: DataFrame, s: Settings = DEFAULT, use_target: bool = True, calmest: DataFrame | None = None) -> DataFrame:
-    """(strategy, panel, bar_idx, equity, gross_equity, turnover, pnl, w_sum): the fold over bars.
-
-    targets: (strategy, panel, bar_idx, asset, w [, regime]); forecast: (panel,
-    bar_idx, vol), the equal-weight portfolio's yearly volatility; calmest: what
-    STRESSED bars hold instead of their targets (least_variance). Each bar's weights earn the return to the next bar. Turnover caps make a bar depend on
-    the one before, so a group is one strategy of one panel, with arrays of its
-    bars; strategies, panels, folds and ablations run side by side.
+    deciding = mode == "full" and use_decision
+    rows = signals.drop("bar_date", "bucket").join(decide.either(bars, s) if deciding else decide.neutral(bars), BAR).join(volatilities(panel) if vols is None else vols, [*BAR, "asset"])
+    gated = F.col("signal") * alpha.gate(F.col("regime"), F.col("anomalies"), by_regime, by_anomaly)
+    if not deciding:
+        out = signal_inverse_vol(rows.withColumn("signal", decide.applied(gated)))
+        return plain(out) if mode != "full" else out.select(*BAR, "asset", "w", F.col("w").alias("w_hot"), "regime")
+    both = rows.withColumn("__cool", decide.applied(gated, "cool.")).withColumn("__hot", decide.applied(gated, "hot."))
+    cool = signal_inverse_vol(both, "__cool").withColumnRenamed("w", "__w")
+    return signal_inverse_vol(cool, "__hot").select(*BAR, "asset", F.col("__w").alias("w"), F.col("w").alias("w_hot"), "regime")
+
+
+def return_lines(panel: DataFrame) -> DataFrame:
+    """(panel, bar_idx, names, lr, next, whole, whole_10): one row a bar.
+
+    names are the panel's assets in order; lr and next hold each one's return to the bar and from it to the next
+    one, NaN where unknown; whole and whole_10 say whether all assets have theirs over 1 and 10 bars.
+    """
+    names = panel.groupBy("panel").agg(F.array_sort(F.collect_set("asset")).alias("names"))
+    r = returns_10d(panel).withColumn("next", F.lead("lr").over(by_asset()))
+    rows = r.groupBy(*BAR).agg(F.map_from_entries(F.collect_list(F.struct("asset", F.struct("lr", "next")))).alias("x"), F.count("lr").alias("n"), F.count("lr10").alias("n10")).join(names, "panel")
+    each = lambda c: F.transform("names", lambda a: F.coalesce(F.element_at("x", a)[c], F.lit(float("nan"))))
+    whole = F.col("n") == F.size("names")
+    return rows.select(*BAR, "names", each("lr").alias("lr"), each("next").alias("next"), whole.alias("whole"), (whole & (F.col("n10") == F.size("names"))).alias("whole_10"))
+
+
+class VarOfWeights:
+    """The VaR of any weights over a ring of the last complete bars' returns."""
+
+    def __init__(self, assets: int, s: Settings, least: int = 30, ridge: float = 1e-10) -> None:
+        self.ring, self.tenth = np.zeros((s.corr.cov_window, assets)), np.zeros(s.corr.cov_window, bool)
+        self.n, self.least, self.ridge, self.alpha, self.limit = 0, least, ridge, s.backtest.var_alpha, s.backtest.disagreement
+        self.z = -kernels.normal_quantile(1 - self.alpha)
+        self.draws, self.random = s.backtest.var_draws, np.random.default_rng(s.seed)
+
+    def add(self, returns: np.ndarray, tenth: bool) -> None:
+        at = self.n % len(self.ring)
+        self.ring[at], self.tenth[at] = returns, tenth
+        self.n += 1
+
+    def of(self, w: np.ndarray) -> tuple[float | None, float | None, bool]:
+        """(VaR of normal returns, historical VaR, whether they are far apart) of weights brought to a sum of 1.
+
+        Normal returns are drawn for all assets if the settings ask for draws. Moments are those of the ring; means and history are of bars that have
+        returns over 10 bars too. With fewer than `least` such bars there is no history, and the mean counts as 0.
+        """
+        k = min(self.n, len(self.ring))
+        if k < 2:
+            return None, None, False
+        total = w.sum()
+        w = w / total if total > 1e-12 else np.full(len(w), 1 / len(w))
+        x = self.ring[:k] @ w
+        own = x[self.tenth[:k]]
+        if len(own) < self.least:
+            return self.z * float(np.sqrt(x.var(ddof=1))), None, False
+        normal = self._drawn(w, k) if self.draws else self.z * float(np.sqrt(x.var(ddof=1) + self.ridge * (w @ w))) - float(own.mean())
+        past = -float(np.quantile(own, 1 - self.alpha))
+        return normal, past, abs(past - normal) / max(normal, 1e-8) > self.limit
+
+
+    def _drawn(self, w: np.ndarray, k: int) -> float:
+        factor = kernels.cholesky(np.atleast_2d(np.cov(self.ring[:k].T)), self.ridge)
+        mean = self.ring[:k][self.tenth[:k]].mean(0)
+        own = w @ (mean[:, None] + factor @ self.random.standard_normal((len(w), self.draws)))
+        self.random.standard_normal((len(w), self.draws))  # those of 10 bars, which no decision reads
+        return -float(np.quantile(own, 1 - self.alpha))
+
+
+_BOOK = "strategy string, panel string, bar_idx int, equity double, gross_equity double, turnover double, pnl double, w_sum double, var_99 double, hs_var_99 double, disagreement boolean, rebalanced boolean"
+_ARROW = {"string": pa.string(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}
+_BOOK_ARROW = pa.schema([(n, _ARROW[t]) for n, t in (x.split() for x in _BOOK.split(", "))])
+
+
+def book(lines: DataFrame, targets: DataFrame, forecast: DataFrame, s: Settings = DEFAULT, use_target: bool = True, calmest: DataFrame | None = None) -> DataFrame:
+    """(strategy, panel, bar_idx, equity, gross_equity, turnover, pnl, w_sum, var_99, hs_var_99, disagreement, rebalanced): the fold over bars.
+
+    lines: return_lines of the panel; targets: (strategy, panel, bar_idx, asset, w, w_hot, regime); forecast:
+    (panel, bar_idx, vol), the equal-weight portfolio's yearly volatility; calmest: what STRESSED bars hold
+    instead of their targets (least_variance). var_99 and hs_var_99 are those of the weights held before the bar, over
+    the returns up to it; if var_99 is beyond its limit, the bar's target is w_hot. Each bar's weights earn the return to the next bar.
+
+    VaR and turnover caps make a bar depend on the one before, so a strategy of a
+    panel is one run of rows in bar order; a task reads them one by one and
+    keeps only weights, sums and the ring of returns. Strategies, panels, folds and ablations run side by side.
     """
-    r = returns(panel).withColumn("next", F.lead("lr").over(by_asset())).where("next is not null").select(*BAR, "asset", "next")
-    rows = targets.join(r, [*BAR, "asset"]).join(forecast, BAR)
+    strategies = targets.select("strategy", "panel").distinct()
+    rows = targets.join(forecast, BAR)
     if calmest is not None:
         rows = rows.join(calmest.withColumnRenamed("w", "__calm"), [*BAR, "asset"], "left")
-        rows = rows.withColumn("w", F.when(F.col("regime") == "STRESSED", F.coalesce("__calm", F.lit(0.0))).otherwise(F.col("w"))).drop("__calm")
-
-    def fold(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["bar_idx", "asset"])
-        assets = sorted(rows["asset"].unique())
-        w_in, ret = (rows.pivot(index="bar_idx", columns="asset", values=c)[assets] for c in ("w", "next"))
-        vol = rows.groupby("bar_idx")["vol"].first()
-        prior, net, gross, out = np.full(len(assets), 1 / len(assets)), s.backtest.cash, s.backtest.cash, []
-        for i, t in enumerate(w_in.index):
-            x = ret.loc[t].fillna(0.0).to_numpy()
-            if i % s.backtest.rebalance_every:
-                pnl = float(prior @ x)
-                net, gross = net * np.exp(pnl), gross * np.exp(pnl)
-                out.append((*key, int(t), net, gross, 0.0, pnl, float(prior.sum())))
-                continue
-            w = w_in.loc[t].fillna(0.0).to_numpy()
-            if use_target and vol[t] > 1e-12:
-                w = w * min(s.portfolio.target_vol / vol[t], s.portfolio.max_leverage)
-            w = constrained(w, prior, s)
-            turn, pnl = float(np.abs(w - prior).sum()), float(w @ x)
-            net = net * (1 - turn * s.portfolio.cost_bps / 1e4) * np.exp(pnl)
-            gross = gross * np.exp(pnl)
-            out.append((*key, int(t), net, gross, turn, pnl, float(w.sum())))
-            prior = w
-        return pd.DataFrame(out, columns=["strategy", "panel", "bar_idx", "equity", "gross_equity", "turnover", "pnl", "w_sum"])
-
-    return rows.groupBy("strategy", "panel").applyInPandas(fold, "strategy string, panel string, bar_idx int, equity double, gross_equity double, turnover double, pnl double, w_sum double")
+        calm = F.when(F.col("regime") == "STRESSED", F.coalesce("__calm", F.lit(0.0)))
+        rows = rows.withColumn("w", F.coalesce(calm, "w")).withColumn("w_hot", F.coalesce(calm, "w_hot"))
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    held = rows.groupBy("strategy", *BAR).agg(F.map_from_entries(F.collect_list(F.struct("asset", F.struct(zero("w").alias("w"), zero("w_hot").alias("h"))))).alias("t"), F.first("vol").alias("vol"))
+    # bars before the first target and between targets fill the ring
+    ordered = strategies.join(lines, "panel").join(held, ["strategy", *BAR], "left")
+    at = F.transform("names", lambda a: F.element_at("t", a))
+    weights = lambda c: F.when(F.col("t").isNotNull(), F.transform(at, lambda x: zero(x[c])))
+    flat = ordered.select("strategy", *BAR, "lr", "next", "whole", "whole_10", weights("w").alias("w"), weights("h").alias("w_hot"), "vol")
+    sorted_ = flat.repartition("strategy", "panel").sortWithinPartitions("strategy", *BAR)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, out = None, []
+        names = [x.split()[0] for x in _BOOK.split(", ")]
+        for batch in batches:
+            for row in batch.to_pylist():
+                if (row["strategy"], row["panel"]) != key:
+                    key, n = (row["strategy"], row["panel"]), len(row["lr"])
+                    prior, net, gross, i = np.full(n, 1 / n), s.backtest.cash, s.backtest.cash, 0
+                    var = VarOfWeights(n, s)
+                if row["whole"]:
+                    var.add(np.array(row["lr"]), row["whole_10"])
+                x = np.array(row["next"])
+                if row["w"] is None or np.isnan(x).all():
+                    continue
+                x = np.nan_to_num(x)
+                normal, past, apart = var.of(prior)
+                rebalance = i % s.backtest.rebalance_every == 0
+                i += 1
+                w, turn = prior, 0.0
+                if rebalance:
+                    w = np.array(row["w_hot"] if normal is not None and normal > s.risk_limit_var99 else row["w"])
+                    if use_target and row["vol"] > 1e-12:
+                        w = w * min(s.portfolio.target_vol / row["vol"], s.portfolio.max_leverage)
+                    w = constrained(w, prior, s)
+                    turn = float(np.abs(w - prior).sum())
+                pnl = float(w @ x)
+                net = net * (1 - turn * s.portfolio.cost_bps / 1e4) * np.exp(pnl)
+                gross = gross * np.exp(pnl)
+                out.append((*key, row["bar_idx"], net, gross, turn, pnl, float(w.sum()), normal, past, apart, rebalance))
+                prior = w
+            if out:
+                yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in out], schema=_BOOK_ARROW)
+                out = []
+
+    return sorted_.mapInArrow(fold, _BOOK)
 
 
 def holdings(weights: DataFrame, panel: DataFrame, equity: float) -> DataFrame:

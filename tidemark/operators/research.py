@@ -21,28 +21,35 @@ def in_order() -> Window:
     return Window.partitionBy(*STRATEGY).orderBy("bar_idx")
 
 
-def forecast_vol(panel: DataFrame, s: Settings = DEFAULT) -> DataFrame:
-    """(panel, bar_idx, vol): yearly volatility of the equal-weight portfolio over trailing returns."""
-    cov = portfolio.rolling_covariances(panel, s)
-    n = panel.select("panel", "asset").distinct().groupBy("panel").agg(F.count("*").alias("n"))
-    term = F.col("cov") * F.when(F.col("a") == F.col("b"), 1).otherwise(2)
-    return cov.join(n, "panel").groupBy(*BAR).agg((F.sqrt(F.sum(term) / F.pow(F.first("n"), 2)) * F.sqrt(F.lit(float(YEAR)))).alias("vol"))
+def backtest(panel: DataFrame, bars: DataFrame, modes: tuple = portfolio.MODES, s: Settings = DEFAULT, name: str = "", made: portfolio.Made | None = None, **ablation) -> DataFrame:
+    """The book of each mode over bars (regime, anomalies, corr_z, bucket), from the warm-up to the last bar but one.
 
-
-def backtest(panel: DataFrame, bars: DataFrame, modes: tuple = portfolio.MODES, s: Settings = DEFAULT, name: str = "", calmest: DataFrame | None = None, **ablation) -> DataFrame:
-    """The book of each mode over bars (regime, anomalies, corr_z, bucket, var_99), from the warm-up to the last bar but one.
-
-    calmest: portfolio.least_variance, if it is made already; only `full` holds it.
+    made: portfolio.made, if several backtests share it.
     """
     use_target = ablation.pop("use_target", True)
+    made = made or portfolio.made(panel, bars, modes, s)
     targets = None
     for mode in modes:
-        one = portfolio.raw_targets(panel, bars, mode, s, **ablation).join(bars.select(*BAR), BAR).withColumn("strategy", F.lit(name or mode))
-        one = one if "regime" in one.columns else one.withColumn("regime", F.lit("CALM"))
+        one = portfolio.raw_targets(panel, bars, mode, s, sleeves=made.sleeves, vols=made.vols, **ablation).join(bars.select(*BAR), BAR).withColumn("strategy", F.lit(name or mode))
         targets = one if targets is None else targets.unionByName(one)
-    if calmest is None and "full" in modes:
-        calmest = portfolio.least_variance(panel, bars, s)
-    return portfolio.book(panel, targets, forecast_vol(panel, s), s, use_target, calmest)
+    return portfolio.book(made.lines, targets, made.forecast, s, use_target, made.calmest)
+
+
+def backtest_log(book: DataFrame, bars: DataFrame, s: Settings = DEFAULT) -> DataFrame:
+    """book with each bar's regime, correlation and anomalies, and the decision that its own VaR leads to."""
+    own = bars.drop("var_99").join(book, BAR)
+    deciding = decide.decided(own.where("strategy = 'full'"), s)
+    return deciding.unionByName(decide.neutral(own.where("strategy != 'full'")).select(*deciding.columns))
+
+
+def breach_stats(book: DataFrame) -> DataFrame:
+    """(strategy, panel, var_breach_rate, breach_cluster_max): bars that lose more than the VaR of the weights before them."""
+    hits = book.where("var_99 is not null").select(*STRATEGY, "bar_idx", (F.col("pnl") < -F.col("var_99")).cast("int").alias("breach"))
+    numbered = hits.withColumn("nth", F.row_number().over(in_order()))
+    island = F.col("nth") - F.row_number().over(Window.partitionBy(*STRATEGY, "breach").orderBy("bar_idx"))
+    runs = numbered.withColumn("island", island).groupBy(*STRATEGY, "breach", "island").agg(F.count("*").alias("n"))
+    rate = F.sum(F.col("n") * F.col("breach")) / F.sum("n")
+    return runs.groupBy(*STRATEGY).agg(rate.alias("var_breach_rate"), F.coalesce(F.max(F.when(F.col("breach") == 1, F.col("n"))), F.lit(0)).alias("breach_cluster_max"))
 
 
 ABLATIONS = {
@@ -54,19 +61,19 @@ ABLATIONS = {
 
 def ablations(panel: DataFrame, bars: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     """The measures of `full` under each set of switched-off parts."""
-    out, calmest = None, stored(portfolio.least_variance(panel, bars, s), "least-variance")
+    out, made = None, portfolio.made(panel, bars, ("full",), s)
     for name, parts in ABLATIONS.items():
-        one = backtest(panel, bars, ("full",), s, name, calmest, **parts)
+        one = backtest(panel, bars, ("full",), s, name, made, **parts)
         out = one if out is None else out.unionByName(one)
-    return summary(out, s)
+    return summary(stored(out, "books"), s)
 
 
 def cost_sweep(panel: DataFrame, bars: DataFrame, costs: tuple = (5.0, 10.0, 20.0), s: Settings = DEFAULT) -> DataFrame:
-    out, calmest = None, stored(portfolio.least_variance(panel, bars, s), "least-variance")
+    out, made = None, portfolio.made(panel, bars, ("full",), s)
     for bps in costs:
-        one = backtest(panel, bars, ("full",), replace(s, portfolio=replace(s.portfolio, cost_bps=bps)), f"cost_{bps:g}", calmest)
+        one = backtest(panel, bars, ("full",), replace(s, portfolio=replace(s.portfolio, cost_bps=bps)), f"cost_{bps:g}", made)
         out = one if out is None else out.unionByName(one)
-    return summary(out, s)
+    return summary(stored(out, "books"), s)
 
 
 def _measures(book: DataFrame, equity: str, s: Settings) -> DataFrame:
@@ -85,15 +92,15 @@ def _measures(book: DataFrame, equity: str, s: Settings) -> DataFrame:
 
 
 def summary(book: DataFrame, s: Settings = DEFAULT) -> DataFrame:
-    """(strategy, panel, n, cagr, ann_vol, sharpe, sortino, max_dd, calmar, mean_turnover) and the same before costs."""
+    """(strategy, panel, n, cagr, ann_vol, sharpe, sortino, max_dd, calmar, mean_turnover), growth, Sharpe and fall before costs, and VaR breaches."""
     net, gross = _measures(book, "equity", s), _measures(book, "gross_equity", s)
-    return net.join(gross.select(*STRATEGY, *[F.col(c).alias(f"{c}_gross") for c in ("cagr", "sharpe", "max_dd")]), STRATEGY)
+    return net.join(gross.select(*STRATEGY, *[F.col(c).alias(f"{c}_gross") for c in ("cagr", "sharpe", "max_dd")]), STRATEGY).join(breach_stats(book), STRATEGY, "left")
 
 
 def ladder(book: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     """The measures as a report shows them: four to six digits."""
     r = lambda c, n: F.round(c, n).alias(c)
-    return summary(book, s).select("strategy", r("sharpe", 4), r("sharpe_gross", 4), r("max_dd", 6), r("max_dd_gross", 6), r("mean_turnover", 6), r("cagr", 6), r("cagr_gross", 6))
+    return summary(book, s).select("strategy", r("sharpe", 4), r("sharpe_gross", 4), r("max_dd", 6), r("max_dd_gross", 6), r("var_breach_rate", 6), "breach_cluster_max", r("mean_turnover", 6), r("cagr", 6), r("cagr_gross", 6))
 
 
 def forward(log: DataFrame, horizon: int) -> DataFrame:
@@ -234,19 +241,17 @@ def walk_forward(panel: DataFrame, bars: DataFrame, s: Settings = DEFAULT, mode:
         own = df.join(runs, "panel").where(F.col("bar_idx") <= F.col("test_end")).withColumn("panel", F.col("__run"))
         return own.select(*df.columns, *keep)
 
+    made = portfolio.made(panel, bars, (mode,), s)
     if mode in ("signals_only", "corr_signal_only", "full"):
         own = each(bars, "z_high", "z_low")
         z = F.col("corr_z")
         own = own.withColumn("bucket", F.when(z > F.col("z_high"), "crisis_spike").when(z < F.col("z_low"), "diversification").otherwise("normal"))
-        made = None if mode == "corr_signal_only" else each(stored(alpha.sleeves(panel, s), "sleeves"))
-        targets = portfolio.raw_targets(each(panel), own, mode, s, sleeves=made, vols=each(stored(portfolio.volatilities(panel), "volatilities")))
+        targets = portfolio.raw_targets(each(panel), own, mode, s, sleeves=None if made.sleeves is None else each(made.sleeves), vols=each(made.vols))
     else:
-        targets = each(portfolio.raw_targets(panel, bars, mode, s).join(bars.select(*BAR), BAR))
+        targets = each(portfolio.raw_targets(panel, bars, mode, s, vols=made.vols).join(bars.select(*BAR), BAR))
     run = F.split("panel", ":", 2)
     targets = targets.withColumn("strategy", F.concat(F.lit("fold_"), run[0])).withColumn("panel", run[1])
-    targets = targets if "regime" in targets.columns else targets.withColumn("regime", F.lit("CALM"))
-    calmest = portfolio.least_variance(panel, bars, s) if mode == "full" else None
-    book = portfolio.book(panel, targets, forecast_vol(panel, s), s, calmest=calmest)
+    book = portfolio.book(made.lines, targets, made.forecast, s, calmest=made.calmest)
     windows = folds.select("panel", F.concat(F.lit("fold_"), F.col("fold").cast("string")).alias("strategy"), "test_begin", "test_end")
     tested = book.join(windows, STRATEGY).where(F.col("bar_idx").between(F.col("test_begin"), F.col("test_end"))).select(*book.columns)
     return summary(stored(tested, "tested"), s)

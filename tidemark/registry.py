@@ -695,7 +695,7 @@ _FV = "SELECT bar_idx, sqrt(sum(c / (k * k))) * sqrt(252) AS vol FROM (SELECT ba
 
 @query(f"SELECT bar_idx, round(vol, 6) AS vol, round(least(0.1 / vol, 1.0), 6) AS scale FROM ({_FV}) WHERE bar_idx >= 131")
 def vol_target(spark, d):
-    v = research.forecast_vol(P(spark, d)).where("bar_idx >= 131")
+    v = portfolio.forecast_vol(P(spark, d)).where("bar_idx >= 131")
     return rounded(v.select("bar_idx", "vol", portfolio.vol_scale(F.col("vol")).alias("scale")))
 
 
@@ -705,6 +705,35 @@ def backtest_ladder(spark, d):
     return rounded(research.ladder(research.backtest(panel, bars)), drop=())
 
 
+#: What the equal-weight book reads at each bar: VaR of its weights over 252 returns, and what the bar earns under the volatility target.
+_BV = f"""SELECT bar_idx, v, h, abs(h - v) / greatest(v, 1e-8) > 0.35 AS disagreement, (scale * pnl < -v)::INT AS breach FROM (
+  SELECT bar_idx, {{z99}} * sqrt(var_samp(pr) OVER w + 1e-10 / k) - avg(CASE WHEN bar_idx > 10 THEN pr END) OVER w AS v, -quantile_cont(CASE WHEN bar_idx > 10 THEN pr END, 0.01) OVER w AS h, lead(pr) OVER (ORDER BY bar_idx) AS pnl
+  FROM pr, k WINDOW w AS (ORDER BY bar_idx ROWS 251 PRECEDING)) JOIN (SELECT bar_idx, least(0.1 / vol, 1.0) AS scale FROM ({_FV})) USING (bar_idx) JOIN b USING (bar_idx) WHERE pnl IS NOT NULL"""
+
+
+def _book(spark, d, *modes):
+    panel, bars = _bars(spark, d)
+    return bars, stored(research.backtest(panel, bars, modes), "book")
+
+
+@query(f"SELECT bar_idx, round(v, 7) AS var_99, round(h, 7) AS hs_var_99, disagreement FROM ({_BV})")
+def bar_var(spark, d):
+    """The VaR that each bar's decision reads, of the weights held before it."""
+    return rounded(_book(spark, d, "baseline")[1].select("bar_idx", "var_99", "hs_var_99", "disagreement"), 7)
+
+
+@query(f"""SELECT round(avg(breach), 6) AS var_breach_rate, (SELECT coalesce(max(n), 0) FROM (SELECT count(*) AS n FROM (SELECT breach, row_number() OVER (ORDER BY bar_idx) - row_number() OVER (PARTITION BY breach ORDER BY bar_idx) AS g FROM ({_BV})) WHERE breach = 1 GROUP BY g)) AS breach_cluster_max FROM ({_BV})""")
+def book_breaches(spark, d):
+    return rounded(research.breach_stats(_book(spark, d, "baseline")[1]).drop("strategy"))
+
+
+@query()
+def backtest_log(spark, d):
+    """Every strategy's bars with the VaR of its own weights and, for the full system, what was decided under it."""
+    bars, book = _book(spark, d, *portfolio.MODES)
+    return rounded(research.backtest_log(book, bars), drop=())
+
+
 @query()
 def backtest_ablations(spark, d):
     panel, bars = _bars(spark, d)

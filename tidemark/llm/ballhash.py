@@ -10,9 +10,10 @@ emit the same variant meet.
 2. Variants are dealt out over 2^b buckets by a linear hash: the hash of
    fingerprint XOR mask is hash(fingerprint) XOR hash(mask). So a bucket's number
    and a fingerprint tell which of its variants are meant, and eight bytes go
-   through the shuffle for all of them together. A bucket holds about
-   `VARIANTS` variants, however many fingerprints there are.
-3. A bucket sorts its variants; neighbours that are equal are pairs, each is
+   through the shuffle for all of them together. A bucket holds about `DEALT`
+   variants, of `HELD` fingerprints at most, however many fingerprints there are.
+3. A bucket goes through its variants by further bits of the hash, some `VARIANTS`
+   at a time, and sorts those; neighbours that are equal are pairs, each is
    verified by its differing bits, and the edges of a forest over them are passed on.
    Repeated pairs end there, and those of several buckets where edges are made distinct.
 4. Classes that hang together get the smallest doc_id among them.
@@ -43,10 +44,12 @@ from .textkernels import mix
 WORDS = 4
 RADIUS = 4
 SEED = 42
-#: Variants that meet in one bucket, on average.
-VARIANTS = 2 << 20
+#: Variants that are sorted at a time, and those of a bucket, on average.
+VARIANTS, DEALT = 2 << 20, 32 << 20
+#: Fingerprints that a bucket has at most, on average.
+HELD = 8 << 20
 #: Fingerprints whose variants are dealt at a time.
-_DEALT = 2048
+_ROWS = 2048
 _HASHED = 1 << 16
 _ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
@@ -108,10 +111,11 @@ class Ball:
             if len(own):
                 yield int(to[own[0]]), found[who[own]]
 
-    def variants(self, bucket: int, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(variant, the place in `found` of its fingerprint) of all variants in one bucket."""
-        at = np.searchsorted(self.places, self.bucket(found) ^ np.uint64(bucket))
-        count = self.count[at]
+    def variants(self, bucket: int, found: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(variant, the place in `found` of its fingerprint) of all variants in one bucket; own: the fingerprints' buckets."""
+        wanted = own ^ np.uint64(bucket)
+        at = np.minimum(np.searchsorted(self.places, wanted), len(self.places) - 1)
+        count = np.where(self.places[at] == wanted, self.count[at], 0)
         who = np.repeat(np.arange(len(found)), count)
         nth = np.arange(len(who)) - np.repeat(count.cumsum() - count, count)
         return found[who] ^ self.masks[self.first[at][who] + nth], who
@@ -131,15 +135,17 @@ def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
         root = after
 
 
-def met(ball: Ball, bucket: int, found: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (fingerprint, root) of a forest over the fingerprints that meet in a bucket."""
+def met(ball: Ball, buckets: list[int], found: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (fingerprint, root) of a forest over the fingerprints that meet in some buckets."""
     found = np.unique(found)
-    value, who = ball.variants(bucket, found)
-    order = np.argsort(value)
-    value, who = value[order], who[order]
-    pair = np.flatnonzero(value[1:] == value[:-1])
-    a, b = np.minimum(who[pair], who[pair + 1]), np.maximum(who[pair], who[pair + 1])
-    pairs = np.unique(a * len(found) + b)
+    own, pairs = ball.bucket(found), np.empty(0, np.int64)
+    for bucket in buckets:
+        value, who = ball.variants(bucket, found, own)
+        order = np.argsort(value)
+        value, who = value[order], who[order]
+        pair = np.flatnonzero(value[1:] == value[:-1])
+        a, b = np.minimum(who[pair], who[pair + 1]), np.maximum(who[pair], who[pair + 1])
+        pairs = np.union1d(pairs, a * len(found) + b)
     a, b = np.divmod(pairs, max(len(found), 1))
     near = np.bitwise_count(found[a] ^ found[b]) <= radius
     root = forest(a[near], b[near], len(found))
@@ -147,23 +153,25 @@ def met(ball: Ball, bucket: int, found: np.ndarray, radius: int) -> tuple[np.nda
     return found[linked], found[root[linked]]
 
 
-def links(classes: DataFrame, n: int, radius: int = RADIUS, most: int = VARIANTS) -> DataFrame:
+def links(classes: DataFrame, n: int, radius: int = RADIUS, most: int = VARIANTS, dealt: int = DEALT, held: int = HELD) -> DataFrame:
     """Edges (set, other) that join all fingerprints within `radius` bits, of n distinct ones in rows (fp)."""
     half = (radius + 1) // 2
     size = sum(1 for i in range(half + 1) for _ in combinations(range(64), i))
-    bits = min(62, max(5, (n * size // most).bit_length()))
+    bits = max(5, (n * size // dealt).bit_length(), (n * size // held).bit_length() if n > held else 0)
+    fine = max(0, (n * size // most).bit_length() - bits)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ball = Ball(half, bits)
         for batch in batches:
             every = batch.column(0).to_numpy().view(np.uint64)
-            for i in range(0, len(every), _DEALT):
-                rows = list(ball.dealt(every[i : i + _DEALT]))
+            for i in range(0, len(every), _ROWS):
+                rows = list(ball.dealt(every[i : i + _ROWS]))
                 yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int64()), pa.array([f.tobytes() for _, f in rows], pa.binary())], ["bucket", "fps"])
 
     def meet(key: tuple, rows: pa.Table) -> pa.Table:
         found = np.frombuffer(b"".join(rows.column("fps").to_pylist()), np.uint64)
-        a, b = met(Ball(half, bits), key[0].as_py(), found, radius)
+        # the lower bits of the longer hash are the shorter one
+        a, b = met(Ball(half, bits + fine), [key[0].as_py() | x << bits for x in range(1 << fine)], found, radius)
         return pa.table({"set": a.view(np.int64), "other": b.view(np.int64)})
 
     return classes.select("fp").mapInArrow(deal, "bucket long, fps binary").groupBy("bucket").applyInArrow(meet, "set long, other long")

@@ -935,6 +935,35 @@ def stream_daily_events(spark, d):
     return jobs.daily_events(spark, d)
 
 
+@query("""SELECT strftime(b, '%Y-%m-%d %H:%M:%S') AS "begin", strftime(b + INTERVAL 1 DAY, '%Y-%m-%d %H:%M:%S') AS "end", event_type, count(*) AS n, round(sum(value), 4) AS total FROM (
+  SELECT event_type, value, time_bucket(INTERVAL 6 HOUR, ts) - INTERVAL 6 HOUR * unnest(range(4)) AS b FROM events) WHERE b + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY b, event_type""")
+def stream_sliding(spark, d):
+    return jobs.sliding_events(spark, d)
+
+
+@query("""SELECT user_id, strftime(lo, '%Y-%m-%d %H:%M:%S') AS "begin", strftime(hi + INTERVAL 6 HOUR, '%Y-%m-%d %H:%M:%S') AS "end", n FROM (SELECT user_id, g, min(ts) AS lo, max(ts) AS hi, count(*) AS n FROM (
+  SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM (SELECT user_id, ts, event_id, coalesce((ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= INTERVAL 6 HOUR)::INT, 0) AS fresh FROM events)) GROUP BY 1, 2)
+  WHERE hi + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""")
+def stream_sessions(spark, d):
+    return jobs.event_sessions(spark, d)
+
+
+_RULE = "CASE WHEN avg_corr > 0.55 THEN 'STRESSED' WHEN avg_corr > 0.4 OR ann_vol > 0.25 OR drawdown < -0.08 THEN 'TRANSITION' ELSE 'CALM' END"
+
+
+@query(f"""WITH rr AS (SELECT bar_idx, {_RULE} AS regime FROM z JOIN mv USING (bar_idx) JOIN pd USING (bar_idx)),
+re AS (SELECT bar_idx, regime, lag(regime) OVER (ORDER BY bar_idx) AS q, row_number() OVER (ORDER BY bar_idx) - row_number() OVER (PARTITION BY regime ORDER BY bar_idx) AS g FROM rr),
+rd AS (SELECT bar_idx, regime, CASE WHEN q IS NULL THEN 'init' WHEN q = regime THEN 'no_change' ELSE 'changed' END AS event, row_number() OVER (PARTITION BY regime, g ORDER BY bar_idx) AS duration FROM re),
+b30 AS (SELECT bar_idx, breach, sum(breach) OVER (ORDER BY bar_idx ROWS 29 PRECEDING)::BIGINT AS breaches_30, var FROM br)
+SELECT pd.bar_date::VARCHAR AS bar_date, bar_idx, round(value, 6) AS value, round(pd.drawdown, 6) + 0.0 AS drawdown, round(ann_vol, 6) AS ann_vol, round(avg_corr, 6) AS avg_corr, round(corr_z, 4) + 0.0 AS corr_z, bucket, round(var, 6) AS var_99, breach, breaches_30,
+  regime, event, duration, least(row_number() OVER (ORDER BY bar_idx), 2000)::INT AS history, 0::BIGINT AS late
+FROM pd LEFT JOIN mv USING (bar_idx) LEFT JOIN z USING (bar_idx) LEFT JOIN b30 USING (bar_idx) LEFT JOIN rd USING (bar_idx)""")
+def live_cycle(spark, d):
+    """A panel replayed in micro-batches through capped state equals the batch, bar by bar."""
+    out = jobs.replayed_cycle(spark, P(spark, d)).rows
+    return rounded(out.withColumn("corr_z", F.round("corr_z", 4)))
+
+
 @query()
 def stream_cusum(spark, d):
     return jobs.cusum_alarms(spark, d)

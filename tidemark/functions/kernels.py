@@ -109,6 +109,56 @@ def min_variance(sigma: np.ndarray, cap: float) -> np.ndarray:
     return w / w.sum()
 
 
+def least_shock(sigma: np.ndarray, w: np.ndarray, target: float, bound: float, rounds: int = 1000) -> np.ndarray | None:
+    """The x of least x' sigma^-1 x with w'x = target and |x| <= bound; None if no such x exists.
+
+    A primal active set: from a point inside all bounds, steps to the best point
+    of the free components under the equation; a bound on the way becomes active, and one whose multiplier has the wrong sign becomes free again.
+    """
+    n, reach = len(w), bound * np.abs(w).sum()
+    if abs(target) > reach * (1 + 1e-12) or (reach == 0 and target):
+        return None
+    p = np.linalg.inv((sigma + sigma.T) / 2)
+    scale = np.abs(np.diag(p)).max()
+    p = p / scale
+    x = np.sign(w * target) * bound * (abs(target) / reach if reach else 0.0)
+    at = np.where(np.abs(x) >= bound * (1 - 1e-12), np.sign(x), 0.0)
+    for _ in range(rounds):
+        free = np.flatnonzero(at == 0)
+        g, step, price = p @ x, np.zeros(n), 0.0
+        if len(free) and np.abs(w[free]).max() > 0:
+            k = len(free)
+            system = np.block([[p[np.ix_(free, free)], w[free][:, None]], [w[free][None, :], np.zeros((1, 1))]])
+            found = np.linalg.solve(system, np.r_[-g[free], 0.0])
+            step[free], price = found[:k], found[k]
+        elif len(free):
+            step[free] = np.linalg.solve(p[np.ix_(free, free)], -g[free])
+        if np.abs(step).max(initial=0) <= 1e-12 * bound:
+            held = np.flatnonzero(at)
+            if not len(free) and len(held):  # any price will do that suits all bounds
+                low, high = -np.inf, np.inf
+                for i in held:
+                    if w[i]:
+                        edge = -g[i] / w[i]
+                        low, high = (max(low, edge), high) if at[i] * w[i] < 0 else (low, min(high, edge))
+                price = low if np.isfinite(low) else high if np.isfinite(high) else 0.0
+            wrong = at[held] * (g[held] + price * w[held])
+            if not len(held) or wrong.max() <= 1e-10 * (1 + np.abs(g).max()):
+                return x
+            at[held[wrong.argmax()]] = 0.0
+            continue
+        with np.errstate(divide="ignore", invalid="ignore"):
+            room = np.where(step > 0, (bound - x) / step, np.where(step < 0, (-bound - x) / step, np.inf))
+        room[at != 0] = np.inf
+        first = int(room.argmin())
+        if room[first] < 1:
+            x = x + room[first] * step
+            x[first], at[first] = np.sign(step[first]) * bound, np.sign(step[first])
+        else:
+            x = x + step
+    return x
+
+
 def garch_loglik(r: np.ndarray, alpha: float, beta: float) -> tuple[float, np.ndarray]:
     """Gaussian log likelihood of a variance-targeted GARCH(1,1), and the variance path with its forecast."""
     v0 = r.var()

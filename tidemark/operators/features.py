@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -185,19 +187,68 @@ def corr_z_path(panel: DataFrame, s: Settings = DEFAULT, warmup: int | None = No
     return corr_z(average_correlation(panel, s, warmup).drop("n_pairs"), s)
 
 
-def overlay(panel: DataFrame, s: Settings = DEFAULT) -> DataFrame:
-    """(panel, bar_date, bar_idx, drawdown_pct, corr_z, label) along the whole span.
+def return_lines(panel: DataFrame) -> DataFrame:
+    """(panel, bar_idx, names, lr, next, whole, whole_10): one row a bar.
 
-    The overlay's correlation window ends before the bar.
+    names are the panel's assets in order; lr and next hold each one's return to the bar and from it to the next
+    one, NaN where unknown; whole and whole_10 say whether all assets have theirs over 1 and 10 bars.
     """
-    r = returns(panel).where("lr is not null")
-    w = Window.partitionBy(*PAIR).orderBy("bar_idx").rowsBetween(-s.corr.cov_window, -1)
-    rolled = pairs(r).select("panel", "bar_date", "bar_idx", F.corr("ra", "rb").over(w).alias("rho"), F.count("*").over(w).alias("n"))
-    bars = rolled.where(F.col("n") >= s.corr.cov_window).groupBy("panel", "bar_date", "bar_idx").agg(F.avg("rho").alias("avg_corr"))
+    names = panel.groupBy("panel").agg(F.array_sort(F.collect_set("asset")).alias("names"))
+    r = returns_10d(panel).withColumn("next", F.lead("lr").over(by_asset()))
+    rows = r.groupBy("panel", "bar_idx").agg(F.map_from_entries(F.collect_list(F.struct("asset", F.struct("lr", "next")))).alias("x"), F.count("lr").alias("n"), F.count("lr10").alias("n10")).join(names, "panel")
+    each = lambda c: F.transform("names", lambda a: F.coalesce(F.element_at("x", a)[c], F.lit(float("nan"))))
+    whole = F.col("n") == F.size("names")
+    return rows.select("panel", "bar_idx", "names", each("lr").alias("lr"), each("next").alias("next"), whole.alias("whole"), (whole & (F.col("n10") == F.size("names"))).alias("whole_10"))
+
+
+def strided_correlation(panel: DataFrame, window: int = YEAR, most: int = 2500, block: int = 512) -> DataFrame:
+    """(panel, bar_date, bar_idx, avg_corr) of bars where all returns are known: the mean of all pairs' correlations before a bar.
+
+    It is measured at every k-th bar, so that a panel has at most `most` such bars, over the `window` bars before it, and at
+    the last bar over the window that ends there; between them it goes by time, and before and after them it stays. Fewer
+    bars than `window` give no rows.
+
+    No pair of assets is ever made: with returns standardised over the window, the
+    sum of all correlations is that of the squared sums over assets, divided by the
+    bars less one. A task gets the lines of `block` bars and of the window before them.
+    """
+    whole_lines = return_lines(panel).where("whole").select("panel", "bar_idx", "lr")
+    numbered = whole_lines.withColumn("t", F.row_number().over(series()) - 1).withColumn("n", F.count("*").over(whole())).where(F.col("n") >= window)
+    stride = F.greatest(F.lit(1), F.ceil((F.col("n") - window) / most))
+    due = (F.col("t") >= window) & ((F.col("t") - window) % stride == 0) & (F.col("t") < F.col("n") - 1)
+    rows = numbered.withColumn("due", due)
+    nth = lambda x: F.floor(x / block)
+    spread = rows.select("panel", "bar_idx", "t", "due", "lr", F.explode(F.sequence(nth(F.col("t")), nth(F.least(F.col("t") + window, F.col("n") - 1)))).alias("block"))
+    # the last window is a block of its own
+    last = rows.where(F.col("t") >= F.col("n") - window).select("panel", "bar_idx", "t", (F.col("t") == F.col("n") - 1).alias("due"), "lr", F.lit(-1).cast("long").alias("block"))
+
+    def measure(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("t")
+        x, t = np.array(rows["lr"].tolist()), rows["t"].to_numpy()
+        out = []
+        for i in np.flatnonzero(rows["due"].to_numpy()):
+            if key[1] >= 0 and t[i] // block != key[1]:
+                continue
+            own = x[i - window : i] if key[1] >= 0 else x
+            sd = own.std(0, ddof=1)
+            n = own.shape[1]
+            if n > 1 and (sd > 0).all():
+                z = ((own - own.mean(0)) / sd).sum(1)
+                out.append((key[0], int(rows["bar_idx"].iloc[i]), float((z @ z / (len(own) - 1) - n) / (n * (n - 1)))))
+        return pd.DataFrame(out, columns=["panel", "bar_idx", "avg_corr"])
+
+    known = spread.unionByName(last).groupBy("panel", "block").applyInPandas(measure, "panel string, bar_idx int, avg_corr double")
+    dates = panel.select("panel", "bar_date", "bar_idx").distinct()
+    return interpolated(dates.join(numbered.select("panel", "bar_idx"), ["panel", "bar_idx"]).join(known, ["panel", "bar_idx"], "left"), "avg_corr").select("panel", "bar_date", "bar_idx", "avg_corr")
+
+
+def overlay(panel: DataFrame, s: Settings = DEFAULT, most: int = 2500) -> DataFrame:
+    """(panel, bar_date, bar_idx, drawdown_pct, corr_z, label) along the whole span, under the strided correlation."""
     z = F.col("corr_z")
     label = F.when(z > s.corr.z_high, "STRESSED").when(z < s.corr.z_low, "CALM").otherwise("NORMAL")
     falls = portfolio_drawdown(panel, equal_weights(panel)).select("panel", "bar_idx", (F.col("drawdown") * 100).alias("drawdown_pct"))
-    return corr_z(bars, s).join(falls, ["panel", "bar_idx"]).select("panel", "bar_date", "bar_idx", "drawdown_pct", "corr_z", label.alias("label"))
+    path = corr_z(strided_correlation(panel, s.corr.cov_window, most), s)
+    return path.join(falls, ["panel", "bar_idx"]).select("panel", "bar_date", "bar_idx", "drawdown_pct", "corr_z", label.alias("label"))
 
 
 def interpolated(bars: DataFrame, value: str) -> DataFrame:

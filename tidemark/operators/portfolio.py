@@ -16,7 +16,7 @@ from ..functions import kernels
 from ..plans.scratch import stored
 from ..sources.panels import by_asset, trailing
 from . import alpha, decide
-from .features import PAIR, YEAR, equal_weights, pairs, returns, returns_10d
+from .features import PAIR, YEAR, equal_weights, pairs, return_lines, returns
 
 BAR = ["panel", "bar_idx"]
 
@@ -150,20 +150,6 @@ def raw_targets(panel: DataFrame, bars: DataFrame, mode: str, s: Settings = DEFA
     return signal_inverse_vol(cool, "__hot").select(*BAR, "asset", F.col("__w").alias("w"), F.col("w").alias("w_hot"), "regime")
 
 
-def return_lines(panel: DataFrame) -> DataFrame:
-    """(panel, bar_idx, names, lr, next, whole, whole_10): one row a bar.
-
-    names are the panel's assets in order; lr and next hold each one's return to the bar and from it to the next
-    one, NaN where unknown; whole and whole_10 say whether all assets have theirs over 1 and 10 bars.
-    """
-    names = panel.groupBy("panel").agg(F.array_sort(F.collect_set("asset")).alias("names"))
-    r = returns_10d(panel).withColumn("next", F.lead("lr").over(by_asset()))
-    rows = r.groupBy(*BAR).agg(F.map_from_entries(F.collect_list(F.struct("asset", F.struct("lr", "next")))).alias("x"), F.count("lr").alias("n"), F.count("lr10").alias("n10")).join(names, "panel")
-    each = lambda c: F.transform("names", lambda a: F.coalesce(F.element_at("x", a)[c], F.lit(float("nan"))))
-    whole = F.col("n") == F.size("names")
-    return rows.select(*BAR, "names", each("lr").alias("lr"), each("next").alias("next"), whole.alias("whole"), (whole & (F.col("n10") == F.size("names"))).alias("whole_10"))
-
-
 class VarOfWeights:
     """The VaR of any weights over a ring of the last complete bars' returns."""
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
+from ..functions import kernels
+from ..plans.scratch import small
 from .features import both_ways, whole
 
 #: Scenario shocks by asset (fixed values).
@@ -18,7 +22,7 @@ SHOCKS = {
     "crypto_contagion": {"BTC-USD": -0.60, "ETH-USD": -0.65, "SOL-USD": -0.70, "BNB-USD": -0.55, "SPY": -0.08, "QQQ": -0.08},
     "stagflation": {"SPY": -0.25, "TLT": -0.15, "GLD": 0.08, "USO": 0.05, "PDBC": 0.12},
 }
-#: Names of historical episodes that reports may tag (fixed values).
+#: The correlation that crises tend to, and what illiquid positions cost more then (fixed values).
 CRISIS_CORRELATION, LIQUIDITY_MULTIPLIER = 0.85, 1.5
 
 
@@ -44,24 +48,44 @@ def scenario_pnl(weights: DataFrame, shocks: DataFrame, cov: DataFrame, vol_mult
     mean_cov = cov.where("a != b").groupBy("panel").agg(F.sum("cov").alias("c")).join(n, "panel", "right").select("panel", (2 * F.coalesce("c", F.lit(0.0)) / (F.col("n") * (F.col("n") - 1) + 1e-9)).alias("mean_cov"))
     names = shocks.select("scenario").distinct()
     hit = w.withColumn("name", F.translate("asset", "^", "")).join(shocks.withColumn("name", F.translate("asset", "^", "")).select("scenario", "name", "shock"), "name").groupBy("panel", "scenario").agg(F.sum(F.col("w") * F.col("shock")).alias("direct"))
-    every = n.select("panel").withColumn("k", F.lit(1)).join(names.withColumn("k", F.lit(1)), "k").drop("k")
+    # one row for each panel and scenario; the names come from a table of shocks
+    every = n.select("panel").crossJoin(small(names))
     out = every.join(hit, ["panel", "scenario"], "left").fillna(0.0, ["direct"]).join(mean_cov, "panel")
     out = out.withColumn("correlation_effect", corr_shift * F.col("mean_cov") * F.col("direct")).withColumn("vol_effect", (vol_multiple - 1.0) * F.col("direct"))
     return out.select("panel", "scenario", "direct", "correlation_effect", "vol_effect", (F.col("direct") + F.col("correlation_effect") + F.col("vol_effect")).alias("total"))
 
 
 def reverse_stress(weights: DataFrame, cov: DataFrame, target: float, bound: float = 0.99, ridge: float = 1e-8) -> DataFrame:
-    """(panel, asset, shock, distance_sq, binding): the likeliest returns that lose `target`.
+    """(panel, asset, shock, distance_sq, binding): the likeliest returns within +-bound that lose `target`.
 
-    Without bounds the shock is cov w target / (w' cov w); `binding` says where a
-    bound would change it.
+    Without bounds the shock is cov w target / (w' cov w), which is all there is to it in most panels. Those
+    where it would leave the bounds are solved by themselves; `binding` marks the assets that end at one. A target that no
+    returns within bounds reach gives nulls.
     """
     w = normalized_weights(weights)
-    both = both_ways(cov.withColumn("cov", F.col("cov") + F.when(F.col("a") == F.col("b"), ridge).otherwise(0.0)))
-    m = both.join(w.select("panel", F.col("asset").alias("other"), F.col("w").alias("wo")), ["panel", "other"]).groupBy("panel", "asset").agg(F.sum(F.col("cov") * F.col("wo")).alias("m")).join(w, ["panel", "asset"])
+    held = cov.withColumn("cov", F.col("cov") + F.when(F.col("a") == F.col("b"), ridge).otherwise(0.0))
+    m = both_ways(held).join(w.select("panel", F.col("asset").alias("other"), F.col("w").alias("wo")), ["panel", "other"]).groupBy("panel", "asset").agg(F.sum(F.col("cov") * F.col("wo")).alias("m")).join(w, ["panel", "asset"])
     v = F.sum(F.col("w") * F.col("m")).over(whole())
-    out = m.select("panel", "asset", (F.col("m") * target / v).alias("shock"), (F.lit(target * target) / v).alias("distance_sq"))
-    return out.withColumn("binding", F.max(F.abs("shock")).over(whole()) > bound)
+    free = m.withColumn("shock", F.col("m") * target / v).withColumn("distance_sq", F.lit(target * target) / v).withColumn("__over", F.max(F.abs("shock")).over(whole()) > bound)
+    inside = free.where("not __over").select("panel", "asset", "shock", "distance_sq", F.lit(False).alias("binding"))
+    over = free.where("__over").select("panel", "asset", "w")
+    # the lower half of a panel's covariance, and its weights on the diagonal
+    wa = over.withColumnRenamed("asset", "a")
+    rows = held.join(wa, ["panel", "a"]).select("panel", "a", "b", "cov", F.when(F.col("a") == F.col("b"), F.col("w")).alias("w"))
+
+    def solve(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        own = rows.loc[rows["a"] == rows["b"]].sort_values("a")
+        names = own["a"].tolist()
+        at = {a: i for i, a in enumerate(names)}
+        i, j = rows["a"].map(at).to_numpy(), rows["b"].map(at).to_numpy()
+        sigma = np.zeros((len(names), len(names)))
+        sigma[i, j] = sigma[j, i] = rows["cov"]
+        x = kernels.least_shock(sigma, own["w"].to_numpy(), target, bound)
+        if x is None:
+            return pd.DataFrame({"panel": key[0], "asset": names, "shock": None, "distance_sq": None, "binding": True})
+        return pd.DataFrame({"panel": key[0], "asset": names, "shock": x, "distance_sq": float(x @ np.linalg.solve(sigma, x)), "binding": np.abs(x) >= bound * (1 - 1e-9)})
+
+    return inside.unionByName(rows.groupBy("panel").applyInPandas(solve, "panel string, asset string, shock double, distance_sq double, binding boolean"))
 
 
 def crisis_blend(rho: DataFrame, share: float, crisis: float = CRISIS_CORRELATION) -> DataFrame:

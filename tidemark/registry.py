@@ -298,6 +298,28 @@ def corr_z_path(spark, d):
     return rounded(features.corr_z_path(P(spark, d)).withColumn("corr_z", F.round("corr_z", 4)))
 
 
+def _strided(most: int) -> str:
+    """SQL of the strided correlation, pair by pair."""
+    return f"""WITH pn AS (SELECT max(bar_idx) - 1 AS n FROM r), sp AS (SELECT bar_date, bar_idx, bar_idx - 2 AS t, corr(ra, rb) OVER w AS before, corr(ra, rb) OVER v AS upto FROM pairs WHERE a < b
+  WINDOW w AS (PARTITION BY a, b ORDER BY bar_idx ROWS BETWEEN 252 PRECEDING AND 1 PRECEDING), v AS (PARTITION BY a, b ORDER BY bar_idx ROWS 251 PRECEDING)),
+sm AS (SELECT bar_date, bar_idx, CASE WHEN any_value(t) = any_value(n) - 1 THEN avg(upto) WHEN any_value(t) >= 252 AND (any_value(t) - 252) % greatest(1, ceil((any_value(n) - 252) / {most}))::BIGINT = 0 THEN avg(before) END AS x FROM sp, pn GROUP BY 1, 2),
+si AS (SELECT bar_date, bar_idx, x, last_value(x IGNORE NULLS) OVER b AS v0, last_value(CASE WHEN x IS NOT NULL THEN bar_date END IGNORE NULLS) OVER b AS d0, first_value(x IGNORE NULLS) OVER f AS v1, first_value(CASE WHEN x IS NOT NULL THEN bar_date END IGNORE NULLS) OVER f AS d1 FROM sm
+  WINDOW b AS (ORDER BY bar_idx ROWS UNBOUNDED PRECEDING), f AS (ORDER BY bar_idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+st AS (SELECT bar_date, bar_idx, coalesce(x, v0 + (v1 - v0) * (bar_date - d0) / nullif(d1 - d0, 0), v1, v0) AS avg_corr FROM si)"""
+
+
+@query(_strided(400) + " SELECT bar_date::VARCHAR AS bar_date, bar_idx, round(avg_corr, 6) AS avg_corr FROM st")
+def strided_corr(spark, d):
+    return rounded(features.strided_correlation(P(spark, d), most=400))
+
+
+@query(_strided(2500) + """, sz AS (SELECT *, avg(avg_corr) OVER w AS mu, CASE WHEN count(*) OVER w < 10 THEN coalesce(stddev_samp(avg_corr) OVER w, 1) ELSE stddev_samp(avg_corr) OVER w + 1e-6 END AS sd FROM st WINDOW w AS (ORDER BY bar_idx ROWS 119 PRECEDING)),
+sy AS (SELECT *, CASE WHEN sd > 1e-12 THEN (avg_corr - mu) / sd ELSE 0 END AS corr_z FROM sz)
+SELECT sy.bar_date::VARCHAR AS bar_date, bar_idx, round(drawdown * 100, 5) + 0.0 AS drawdown_pct, round(corr_z, 3) + 0.0 AS corr_z, CASE WHEN corr_z > 1.5 THEN 'STRESSED' WHEN corr_z < -1 THEN 'CALM' ELSE 'NORMAL' END AS label FROM sy JOIN pd USING (bar_idx)""")
+def full_span_overlay(spark, d):
+    return rounded(features.overlay(P(spark, d)).withColumn("corr_z", F.round("corr_z", 3)), 5)
+
+
 # ---- risk ----
 
 
@@ -844,6 +866,13 @@ def reverse_stress(spark, d):
     return rounded(out.select("asset", "shock", F.round("distance_sq", 4).alias("distance_sq")))
 
 
+@query()
+def reverse_stress_bounded(spark, d):
+    """Returns that lose 98.5 %: some assets end at their bounds."""
+    panel = P(spark, d)
+    return rounded(stress.reverse_stress(_w(panel), features.sample_covariance(panel), -0.985), 5)
+
+
 @query("SELECT a, b, round(CASE WHEN a = b THEN 1.0 ELSE 0.6 * rho + 0.4 * 0.85 END, 6) AS rho FROM cov WHERE a <= b")
 def crisis_corr_blend(spark, d):
     return rounded(stress.crisis_blend(risk.correlations(P(spark, d)), 0.4))

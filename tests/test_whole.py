@@ -89,11 +89,12 @@ def test_all_five_layers_count(spark):
     assert got == want
 
 
-def test_queries_with_sql_have_a_form_over_five_layers(spark, monkeypatch):
+def test_every_query_counts_all_layers(spark, monkeypatch):
     panel = long_panel(spark, shaken())
     monkeypatch.setattr(registry, "P", lambda *_: panel)
-    found = {n: {r.layer for r in registry.queries()[n](spark, "").select("layer").distinct().collect()} for n in ("conjunction", "conjunction_five")}
-    assert found["conjunction"] == set(registry.SQL_LAYERS) and found["conjunction_five"] == {"ZSCORE", "CUSUM", "MAHAL", "VR", "DRAWDOWN"}
+    found = {r.layer for r in registry.queries()["conjunction"](spark, "").select("layer").distinct().collect()}
+    assert found == {"ZSCORE", "CUSUM", "MAHAL", "VR", "DRAWDOWN"}
+    assert not [n for n in registry.queries() if n.endswith("_five")]
 
 
 def moving_together(bars=170, assets=4):

@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from dataclasses import replace
-from functools import partial, wraps
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +24,26 @@ from .streaming import jobs
 
 _QUERIES: dict[str, tuple[Callable, str | None]] = {}
 
+
+def _mahalanobis(n: int) -> dict[str, str]:
+    """Table expressions of the distance of n assets' returns from their window's mean: covariances, then Cholesky column by column."""
+    every = range(1, n + 1)
+    out = {
+        "mhw": f"SELECT bar_idx, {', '.join(f'max(lr) FILTER (g = {i}) AS r{i}' for i in every)} FROM (SELECT bar_idx, lr, dense_rank() OVER (ORDER BY asset) AS g FROM r) WHERE lr IS NOT NULL GROUP BY bar_idx HAVING count(*) = {n}",
+        "mhc": f"SELECT bar_idx, {', '.join(f'r{i} - avg(r{i}) OVER w AS d{i}' for i in every)}, {', '.join(f'covar_samp(r{i}, r{j}) OVER w AS c{i}{j}' for i in every for j in range(1, i + 1))}, count(*) OVER w AS n FROM mhw WINDOW w AS (ORDER BY bar_idx ROWS 251 PRECEDING) QUALIFY n >= 30",
+    }
+    for j in every:
+        less = lambda i: "".join(f" - l{i}{k} * l{j}{k}" for k in range(1, j))  # noqa: E731, B023
+        diagonal = f"sqrt(greatest(c{j}{j}{less(j)}, 1e-300)) AS l{j}{j}"
+        below = "".join(f", (c{i}{j}{less(i)}) / l{j}{j} AS l{i}{j}" for i in range(j + 1, n + 1))
+        y = f", (d{j}{''.join(f' - l{j}{k} * y{k}' for k in range(1, j))}) / l{j}{j} AS y{j}"
+        out[f"mh{j}"] = f"SELECT *, {diagonal}{below}{y} FROM {'mhc' if j == 1 else f'mh{j - 1}'}"
+    far = " + ".join(f"y{j} * y{j}" for j in every)
+    limit = kernels.chi2_quantile(DEFAULT.anomaly.mahalanobis_quantile, n)
+    out["mhev"] = f"SELECT bar_idx, 'MAHAL' AS layer, 'CRITICAL' AS severity, (SELECT min(asset) FROM p) AS asset, {far} AS metric, {limit!r}::DOUBLE AS threshold FROM mh{n} WHERE {far} > {limit!r}"
+    return out
+
+
 CTES = {
     "t": "SELECT CAST(l_shipdate AS DATE) AS bar_date, l_returnflag || l_linestatus AS asset, sum(l_extendedprice) AS revenue, sum(l_quantity) AS quantity FROM lineitem GROUP BY 1, 2",
     "axis": "SELECT bar_date, row_number() OVER (ORDER BY bar_date) AS bar_idx FROM (SELECT DISTINCT bar_date FROM t)",
@@ -55,7 +75,13 @@ CTES = {
     "vr": "SELECT bar_idx, asset, k, v / (k * v1) AS vr, sqrt(2.0 * (2 * k - 1) * (k - 1) / (3.0 * k * n)) AS se FROM vk WHERE n >= k + 20 AND v1 > 0",
     "vev": "SELECT bar_idx, 'VR' AS layer, 'WARNING' AS severity, asset, arg_min(vr, k) AS metric, 1 + 2 * arg_min(se, k) AS threshold FROM vr WHERE abs(vr - 1) > 2 * se GROUP BY bar_idx, asset",
     "dev": "SELECT bar_idx, 'DRAWDOWN' AS layer, CASE WHEN -drawdown >= 0.2 THEN 'CRITICAL' WHEN -drawdown >= 0.1 THEN 'WARNING' ELSE 'WATCH' END AS severity, asset, -drawdown AS metric, CASE WHEN -drawdown >= 0.2 THEN 0.2 WHEN -drawdown >= 0.1 THEN 0.1 ELSE 0.05 END AS threshold FROM dd WHERE -drawdown >= 0.05 UNION ALL SELECT bar_idx, 'DRAWDOWN', CASE WHEN -drawdown >= 0.2 THEN 'CRITICAL' ELSE 'WARNING' END, 'PORTFOLIO', -drawdown, 0.2 FROM pd WHERE -drawdown >= 0.1",
-    "ev": "SELECT * FROM zev UNION ALL SELECT * FROM vev UNION ALL SELECT * FROM dev",
+    "cul": "SELECT bar_idx, list(pr) OVER w AS x, avg(pr) OVER w AS mu, stddev_samp(pr) OVER w AS sd, count(*) OVER w AS n FROM pr WINDOW w AS (ORDER BY bar_idx ROWS 119 PRECEDING)",
+    "cuf": """SELECT bar_idx, sd, list_reduce(list_transform(x, lambda r: {'up': 0.0::DOUBLE, 'down': 0.0::DOUBLE, 'n': 0, 'e': r - mu}), lambda a, e:
+      CASE WHEN greatest(a.up + e.e - 0.5 * sd, a.down - e.e - 0.5 * sd) > 4 * sd THEN {'up': 0.0::DOUBLE, 'down': 0.0::DOUBLE, 'n': a.n + 1, 'e': 0.0::DOUBLE}
+      ELSE {'up': greatest(0.0, a.up + e.e - 0.5 * sd)::DOUBLE, 'down': greatest(0.0, a.down - e.e - 0.5 * sd)::DOUBLE, 'n': a.n, 'e': 0.0::DOUBLE} END, {'up': 0.0::DOUBLE, 'down': 0.0::DOUBLE, 'n': 0, 'e': 0.0::DOUBLE}) AS c FROM cul WHERE n >= 30 AND sd > 0""",
+    "cuev": "SELECT bar_idx, 'CUSUM' AS layer, 'WARNING' AS severity, 'PORTFOLIO' AS asset, greatest(c.up, c.down) AS metric, 4 * sd AS threshold FROM cuf WHERE c.n > 0",
+    **_mahalanobis(6),
+    "ev": "SELECT * FROM zev UNION ALL SELECT * FROM cuev UNION ALL SELECT * FROM mhev UNION ALL SELECT * FROM vev UNION ALL SELECT * FROM dev",
     "evn": "SELECT bar_idx, asset, count(DISTINCT layer) AS layers FROM ev GROUP BY 1, 2",
     "kept": "SELECT ev.*, layers FROM ev JOIN evn USING (bar_idx, asset) WHERE layers >= 2 OR severity = 'CRITICAL'",
     "an": "SELECT bar_idx, least(count(*), 20) AS anomalies FROM kept GROUP BY 1",
@@ -103,25 +129,6 @@ def query(body: str | None = None) -> Callable:
     return put
 
 
-#: Layers that the SQL counts; it leaves out CUSUM and Mahalanobis.
-SQL_LAYERS = ("ZSCORE", "VR", "DRAWDOWN")
-
-
-def layered(body: str) -> Callable:
-    """Register a function of (spark, sf_dir, layers) twice.
-
-    Under its name it counts the layers of its SQL; with `_five` behind the name
-    it counts all five, which has no SQL.
-    """
-
-    def put(f: Callable) -> Callable:
-        _QUERIES[f.__name__] = (partial(f, layers=SQL_LAYERS), body)
-        _QUERIES[f"{f.__name__}_five"] = (partial(f, layers=detect.LAYERS), None)
-        return f
-
-    return put
-
-
 def rounded(df: DataFrame, digits: int = 6, drop: tuple = ("panel",)) -> DataFrame:
     """df with doubles rounded, a negative nought made positive, dates as text, and the panel's name dropped."""
     shown = {"double": lambda c: F.round(c, digits) + 0.0, "date": lambda c: F.col(c).cast("string")}
@@ -158,24 +165,24 @@ def _w(panel: DataFrame) -> DataFrame:
     return features.equal_weights(panel)
 
 
-def _events(panel: DataFrame, layers: tuple = detect.LAYERS) -> DataFrame:
-    return detect.anomalies(panel, _w(panel), DEFAULT, layers)
+def _events(panel: DataFrame) -> DataFrame:
+    return detect.anomalies(panel, _w(panel))
 
 
-def _bars(spark: SparkSession, sf_dir: str, layers: tuple = detect.LAYERS) -> tuple[DataFrame, DataFrame]:
+def _bars(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The panel and its bars with regimes and var_99; both stored, as many steps read them."""
     panel = stored(P(spark, sf_dir), "panel")
-    bars = detect.bar_features(panel, _w(panel), _events(panel, layers), features.corr_z_path(panel))
+    bars = detect.bar_features(panel, _w(panel), _events(panel), features.corr_z_path(panel))
     return panel, stored(research.with_var(panel, bars), "bars")
 
 
-def _decided(spark: SparkSession, sf_dir: str, layers: tuple = detect.LAYERS) -> DataFrame:
-    _, bars = _bars(spark, sf_dir, layers)
+def _decided(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, bars = _bars(spark, sf_dir)
     return decide.decided(bars)
 
 
-def _log(spark: SparkSession, sf_dir: str, layers: tuple = detect.LAYERS) -> DataFrame:
-    return research.decision_log(*_bars(spark, sf_dir, layers))
+def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return research.decision_log(*_bars(spark, sf_dir))
 
 
 # ---- panels and their quality ----
@@ -496,42 +503,42 @@ def drawdown_layer(spark, d):
     return rounded(detect.drawdown_layer(panel, _w(panel)))
 
 
-@layered("SELECT bar_idx, layer, severity, asset, round(metric, 5) AS metric, round(threshold, 5) AS threshold, layers FROM kept")
-def conjunction(spark, d, layers):
+@query("SELECT bar_idx, layer, severity, asset, round(metric, 5) AS metric, round(threshold, 5) AS threshold, layers FROM kept")
+def conjunction(spark, d):
     panel = P(spark, d)
-    return rounded(detect.conjunction(detect.layer_events(panel, _w(panel), DEFAULT, layers)), 5)
+    return rounded(detect.conjunction(detect.layer_events(panel, _w(panel))), 5)
 
 
-@query()
+@query("SELECT bar_idx, layer, severity, asset, round(metric, 6) AS metric, round(threshold, 6) AS threshold FROM cuev")
 def cusum_layer(spark, d):
     panel = P(spark, d)
     return rounded(detect.cusum_layer(panel, _w(panel)))
 
 
-@query()
+@query("SELECT bar_idx, layer, severity, asset, round(metric, 4) AS metric, round(threshold, 4) AS threshold FROM mhev")
 def mahalanobis_layer(spark, d):
-    return rounded(detect.mahalanobis_layer(P(spark, d)))
+    return rounded(detect.mahalanobis_layer(P(spark, d)), 4)
 
 
-@layered("SELECT bar_date::VARCHAR AS bar_date, bar_idx, round(avg_corr, 6) AS avg_corr, round(corr_z, 4) + 0.0 AS corr_z, bucket, round(ann_vol, 6) AS ann_vol, round(drawdown, 6) AS drawdown, anomalies, regime FROM b")
-def regime_label(spark, d, layers):
+@query("SELECT bar_date::VARCHAR AS bar_date, bar_idx, round(avg_corr, 6) AS avg_corr, round(corr_z, 4) + 0.0 AS corr_z, bucket, round(ann_vol, 6) AS ann_vol, round(drawdown, 6) AS drawdown, anomalies, regime FROM b")
+def regime_label(spark, d):
     panel = P(spark, d)
-    bars = detect.bar_features(panel, _w(panel), _events(panel, layers), features.corr_z_path(panel))
+    bars = detect.bar_features(panel, _w(panel), _events(panel), features.corr_z_path(panel))
     return rounded(bars.select("bar_date", "bar_idx", "avg_corr", (F.round("corr_z", 4) + 0.0).alias("corr_z"), "bucket", "ann_vol", "drawdown", "anomalies", "regime"))
 
 
 _RUN = "SELECT *, sum(c) OVER (ORDER BY bar_idx)::BIGINT AS island FROM (SELECT *, coalesce((regime <> lag(regime) OVER (ORDER BY bar_idx))::INT, 0) AS c FROM b)"
 
 
-@layered(f"SELECT bar_idx, regime, island, row_number() OVER (PARTITION BY island ORDER BY bar_idx) AS duration FROM ({_RUN}) WHERE bar_idx IN (SELECT bar_idx FROM rv)")
-def regime_duration(spark, d, layers):
-    _, bars = _bars(spark, d, layers)
+@query(f"SELECT bar_idx, regime, island, row_number() OVER (PARTITION BY island ORDER BY bar_idx) AS duration FROM ({_RUN}) WHERE bar_idx IN (SELECT bar_idx FROM rv)")
+def regime_duration(spark, d):
+    _, bars = _bars(spark, d)
     return detect.durations(bars).select("bar_idx", "regime", "island", "duration")
 
 
-@layered(f"SELECT regime, min(bar_date)::VARCHAR AS \"begin\", max(bar_date)::VARCHAR AS \"end\", count(*) AS bars, round(avg(corr_z), 4) + 0.0 AS mean_corr_z, island FROM ({_RUN}) GROUP BY regime, island QUALIFY row_number() OVER (ORDER BY island DESC) <= 30")
-def regime_timeline(spark, d, layers):
-    _, bars = _bars(spark, d, layers)
+@query(f"SELECT regime, min(bar_date)::VARCHAR AS \"begin\", max(bar_date)::VARCHAR AS \"end\", count(*) AS bars, round(avg(corr_z), 4) + 0.0 AS mean_corr_z, island FROM ({_RUN}) GROUP BY regime, island QUALIFY row_number() OVER (ORDER BY island DESC) <= 30")
+def regime_timeline(spark, d):
+    _, bars = _bars(spark, d)
     return rounded(detect.timeline(bars))
 
 
@@ -539,21 +546,21 @@ _TE = """SELECT bar_idx, regime, p AS previous_regime, CASE WHEN p IS NULL THEN
   FROM (SELECT bar_idx, regime, lag(regime) OVER (ORDER BY bar_idx) AS p FROM b)"""
 
 
-@layered(_TE)
-def transition_events(spark, d, layers):
-    _, bars = _bars(spark, d, layers)
+@query(_TE)
+def transition_events(spark, d):
+    _, bars = _bars(spark, d)
     return detect.transition_events(bars).select("bar_idx", "regime", "previous_regime", "event")
 
 
-@layered(f"SELECT bar_idx, sum((event NOT IN ('no_change', 'init'))::INT) OVER w::BIGINT AS transitions, count(*) OVER w AS window_bars, 0.72 AS avg_confidence, CASE WHEN sum((event NOT IN ('no_change', 'init'))::INT) OVER w >= 4 THEN 'elevated_churn' ELSE 'stable' END AS hint FROM ({_TE}) WINDOW w AS (ORDER BY bar_idx ROWS 19 PRECEDING)")
-def transition_stats(spark, d, layers):
-    _, bars = _bars(spark, d, layers)
+@query(f"SELECT bar_idx, sum((event NOT IN ('no_change', 'init'))::INT) OVER w::BIGINT AS transitions, count(*) OVER w AS window_bars, 0.72 AS avg_confidence, CASE WHEN sum((event NOT IN ('no_change', 'init'))::INT) OVER w >= 4 THEN 'elevated_churn' ELSE 'stable' END AS hint FROM ({_TE}) WINDOW w AS (ORDER BY bar_idx ROWS 19 PRECEDING)")
+def transition_stats(spark, d):
+    _, bars = _bars(spark, d)
     return rounded(detect.transition_stats(bars))
 
 
-@layered("SELECT before, after, n, round(n / sum(n) OVER (PARTITION BY before), 6) AS share FROM (SELECT before, after, count(*) AS n FROM (SELECT regime AS before, lead(regime) OVER (ORDER BY bar_idx) AS after FROM b) WHERE after IS NOT NULL GROUP BY 1, 2)")
-def transition_matrix(spark, d, layers):
-    _, bars = _bars(spark, d, layers)
+@query("SELECT before, after, n, round(n / sum(n) OVER (PARTITION BY before), 6) AS share FROM (SELECT before, after, count(*) AS n FROM (SELECT regime AS before, lead(regime) OVER (ORDER BY bar_idx) AS after FROM b) WHERE after IS NOT NULL GROUP BY 1, 2)")
+def transition_matrix(spark, d):
+    _, bars = _bars(spark, d)
     return rounded(detect.transition_matrix(bars))
 
 
@@ -611,33 +618,33 @@ def combine(spark, d):
     return rounded(alpha.combined(alpha.sleeves(panel, DEFAULT, "AF", "RF"), features.corr_z_path(panel)).drop("bar_date"), 5)
 
 
-@layered("SELECT bar_idx, CASE regime WHEN 'STRESSED' THEN 0.35 WHEN 'TRANSITION' THEN 0.7 ELSE 1.0 END * CASE WHEN anomalies >= 3 THEN 0.5 ELSE 1.0 END AS gate, CASE bucket WHEN 'crisis_spike' THEN -0.2 WHEN 'diversification' THEN 0.2 ELSE 0.0 END::DOUBLE AS tilt FROM bv")
-def gate(spark, d, layers):
-    _, bars = _bars(spark, d, layers)
+@query("SELECT bar_idx, CASE regime WHEN 'STRESSED' THEN 0.35 WHEN 'TRANSITION' THEN 0.7 ELSE 1.0 END * CASE WHEN anomalies >= 3 THEN 0.5 ELSE 1.0 END AS gate, CASE bucket WHEN 'crisis_spike' THEN -0.2 WHEN 'diversification' THEN 0.2 ELSE 0.0 END::DOUBLE AS tilt FROM bv")
+def gate(spark, d):
+    _, bars = _bars(spark, d)
     return rounded(bars.select("bar_idx", alpha.gate(F.col("regime"), F.col("anomalies")).alias("gate"), alpha.tilt(F.col("bucket")).alias("tilt")))
 
 
 # ---- decisions ----
 
 
-@layered("SELECT bar_idx, regime, anomalies, round(var_99, 6) AS var_99, priority, exposure::DOUBLE AS exposure, hedge FROM dc")
-def decision_ladder(spark, d, layers):
-    return rounded(_decided(spark, d, layers).select("bar_idx", "regime", "anomalies", "var_99", "priority", "exposure", "hedge"))
+@query("SELECT bar_idx, regime, anomalies, round(var_99, 6) AS var_99, priority, exposure::DOUBLE AS exposure, hedge FROM dc")
+def decision_ladder(spark, d):
+    return rounded(_decided(spark, d).select("bar_idx", "regime", "anomalies", "var_99", "priority", "exposure", "hedge"))
 
 
-@layered("""SELECT bar_idx, concat_ws(',', CASE WHEN regime = 'STRESSED' AND corr_z > 1 AND priority <> 'stress_corr_override' THEN 'fact_stress_high_corr' END, CASE WHEN corr_z > 1.5 AND priority <> 'corr_crisis' THEN 'fact_high_corr_z' END, CASE WHEN anomalies >= 3 AND priority <> 'anomaly_suppress' THEN 'fact_anomaly' END,
+@query("""SELECT bar_idx, concat_ws(',', CASE WHEN regime = 'STRESSED' AND corr_z > 1 AND priority <> 'stress_corr_override' THEN 'fact_stress_high_corr' END, CASE WHEN corr_z > 1.5 AND priority <> 'corr_crisis' THEN 'fact_high_corr_z' END, CASE WHEN anomalies >= 3 AND priority <> 'anomaly_suppress' THEN 'fact_anomaly' END,
   CASE WHEN regime = 'STRESSED' AND priority <> 'stressed_regime' THEN 'fact_stressed_regime' END, CASE WHEN regime = 'TRANSITION' AND priority <> 'transition' THEN 'fact_transition' END, CASE WHEN var_99 > 0.05 AND priority <> 'var_breach_risk' THEN 'fact_var_hot' END, CASE WHEN corr_z < -1 AND priority <> 'diversification_regime' THEN 'fact_diversification_corr' END) AS secondary FROM dc""")
-def decision_facts(spark, d, layers):
-    return _decided(spark, d, layers).select("bar_idx", F.array_join("secondary", ",").alias("secondary"))
+def decision_facts(spark, d):
+    return _decided(spark, d).select("bar_idx", F.array_join("secondary", ",").alias("secondary"))
 
 
 _MASS = """CASE WHEN corr_z > 1.5 THEN 0.22 WHEN corr_z > 1.5 * 0.65 THEN 0.10 ELSE 0 END + CASE WHEN anomalies >= 3 THEN 0.28 WHEN anomalies >= 2 THEN 0.12 ELSE 0 END + CASE WHEN var_99 > 0.05 THEN 0.18 WHEN var_99 > 0.72 * 0.05 THEN 0.09 ELSE 0 END + CASE WHEN drawdown <= -0.05 THEN 0.14 WHEN drawdown <= -0.03 THEN 0.07 ELSE 0 END
   + CASE regime WHEN 'STRESSED' THEN 0.16 WHEN 'TRANSITION' THEN 0.11 ELSE 0 END + CASE WHEN regime = 'STRESSED' AND corr_z > 1 THEN 0.24 ELSE 0 END + CASE WHEN corr_z < -1 THEN 0.08 ELSE 0 END + CASE WHEN ann_vol > 0.1 * 1.2 THEN 0.06 ELSE 0 END + CASE WHEN avg_corr > 0.7 THEN 0.12 WHEN avg_corr > 0.45 THEN 0.06 ELSE 0 END"""
 
 
-@layered(f"SELECT bar_idx, round(m, 4)::DOUBLE AS mass, round(greatest(least(0.22 + 0.38 * 0.72 + 0.28 * (1 - greatest(least(anomalies / 14.0, 1), 0)) + 0.22 * greatest(least(m::DOUBLE / 0.85, 1), 0) - CASE WHEN priority = 'transition' THEN 0.08 ELSE 0 END, 0.92), 0.18), 4)::DOUBLE AS confidence FROM (SELECT *, {_MASS} AS m FROM dc)")
-def confidence(spark, d, layers):
-    _, bars = _bars(spark, d, layers)
+@query(f"SELECT bar_idx, round(m, 4)::DOUBLE AS mass, round(greatest(least(0.22 + 0.38 * 0.72 + 0.28 * (1 - greatest(least(anomalies / 14.0, 1), 0)) + 0.22 * greatest(least(m::DOUBLE / 0.85, 1), 0) - CASE WHEN priority = 'transition' THEN 0.08 ELSE 0 END, 0.92), 0.18), 4)::DOUBLE AS confidence FROM (SELECT *, {_MASS} AS m FROM dc)")
+def confidence(spark, d):
+    _, bars = _bars(spark, d)
     out = decide.traced(bars.withColumn("vol_ann", F.col("ann_vol")))
     mass = F.aggregate("drivers", F.lit(0.0), lambda acc, x: acc + x.delta)
     return rounded(out.select("bar_idx", F.round(mass, 4).alias("mass"), "confidence"))
@@ -668,16 +675,16 @@ def rebalance_signals(spark, d):
     return rounded(decide.rebalance_signals(state, risk.risk_contributions(features.sample_covariance(panel), _w(panel)), _w(panel), targets))
 
 
-@layered("SELECT bar_idx, CASE WHEN exposure < 0.75 OR priority IN ('stress_corr_override', 'corr_crisis', 'anomaly_suppress') THEN 'cut back' WHEN regime = 'TRANSITION' THEN 'hold less' WHEN bucket = 'diversification' THEN 'room to add' ELSE 'as planned' END || ': ' || priority || ' at ' || printf('%.2f', exposure) AS headline FROM dc")
-def narrative_headline(spark, d, layers):
-    _, bars = _bars(spark, d, layers)
+@query("SELECT bar_idx, CASE WHEN exposure < 0.75 OR priority IN ('stress_corr_override', 'corr_crisis', 'anomaly_suppress') THEN 'cut back' WHEN regime = 'TRANSITION' THEN 'hold less' WHEN bucket = 'diversification' THEN 'room to add' ELSE 'as planned' END || ': ' || priority || ' at ' || printf('%.2f', exposure) AS headline FROM dc")
+def narrative_headline(spark, d):
+    _, bars = _bars(spark, d)
     return decide.narrated(decide.decided(bars).withColumn("vol_ann", F.col("ann_vol"))).select("bar_idx", "headline")
 
 
-@layered("""SELECT bar_idx, round(corr_z - lag(corr_z) OVER w, 6) + 0.0 AS corr_z_1, round(corr_z - lag(corr_z, 5) OVER w, 6) + 0.0 AS corr_z_5, round(corr_z - lag(corr_z, 20) OVER w, 6) + 0.0 AS corr_z_20, round(var_99 - lag(var_99) OVER w, 8) + 0.0 AS var_99_1, round(var_99 - lag(var_99, 5) OVER w, 8) + 0.0 AS var_99_5,
+@query("""SELECT bar_idx, round(corr_z - lag(corr_z) OVER w, 6) + 0.0 AS corr_z_1, round(corr_z - lag(corr_z, 5) OVER w, 6) + 0.0 AS corr_z_5, round(corr_z - lag(corr_z, 20) OVER w, 6) + 0.0 AS corr_z_20, round(var_99 - lag(var_99) OVER w, 8) + 0.0 AS var_99_1, round(var_99 - lag(var_99, 5) OVER w, 8) + 0.0 AS var_99_5,
   coalesce(lag(regime) OVER w <> regime, false) AS regime_changed, round(exposure - lag(exposure) OVER w, 4)::DOUBLE + 0.0 AS exposure_1 FROM dc WINDOW w AS (ORDER BY bar_idx)""")
-def recent_changes(spark, d, layers):
-    return rounded(decide.recent_changes(_decided(spark, d, layers)).drop("notes"), 8)
+def recent_changes(spark, d):
+    return rounded(decide.recent_changes(_decided(spark, d)).drop("notes"), 8)
 
 
 @query("""SELECT rank, bar_idx, round(d, 5) AS distance FROM (SELECT row_number() OVER (ORDER BY d, bar_idx) AS rank, bar_idx, d FROM (SELECT h.bar_idx, sqrt(pow((h.corr_z - c.corr_z) / s1, 2) + pow((h.ann_vol - c.ann_vol) / s2, 2) + pow((h.drawdown - c.drawdown) / s3, 2) + pow((h.var_99 - c.var_99) / s4, 2)) AS d
@@ -805,15 +812,15 @@ def hero_buckets(spark, d):
     return rounded(out.select("quarter", "n", "fwd_vol_5"), 5)
 
 
-@layered("SELECT priority, count(*) AS bars, round(100 * count(*) / sum(count(*)) OVER (), 4) AS pct FROM lg GROUP BY 1")
-def decision_breakdown(spark, d, layers):
-    return rounded(research.breakdown(_log(spark, d, layers)))
+@query("SELECT priority, count(*) AS bars, round(100 * count(*) / sum(count(*)) OVER (), 4) AS pct FROM lg GROUP BY 1")
+def decision_breakdown(spark, d):
+    return rounded(research.breakdown(_log(spark, d)))
 
 
-@layered(f"""SELECT regime, bars, CASE WHEN bars >= 5 THEN round(pow(el / ef, 252 / n) - 1, 5) END AS cagr, CASE WHEN bars >= 5 THEN round(s * sqrt(252), 5) END AS ann_vol, CASE WHEN bars >= 5 THEN round(CASE WHEN n >= 5 AND s > 1e-12 THEN sqrt(252) * (mu - {DEFAULT.daily_rf!r}) / s ELSE 0 END, 4) END AS sharpe, CASE WHEN bars >= 5 THEN round(f, 5) END AS max_dd, bars < 30 AS small FROM (
+@query(f"""SELECT regime, bars, CASE WHEN bars >= 5 THEN round(pow(el / ef, 252 / n) - 1, 5) END AS cagr, CASE WHEN bars >= 5 THEN round(s * sqrt(252), 5) END AS ann_vol, CASE WHEN bars >= 5 THEN round(CASE WHEN n >= 5 AND s > 1e-12 THEN sqrt(252) * (mu - {DEFAULT.daily_rf!r}) / s ELSE 0 END, 4) END AS sharpe, CASE WHEN bars >= 5 THEN round(f, 5) END AS max_dd, bars < 30 AS small FROM (
   SELECT regime, count(*) AS bars, count(x) AS n, arg_max(e, bar_idx) AS el, arg_min(e, bar_idx) AS ef, avg(x) AS mu, stddev_samp(x) AS s, min(fall) AS f FROM (SELECT *, e / lag(e) OVER w - 1 AS x, e / max(e) OVER w - 1 AS fall FROM (SELECT regime, bar_idx, exp(sum(pnl) OVER (PARTITION BY regime ORDER BY bar_idx)) AS e FROM lg) WINDOW w AS (PARTITION BY regime ORDER BY bar_idx)) GROUP BY 1)""")
-def by_regime_perf(spark, d, layers):
-    out = research.by_regime(_log(spark, d, layers))
+def by_regime_perf(spark, d):
+    out = research.by_regime(_log(spark, d))
     return rounded(out.withColumn("sharpe", F.round("sharpe", 4)), 5)
 
 
@@ -825,17 +832,17 @@ def by_regime_perf(spark, d, layers):
   FROM (SELECT bar_idx, sum(pnl) OVER w AS total, count(*) OVER w AS n, max(bar_idx) OVER w AS e, list(priority) OVER w AS ps, sum((var_99 > 0 AND pnl < -var_99)::INT) OVER w AS breaches, lag(regime) OVER (ORDER BY bar_idx) AS before,
     sum((regime = 'CALM')::INT) OVER w AS c, sum((regime = 'STRESSED')::INT) OVER w AS s, sum((regime = 'TRANSITION')::INT) OVER w AS t FROM lg WINDOW w AS (ORDER BY bar_idx ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)) WHERE n = 5) WHERE rank <= 5""")
 def failure_windows(spark, d):
-    return rounded(research.failure_windows(_log(spark, d, SQL_LAYERS)).withColumn("tags", F.concat_ws(",", "tags")))
+    return rounded(research.failure_windows(_log(spark, d)).withColumn("tags", F.concat_ws(",", "tags")))
 
 
-@layered("SELECT many, count(*) AS n, round(avg(v), 8) AS next_vol FROM (SELECT anomalies >= 3 AS many, stddev_samp(pnl) OVER w AS v, count(pnl) OVER w AS k FROM lg WINDOW w AS (ORDER BY bar_idx ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING)) WHERE k = 5 GROUP BY 1")
-def anomaly_predictive(spark, d, layers):
-    return rounded(research.anomaly_predictive(_log(spark, d, layers)), 8)
+@query("SELECT many, count(*) AS n, round(avg(v), 8) AS next_vol FROM (SELECT anomalies >= 3 AS many, stddev_samp(pnl) OVER w AS v, count(pnl) OVER w AS k FROM lg WINDOW w AS (ORDER BY bar_idx ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING)) WHERE k = 5 GROUP BY 1")
+def anomaly_predictive(spark, d):
+    return rounded(research.anomaly_predictive(_log(spark, d)), 8)
 
 
-@layered("SELECT count(*) AS transitions, round(avg(mv), 5) AS mean_abs_move FROM (SELECT abs(corr_z - lag(corr_z) OVER (ORDER BY bar_idx)) AS mv, lag(regime) OVER (ORDER BY bar_idx) AS q, regime FROM lg) WHERE q <> regime")
-def transition_study(spark, d, layers):
-    return rounded(research.transition_study(_log(spark, d, layers)), 5)
+@query("SELECT count(*) AS transitions, round(avg(mv), 5) AS mean_abs_move FROM (SELECT abs(corr_z - lag(corr_z) OVER (ORDER BY bar_idx)) AS mv, lag(regime) OVER (ORDER BY bar_idx) AS q, regime FROM lg) WHERE q <> regime")
+def transition_study(spark, d):
+    return rounded(research.transition_study(_log(spark, d)), 5)
 
 
 @query("SELECT round(min(f), 6) AS worst, -0.15::DOUBLE AS assumed, min(f) >= -0.15 AS covered FROM (SELECT e / max(e) OVER (ORDER BY bar_idx) - 1 AS f FROM (SELECT bar_idx, exp(sum(pnl) OVER (ORDER BY bar_idx)) AS e FROM lg))")
@@ -913,7 +920,7 @@ def correlation_heatmap(spark, d):
 @query("""SELECT bar_idx, layer, severity, asset, round(metric, 5) AS metric, rank FROM (SELECT *, row_number() OVER (ORDER BY CASE severity WHEN 'CRITICAL' THEN 0 WHEN 'WARNING' THEN 1 ELSE 2 END, metric DESC, asset, layer) AS rank
   FROM kept WHERE bar_idx = (SELECT max(bar_idx) FROM kept)) WHERE rank <= 12""")
 def anomaly_feed(spark, d):
-    return rounded(stress.feed(_events(P(spark, d), SQL_LAYERS)).select("bar_idx", "layer", "severity", "asset", "metric", "rank"), 5)
+    return rounded(stress.feed(_events(P(spark, d))).select("bar_idx", "layer", "severity", "asset", "metric", "rank"), 5)
 
 
 @query("""SELECT bin, count(*) AS n, round(min(pr), 8) AS low FROM (SELECT pr, least(floor((pr - lo) / ((hi - lo) / 55)), 54)::INT AS bin FROM pr, (SELECT min(pr) AS lo, max(pr) AS hi FROM pr)) GROUP BY bin""")

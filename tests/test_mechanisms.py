@@ -1,5 +1,7 @@
 """Kernels and operators that need an algorithm of their own, against brute force."""
 
+import json
+from dataclasses import replace
 from itertools import product
 
 import numpy as np
@@ -8,8 +10,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.test_whole import long_panel, moving_together
+from tidemark.config import DEFAULT
 from tidemark.functions import kernels
-from tidemark.operators import features, stress
+from tidemark.operators import detect, features, risk, stress
 
 
 def least_by_faces(sigma, w, target, bound):
@@ -108,3 +111,105 @@ def test_strided_correlation_of_many_assets_makes_no_pairs(spark):
     lr = np.diff(np.log(closes), axis=0)
     c = np.corrcoef(lr[-60:], rowvar=False)
     assert len(got) == 89 and got[90] == pytest.approx((c.sum() - 1500) / (1500 * 1499))
+
+
+def garch_process(rng, n, omega, alpha, beta):
+    h, out = omega / (1 - alpha - beta), []
+    for _ in range(n):
+        out.append(np.sqrt(h) * rng.standard_normal())
+        h = omega + alpha * out[-1] ** 2 + beta * h
+    return np.array(out)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_garch_finds_the_parameters_of_a_process(seed):
+    r = garch_process(np.random.default_rng(seed), 6000, 2e-6, 0.08, 0.9)
+    mu, omega, alpha, beta = kernels.garch_likeliest(r)
+    assert abs(mu) < 6e-4 and abs(alpha - 0.08) < 0.03 and abs(beta - 0.9) < 0.04 and 5e-7 < omega < 6e-6
+    best = kernels.garch_path(r, mu, omega, alpha, beta)[0]
+    assert best >= kernels.garch_path(r, 0.0, 2e-6, 0.08, 0.9)[0]
+    v = r.var()
+    grid = max(kernels.garch_path(r, r.mean(), v * (1 - a - b), a, b)[0] for a in np.linspace(0.01, 0.3, 12) for b in np.linspace(0.3, 0.98, 18) if a + b < 0.999)
+    assert best >= grid
+
+
+def test_garch_of_few_or_still_returns():
+    rng = np.random.default_rng(0)
+    r = rng.normal(0, 0.02, 50)
+    vol, path, e = kernels.garch_fit(r)
+    want = pd.Series(r).rolling(16, min_periods=3).std().bfill()
+    assert vol == pytest.approx(r.std(ddof=1)) and path == pytest.approx(want.to_numpy()) and e == pytest.approx(r / path)
+    assert kernels.garch_fit(np.zeros(200))[0] == 1e-6 and kernels.garch_fit(np.array([0.1]))[0] == 0.01
+    assert len(kernels.garch_fit(np.empty(0))[1]) == 0
+    quiet = garch_process(rng, 400, 2e-6, 0.1, 0.85)
+    assert kernels.garch_fit(quiet)[0] > 0 and len(kernels.garch_fit(quiet)[1]) == 400
+
+
+def test_draws_have_the_covariance_they_are_given(spark):
+    sigma = np.array([[4.0, 1.2, -0.5], [1.2, 1.0, 0.3], [-0.5, 0.3, 2.0]]) * 1e-4
+    bad = np.array([[1.0, 0.9, -0.9], [0.9, 1.0, 0.9], [-0.9, 0.9, 1.0]]) * 1e-4
+    names = "abc"
+    cov = spark.createDataFrame([(p, names[i], names[j], float(m[i, j])) for p, m in (("good", sigma), ("bad", bad)) for i in range(3) for j in range(i, 3)], "panel string, a string, b string, cov double")
+    means = spark.createDataFrame([(p, a, 0.001 * k) for p in ("good", "bad") for k, a in enumerate(names)], "panel string, asset string, mu double")
+    draws = risk.drawn_returns(cov, means, 20_000)
+    rows = draws.toPandas()
+    assert rows.groupby(["panel", "sim"]).size().eq(3).all() and rows.groupby("panel")["sim"].nunique().eq(20_000).all()
+    values, vectors = np.linalg.eigh(bad)
+    for panel, want in (("good", sigma), ("bad", (vectors * np.maximum(values, 0)) @ vectors.T)):
+        wide = rows[rows["panel"] == panel].pivot(index="sim", columns="asset", values="r")
+        assert np.cov(wide.T) == pytest.approx(want, abs=0.03 * want.max()) and wide.mean().to_numpy() == pytest.approx([0, 0.001, 0.002], abs=4e-4)
+    again = risk.drawn_returns(cov, means, 20_000).toPandas()
+    key = ["panel", "sim", "asset"]
+    assert rows.sort_values(key)["r"].tolist() == again.sort_values(key)["r"].tolist()
+
+
+def test_adjusted_tails(spark):
+    rng = np.random.default_rng(6)
+    x = np.exp(rng.normal(0, 0.4, 500)) * 0.01 - 0.01
+    df = spark.createDataFrame([("p", float(v)) for v in x] + [("few", 0.1)], "panel string, x double")
+    got = {(r.panel, r.alpha): r for r in risk.adjusted(df, ["panel"], "x", (0.95, 0.99)).collect()}
+    m = x - x.mean()
+    g1, g2 = (m**3).mean() / (m**2).mean() ** 1.5, (m**4).mean() / (m**2).mean() ** 2 - 3
+    for a in (0.95, 0.99):
+        z, q = kernels.normal_quantile(a), np.quantile(x, 1 - a)
+        k = abs((z + (z * z - 1) * g1 / 6 + (z**3 - 3 * z) * g2 / 24 - (2 * z**3 - 5 * z) * g1**2 / 36) / z)
+        r = got["p", a]
+        assert (r["var"], r.cvar, r.multiplier, r.cf_cvar) == pytest.approx((-q, -x[x <= q].mean(), k, -x[x <= q].mean() * k))
+    assert (got["few", 0.99].cf_cvar, got["few", 0.99].multiplier) == (0.0, 1.0)
+
+
+def regime_bars(spark, n=150):
+    rng = np.random.default_rng(12)
+    state = np.repeat([0, 1, 2, 0, 2], n // 5)
+    rows = [("p", pd.Timestamp("2020-01-01").date() + pd.Timedelta(days=i), i + 1, ("CALM", "TRANSITION", "STRESSED")[k], float(0.1 + 0.1 * k + rng.normal(0, 0.004)), float(0.2 + 0.2 * k + rng.normal(0, 0.01)), float(-0.05 * k + rng.normal(0, 0.002)), 0) for i, k in enumerate(state)]
+    return state, spark.createDataFrame(rows, "panel string, bar_date date, bar_idx int, regime string, ann_vol double, avg_corr double, drawdown double, anomalies int")
+
+
+def test_posteriors_follow_the_states(spark):
+    state, bars = regime_bars(spark)
+    s = replace(DEFAULT, regime=replace(DEFAULT.regime, clustered=True, most_history=90))
+    got = {r.bar_idx: r for r in detect.classified(bars, s).collect()}
+    x = np.array([(r.ann_vol, r.avg_corr, 1.0, abs(min(r.drawdown, 0.0))) for r in bars.orderBy("bar_idx").collect()])
+    for t in range(1, 151):
+        r = got[t]
+        if t < 60:
+            assert r.matrix is None and r.probabilities == {r.regime: 1.0} and r.confidence == 0.72
+            continue
+        assert sum(r.probabilities.values()) == pytest.approx(1) and r.confidence == max(r.probabilities.values()) and r.probabilities[r.regime] == r.confidence
+        own, label = x[max(0, t - 90) : t], state[max(0, t - 90) : t]
+        if len(set(label)) == 3:  # else three clusters split what is one state
+            assert r.regime == detect.STATES[state[t - 1]]
+            z = (own - own.mean(0)) / (own.std(0) + 1e-9)
+            near = np.array([1 / (np.linalg.norm(z[-1] - z[label == k].mean(0)) + 1e-6) for k in range(3)])
+            assert [r.probabilities[n] for n in detect.STATES] == pytest.approx(near / near.sum())
+            moves = np.array([[((label[:-1] == a) & (label[1:] == b)).sum() for b in range(3)] for a in range(3)])
+            assert np.array(r.matrix) == pytest.approx(moves / np.maximum(moves.sum(1, keepdims=True), 1))
+            assert all(round(sum(row), 9) in (0, 1) for row in r.matrix)
+
+
+def test_rules_are_certain_and_serialized(spark):
+    _, bars = regime_bars(spark)
+    last = json.loads(detect.serialized(bars).orderBy(F.desc("bar_idx")).first().regime)
+    assert list(last) == ["label", "prob_vector", "confidence", "duration_bars", "last_transition", "transition_matrix", "persistence_note", "features"]
+    assert last["prob_vector"] == {"STRESSED": 1.0} and last["duration_bars"] == 30 and last["last_transition"] == "2020-04-30" and last["transition_matrix"] is None
+    assert last["persistence_note"] == "In STRESSED for 30 bar(s)." and last["features"]["anomaly_count"] == 0

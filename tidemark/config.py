@@ -32,6 +32,10 @@ class Regime:
     transition_drawdown: float = -0.08
     transition_anomalies: int = 4
     confidence: float = 0.72
+    #: Whether states of clustered bars take the place of the rules' label, from how many bars on, and over how many.
+    clustered: bool = False
+    least_history: int = 60
+    most_history: int = 200
 
 
 @dataclass(frozen=True)

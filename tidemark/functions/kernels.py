@@ -159,37 +159,124 @@ def least_shock(sigma: np.ndarray, w: np.ndarray, target: float, bound: float, r
     return x
 
 
-def garch_loglik(r: np.ndarray, alpha: float, beta: float) -> tuple[float, np.ndarray]:
-    """Gaussian log likelihood of a variance-targeted GARCH(1,1), and the variance path with its forecast."""
-    v0 = r.var()
-    omega = v0 * (1 - alpha - beta)
-    h = np.empty(len(r) + 1)
-    h[0] = v0
-    for t in range(len(r)):
-        h[t + 1] = omega + alpha * r[t] ** 2 + beta * h[t]
-    return float(-0.5 * (np.log(h[:-1]) + r**2 / h[:-1]).sum()), h
-
-
-def garch_fit(returns: np.ndarray, least: int = 120, window: int = 20, floor: float = 1e-6) -> tuple[float, np.ndarray, np.ndarray]:
-    """(next bar's volatility, volatility path, standardised residuals) of one asset's returns.
-
-    alpha and beta by a grid that is refined around its best point. Fewer than
-    `least` returns, or none that vary, give trailing deviations instead.
+def garch_path(r: np.ndarray, mu: float, omega: float, alpha: float, beta: float) -> tuple[float, np.ndarray]:
+    """Gaussian log likelihood of a GARCH(1,1), and the variances of all bars and of the next one.
+
+    The first variance is that of the first 75 bars, each counting 0.94 of the one before.
+    """
+    e2 = ((r - mu) ** 2).tolist()
+    w = 0.94 ** np.arange(min(75, len(e2)))
+    h = float(w @ np.array(e2[: len(w)]) / w.sum())
+    path, h = [], omega + (alpha + beta) * h
+    for x in e2:
+        path.append(h)
+        h = omega + alpha * x + beta * h
+    path.append(h)
+    v = np.maximum(np.array(path), 1e-300)
+    return float(-0.5 * (np.log(2 * np.pi * v[:-1]) + np.array(e2) / v[:-1]).sum()), v
+
+
+def nelder_mead(f, start: np.ndarray, size: float = 0.4, rounds: int = 600, tolerance: float = 1e-9) -> np.ndarray:
+    """Where f is least, near `start`: a simplex that is mirrored, stretched and shrunk; one more run from where the first ends."""
+    best = np.asarray(start, float)
+    for _ in range(2):
+        n = len(best)
+        points = np.vstack([best, best + size * np.eye(n)])
+        values = np.array([f(p) for p in points])
+        for _ in range(rounds):
+            order = values.argsort(kind="stable")
+            points, values = points[order], values[order]
+            if values[-1] - values[0] < tolerance and np.abs(points - points[0]).max() < 1e-5:
+                break
+            middle = points[:-1].mean(0)
+            mirrored = 2 * middle - points[-1]
+            m = f(mirrored)
+            if m < values[0]:
+                far = 3 * middle - 2 * points[-1]
+                v = f(far)
+                points[-1], values[-1] = (far, v) if v < m else (mirrored, m)
+            elif m < values[-2]:
+                points[-1], values[-1] = mirrored, m
+            else:
+                near = (middle + mirrored) / 2 if m < values[-1] else (middle + points[-1]) / 2
+                v = f(near)
+                if v < min(m, values[-1]):
+                    points[-1], values[-1] = near, v
+                else:
+                    points[1:] = (points[1:] + points[0]) / 2
+                    values[1:] = [f(p) for p in points[1:]]
+        best = points[values.argmin()]
+    return best
+
+
+def garch_likeliest(r: np.ndarray) -> tuple[float, float, float, float]:
+    """(mu, omega, alpha, beta) of the greatest likelihood; alpha + beta < 1 and all but mu positive by the way they are written.
+
+    Starts from the best of a few persistences with the variance that the returns have.
     """
-    r = returns - returns.mean() if len(returns) else returns
-    if len(r) < least or r.var() <= 0:
-        path = np.array([r[max(0, i - window + 1) : i + 1].std(ddof=1) if i else floor for i in range(len(r))])
-        path = np.maximum(np.nan_to_num(path, nan=floor), floor)
-        return (float(path[-1]) if len(path) else floor), path, r / path if len(r) else r
-    best, a0, b0, width = (-np.inf, 0.05, 0.9), 0.15, 0.7, 0.29
-    for _ in range(6):
-        for a in np.linspace(max(a0 - width / 2, 0.001), min(a0 + width / 2, 0.5), 7):
-            for b in np.linspace(max(b0 - width, 0.0), min(b0 + width, 0.998), 7):
-                if a + b < 0.999:
-                    score = garch_loglik(r, a, b)[0]
-                    if score > best[0]:
-                        best = (score, a, b)
-        a0, b0, width = best[1], best[2], width / 2.5
-    h = garch_loglik(r, best[1], best[2])[1]
-    path = np.maximum(np.sqrt(h[:-1]), floor)
+    scale = r.std()
+    x = r / scale
+
+    def read(p: np.ndarray) -> tuple[float, float, float, float]:
+        held, share = 0.9999 / (1 + math.exp(-min(max(p[2], -30), 30))), 1 / (1 + math.exp(-min(max(p[3], -30), 30)))
+        return float(p[0]), math.exp(min(max(p[1], -30), 5)), held * share, held * (1 - share)
+
+    cost = lambda p: -garch_path(x, *read(p))[0]
+    starts = [np.array([x.mean(), math.log(1 - held), math.log(held / (0.9999 - held)), math.log(share / (1 - share))]) for held in (0.5, 0.9, 0.98) for share in (0.05, 0.2)]
+    mu, omega, alpha, beta = read(nelder_mead(cost, min(starts, key=cost)))
+    return mu * scale, omega * scale * scale, alpha, beta
+
+
+def garch_fit(returns: np.ndarray, least: int = 120, floor: float = 1e-6) -> tuple[float, np.ndarray, np.ndarray]:
+    """(next bar's volatility, volatility path, standardised returns) of one asset's returns.
+
+    Fewer than `least` returns, or none that vary, give trailing deviations instead, and the deviation of all as forecast.
+    """
+    r = np.asarray(returns, float)
+    if len(r) < least or r.std() <= 1e-12:
+        s = float(r.std(ddof=1)) if len(r) > 2 else 0.01
+        width, few = min(20, max(5, len(r) // 3)), min(3, len(r))
+        path = np.array([r[max(0, i - width + 1) : i + 1].std(ddof=1) if i + 1 >= max(few, 2) else np.nan for i in range(len(r))])
+        known = path[~np.isnan(path)]
+        path = np.maximum(np.where(np.isnan(path), known[0] if len(known) else s, path), floor)
+        return max(s, floor), path, r / path
+    h = garch_path(r, *garch_likeliest(r))[1]
+    path = np.maximum(np.sqrt(h[:-1]), 1e-12)
     return float(max(math.sqrt(h[-1]), floor)), path, r / path
+
+
+def clusters(x: np.ndarray, k: int, restarts: int = 10, seed: int = 42, rounds: int = 100) -> tuple[np.ndarray, np.ndarray]:
+    """(label of each row, centres): the best of several Lloyd runs from centres drawn far apart."""
+    rng, best = np.random.default_rng(seed), None
+    for _ in range(restarts):
+        c = x[[rng.integers(len(x))]]
+        while len(c) < k:
+            d = ((x[:, None] - c[None]) ** 2).sum(2).min(1)
+            c = np.vstack([c, x[rng.choice(len(x), p=d / d.sum()) if d.sum() > 0 else rng.integers(len(x))]])
+        for _ in range(rounds):
+            d = ((x[:, None] - c[None]) ** 2).sum(2)
+            label = d.argmin(1)
+            new = np.array([x[label == j].mean(0) if (label == j).any() else c[j] for j in range(k)])
+            if (new == c).all():
+                break
+            c = new
+        cost = ((x - c[label]) ** 2).sum()
+        if best is None or cost < best[0] - 1e-12:
+            best = (cost, label, c)
+    return best[1], best[2]
+
+
+def states(features: np.ndarray, k: int = 3, restarts: int = 10, seed: int = 42) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(posterior of the last row, transition shares, states of all rows) of rows clustered by standardised features.
+
+    States are numbered in the order of their first feature; the posterior goes by the inverse distance to centres. A state that the rows never leave has a row of noughts.
+    """
+    z = (features - features.mean(0)) / (features.std(0) + 1e-9)
+    label, centers = clusters(z, k, restarts, seed)
+    rank = np.empty(k, int)
+    rank[np.argsort(centers[:, 0], kind="stable")] = np.arange(k)
+    label, centers = rank[label], centers[np.argsort(rank)]
+    near = 1 / (np.linalg.norm(centers - z[-1], axis=1) + 1e-6)
+    moves = np.zeros((k, k))
+    np.add.at(moves, (label[:-1], label[1:]), 1.0)
+    return near / near.sum(), moves / np.maximum(moves.sum(1, keepdims=True), 1), label

@@ -244,6 +244,61 @@ def transition_matrix(bars: DataFrame) -> DataFrame:
     return n.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("panel", "before")))
 
 
+STATES = ("CALM", "TRANSITION", "STRESSED")
+
+
+def posteriors(bars: DataFrame, s: Settings = DEFAULT, restarts: int = 10, block: int = 64) -> DataFrame:
+    """(panel, bar_idx, probabilities map<state, share>, matrix array<array<double>>) of bars with enough history.
+
+    Each bar's last features up to it (yearly volatility, average correlation, tail, fall) are clustered anew into three
+    states, named in the order of volatility. Probabilities go by the inverse distance of the bar to the centres, the matrix holds
+    the shares of states that follow each state. A task gets `block` bars of a panel and those that they look back on.
+    """
+    g = s.regime
+    nth = F.row_number().over(series()) - 1
+    rows = bars.select("panel", "bar_idx", nth.alias("t"), "ann_vol", "avg_corr", (F.col("tail") if "tail" in bars.columns else F.lit(1.0)).alias("tail"), F.abs(F.least("drawdown", F.lit(0.0))).alias("fall"))
+    spread = rows.withColumn("block", F.explode(F.sequence(F.floor(F.col("t") / block), F.floor((F.col("t") + g.most_history - 1) / block))))
+
+    def judge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("t")
+        x, out = rows[["ann_vol", "avg_corr", "tail", "fall"]].to_numpy(), []
+        for i, t in enumerate(rows["t"]):
+            own = x[max(0, i - g.most_history + 1) : i + 1]
+            if t // block == key[1] and t + 1 >= g.least_history:
+                post, matrix, _ = kernels.states(own, len(STATES), restarts, s.seed)
+                out.append((key[0], int(rows["bar_idx"].iloc[i]), dict(zip(STATES, post.tolist())), matrix.tolist()))
+        return pd.DataFrame(out, columns=["panel", "bar_idx", "probabilities", "matrix"])
+
+    return spread.groupBy("panel", "block").applyInPandas(judge, "panel string, bar_idx int, probabilities map<string, double>, matrix array<array<double>>")
+
+
+def classified(bars: DataFrame, s: Settings = DEFAULT) -> DataFrame:
+    """bars with regime, probabilities, confidence, duration, last_transition, matrix and persistence.
+
+    The rules' label is certain and has the settings' confidence. If the settings say `clustered`, the likeliest state takes its
+    place, with its probability, at bars with enough history. The duration counts the bars of the rules' label in any case, as
+    the state is read off after it.
+    """
+    out = durations(bars)
+    out = out.withColumn("last_transition", F.first("bar_date").over(Window.partitionBy("panel", "island").orderBy("bar_idx")))
+    plain = F.create_map(F.col("regime"), F.lit(1.0))
+    if not s.regime.clustered:
+        out = out.withColumns({"probabilities": plain, "confidence": F.lit(s.regime.confidence), "matrix": F.lit(None).cast("array<array<double>>")})
+    else:
+        found = out.join(posteriors(bars, s).withColumnRenamed("probabilities", "__p"), ["panel", "bar_idx"], "left")
+        best = F.array_max(F.transform(F.array(*[F.lit(x) for x in STATES]), lambda x: F.struct(F.element_at("__p", x).alias("p"), (-F.array_position(F.array(*[F.lit(y) for y in STATES]), x)).alias("k"), x.alias("x"))))
+        found = found.withColumn("__b", F.when(F.col("__p").isNotNull(), best))
+        out = found.withColumns({"regime": F.coalesce("__b.x", "regime"), "probabilities": F.coalesce("__p", plain), "confidence": F.coalesce("__b.p", F.lit(s.regime.confidence))}).drop("__p", "__b")
+    return out.withColumn("persistence", F.concat(F.lit("In "), "regime", F.lit(" for "), F.col("duration").cast("string"), F.lit(" bar(s).")))
+
+
+def serialized(bars: DataFrame, s: Settings = DEFAULT) -> DataFrame:
+    """(panel, bar_idx, regime json) of classified bars: label, probabilities, confidence, duration, last transition, matrix, persistence and features."""
+    features = F.struct((F.col("tail") if "tail" in bars.columns else F.lit(1.0)).alias("tail_multiplier"), F.col("avg_corr").alias("avg_pairwise_corr"), "ann_vol", F.col("drawdown").alias("portfolio_drawdown"), F.col("anomalies").alias("anomaly_count"))
+    whole_ = F.struct(F.col("regime").alias("label"), F.col("probabilities").alias("prob_vector"), "confidence", F.col("duration").alias("duration_bars"), F.col("last_transition").cast("string").alias("last_transition"), F.col("matrix").alias("transition_matrix"), F.col("persistence").alias("persistence_note"), features.alias("features"))
+    return classified(bars, s).select("panel", "bar_idx", F.to_json(whole_, {"ignoreNullFields": "false"}).alias("regime"))
+
+
 def clustered_regimes(bars: DataFrame, clusters: int = 3, seed: int = 42) -> DataFrame:
     """(panel, bar_idx, state, confidence): K-means over standardised features, states in order of volatility.
 

@@ -23,7 +23,7 @@ def cornish_fisher(z: Column, skew: Column, kurt: Column) -> Column:
 
 def tail_shape(pr: DataFrame, value: str = "pr", alpha: float = 0.99) -> DataFrame:
     """(panel, skew, kurt, z_cf, multiplier): population moments, and how much the corrected quantile exceeds the normal one."""
-    z = F.lit(kernels.normal_quantile(1 - alpha))
+    z = F.lit(kernels.normal_quantile(alpha))
     m = pr.groupBy("panel").agg(F.skewness(value).alias("skew"), F.kurtosis(value).alias("kurt"))
     return m.withColumn("z_cf", cornish_fisher(z, F.col("skew"), F.col("kurt"))).withColumn("multiplier", F.abs(F.col("z_cf") / z))
 
@@ -41,6 +41,36 @@ def historical(values: DataFrame, keys: list[str], value: str, alphas: tuple) ->
     return beyond.select(*keys, "alpha", var.alias("var"), F.when(F.col("n") < 5, 0.0).otherwise(F.greatest(-F.col("tail"), -F.col("q"))).alias("cvar"))
 
 
+def adjusted(values: DataFrame, keys: list[str], value: str, alphas: tuple) -> DataFrame:
+    """(keys, alpha, var, cvar, cf_cvar, multiplier): historical, and the mean loss times how far skew and tails move the quantile.
+
+    values: portfolio returns, whether of history or drawn.
+    """
+    known = values.where(F.col(value).isNotNull() & ~F.isnan(value))
+    shape = known.groupBy(*keys).agg(F.skewness(value).alias("skew"), F.kurtosis(value).alias("kurt"))
+    z = F.lit(None).cast("double")
+    for a in alphas:
+        z = F.when(F.col("alpha") == a, F.lit(kernels.normal_quantile(a))).otherwise(z)
+    out = historical(values, keys, value, alphas).join(shape, keys).withColumn("z", z)
+    moved = F.abs(cornish_fisher(F.col("z"), F.col("skew"), F.col("kurt")) / F.col("z"))
+    multiplier = F.when(F.abs("z") > 1e-8, F.coalesce(F.nanvl(moved, F.lit(1.0)), F.lit(1.0))).otherwise(1.0)
+    out = out.withColumn("cf_cvar", F.col("cvar") * multiplier).withColumn("multiplier", F.when(F.col("cvar") > 1e-12, multiplier).otherwise(1.0))
+    return out.select(*keys, "alpha", "var", "cvar", "cf_cvar", "multiplier")
+
+
+def tail_block(panel: DataFrame, weights: DataFrame, s: Settings = DEFAULT) -> DataFrame:
+    """(panel, hs_var_99, hs_cvar_99, mc_var_99, mc_cvar_99, cf_cvar_99, tail_multiplier, trend, breaches_30, breach_today, clustered) of the last bar.
+
+    The first six are over one bar; the last four are var_block's, of the VaR path, with at least five bars of it for clustered.
+    """
+    one = adjusted(portfolio_horizons(panel, weights).where("horizon = 1"), ["panel"], "x", (0.99,))
+    normal = monte_carlo_analytic(panel, weights, s).where("horizon = 1 and abs(alpha - 0.99) < 1e-9").select("panel", F.col("var").alias("mc_var_99"), F.col("cvar").alias("mc_cvar_99"))
+    path = rolling_var(portfolio_returns(panel, weights))
+    few = path.groupBy("panel").agg(F.count("*").alias("n"))
+    block = var_block(path).join(few, "panel").select("panel", "trend", "breaches_30", F.col("breach").alias("breach_today"), (F.col("clustered") & (F.col("n") >= 5)).alias("clustered"))
+    return one.select("panel", F.col("var").alias("hs_var_99"), F.col("cvar").alias("hs_cvar_99"), F.col("cf_cvar").alias("cf_cvar_99"), F.col("multiplier").alias("tail_multiplier")).join(normal, "panel").join(block, "panel")
+
+
 def portfolio_horizons(panel: DataFrame, weights: DataFrame) -> DataFrame:
     """(panel, horizon, bar_idx, x): portfolio returns of 1 and 10 bars where all assets have both."""
     r = returns_10d(panel).withColumn("__missing", F.sum((F.col("lr").isNull() | F.col("lr10").isNull()).cast("int")).over(whole("bar_idx"))).where("__missing = 0")
@@ -87,6 +117,38 @@ def monte_carlo_sampled(panel: DataFrame, weights: DataFrame, sims: int = 10_000
     return draws.select("panel", "horizon", "sim", (F.col("mu") + F.col("sigma") * z).alias("x"))
 
 
+def drawn_returns(cov: DataFrame, means: DataFrame, draws: int = 10_000, s: Settings = DEFAULT, parts: int = 16, keys: tuple = ("panel",)) -> DataFrame:
+    """(keys, sim, asset, r): seeded normal draws of all assets together, under the covariances (keys, a, b, cov) and means (keys, asset, mu).
+
+    A covariance that isn't semidefinite is repaired to the nearest that is. Draws are dealt over `parts`
+    tasks for each key, each of which has its own seed, so they are the same in every run.
+    """
+    cells = cov.select(*keys, F.struct("a", "b", F.col("cov").alias("v")).alias("c")).groupBy(*keys).agg(F.collect_list("c").alias("cells"))
+    mu = means.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("asset", "mu"))).alias("mu"))
+    dealt = cells.join(mu, list(keys)).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumn("seed", F.xxhash64(F.lit(s.seed), *keys, "part")).repartition(*keys, "part")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for row in b.itertuples(index=False):
+                names, sigma = _matrix(row.cells)
+                mean = dict(row.mu) if not isinstance(row.mu, dict) else row.mu
+                sims = np.arange(row.part, draws, parts)
+                z = np.random.default_rng(row.seed % (1 << 63)).standard_normal((len(sims), len(names)))
+                r = np.array([mean.get(n, 0.0) for n in names]) + z @ kernels.cholesky(sigma).T
+                out = pd.DataFrame({k: getattr(row, k) for k in keys}, index=range(r.size)) if keys else pd.DataFrame(index=range(r.size))
+                yield out.assign(sim=np.repeat(sims, len(names)), asset=names * len(sims), r=r.ravel())
+
+    types = dict(cov.dtypes)
+    return dealt.mapInPandas(run, ", ".join(f"{k} {types[k]}" for k in keys) + ", sim long, asset string, r double")
+
+
+def drawn_portfolio(panel: DataFrame, weights: DataFrame, draws: int = 10_000, s: Settings = DEFAULT) -> DataFrame:
+    """(panel, sim, x): one bar's portfolio returns, by draws of all assets under the GARCH-DCC covariance, or the sample's where that is incoherent."""
+    cov = garch_dcc_covariance(panel, weights, s)
+    means = last_bars(returns(panel), YEAR).where("lr is not null").groupBy("panel", "asset").agg(F.avg("lr").alias("mu"))
+    return drawn_returns(cov, means, draws, s).join(weights, ["panel", "asset"]).groupBy("panel", "sim").agg(F.sum(F.col("w") * F.col("r")).alias("x"))
+
+
 def parametric(panel: DataFrame, weights: DataFrame, alpha: float = 0.99, window: int = YEAR) -> DataFrame:
     """(panel, sigma, var): a normal quantile without the mean."""
     v = portfolio_variance(sample_covariance(panel, window), weights)

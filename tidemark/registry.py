@@ -358,15 +358,15 @@ def parametric_var(spark, d):
     return rounded(risk.parametric(panel, _w(panel)), 8)
 
 
-@query(f"""SELECT round(skew, 5) AS skew, round(kurt, 5) AS kurt, round(zc, 5) AS z_cf, round(abs(zc / ({_Z[0.99]!r})), 5) AS multiplier FROM (SELECT skew, kurt, z + (z * z - 1) * skew / 6 + (z * z * z - 3 * z) * kurt / 24 - (2 * z * z * z - 5 * z) * skew * skew / 36 AS zc FROM (
-  SELECT {_Z[0.99]!r}::DOUBLE AS z, avg(pow(pr - mu, 3)) / pow(avg(pow(pr - mu, 2)), 1.5) AS skew, avg(pow(pr - mu, 4)) / pow(avg(pow(pr - mu, 2)), 2) - 3 AS kurt FROM (SELECT pr, avg(pr) OVER () AS mu FROM pr)))""")
+@query(f"""SELECT round(skew, 5) AS skew, round(kurt, 5) AS kurt, round(zc, 5) AS z_cf, round(abs(zc / ({-_Z[0.99]!r})), 5) AS multiplier FROM (SELECT skew, kurt, z + (z * z - 1) * skew / 6 + (z * z * z - 3 * z) * kurt / 24 - (2 * z * z * z - 5 * z) * skew * skew / 36 AS zc FROM (
+  SELECT {-_Z[0.99]!r}::DOUBLE AS z, avg(pow(pr - mu, 3)) / pow(avg(pow(pr - mu, 2)), 1.5) AS skew, avg(pow(pr - mu, 4)) / pow(avg(pow(pr - mu, 2)), 2) - 3 AS kurt FROM (SELECT pr, avg(pr) OVER () AS mu FROM pr)))""")
 def cornish_fisher_multiplier(spark, d):
     return rounded(risk.tail_shape(risk.portfolio_of(P(spark, d))), 5)
 
 
 #: The multiplier of cornish_fisher_multiplier, not rounded.
 _TAIL = f"""SELECT abs((z + (z * z - 1) * skew / 6 + (z * z * z - 3 * z) * kurt / 24 - (2 * z * z * z - 5 * z) * skew * skew / 36) / z) AS tail FROM (
-  SELECT {_Z[0.99]!r}::DOUBLE AS z, avg(pow(pr - mu, 3)) / pow(avg(pow(pr - mu, 2)), 1.5) AS skew, avg(pow(pr - mu, 4)) / pow(avg(pow(pr - mu, 2)), 2) - 3 AS kurt FROM (SELECT pr, avg(pr) OVER () AS mu FROM pr))"""
+  SELECT {-_Z[0.99]!r}::DOUBLE AS z, avg(pow(pr - mu, 3)) / pow(avg(pow(pr - mu, 2)), 1.5) AS skew, avg(pow(pr - mu, 4)) / pow(avg(pow(pr - mu, 2)), 2) - 3 AS kurt FROM (SELECT pr, avg(pr) OVER () AS mu FROM pr))"""
 
 
 def _with_tail(panel: DataFrame, bars: DataFrame) -> DataFrame:
@@ -448,6 +448,26 @@ def allocation_delta_topk(spark, d):
     return rounded(risk.allocation_delta(at(20), at(0)), 8)
 
 
+_HX = """SELECT horizon, alpha, var, greatest(t, var) AS cvar, skew, kurt FROM (SELECT horizon, alpha, -any_value(q) AS var, -avg(x) FILTER (x <= q) AS t, avg(pow(x - mu, 3)) / pow(avg(pow(x - mu, 2)), 1.5) AS skew, avg(pow(x - mu, 4)) / pow(avg(pow(x - mu, 2)), 2) - 3 AS kurt FROM (
+  SELECT horizon, alpha, x, avg(x) OVER h AS mu, CASE WHEN alpha = 0.95 THEN quantile_cont(x, 0.05) OVER h ELSE quantile_cont(x, 0.01) OVER h END AS q FROM (
+  SELECT unnest([1, 10]) AS horizon, unnest([x1, x10]) AS x FROM (SELECT bar_idx, sum(lr / k) AS x1, sum(lr10 / k) AS x10, count(lr10) AS n, any_value(k) AS k FROM r10, k GROUP BY 1) WHERE n = k), (VALUES (0.95::DOUBLE), (0.99::DOUBLE)) v(alpha) WINDOW h AS (PARTITION BY horizon, alpha)) GROUP BY 1, 2)"""
+_CF = f"""SELECT *, abs((z + (z * z - 1) * skew / 6 + (z * z * z - 3 * z) * kurt / 24 - (2 * z * z * z - 5 * z) * skew * skew / 36) / z) AS multiplier FROM (SELECT *, CASE WHEN alpha = 0.95 THEN {-_Z[0.95]!r}::DOUBLE ELSE {-_Z[0.99]!r}::DOUBLE END AS z FROM ({_HX}))"""
+
+
+@query(f"SELECT horizon, alpha, round(var, 6) AS var, round(cvar, 6) AS cvar, round(cvar * multiplier, 6) AS cf_cvar, round(multiplier, 5) AS multiplier FROM ({_CF})")
+def cf_cvar_grid(spark, d):
+    panel = P(spark, d)
+    out = risk.adjusted(risk.portfolio_horizons(panel, _w(panel)), ["panel", "horizon"], "x", DEFAULT.var_alphas)
+    return rounded(out.withColumn("multiplier", F.round("multiplier", 5)))
+
+
+@query(f"""SELECT round(h.var, 6) AS hs_var_99, round(h.cvar, 6) AS hs_cvar_99, round(h.cvar * multiplier, 6) AS cf_cvar_99, round(multiplier, 6) AS tail_multiplier, round(mv.var, 6) AS mc_var_99, round(mv.cvar, 6) AS mc_cvar_99, b.trend, b.breaches_30, b.breach AS breach_today, b.clustered
+  FROM ({_CF}) h, ({_QUERIES["mc_var_analytic"][1]}) mv, ({_QUERIES["var_percentile_rank"][1]}) b WHERE h.horizon = 1 AND h.alpha = 0.99 AND mv.horizon = 1 AND mv.alpha = 0.99""")
+def tail_block(spark, d):
+    panel = P(spark, d)
+    return rounded(risk.tail_block(panel, _w(panel)))
+
+
 @query("""WITH e AS (SELECT r.bar_idx, asset, (lr - avg(lr) OVER (PARTITION BY asset)) / stddev_samp(lr) OVER (PARTITION BY asset) AS e FROM r, m WHERE lr IS NOT NULL AND bar_idx > m - 504),
   q AS (SELECT a, b, pow(0.94, n - 1) * q0 + (1 - 0.98) * (1 - pow(0.94, n - 1)) / (1 - 0.94) * q0 + v AS q FROM (SELECT x.asset AS a, y.asset AS b, corr(x.e, y.e) AS q0, count(*) AS n, sum(CASE WHEN m > x.bar_idx THEN 0.04 * pow(0.94, m - x.bar_idx - 1) * x.e * y.e ELSE 0 END) AS v FROM e x JOIN e y ON x.bar_idx = y.bar_idx, m GROUP BY 1, 2))
   SELECT q.a, q.b, round(q.q / sqrt(u.q * w.q), 6) AS rho FROM q JOIN q u ON u.a = q.a AND u.b = q.a JOIN q w ON w.a = q.b AND w.b = q.b WHERE q.a <= q.b""")
@@ -462,6 +482,13 @@ def mc_var_sampled(spark, d):
     return rounded(risk.historical(draws, ["panel", "horizon"], "x", DEFAULT.var_alphas))
 
 
+@query()
+def mc_assets_drawn(spark, d):
+    """VaR and adjusted tail means of draws of all assets under the coherent covariance."""
+    panel = P(spark, d)
+    return rounded(risk.adjusted(risk.drawn_portfolio(panel, _w(panel)), ["panel"], "x", DEFAULT.var_alphas))
+
+
 @query()
 def garch_forecast(spark, d):
     return rounded(risk.garch(P(spark, d)).groupBy("panel", "asset").agg(F.first("forecast").alias("forecast"), F.count("*").alias("bars")))
@@ -564,6 +591,30 @@ def transition_matrix(spark, d):
     return rounded(detect.transition_matrix(bars))
 
 
+@query(f"""SELECT bar_idx, regime, 1.0::DOUBLE AS probability, 0.72::DOUBLE AS confidence, duration, min(bar_date) OVER (PARTITION BY island)::VARCHAR AS last_transition, 'In ' || regime || ' for ' || duration || ' bar(s).' AS persistence
+  FROM (SELECT *, row_number() OVER (PARTITION BY island ORDER BY bar_idx) AS duration FROM ({_RUN}))""")
+def regime_classify(spark, d):
+    panel = stored(P(spark, d), "panel")
+    bars = detect.bar_features(panel, _w(panel), _events(panel), features.corr_z_path(panel))
+    out = detect.classified(bars)
+    return rounded(out.select("bar_idx", "regime", F.element_at("probabilities", F.col("regime")).alias("probability"), "confidence", "duration", "last_transition", "persistence"))
+
+
+@query()
+def regime_posteriors(spark, d):
+    """Every bar's state, its probabilities and the matrix of state changes behind it."""
+    _, bars = _bars(spark, d)
+    out = detect.classified(bars, replace(DEFAULT, regime=replace(DEFAULT.regime, clustered=True)))
+    shares = [F.round(F.element_at("probabilities", x), 6).alias(x.lower()) for x in detect.STATES]
+    return rounded(out.select("bar_idx", "regime", "confidence", *shares, F.transform("matrix", lambda r: F.transform(r, lambda v: F.round(v, 6))).alias("matrix"), "persistence"))
+
+
+@query()
+def regime_json(spark, d):
+    _, bars = _bars(spark, d)
+    return detect.serialized(bars).drop("panel")
+
+
 @query()
 def hmm_lite(spark, d):
     _, bars = _bars(spark, d)

@@ -525,3 +525,17 @@ def test_registered():
     names = [n for n in entry.queries() if n.startswith("op")]
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 11)) and "pipeline" in entry.queries()
     assert set(entry.oracle_sql()) <= set(entry.queries()) and json.dumps(sorted(entry.oracle_sql()))
+
+
+def test_a_level_misses_no_more_than_it_states(spark):
+    rng = np.random.default_rng(21)
+    n, rows = 60_000, []
+    one = rng.integers(0, 256, (n, setjoin.SKETCH), dtype=np.uint8)
+    two = np.where(rng.random(one.shape) < setjoin.LEAST, one, rng.integers(0, 256, one.shape, dtype=np.uint8))
+    for k, sketches in enumerate((one, two)):
+        rows += [(i, 2 * i + k, bytearray(s.tobytes())) for i, s in enumerate(sketches)]
+    df = spark.createDataFrame(rows, "node long, set long, sketch binary").repartition(8)
+    down = setjoin.children(df, setjoin.paths_for(setjoin.RECALL, setjoin.LEAST)).distinct()
+    met = down.withColumn("pair", F.expr("set div 2")).groupBy("pair", "node").count().where("count = 2").select("pair").distinct().count()
+    # 6 are expected at most
+    assert n - met <= 18

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import packed
+from .common import others, packed, quoted
 from .textkernels import span_hashes
 
 #: Distinct pre-tokens, and ids in all, that a worker remembers before it starts afresh.
@@ -483,8 +483,8 @@ def coded(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids:
             lists = _encoded(own, texts)
             yield pa.StructArray.from_arrays([lists, _decoded(own, lists)], ["ids", "raw"])
 
-    own = packed(df).select("row", both(F.col(f"row.{text}")).alias("coded"))
-    return own.select(*[F.col(f"row.{c}") for c in df.columns if c not in (ids, raw)], F.col("coded.ids").alias(ids), F.col("coded.raw").alias(raw))
+    own = packed(df).select("row", both(F.col(f"row.{quoted(text)}")).alias("coded"))
+    return own.select(*others(df.columns, ids, raw), F.col("coded.ids").alias(ids), F.col("coded.raw").alias(raw))
 
 
 def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:

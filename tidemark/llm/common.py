@@ -18,9 +18,20 @@ def text_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def quoted(name: str) -> str:
+    """A column's name as F.col() reads it, whatever it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def packed(docs: DataFrame) -> DataFrame:
     """docs as one column, row, so that no name put beside it can clash; "row.*" gives the columns back."""
-    return docs.select(F.struct(*docs.columns).alias("row"))
+    return docs.select(F.struct(*[F.col(quoted(c)).alias(c) for c in docs.columns]).alias("row"))
+
+
+def others(columns: list[str], *names: str) -> list[Column]:
+    """The columns of packed rows, without those that have one of the given names in any case: results take their place."""
+    taken = {n.lower() for n in names}
+    return [F.col(f"row.{quoted(c)}").alias(c) for c in columns if c.lower() not in taken]
 
 
 def sha256_hex(value: Column) -> Column:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import changed_ascii_case, let
 from ..plans.scratch import new_folder, small, steady, stored
-from .common import packed, row_keys
+from .common import others, packed, row_keys
 
 WINDOW = 13
 #: Posting lists that are intersected for each window.
@@ -147,7 +147,7 @@ def annotated(docs: DataFrame, items: DataFrame, size: int = WINDOW, share: int
     A word is hit if it lies in an occurrence of a window; a document is
     contaminated if `share` times its hit words reach its words.
     """
-    return _judged(docs, items, size, share).select("row.*", F.col("found").alias(out))
+    return _judged(docs, items, size, share).select(*others(docs.columns, out), F.col("found").alias(out))
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import let
 from ..plans.scratch import dropped, small, steady, stored
-from .common import packed, row_keys, sha256_hex, table
+from .common import packed, quoted, row_keys, sha256_hex, table
 
 EDITS = 2
 #: Lines under one key from which on they must share a rare gram as well.
@@ -293,20 +293,21 @@ def _deduped(docs: DataFrame, edits: int, hot: int) -> DataFrame:
     return found.select("row", left.alias("text"), F.col("found.n").alias("lines"), F.size("found.kept").alias("kept"))
 
 
-def _shortened(found: DataFrame, columns: list[str]) -> list[Column]:
-    return [found["text"] if c == "text" else found[f"row.{c}"] for c in columns]
+def _shortened(columns: list[str]) -> list[Column]:
+    return [F.col("text") if c == "text" else F.col(f"row.{quoted(c)}").alias(c) for c in columns]
 
 
 def deduped(docs: DataFrame, edits: int = EDITS, hot: int = HOT) -> DataFrame:
     """docs with their text of the kept lines, and __lines and __kept, the number of lines before and after."""
     found = _deduped(docs, edits, hot)
-    return found.select(*_shortened(found, docs.columns), F.col("lines").alias("__lines"), F.col("kept").alias("__kept"))
+    own = [c for c in docs.columns if c.lower() not in ("__lines", "__kept")]
+    return found.select(*_shortened(own), F.col("lines").alias("__lines"), F.col("kept").alias("__kept"))
 
 
 def clean(docs: DataFrame) -> DataFrame:
     """The documents with their repeated lines taken out; those that have nothing left go."""
     found = _deduped(docs, EDITS, HOT).where("kept > 0 or lines = 0")
-    return found.select(*_shortened(found, docs.columns))
+    return found.select(*_shortened(docs.columns))
 
 
 def _digests(found: DataFrame) -> DataFrame:

@@ -77,8 +77,14 @@ def runs_for(recall: float, least: float, choices: float) -> int:
 
 
 def paths_for(recall: float, least: float, steps: int = STEPS) -> int:
-    """How many paths of `steps` tokens keep the chance of missing a pair below 1 - recall."""
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - least**steps)))
+    """How many paths of `steps` tokens keep the chance of missing a pair below 1 - recall.
+
+    The paths share the sketch: of its bytes two sets agree in a number that is spread as draws with the chance
+    `least`, and given that number each path is one of the ways to pick `steps` bytes, all of which must agree.
+    """
+    agree = [math.comb(SKETCH, a) * least**a * (1 - least) ** (SKETCH - a) for a in range(SKETCH + 1)]
+    apart = [1 - math.comb(a, steps) / math.comb(SKETCH, steps) for a in range(SKETCH + 1)]
+    return next(n for n in range(1, 10_000) if sum(p * q**n for p, q in zip(agree, apart)) < 1 - recall)
 
 
 def _token_sets(texts: pa.Array, k: int) -> Iterator[tuple[int, list[np.ndarray]]]:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import changed_ascii_case, let
 from ..plans.scratch import stored
-from .common import table
+from .common import others, packed, quoted, table
 
 #: The filter's largest size in blocks of 512 bits.
 MAX_BLOCKS = 1 << 17
@@ -105,11 +105,12 @@ def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def judged(pages: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame:
-    """pages with __host, __path, __rule and __verdict of their urls."""
-    placed = pages.select("*", host_of(F.col(url)).alias("__host"), path_of(F.col(url)).alias("__path"))
-    found = matched(placed.select(F.col("__host").alias("host"), F.col("__path").alias("path")), rules).withColumnsRenamed({"host": "__of_host", "path": "__of_path", "rule": "__rule", "action": "__action"})
-    joined = placed.join(found, (F.col("__host") == F.col("__of_host")) & (F.col("__path") == F.col("__of_path")), "left")
-    return joined.withColumn("__verdict", F.coalesce("__action", F.lit("allow"))).drop("__of_host", "__of_path", "__action")
+    """pages with __host, __path, __rule and __verdict of their urls; columns of these names, in any case, make way."""
+    own = F.col(f"row.{quoted(url)}")
+    placed = packed(pages).select("row", host_of(own).alias("host"), path_of(own).alias("path"))
+    joined = placed.join(matched(placed.select("host", "path"), rules), ["host", "path"], "left")
+    made = {"__host": F.col("host"), "__path": F.col("path"), "__rule": F.col("rule"), "__verdict": F.coalesce("action", F.lit("allow"))}
+    return joined.select(*others(pages.columns, *made), *[c.alias(n) for n, c in made.items()])
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,10 @@ to one of 2^20 buckets and counts once a text. The machine scores
 so that a pair of terms (an insult with the mention of a group) can weigh more
 than its two parts. Every bucket that `min_rows` training rows or more have is in
 the model, however little it says by itself; an L1 penalty on weights and factors
-takes those back to nought that help neither alone nor in pairs.
+takes those back to nought that help neither alone nor in pairs. The penalty of a
+term's weight falls with the square of how far its share of toxic rows is from that of all, in
+deviations, so that few labels don't spread over the many terms that chance has put
+beside them; factors, which need no such sign, have one penalty. Both are spread over the rows, so they weigh less with more of them.
 
 Training takes at most `max_labelled` labelled doc_ids, those of the smallest hash,
 one text of each, and of these as many as have `max_terms` terms together. So much
@@ -38,6 +41,9 @@ from .textkernels import mix, span_hashes, words
 BUCKETS = 1 << 20
 PREFIXES = (4, 5, 6)
 THRESHOLD = 0.3
+#: L1 penalties over all training rows, as a prior: of a weight whose term is SURE deviations from chance (at most
+#: MOST squared times that for one by chance), and of a factor.
+WEIGHT_PRIOR, SURE, MOST, PAIR_PRIOR = 1.0, 3.0, 3.0, 3.0
 
 _NO_LETTER = np.ones(256, bool)
 _NO_LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -113,9 +119,17 @@ def _trained(toxic: np.ndarray, sizes: np.ndarray, buckets: np.ndarray, min_rows
     share = (y.sum() + 0.5) / (len(y) + 1)
     b, w, v = float(np.log(share / (1 - share))), np.zeros(len(terms)), rng.normal(0, 0.02, (factors, len(terms)))
     gb, gw, gv = 1e-3, np.full(len(w), 1e-3), np.full(v.shape, 1e-3)
-    rate, penalty, step = 0.15, 1e-3, 256
-
-    def moved(x: np.ndarray, squares: np.ndarray, slope: np.ndarray, speed: float) -> np.ndarray:
+    rate, step = 0.15, 256
+    # by how many deviations a term's toxic rows exceed or miss what chance would give it
+    count = often[terms]
+    found = np.zeros(len(terms), np.int64)
+    for part in np.array_split(np.flatnonzero(y), len(y) // 500 + 1):
+        own = [at[ends[i] : ends[i + 1]] for i in part]
+        found += np.bincount(np.concatenate(own), minlength=len(terms)) if own else 0
+    apart = np.abs(found - count * share) / np.sqrt(count * share * (1 - share))
+    penalty, pair_penalty = WEIGHT_PRIOR / len(y) * np.clip(SURE / np.maximum(apart, 1e-9), 0.1, MOST) ** 2, PAIR_PRIOR / len(y)
+
+    def moved(x: np.ndarray, squares: np.ndarray, slope: np.ndarray, speed: float, penalty: np.ndarray | float) -> np.ndarray:
         pace = speed / np.sqrt(squares)
         x = x - pace * slope
         return np.sign(x) * np.maximum(np.abs(x) - pace * penalty, 0)
@@ -137,11 +151,11 @@ def _trained(toxic: np.ndarray, sizes: np.ndarray, buckets: np.ndarray, min_rows
             gb += db * db
             b -= rate * db / np.sqrt(gb)
             gw[cols] += dw**2
-            w[cols] = moved(w[cols], gw[cols], dw, rate)
+            w[cols] = moved(w[cols], gw[cols], dw, rate, penalty[cols])
             for f in range(factors):
                 dv = np.bincount(own, each * sums[f][mine], len(cols)) - v[f, cols] * dw
                 gv[f, cols] += dv**2
-                v[f, cols] = moved(v[f, cols], gv[f, cols], dv, 0.2 * rate)
+                v[f, cols] = moved(v[f, cols], gv[f, cols], dv, 0.2 * rate, pair_penalty)
     used = (w != 0) | (v != 0).any(0)
     return Machine(terms[used], b, w[used], v[:, used].T.copy())
 

@@ -313,10 +313,11 @@ def _orders(node: Column, path: int, steps: int) -> list[Column]:
 
 def dense_nodes(large: DataFrame) -> DataFrame:
     """(node) of rows (node, set, n, sketch): nodes of which most sets agree in a few orders."""
-    some = F.array(*[F.struct(F.lit(i).alias("i"), F.substring("sketch", _order(F.col("node"), i), F.lit(1)).alias("least")) for i in range(SAMPLED)])
-    counts = large.select("node", "n", F.explode(some).alias("x")).groupBy("node", "x").agg(F.count("*").alias("together"), F.first("n").alias("n"))
-    most = counts.groupBy("node", "x.i").agg((F.max("together") / F.first("n")).alias("share"))
-    return most.groupBy("node").agg(F.avg("share").alias("share")).where(F.col("share") > DENSE).select("node")
+    # a node's commonest byte under each order, of 256 at most; as text, which compares by value
+    least = [F.hex(F.substring("sketch", _order(F.col("node"), i), F.lit(1))) for i in range(SAMPLED)]
+    common = large.groupBy("node").agg(*[F.mode(x).alias(f"m{i}") for i, x in enumerate(least)])
+    agree = sum(((x == F.col(f"m{i}")).cast("int") for i, x in enumerate(least)), F.lit(0))
+    return large.join(common, "node").groupBy("node").agg((F.avg(agree) / SAMPLED).alias("share")).where(F.col("share") > DENSE).select("node")
 
 
 def children(large: DataFrame, paths: int, steps: int = STEPS) -> DataFrame:

@@ -6,10 +6,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, DoubleType, FloatType, MapType, StructType
 
 from ..config import DEFAULT, Settings
 from ..functions import kernels
 from ..plans.scratch import small
+from . import decide
 from .features import both_ways, whole
 
 #: Scenario shocks by asset (fixed values).
@@ -205,8 +207,44 @@ def disagreement(grid: DataFrame, share: float) -> DataFrame:
     return grid.withColumn("disagree", F.abs(F.col("hs") - F.col("mc")) / F.greatest(F.abs("mc"), F.lit(1e-8)) > share)
 
 
-def snapshot(bars: DataFrame, s: Settings = DEFAULT) -> DataFrame:
-    """(panel, snapshot): a panel's last decided bar as one JSON text."""
-    last = bars.withColumn("__last", F.max("bar_idx").over(whole())).where(F.col("bar_idx") == F.col("__last")).drop("__last")
-    fields = [c for c in last.columns if c != "panel"]
-    return last.select("panel", F.to_json(F.struct(F.lit("live_snapshot_v1").alias("schema_version"), *fields)).alias("snapshot"))
+def finite(df: DataFrame) -> DataFrame:
+    """df with NaN and infinities as nulls, inside structs, arrays and maps too, as JSON has neither."""
+
+    def clean(value: Column, kind: DataType) -> Column:
+        if isinstance(kind, (DoubleType, FloatType)):
+            return F.when(~F.isnan(value) & (F.abs(value) < float("inf")), value)
+        if isinstance(kind, StructType):
+            return F.when(value.isNotNull(), F.struct(*[clean(value.getField(f.name), f.dataType).alias(f.name) for f in kind]))
+        if isinstance(kind, ArrayType):
+            return F.transform(value, lambda x: clean(x, kind.elementType))
+        if isinstance(kind, MapType):
+            return F.transform_values(value, lambda _, x: clean(x, kind.valueType))
+        return value
+
+    return df.select(*[clean(F.col(f.name), f.dataType).alias(f.name) for f in df.schema])
+
+
+#: What a snapshot has at its top (fixed values).
+SECTIONS = ("meta", "market_state", "decision", "narrative", "risk", "portfolio", "recent_changes", "timeline", "analogs", "research_links", "schema_version")
+
+
+def snapshot(bars: DataFrame, tail: DataFrame, weights: DataFrame, runs: DataFrame, near: DataFrame, profile: str = "full", s: Settings = DEFAULT) -> DataFrame:
+    """(panel, snapshot): a panel's last bar as one struct of sections, in which doubles are finite or null.
+
+    bars: (panel, bar_date, bar_idx, regime, corr_z, bucket, avg_corr, vol_ann, drawdown, anomalies, var_99); tail: risk.tail_block;
+    weights: (panel, asset, w); runs: detect.timeline; near: decide.analogs. A section that its table has no rows for is null.
+    """
+    traced = decide.trace(bars, s)
+    known = decide.narrated(traced.withColumns({"priority": F.col("trace.priority"), "exposure": F.col("trace.multiplier"), "hedge": F.col("trace.hedge")}), s).withColumnRenamed("lines", "story")
+    last = lambda df: df.withColumn("__last", F.max("bar_idx").over(whole())).where(F.col("bar_idx") == F.col("__last")).drop("__last")
+    told = decide.recent_changes(decide.decided(bars, s))
+    gathered = lambda df, name: df.groupBy("panel").agg(F.array_sort(F.collect_list(F.struct(*[c for c in df.columns if c != "panel"]))).alias(name))
+    out = last(known).join(last(told).select("panel", F.struct(*[c for c in told.columns if c not in ("panel", "bar_idx")]).alias("recent_changes")), "panel", "left")
+    out = out.join(tail.select("panel", F.struct(*[c for c in tail.columns if c != "panel"]).alias("tail")), "panel", "left").join(gathered(weights, "portfolio"), "panel", "left").join(gathered(runs, "timeline"), "panel", "left").join(gathered(near, "analogs"), "panel", "left")
+    sections = {
+        "meta": F.struct(F.lit("live_snapshot_v1").alias("schema_version"), F.col("bar_date").cast("string").alias("as_of"), F.col("bar_idx").alias("cycle"), F.lit(profile).alias("universe_profile")),
+        "market_state": F.struct("regime", "corr_z", "bucket", "avg_corr", "vol_ann", "drawdown", "anomalies", "var_99"),
+        "decision": F.struct("trace.priority", "trace.multiplier", "trace.rule", "trace.signal", "trace.hedge", "trace.suppress"), "narrative": F.struct("headline", F.col("story").alias("lines")), "risk": F.struct("tail", "trace"),
+        "portfolio": F.col("portfolio"), "recent_changes": F.col("recent_changes"), "timeline": F.col("timeline"), "analogs": F.col("analogs"), "research_links": F.array().cast("array<string>"), "schema_version": F.lit("live_snapshot_v1"),
+    }
+    return finite(out.select("panel", F.struct(*[sections[n].alias(n) for n in SECTIONS]).alias("snapshot")))

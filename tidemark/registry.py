@@ -198,6 +198,25 @@ def panel_fill3(spark, d):
     return rounded(panels.filled(panels.raw(spark, d)))
 
 
+_STALE = "SELECT asset, max(bar_date) FILTER (close IS NOT NULL) AS last_date, max(bar_date) - max(bar_date) FILTER (close IS NOT NULL) AS gap_days FROM fp GROUP BY 1"
+
+
+@query(f"SELECT bar_date::VARCHAR AS bar_date, bar_idx, asset, round(close, 9) AS close, gap_days > 2 AS stale FROM (SELECT *, count(*) FILTER (close IS NULL) OVER (PARTITION BY bar_idx) AS missing FROM fp) JOIN ({_STALE}) USING (asset) WHERE missing = 0")
+def aligned_panel(spark, d):
+    return rounded(panels.aligned(panels.raw(spark, d)), 9)
+
+
+@query(f"SELECT asset, last_date::VARCHAR AS last_date, gap_days::INT AS gap_days, gap_days > 2 AS stale FROM ({_STALE})")
+def asset_staleness(spark, d):
+    return rounded(panels.staleness(panels.filled(panels.raw(spark, d))))
+
+
+@query("""SELECT asset, min(bar_date)::VARCHAR AS "begin", max(bar_date)::VARCHAR AS "end", count(*) AS bars, (b - a)::INT AS days FROM (SELECT asset, bar_date, close, coalesce(last_value(CASE WHEN close IS NOT NULL THEN bar_date END IGNORE NULLS) OVER (PARTITION BY asset ORDER BY bar_idx ROWS UNBOUNDED PRECEDING), min(bar_date) OVER (PARTITION BY asset)) AS a,
+  coalesce(first_value(CASE WHEN close IS NOT NULL THEN bar_date END IGNORE NULLS) OVER (PARTITION BY asset ORDER BY bar_idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), max(bar_date) OVER (PARTITION BY asset)) AS b FROM rawp) WHERE close IS NULL AND b - a > 2 GROUP BY asset, a, b""")
+def price_gaps(spark, d):
+    return rounded(panels.gaps(panels.raw(spark, d)))
+
+
 @query("""SELECT asset, (min(bar_date) FILTER (close IS NOT NULL))::VARCHAR AS first_valid, (max(bar_date) FILTER (close IS NOT NULL))::VARCHAR AS last_valid, round(avg((close IS NULL)::INT), 6) AS missing_frac,
   coalesce(max(run), 0) AS longest_stale, coalesce(any_value(jumps), 0) AS jumps FROM rawp
   LEFT JOIN (SELECT asset, max(n) AS run FROM (SELECT asset, g, count(*) AS n FROM (SELECT asset, bar_idx - row_number() OVER (PARTITION BY asset ORDER BY bar_idx) AS g FROM rawp WHERE close IS NULL) GROUP BY 1, 2) GROUP BY 1) USING (asset)
@@ -1009,9 +1028,44 @@ def corr_z_arrow(spark, d):
     return path.select("bar_idx", stress.arrow(F.col("corr_z") - F.lag("corr_z").over(features.series())).alias("arrow"))
 
 
+def _rule(z: str, anomalies: str) -> str:
+    """SQL of the priority under other inputs."""
+    return f"""CASE WHEN regime = 'STRESSED' AND {z} > 1 THEN 'stress_corr_override' WHEN {z} > 1.5 THEN 'corr_crisis' WHEN {anomalies} >= 3 THEN 'anomaly_suppress' WHEN regime = 'STRESSED' THEN 'stressed_regime' WHEN regime = 'TRANSITION' THEN 'transition'
+      WHEN var_99 > 0.05 THEN 'var_breach_risk' WHEN {z} < -1 THEN 'diversification_regime' ELSE 'normal' END"""
+
+
+@query("""SELECT bar_idx, CASE priority WHEN 'stress_corr_override' THEN 'R1_STRESS_HIGH_CORR' WHEN 'corr_crisis' THEN 'R2_CORR_CRISIS_Z' WHEN 'anomaly_suppress' THEN 'R3_ANOMALY_SUPPRESS' WHEN 'stressed_regime' THEN 'R4_STRESSED_REGIME' WHEN 'transition' THEN 'R5_TRANSITION_REGIME'
+    WHEN 'var_breach_risk' THEN 'R6_VAR_LIMIT_BREACH' WHEN 'diversification_regime' THEN 'R7_DIVERSIFICATION_REGIME' ELSE 'R8_DEFAULT_NORMAL' END AS rule,
+  CASE priority WHEN 'transition' THEN 'TRANSITION_DEFENSIVE' WHEN 'diversification_regime' THEN 'ALLOW_EXPAND_RISK' WHEN 'normal' THEN 'MAINTAIN' ELSE 'REDUCE_RISK' END AS signal,
+  concat_ws(',', CASE WHEN regime = 'STRESSED' AND corr_z > 1 THEN 'R1_STRESS_HIGH_CORR' END, CASE WHEN corr_z > 1.5 THEN 'R2_CORR_CRISIS_Z' END, CASE WHEN anomalies >= 3 THEN 'R3_ANOMALY_SUPPRESS' END, CASE WHEN regime = 'STRESSED' THEN 'R4_STRESSED_REGIME' END,
+    CASE WHEN regime = 'TRANSITION' THEN 'R5_TRANSITION_REGIME' END, CASE WHEN var_99 > 0.05 THEN 'R6_VAR_LIMIT_BREACH' END, CASE WHEN corr_z < -1 THEN 'R7_DIVERSIFICATION_REGIME' END) AS flags,
+  CASE WHEN corr_z > 1.5 THEN 'clustering' WHEN corr_z > 1.5 * 0.7 THEN 'within_crisis_band' ELSE 'typical' END AS correlation, round(greatest(0, least(1, 1 - avg_corr)), 6) AS diversification, exposure::DOUBLE AS multiplier FROM dc""")
+def decision_trace(spark, d):
+    _, bars = _bars(spark, d)
+    out = decide.trace(bars.withColumn("vol_ann", F.col("ann_vol")))
+    true = F.array_join(F.map_keys(F.map_filter("trace.flags", lambda _, v: v)), ",")
+    spread = F.element_at(F.filter("trace.measures", lambda m: m["name"] == "diversification"), 1)["value"]
+    return rounded(out.select("bar_idx", "trace.rule", "trace.signal", true.alias("flags"), "trace.correlation", spread.alias("diversification"), "trace.multiplier"))
+
+
+@query(f"""WITH cf AS (SELECT bar_idx, 'no_anomalies' AS "case", corr_z, priority AS was, {_rule("corr_z", "0")} AS now FROM dc UNION ALL SELECT bar_idx, 'corr_z_up' AS "case", corr_z + 0.25, priority, {_rule("(corr_z + 0.25)", "anomalies")} FROM dc)
+SELECT bar_idx, "case", was AS priority_before, now AS priority_after FROM cf WHERE was <> now""")
+def decision_counterfactuals(spark, d):
+    """What would have been decided without anomalies, and under a higher correlation stress."""
+    _, bars = _bars(spark, d)
+    out = decide.counterfactuals(bars, {"no_anomalies": {"anomalies": F.lit(0).cast(dict(bars.dtypes)["anomalies"])}, "corr_z_up": {"corr_z": F.col("corr_z") + 0.25}})
+    changed = F.element_at("changes", "priority")
+    return out.where(changed.isNotNull()).select("bar_idx", "case", changed["before"].alias("priority_before"), changed["after"].alias("priority_after"))
+
+
 @query()
 def snapshot(spark, d):
-    return stress.snapshot(_decided(spark, d).drop("secondary"))
+    """The last bar's snapshot, as JSON."""
+    panel, bars = _bars(spark, d)
+    own = bars.withColumn("vol_ann", F.col("ann_vol"))
+    near = decide.analogs(bars, ["corr_z", "ann_vol", "drawdown"])
+    out = stress.snapshot(own, risk.tail_block(panel, _w(panel)), _w(panel), detect.timeline(bars), near)
+    return out.select("panel", F.to_json("snapshot", {"ignoreNullFields": "false"}).alias("snapshot"))
 
 
 # ---- streams ----

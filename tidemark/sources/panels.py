@@ -77,6 +77,41 @@ def complete(panel: DataFrame) -> DataFrame:
     return panel.withColumn("__missing", F.sum(F.col("close").isNull().cast("int")).over(whole)).where("__missing = 0").drop("__missing")
 
 
+def staleness(panel: DataFrame, days: int = 2) -> DataFrame:
+    """(panel, asset, last_date, gap_days, stale): how long before the calendar's end an asset's last price is, and whether by more than `days`."""
+    end = F.max("bar_date").over(Window.partitionBy("panel"))
+    last = panel.withColumn("__end", end).where("close is not null").groupBy("panel", "asset").agg(F.max("bar_date").alias("last_date"), F.first("__end").alias("__end"))
+    return last.select("panel", "asset", "last_date", F.datediff("__end", "last_date").alias("gap_days"), (F.datediff("__end", "last_date") > days).alias("stale"))
+
+
+def gaps(panel: DataFrame, days: int = 2) -> DataFrame:
+    """(panel, asset, begin, end, bars, days): runs of bars without a price that span more than `days` days.
+
+    The days are counted from the price before to the price after, or to the calendar's edge.
+    """
+    run = Window.partitionBy("panel", "asset")
+    known = F.when(F.col("close").isNotNull(), F.col("bar_date"))
+    marked = panel.withColumns({
+        "__before": F.coalesce(F.last(known, ignorenulls=True).over(by_asset().rowsBetween(Window.unboundedPreceding, 0)), F.min("bar_date").over(run)),
+        "__after": F.coalesce(F.first(known, ignorenulls=True).over(by_asset().rowsBetween(0, Window.unboundedFollowing)), F.max("bar_date").over(run)),
+    }).where("close is null")
+    runs = marked.groupBy("panel", "asset", "__before", "__after").agg(F.min("bar_date").alias("begin"), F.max("bar_date").alias("end"), F.count("*").alias("bars"))
+    out = runs.withColumn("days", F.datediff("__after", "__before"))
+    return out.where(F.col("days") > days).select("panel", "asset", "begin", "end", "bars", "days")
+
+
+def aligned(panel: DataFrame, least: int = 3, bars: int = FILL_BARS, days: int = 2) -> DataFrame:
+    """(panel, bar_date, bar_idx, asset, close, stale): the union calendar's bars at which every asset has a price.
+
+    Gaps are filled from up to `bars` bars before, then behind; assets without any price go, and a panel of fewer than
+    `least` others has no rows. bar_idx stays that of the union calendar; stale says that the asset's filled prices end over `days` days before it does.
+    """
+    known = panel.where("close is not null").select("panel", "asset").distinct().withColumn("__n", F.count("*").over(Window.partitionBy("panel"))).where(F.col("__n") >= least).drop("__n")
+    whole = filled(panel.join(known, ["panel", "asset"], "left_semi"), bars)
+    ends = staleness(whole, days).select("panel", "asset", "stale")
+    return complete(whole).join(ends, ["panel", "asset"]).select("panel", "bar_date", "bar_idx", "asset", "close", "stale")
+
+
 def trimmed(panel: DataFrame) -> DataFrame:
     """From the first bar at which all assets have had a price, complete bars only."""
     begin = panel.where("close is not null").groupBy("panel", "asset").agg(F.min("bar_date").alias("since")).groupBy("panel").agg(F.max("since").alias("since"))

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from tests.test_whole import long_panel, moving_together
 from tidemark.config import DEFAULT
 from tidemark.functions import kernels
-from tidemark.operators import detect, features, risk, stress
+from tidemark.operators import decide, detect, features, research, risk, stress
+from tidemark.sources import panels, reports
 
 
 def least_by_faces(sigma, w, target, bound):
@@ -213,3 +214,84 @@ def test_rules_are_certain_and_serialized(spark):
     assert list(last) == ["label", "prob_vector", "confidence", "duration_bars", "last_transition", "transition_matrix", "persistence_note", "features"]
     assert last["prob_vector"] == {"STRESSED": 1.0} and last["duration_bars"] == 30 and last["last_transition"] == "2020-04-30" and last["transition_matrix"] is None
     assert last["persistence_note"] == "In STRESSED for 30 bar(s)." and last["features"]["anomaly_count"] == 0
+
+
+def test_regressions_by_panel(spark):
+    rng = np.random.default_rng(3)
+    rows, want = [], {}
+    for p, n in (("a", 200), ("b", 300), ("few", 10), ("still", 50)):
+        x = rng.normal(size=(n, 3)) * [1, 5, 0.1] + [0, 100, 3]
+        y = x @ [1.0, -0.3, 2.0] * (p == "a") + rng.normal(size=n) if p != "still" else np.ones(n)
+        rows += [(p, *map(float, r), float(v)) for r, v in zip(x, y)] + [(p, None, 1.0, 1.0, 5.0)]
+        if p in "ab":
+            a = np.c_[np.ones(n), x]
+            want[p] = (n, 1 - ((y - a @ np.linalg.lstsq(a, y, rcond=None)[0]) ** 2).sum() / ((y - y.mean()) ** 2).sum())
+    got = {r.panel: (r.n, r.r2) for r in research.regression_r2(spark.createDataFrame(rows, "panel string, x1 double, x2 double, x3 double, y double"), "y", ["x1", "x2", "x3"]).collect()}
+    assert got["few"] == (10, None) and got["still"] == (50, None)
+    for p in "ab":
+        assert got[p] == pytest.approx(want[p], rel=1e-9)
+
+
+def test_alignment_staleness_and_gaps(spark):
+    days = pd.date_range("2020-01-01", periods=14)
+    known = {"a": range(14), "b": [0, 1, 2, 7, 8, 9, 10, 11, 12, 13], "c": [1, *range(3, 9)], "none": []}
+    rows = [("p", d.date(), i + 1, a, 1.0 + i if i in own else None) for a, own in known.items() for i, d in enumerate(days)]
+    rows += [("q", d.date(), i + 1, a, 1.0) for a in "ab" for i, d in enumerate(days)]
+    df = spark.createDataFrame(rows, "panel string, bar_date date, bar_idx int, asset string, close double")
+    got = panels.aligned(df)
+    # b is filled on bars 4 to 7, c on bars 1, 3 and 10 to 12; then c has no price
+    assert sorted({r.bar_idx for r in got.collect()}) == list(range(1, 13)) and got.count() == 36
+    assert {r.asset: r.stale for r in got.collect()} == {"a": False, "b": False, "c": False}
+    assert {r.close for r in got.where("asset = 'b' and bar_idx between 4 and 7").collect()} == {3.0, 8.0}
+    assert {(r.panel, r.asset): (r.gap_days, r.stale) for r in panels.staleness(df).collect()}["p", "c"] == (5, True)
+    assert sorted((r.asset, r.begin.day, r.end.day, r.bars, r.days) for r in panels.gaps(df).collect()) == [("b", 4, 7, 4, 5), ("c", 10, 14, 5, 5), ("none", 1, 14, 14, 13)]
+
+
+BARS = "panel string, bar_date date, bar_idx int, regime string, corr_z double, anomalies int, var_99 double, drawdown double, vol_ann double, avg_corr double, bucket string"
+
+
+def decision_bars(spark):
+    day = pd.Timestamp("2020-01-01").date()
+    rows = [("p", day, 1, "STRESSED", 2.0, 5, 0.1, -0.1, 0.2, 0.8, "crisis_spike"), ("p", day, 2, "CALM", 1.4, 3, 0.0, 0.0, 0.1, 0.3, "normal"), ("p", day, 3, "CALM", 0.0, 0, 0.06, 0.0, float("nan"), 1.2, "normal")]
+    return spark.createDataFrame(rows, BARS)
+
+
+def test_traces_and_counterfactuals(spark):
+    bars = decision_bars(spark)
+    got = {r.bar_idx: r.trace for r in decide.trace(bars).collect()}
+    assert [got[i].rule for i in (1, 2, 3)] == ["R1_STRESS_HIGH_CORR", "R3_ANOMALY_SUPPRESS", "R6_VAR_LIMIT_BREACH"] and {got[i].signal for i in got} == {"REDUCE_RISK"}
+    assert sorted(k for k, v in got[1].flags.items() if v) == ["R1_STRESS_HIGH_CORR", "R2_CORR_CRISIS_Z", "R3_ANOMALY_SUPPRESS", "R4_STRESSED_REGIME", "R6_VAR_LIMIT_BREACH"]
+    assert [got[i].correlation for i in (1, 2, 3)] == ["clustering", "within_crisis_band", "typical"]
+    assert {m.name: m.value for m in got[3].measures}["diversification"] == 0.0 and got[1].hedge and got[1].multiplier == 0.5
+    cases = {"quiet": {"anomalies": F.lit(0)}, "up": {"corr_z": F.col("corr_z") + 0.25}, "same": {"corr_z": F.col("corr_z")}}
+    changed = {(r.bar_idx, r.case): {k: (v.before, v.after) for k, v in r.changes.items()} for r in decide.counterfactuals(bars, cases).collect()}
+    assert changed == {
+        (2, "quiet"): {"priority": ("anomaly_suppress", "normal"), "exposure": ("0.65", "1.0"), "suppress": ("true", "false")},
+        (2, "up"): {"priority": ("anomaly_suppress", "corr_crisis"), "exposure": ("0.65", "0.55"), "suppress": ("true", "false"), "hedge": ("false", "true")},
+    }
+
+
+def test_snapshots_are_finite_and_read_back(spark, tmp_path):
+    bars = decision_bars(spark)
+    tail = spark.createDataFrame([("p", float("inf"), 0.5)], "panel string, hs_var_99 double, mc_var_99 double")
+    weights = spark.createDataFrame([("p", "a", 0.5), ("p", "b", float("nan"))], "panel string, asset string, w double")
+    runs = detect.timeline(bars)
+    shot = stress.snapshot(bars, tail, weights, runs, decide.analogs(bars, ["corr_z"]))
+    folder = str(tmp_path / "out")
+    reports.write_json(shot, folder, "snapshot")
+    text = spark.read.text(reports.manifest(spark, folder).first().path).first()[0]
+    one = json.loads(text)["snapshot"]
+    assert tuple(one) == stress.SECTIONS and len(one) == 11
+    assert one["market_state"]["vol_ann"] is None and one["risk"]["tail"] == {"hs_var_99": None, "mc_var_99": 0.5} and [w["w"] for w in one["portfolio"]] == [0.5, None] and one["analogs"] is None
+    assert reports.read_json(spark, folder, "snapshot", shot.schema).collect() == shot.collect()
+
+
+def test_the_latest_table_holds(spark, tmp_path):
+    folder = str(tmp_path / "out")
+    for k in (1, 2):
+        for fold in ("fold_0", "fold_1"):
+            reports.write_json(spark.createDataFrame([(k, fold)] * k, "k long, fold string"), folder, "walk_forward", fold)
+    assert {(r.name, r.part): r.rows for r in reports.manifest(spark, folder).collect()} == {("walk_forward", "fold_0"): 2, ("walk_forward", "fold_1"): 2}
+    assert [tuple(r) for r in reports.read_json(spark, folder, "walk_forward", "k long, fold string", "fold_1").collect()] == [(2, "fold_1")] * 2
+    with pytest.raises(FileNotFoundError):
+        reports.read_json(spark, folder, "nothing", "k long")

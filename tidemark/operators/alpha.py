@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -72,7 +73,9 @@ def carry(panel: DataFrame, long: str = "TLT", short: str = "SHY", s: Settings =
 def normal_scores(u: Column) -> Column:
     @F.pandas_udf("double")
     def quantile(p: pd.Series) -> pd.Series:
-        return p.map(kernels.normal_quantile)
+        # ranks have few distinct shares
+        values, at = np.unique(p.to_numpy(), return_inverse=True)
+        return pd.Series(np.array([kernels.normal_quantile(v) for v in values])[at])
 
     return quantile(u)
 

@@ -182,6 +182,11 @@ def bucket(z: Column, s: Settings = DEFAULT) -> Column:
     return F.when(z > s.corr.z_high, "crisis_spike").when(z < s.corr.z_low, "diversification").otherwise("normal")
 
 
+def neutral(bars: DataFrame) -> DataFrame:
+    """bars of a corr_z path with a correlation signal that says nothing: no deviation, and always the normal bucket."""
+    return bars.withColumns({"corr_mean": F.col("avg_corr"), "corr_std": F.lit(1.0), "corr_z": F.lit(0.0), "bucket": F.lit("normal")})
+
+
 def corr_z_path(panel: DataFrame, s: Settings = DEFAULT, warmup: int | None = None) -> DataFrame:
     """Is correlation stress elevated? (panel, bar_date, bar_idx, avg_corr, corr_mean, corr_std, corr_z, bucket)."""
     return corr_z(average_correlation(panel, s, warmup).drop("n_pairs"), s)

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import replace
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
 from ..plans.scratch import stored
 from . import alpha, decide, portfolio
-from .features import PAIR, YEAR, equal_weights, pairs, portfolio_returns, returns, series, whole
+from .features import PAIR, YEAR, equal_weights, neutral, pairs, portfolio_returns, returns, series, whole
 from .portfolio import BAR
 from .risk import portfolio_variance, rolling_var
 
@@ -27,6 +30,12 @@ def backtest(panel: DataFrame, bars: DataFrame, modes: tuple = portfolio.MODES,
     made: portfolio.made, if several backtests share it.
     """
     use_target = ablation.pop("use_target", True)
+    if not ablation.pop("use_correlation", True):
+        bars = neutral(bars)
+    if not ablation.pop("use_turnover_cap", True):
+        s = replace(s, portfolio=replace(s.portfolio, turnover_cap=float("inf")))
+    if not ablation.pop("use_costs", True):
+        s = replace(s, portfolio=replace(s.portfolio, cost_bps=0.0))
     made = made or portfolio.made(panel, bars, modes, s)
     targets = None
     for mode in modes:
@@ -55,6 +64,7 @@ def breach_stats(book: DataFrame) -> DataFrame:
 ABLATIONS = {
     "all": {}, "no_regime_gate": {"by_regime": False}, "no_anomaly_gate": {"by_anomaly": False}, "no_gates": {"by_regime": False, "by_anomaly": False},
     "no_decision": {"use_decision": False}, "no_vol_target": {"use_target": False}, "no_decision_no_gates": {"by_regime": False, "by_anomaly": False, "use_decision": False},
+    "no_correlation_signal": {"use_correlation": False}, "no_turnover_cap": {"use_turnover_cap": False}, "no_costs": {"use_costs": False},
     "signals_alone": {"by_regime": False, "by_anomaly": False, "use_decision": False, "use_target": False},
 }
 
@@ -196,6 +206,18 @@ def failure_windows(log: DataFrame, window: int = 5, worst: int = 5) -> DataFram
     return ranked.select("panel", "rank", F.col("bar_idx").alias("begin_idx"), "end_idx", "total", tags.alias("tags"))
 
 
+def failure_summary(log: DataFrame, book: DataFrame, s: Settings = DEFAULT, window: int = 5, worst: int = 5) -> DataFrame:
+    """(strategy, panel, windows, metrics, bars): the worst stretches of a log, the measures of a book beside them, and the log's bars.
+
+    log: as failure_windows reads it; book: (strategy, panel, bar_idx, equity), without turnover. Fewer than three bars of a book have no metrics.
+    """
+    found = failure_windows(log, window, worst)
+    gathered = found.groupBy("panel").agg(F.array_sort(F.collect_list(F.struct(*[c for c in found.columns if c != "panel"]))).alias("windows"))
+    measures = _measures(book.withColumn("turnover", F.lit(0.0)), "equity", s)
+    metrics = measures.select(*STRATEGY, F.when(F.col("n") >= 2, F.struct(*[c for c in measures.columns if c not in (*STRATEGY, "n")])).alias("metrics"))
+    return metrics.join(log.groupBy("panel").agg(F.count("*").alias("bars")), "panel").join(gathered, "panel", "left").select(*STRATEGY, "windows", "metrics", "bars")
+
+
 def anomaly_predictive(log: DataFrame, many: int = 3, horizon: int = 5) -> DataFrame:
     """(panel, many, n, next_vol): deviation of the next bars' returns after many anomalies and after few."""
     w = series().rowsBetween(1, horizon)
@@ -270,17 +292,27 @@ def with_var(panel: DataFrame, bars: DataFrame) -> DataFrame:
 
 
 def regression_r2(rows: DataFrame, y: str, xs: list[str], least: int = 20) -> DataFrame:
-    """(panel, n, r2) of a linear fit; null below `least` complete rows. One regressor is an aggregate."""
+    """(panel, n, r2) of a linear fit with a constant, by panel; null below `least` complete rows or if y doesn't vary.
+
+    The covariances of a panel are sums that Spark makes; only they, a row a panel, are solved.
+    """
     known = rows.dropna(subset=[y, *xs])
-    if len(xs) == 1:
-        return known.groupBy("panel").agg(F.count("*").alias("n"), F.when(F.count("*") >= least, F.regr_r2(y, xs[0])).alias("r2"))
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import LinearRegression
-
-    ready = VectorAssembler(inputCols=xs, outputCol="features").transform(known)
-    n = ready.count()
-    r2 = LinearRegression(labelCol=y, solver="normal").fit(ready).summary.r2 if n >= least else None
-    return rows.sparkSession.createDataFrame([("all", n, r2)], "panel string, n long, r2 double")
+    names = [*xs, y]
+    cells = [F.covar_pop(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"c{i}_{j}") for i, a in enumerate(names) for j, b in enumerate(names) if j <= i]
+    sums = known.groupBy("panel").agg(F.count("*").alias("n"), *cells)
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        k = len(names)
+        for batch in batches:
+            out = []
+            for row in batch.to_dict("records"):
+                c = np.array([[row[f"c{max(i, j)}_{min(i, j)}"] for j in range(k)] for i in range(k)], float)
+                fit = row["n"] >= least and c[-1, -1] > 0
+                out.append(c[-1, :-1] @ np.linalg.pinv(c[:-1, :-1], hermitian=True) @ c[-1, :-1] / c[-1, -1] if fit else None)
+            yield pd.DataFrame({"panel": batch["panel"], "n": batch["n"], "r2": pd.Series(out, dtype=float)})
+
+    solved = sums.mapInPandas(solve, "panel string, n long, r2 double")
+    return solved.withColumn("r2", F.when(~F.isnan("r2"), F.col("r2")))
 
 
 def portfolio_vol(cov: DataFrame, weights: DataFrame) -> DataFrame:

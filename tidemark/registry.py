@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .config import DEFAULT
 from .functions import kernels
 from .operators import alpha, decide, detect, features, portfolio, research, risk, stress
-from .plans.scratch import steady, stored
+from .plans.scratch import small, steady, stored
 from .sources import panels
 from .streaming import jobs
 
@@ -165,6 +165,14 @@ def _w(panel: DataFrame) -> DataFrame:
     return features.equal_weights(panel)
 
 
+def portfolio_next(panel: DataFrame) -> DataFrame:
+    """(panel, bar_idx, corr_z, ann_vol, y): y is the equal-weight portfolio's return to the next bar."""
+    none = detect.layer_events(panel, _w(panel), DEFAULT, ("DRAWDOWN",)).limit(0)
+    bars = detect.bar_features(panel, _w(panel), none, features.corr_z_path(panel))
+    y = features.portfolio_returns(panel, _w(panel)).withColumn("y", F.lead("pr").over(features.series())).select("panel", "bar_idx", "y")
+    return bars.join(y, ["panel", "bar_idx"]).where("y is not null").select("panel", "bar_idx", "corr_z", "ann_vol", "y")
+
+
 def _events(panel: DataFrame) -> DataFrame:
     return detect.anomalies(panel, _w(panel))
 
@@ -346,6 +354,22 @@ def full_span_overlay(spark, d):
     return rounded(features.overlay(P(spark, d)).withColumn("corr_z", F.round("corr_z", 3)), 5)
 
 
+@query("SELECT bar_date::VARCHAR AS bar_date, bar_idx, round(avg_corr, 6) AS avg_corr, round(avg_corr, 6) AS corr_mean, 1.0::DOUBLE AS corr_std, 0.0::DOUBLE AS corr_z, 'normal' AS bucket FROM z")
+def neutral_signal(spark, d):
+    return rounded(features.neutral(features.corr_z_path(P(spark, d))))
+
+
+@query("""SELECT count(*) AS n, round(regr_r2(y, x1), 6) AS r2_one,
+  round((pow(covar_pop(y, x1), 2) * var_pop(x2) + pow(covar_pop(y, x2), 2) * var_pop(x1) - 2 * covar_pop(y, x1) * covar_pop(y, x2) * covar_pop(x1, x2)) / ((var_pop(x1) * var_pop(x2) - pow(covar_pop(x1, x2), 2)) * var_pop(y)), 6) AS r2_two
+  FROM (SELECT corr_z AS x1, ann_vol AS x2, lead(pr) OVER (ORDER BY bar_idx) AS y FROM z JOIN mv USING (bar_idx) JOIN pr USING (bar_idx)) WHERE y IS NOT NULL""")
+def return_regression(spark, d):
+    """How much of the next bar's return corr_z explains, alone and with volatility."""
+    panel = P(spark, d)
+    r = portfolio_next(panel)
+    one, two = research.regression_r2(r, "y", ["corr_z"]), research.regression_r2(r, "y", ["corr_z", "ann_vol"])
+    return rounded(one.withColumnRenamed("r2", "r2_one").join(two.select("panel", F.col("r2").alias("r2_two")), "panel"))
+
+
 # ---- risk ----
 
 
@@ -390,7 +414,7 @@ _TAIL = f"""SELECT abs((z + (z * z - 1) * skew / 6 + (z * z * z - 3 * z) * kurt
 
 def _with_tail(panel: DataFrame, bars: DataFrame) -> DataFrame:
     """bars with tail, the panel's measured multiplier."""
-    return bars.join(F.broadcast(risk.tail_shape(risk.portfolio_of(panel)).select("panel", F.col("multiplier").alias("tail"))), "panel")
+    return bars.join(small(stored(risk.tail_shape(risk.portfolio_of(panel)).select("panel", F.col("multiplier").alias("tail")), "tails")), "panel")
 
 
 _RC = "SELECT a AS asset, 1.0 / any_value(k) AS w, sum(cov / k) / any_value(k) AS p FROM cov, k GROUP BY 1"
@@ -845,6 +869,14 @@ def backtest_cost_sweep(spark, d):
     return rounded(research.cost_sweep(panel, bars))
 
 
+@query()
+def failure_report(spark, d):
+    """The full system's worst stretches under the decisions it took, with its measures."""
+    bars, book = _book(spark, d, "full")
+    log = research.backtest_log(book, bars)
+    return research.failure_summary(log, book).select("strategy", "windows", "metrics", "bars")
+
+
 @query()
 def walk_forward(spark, d):
     panel, bars = _bars(spark, d)

@@ -295,3 +295,25 @@ def test_the_latest_table_holds(spark, tmp_path):
     assert [tuple(r) for r in reports.read_json(spark, folder, "walk_forward", "k long, fold string", "fold_1").collect()] == [(2, "fold_1")] * 2
     with pytest.raises(FileNotFoundError):
         reports.read_json(spark, folder, "nothing", "k long")
+
+
+def test_what_the_next_bars_bring(spark):
+    closes = moving_together(60, 3)
+    closes[20:23, 1] = np.nan
+    panel = long_panel(spark, closes).withColumn("close", F.when(~F.isnan("close"), F.col("close")))
+    got = {r.bar_idx: r for r in research.forward_measures(panel, (5, 10), 16).collect()}
+    lr = np.vstack([np.full(3, np.nan), np.diff(np.log(closes), axis=0)])
+    seen = set()
+    for t in range(60):
+        for h in (5, 10):
+            r = lr[t + 1 : t + 1 + h] if t + 1 + h <= 60 else lr[:0]
+            r = r[~np.isnan(r).any(1)]
+            have = tuple(got[t + 1][f"fwd_{m}_{h}"] for m in ("vol", "dd", "corr"))
+            if len(r) < max(3, h // 2):
+                assert have == (None, None, None), (t, h)
+                continue
+            seen.add((h, len(r) == h))
+            e = np.exp(r.mean(1).cumsum())
+            want = (r.std(ddof=1) * np.sqrt(252), (e / np.maximum.accumulate(e) - 1).min(), np.corrcoef(r, rowvar=False)[np.triu_indices(3, 1)].mean())
+            assert have == pytest.approx(want), (t, h)
+    assert seen == {(5, True), (5, False), (10, True), (10, False)}

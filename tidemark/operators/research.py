@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, Settings
 from ..plans.scratch import stored
 from . import alpha, decide, portfolio
-from .features import PAIR, YEAR, equal_weights, neutral, pairs, portfolio_returns, returns, series, whole
+from .features import YEAR, equal_weights, neutral, portfolio_returns, return_lines, series, whole
 from .portfolio import BAR
 from .risk import portfolio_variance, rolling_var
 
@@ -133,33 +133,45 @@ def lead_lag(log: DataFrame, horizon: int = 5, z: float = 1.5) -> DataFrame:
     return forward(log, horizon).withColumn("condition", label).where("condition is not null").groupBy("panel", "condition").agg(F.count("*").alias("n"), F.avg("fwd_dd").alias("avg_fwd_dd"), F.avg("fwd_vol").alias("avg_fwd_vol"), F.avg("fwd_breach").alias("breach_rate"))
 
 
+def forward_measures(panel: DataFrame, horizons: tuple = (5, 10, 20), block: int = 512) -> DataFrame:
+    """(panel, bar_idx, fwd_vol_h, fwd_dd_h, fwd_corr_h for each h): what the next h bars bring, where the panel has that many.
+
+    Of these bars those count at which all assets have a return, max(3, h // 2) of them at least: the deviation of all returns
+    by year, the deepest fall of the equal-weight portfolio from its peak among them, and the mean correlation of all pairs,
+    which is read off the squared sums of standardised returns. A task gets the lines of `block` bars and of those after them.
+    """
+    far = max(horizons)
+    lines = return_lines(panel).select("panel", "bar_idx", "lr", "whole", (F.row_number().over(series()) - 1).alias("t"), F.count("*").over(whole()).alias("n"))
+    spread = lines.withColumn("block", F.explode(F.sequence(F.floor(F.greatest(F.col("t") - far, F.lit(0)) / block), F.floor(F.col("t") / block))))
+    names = [f"{m}_{h}" for h in horizons for m in ("fwd_vol", "fwd_dd", "fwd_corr")]
+
+    def measure(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("t")
+        x, known, t, n = np.array(rows["lr"].tolist()), rows["whole"].to_numpy(), rows["t"].to_numpy(), int(rows["n"].iloc[0])
+        out = []
+        for i in np.flatnonzero(t // block == key[1]):
+            own = [key[0], int(rows["bar_idx"].iloc[i])]
+            for h in horizons:
+                r = x[i + 1 : i + 1 + h][known[i + 1 : i + 1 + h]] if t[i] + 1 + h <= n else x[:0]
+                if len(r) < max(3, h // 2):
+                    own += [None] * 3
+                    continue
+                e = np.exp(r.mean(1).cumsum())
+                sd, k = r.std(0, ddof=1), r.shape[1]
+                z = ((r - r.mean(0)) / np.maximum(sd, 1e-6)).sum(1)
+                own += [float(r.std(ddof=1) * np.sqrt(YEAR)), float((e / np.maximum.accumulate(e) - 1).min()), float((z @ z / (len(r) - 1) - k) / (k * (k - 1))) if k > 1 else None]
+            out.append(own)
+        return pd.DataFrame(out, columns=["panel", "bar_idx", *names])
+
+    return spread.groupBy("panel", "block").applyInPandas(measure, "panel string, bar_idx int, " + ", ".join(f"{n} double" for n in names))
+
+
 def hero_validation(panel: DataFrame, path: DataFrame, horizons: tuple = (5, 10, 20)) -> DataFrame:
     """path with its full-sample quarter and, for each horizon, forward volatility, fall and average correlation."""
-    n = panel.select("panel", "asset").distinct().groupBy("panel").agg(F.count("*").alias("assets"))
     pct = F.cume_dist().over(Window.partitionBy("panel").orderBy("corr_z"))
     out = path.select(*BAR, "corr_z").withColumn("pct", pct)
     out = out.withColumn("quarter", F.when(F.col("pct") <= 0.25, "low").when(F.col("pct") <= 0.5, "medium_low").when(F.col("pct") <= 0.75, "medium_high").otherwise("extreme_high"))
-    r = returns(panel).where("lr is not null").join(n, "panel")
-    sums = r.groupBy(*BAR).agg(F.sum("lr").alias("s"), F.sum(F.col("lr") * F.col("lr")).alias("q"), F.avg("lr").alias("pnl"), F.count("*").alias("m"))
-    both = pairs(returns(panel).where("lr is not null"))
-    for h in horizons:
-        w = series().rowsBetween(1, h)
-        m, s1, s2 = F.sum("m").over(w), F.sum("s").over(w), F.sum("q").over(w)
-        vol = sums.select(*BAR, F.when(F.count("*").over(w) == h, F.sqrt((s2 - s1 * s1 / m) / (m - 1)) * F.sqrt(F.lit(float(YEAR)))).alias(f"fwd_vol_{h}"))
-        wp = Window.partitionBy(*PAIR).orderBy("bar_idx").rowsBetween(1, h)
-        rho = both.select(*BAR, F.when(F.count("*").over(wp) == h, F.corr("ra", "rb").over(wp)).alias("rho")).groupBy(*BAR).agg(F.avg("rho").alias(f"fwd_corr_{h}"))
-        wl = series().rowsBetween(1, h)
-        path_fall = sums.select(*BAR, F.collect_list("pnl").over(wl).alias("next")).where(F.size("next") == h)
-
-        def step(acc: Column, x: Column) -> Column:
-            e = acc.e + x
-            peak = F.greatest(acc.peak, e)
-            return F.struct(e.alias("e"), peak.alias("peak"), F.least(acc.dd, F.exp(e - peak) - 1).alias("dd"))
-
-        low = F.struct(F.lit(0.0).alias("e"), F.lit(-1e9).alias("peak"), F.lit(0.0).alias("dd"))
-        falls = path_fall.select(*BAR, F.aggregate("next", low, step, lambda a: a.dd).alias(f"fwd_dd_{h}"))
-        out = out.join(vol, BAR, "left").join(rho, BAR, "left").join(falls, BAR, "left")
-    return out
+    return out.join(forward_measures(panel, horizons), BAR, "left")
 
 
 def quarter_means(table: DataFrame) -> DataFrame:

@@ -900,18 +900,32 @@ def leadlag(spark, d):
     return rounded(research.lead_lag(_log(spark, d)))
 
 
-@query()
+def _ahead(h: int) -> str:
+    """SQL of what the next h bars bring: volatility, fall and mean correlation."""
+    w = f"WINDOW w AS (ORDER BY bar_idx ROWS BETWEEN 1 FOLLOWING AND {h} FOLLOWING)"
+    fold = """list_reduce(list_transform(xs, lambda r: {'e': r, 'peak': 0.0::DOUBLE, 'dd': 0.0::DOUBLE}), lambda a, x: {'e': a.e + x.e, 'peak': greatest(a.peak, a.e + x.e), 'dd': least(a.dd, exp(a.e + x.e - greatest(a.peak, a.e + x.e)) - 1)}, {'e': 0.0::DOUBLE, 'peak': -1e9::DOUBLE, 'dd': 0.0::DOUBLE})"""
+    return f"""hv{h} AS (SELECT bar_idx, sqrt((q - s * s / m) / (m - 1)) * sqrt(252) AS fwd_vol_{h}, {fold}.dd AS fwd_dd_{h} FROM (
+    SELECT bar_idx, sum(s) OVER w AS s, sum(q) OVER w AS q, sum(m) OVER w AS m, list(p) OVER w AS xs, count(*) OVER w AS n FROM (SELECT bar_idx, sum(lr) AS s, sum(lr * lr) AS q, count(lr) AS m, avg(lr) AS p FROM r GROUP BY 1) {w}) WHERE n = {h}),
+  hc{h} AS (SELECT bar_idx, avg(c) AS fwd_corr_{h} FROM (SELECT bar_idx, corr(ra, rb) OVER v AS c, count(*) OVER v AS n FROM pairs WHERE a < b WINDOW v AS (PARTITION BY a, b ORDER BY bar_idx ROWS BETWEEN 1 FOLLOWING AND {h} FOLLOWING)) WHERE n = {h} GROUP BY 1)"""
+
+
+_FWD = [f"fwd_{m}_{h}" for h in (5, 10, 20) for m in ("vol", "dd", "corr")]
+_HERO = f"""WITH {", ".join(_ahead(h) for h in (5, 10, 20))},
+hero AS (SELECT bar_idx, corr_z, CASE WHEN c <= 0.25 THEN 'low' WHEN c <= 0.5 THEN 'medium_low' WHEN c <= 0.75 THEN 'medium_high' ELSE 'extreme_high' END AS quarter, {", ".join(_FWD)}
+  FROM (SELECT bar_idx, corr_z, cume_dist() OVER (ORDER BY corr_z) AS c FROM z) {" ".join(f"LEFT JOIN hv{h} USING (bar_idx) LEFT JOIN hc{h} USING (bar_idx)" for h in (5, 10, 20))})"""
+
+
+@query(f"{_HERO} SELECT bar_idx, round(corr_z, 4) + 0.0 AS corr_z, quarter, {', '.join(f'round({c}, 6) + 0.0 AS {c}' for c in _FWD)} FROM hero")
 def hero_validation(spark, d):
     panel = P(spark, d)
-    return rounded(research.hero_validation(panel, features.corr_z_path(panel)))
+    out = research.hero_validation(panel, features.corr_z_path(panel)).drop("pct")
+    return rounded(out.withColumn("corr_z", F.round("corr_z", 4)))
 
 
-@query("""SELECT quarter, count(*) AS n, round(avg(v), 5) AS fwd_vol_5 FROM (SELECT bar_idx, CASE WHEN c <= 0.25 THEN 'low' WHEN c <= 0.5 THEN 'medium_low' WHEN c <= 0.75 THEN 'medium_high' ELSE 'extreme_high' END AS quarter FROM (SELECT bar_idx, cume_dist() OVER (ORDER BY corr_z) AS c FROM z))
-  LEFT JOIN (SELECT x.bar_idx, stddev_samp(y.lr) * sqrt(252) AS v FROM (SELECT DISTINCT bar_idx FROM p) x JOIN r y ON y.bar_idx BETWEEN x.bar_idx + 1 AND x.bar_idx + 5, m WHERE x.bar_idx + 5 <= m GROUP BY 1) USING (bar_idx) GROUP BY 1""")
+@query(f"{_HERO} SELECT quarter, count(*) AS n, {', '.join(f'round(avg({c}), 6) + 0.0 AS {c}' for c in _FWD)} FROM hero GROUP BY quarter")
 def hero_buckets(spark, d):
     panel = P(spark, d)
-    out = research.quarter_means(research.hero_validation(panel, features.corr_z_path(panel), (5,)))
-    return rounded(out.select("quarter", "n", "fwd_vol_5"), 5)
+    return rounded(research.quarter_means(research.hero_validation(panel, features.corr_z_path(panel))))
 
 
 @query("SELECT priority, count(*) AS bars, round(100 * count(*) / sum(count(*)) OVER (), 4) AS pct FROM lg GROUP BY 1")

@@ -57,6 +57,28 @@ def test_published_ladder(panel, bars):
     assert tuple(ends) == pytest.approx((994186.6661, 859370.2972), abs=1e-3)
 
 
+#: fold: fitted z_high and z_low, first day of the test, out-of-sample Sharpe, growth, volatility, worst fall, mean turnover
+FOLDS = {
+    0: (1.6087, -2.1309, "2021-12-07", -0.8606, -0.0271, 0.0692, -0.0285, 0.1778), 1: (1.6363, -1.9486, "2022-03-04", -0.7603, -0.0216, 0.0707, -0.0210, 0.1491), 2: (1.6416, -1.8234, "2022-06-01", -3.5962, -0.1893, 0.0673, -0.0630, 0.2127),
+    3: (1.6090, -1.8241, "2022-08-29", 0.7391, 0.0912, 0.0754, -0.0335, 0.2191), 4: (1.5487, -1.8772, "2022-11-24", -5.6094, -0.3378, 0.0790, -0.1035, 0.2583), 5: (1.5035, -2.0828, "2023-02-21", 1.6626, 0.1668, 0.0737, -0.0206, 0.1636),
+}
+
+
+def test_published_folds(spark):
+    panel = stored(panels.synthetic(spark, 900), "panel")
+    w = features.equal_weights(panel)
+    bars = stored(detect.bar_features(panel, w, detect.anomalies(panel, w), features.corr_z_path(panel)), "bars")
+    days = {r.bar_idx: str(r.bar_date) for r in panel.select("bar_idx", "bar_date").distinct().collect()}
+    folds = {r.fold: r for r in research.walk_forward_folds(bars).collect()}
+    got = {r.strategy: r for r in research.walk_forward(panel, bars).collect()}
+    assert set(folds) == set(FOLDS)
+    for k, want in FOLDS.items():
+        f, r = folds[k], got[f"fold_{k}"]
+        # the published upper thresholds are some thousandths lower than the rules give; no result depends on it
+        assert f.z_low == pytest.approx(want[1], abs=5.1e-5) and f.z_high == pytest.approx(want[0], abs=0.02) and days[f.test_begin + 1] == want[2]
+        assert (r.sharpe, r.cagr, r.ann_vol, r.max_dd, r.mean_turnover) == pytest.approx(want[3:], abs=5.1e-5)
+
+
 def test_later_bars_change_nothing(panel):
     cut = panel.where("bar_idx <= 300")
     one = features.corr_z_path(cut).orderBy("bar_idx").collect()

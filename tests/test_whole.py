@@ -185,7 +185,7 @@ def test_walk_forward_folds_run_from_the_warm_up(spark, mode):
     assert set(got) == {"fold_0", "fold_1"}
     for k in (0, 1):
         end = 180 + 50 * k
-        past = z[: end - 131]
+        past = z[: end - 130]
         own = replace(s, corr=replace(s.corr, z_high=float(np.quantile(past, 0.9)), z_low=float(np.quantile(past, 0.1))))
         # the fold's history alone, under settings that hold its thresholds
         cut = bars.where(f"bar_idx < {end + 50}").withColumn("bucket", features.bucket(F.col("corr_z"), own))

@@ -251,12 +251,15 @@ def stress_vs_reality(log: DataFrame, assumed: float = -0.15) -> DataFrame:
 
 
 def walk_forward_folds(path: DataFrame, s: Settings = DEFAULT) -> DataFrame:
-    """(panel, fold, train_end, test_begin, test_end, z_high, z_low): thresholds fitted to all z before each test window."""
+    """(panel, fold, train_end, test_begin, test_end, z_high, z_low): thresholds fitted to all z up to the train end.
+
+    A book's row of a bar earns the return to the next one, so the test window begins with the row of the last bar that is fitted to.
+    """
     b = s.backtest
     size = path.groupBy("panel").agg(F.max("bar_idx").alias("n"))
     folds = size.select("panel", "n", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - b.train_bars - b.test_bars - 1) / b.test_bars).cast("int"))).alias("fold")).where(F.col("n") > b.train_bars + b.test_bars)
     folds = folds.withColumn("train_end", F.col("fold") * b.test_bars + b.train_bars)
-    joined = folds.join(path.select("panel", F.col("bar_idx").alias("i"), "corr_z"), "panel").where(F.col("i") < F.col("train_end"))
+    joined = folds.join(path.select("panel", F.col("bar_idx").alias("i"), "corr_z"), "panel").where(F.col("i") <= F.col("train_end"))
     q = joined.groupBy("panel", "fold", "train_end").agg(F.percentile("corr_z", F.lit(0.9)).alias("z_high"), F.percentile("corr_z", F.lit(0.1)).alias("z_low"))
     return q.select("panel", "fold", "train_end", F.col("train_end").alias("test_begin"), (F.col("train_end") + b.test_bars - 1).alias("test_end"), "z_high", "z_low")
 

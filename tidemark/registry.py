@@ -966,7 +966,7 @@ def stress_vs_reality(spark, d):
     return rounded(research.stress_vs_reality(_log(spark, d)))
 
 
-@query("""SELECT fold, 504 + 63 * fold AS train_end, 504 + 63 * fold AS test_begin, 504 + 63 * fold + 62 AS test_end, round(quantile_cont(corr_z, 0.9), 4) AS z_high, round(quantile_cont(corr_z, 0.1), 4) AS z_low FROM z, (SELECT unnest(range(0, ((m - 504 - 63 - 1) // 63 + 1)::BIGINT))::INT AS fold FROM m) WHERE bar_idx < 504 + 63 * fold GROUP BY fold""")
+@query("""SELECT fold, 504 + 63 * fold AS train_end, 504 + 63 * fold AS test_begin, 504 + 63 * fold + 62 AS test_end, round(quantile_cont(corr_z, 0.9), 4) AS z_high, round(quantile_cont(corr_z, 0.1), 4) AS z_low FROM z, (SELECT unnest(range(0, ((m - 504 - 63 - 1) // 63 + 1)::BIGINT))::INT AS fold FROM m) WHERE bar_idx <= 504 + 63 * fold GROUP BY fold""")
 def wf_thresholds(spark, d):
     return rounded(research.walk_forward_folds(features.corr_z_path(P(spark, d))), 4)
 

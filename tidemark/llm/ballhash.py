@@ -45,11 +45,13 @@ WORDS = 4
 RADIUS = 4
 SEED = 42
 #: Variants that are sorted at a time, and those of a bucket, on average.
-VARIANTS, DEALT = 2 << 20, 32 << 20
+VARIANTS, DEALT = 2 << 20, 128 << 20
 #: Fingerprints that a bucket has at most, on average.
-HELD = 8 << 20
+HELD = 16 << 20
 #: Fingerprints whose variants are dealt at a time.
 _ROWS = 2048
+#: Fingerprints whose variants are looked up at a time.
+_LOOKED = 1 << 20
 _HASHED = 1 << 16
 _ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
@@ -113,12 +115,16 @@ class Ball:
 
     def variants(self, bucket: int, found: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(variant, the place in `found` of its fingerprint) of all variants in one bucket; own: the fingerprints' buckets."""
-        wanted = own ^ np.uint64(bucket)
-        at = np.minimum(np.searchsorted(self.places, wanted), len(self.places) - 1)
-        count = np.where(self.places[at] == wanted, self.count[at], 0)
-        who = np.repeat(np.arange(len(found)), count)
-        nth = np.arange(len(who)) - np.repeat(count.cumsum() - count, count)
-        return found[who] ^ self.masks[self.first[at][who] + nth], who
+        values, owners = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+        for a in range(0, len(found), _LOOKED):
+            wanted = own[a : a + _LOOKED] ^ np.uint64(bucket)
+            at = np.minimum(np.searchsorted(self.places, wanted), len(self.places) - 1)
+            count = np.where(self.places[at] == wanted, self.count[at], 0)
+            who = np.repeat(np.arange(len(at)), count)
+            nth = np.arange(len(who)) - np.repeat(count.cumsum() - count, count)
+            values.append(found[a + who] ^ self.masks[self.first[at][who] + nth])
+            owners.append(a + who)
+        return np.concatenate(values), np.concatenate(owners)
 
 
 def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -169,7 +175,7 @@ def links(classes: DataFrame, n: int, radius: int = RADIUS, most: int = VARIANTS
                 yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int64()), pa.array([f.tobytes() for _, f in rows], pa.binary())], ["bucket", "fps"])
 
     def meet(key: tuple, rows: pa.Table) -> pa.Table:
-        found = np.frombuffer(b"".join(rows.column("fps").to_pylist()), np.uint64)
+        found = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("fps")])
         # the lower bits of the longer hash are the shorter one
         a, b = met(Ball(half, bits + fine), [key[0].as_py() | x << bits for x in range(1 << fine)], found, radius)
         return pa.table({"set": a.view(np.int64), "other": b.view(np.int64)})

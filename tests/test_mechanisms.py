@@ -317,3 +317,12 @@ def test_what_the_next_bars_bring(spark):
             want = (r.std(ddof=1) * np.sqrt(252), (e / np.maximum.accumulate(e) - 1).min(), np.corrcoef(r, rowvar=False)[np.triu_indices(3, 1)].mean())
             assert have == pytest.approx(want), (t, h)
     assert seen == {(5, True), (5, False), (10, True), (10, False)}
+
+
+def test_transitions_of_a_calm_log(spark):
+    """A log whose regime never changes has no transitions, as in its SQL; an empty one as well."""
+    rows = [("calm", i, 0.1 * i, "CALM") for i in range(5)] + [("moving", i, 0.5 * i, "CALM" if i % 2 else "TRANSITION") for i in range(4)]
+    log = spark.createDataFrame(rows, "panel string, bar_idx int, corr_z double, regime string")
+    got = {r.panel: (r.transitions, r.mean_abs_move) for r in research.transition_study(log).collect()}
+    assert got == {"calm": (0, None), "moving": (3, 0.5)}
+    assert [tuple(r) for r in research.transition_study(log.limit(0), ()).collect()] == [(0, None)]

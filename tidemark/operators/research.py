@@ -237,10 +237,14 @@ def anomaly_predictive(log: DataFrame, many: int = 3, horizon: int = 5) -> DataF
     return rows.groupBy("panel", (F.col("anomalies") >= many).alias("many")).agg(F.count("*").alias("n"), F.avg("v").alias("next_vol"))
 
 
-def transition_study(log: DataFrame) -> DataFrame:
-    """(panel, transitions, mean_abs_move): how far corr_z moves when the regime changes."""
-    rows = log.withColumn("moved", F.abs(F.col("corr_z") - F.lag("corr_z").over(series()))).withColumn("before", F.lag("regime").over(series())).where("before != regime")
-    return rows.groupBy("panel").agg(F.count("*").alias("transitions"), F.avg("moved").alias("mean_abs_move"))
+def transition_study(log: DataFrame, by: tuple[str, ...] = ("panel",)) -> DataFrame:
+    """(panel, transitions, mean_abs_move): how far corr_z moves when the regime changes; none and null where it never does.
+
+    Without `by` one row for the whole log, empty ones included.
+    """
+    changed = F.lag("regime").over(series()) != F.col("regime")
+    rows = log.withColumn("changed", F.coalesce(changed, F.lit(False))).withColumn("moved", F.abs(F.col("corr_z") - F.lag("corr_z").over(series())))
+    return rows.groupBy(*by).agg(F.count_if("changed").alias("transitions"), F.avg(F.when(F.col("changed"), F.col("moved"))).alias("mean_abs_move"))
 
 
 def stress_vs_reality(log: DataFrame, assumed: float = -0.15) -> DataFrame:

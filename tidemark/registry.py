@@ -958,7 +958,7 @@ def anomaly_predictive(spark, d):
 
 @query("SELECT count(*) AS transitions, round(avg(mv), 5) AS mean_abs_move FROM (SELECT abs(corr_z - lag(corr_z) OVER (ORDER BY bar_idx)) AS mv, lag(regime) OVER (ORDER BY bar_idx) AS q, regime FROM lg) WHERE q <> regime")
 def transition_study(spark, d):
-    return rounded(research.transition_study(_log(spark, d)), 5)
+    return rounded(research.transition_study(_log(spark, d), ()), 5)
 
 
 @query("SELECT round(min(f), 6) AS worst, -0.15::DOUBLE AS assumed, min(f) >= -0.15 AS covered FROM (SELECT e / max(e) OVER (ORDER BY bar_idx) - 1 AS f FROM (SELECT bar_idx, exp(sum(pnl) OVER (ORDER BY bar_idx)) AS e FROM lg))")

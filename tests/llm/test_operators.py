@@ -133,6 +133,44 @@ def test_crowded_keys(spark):
     assert linededup.crowded_lines(df, firsts, own, probes, 2)[1].count() < 3_000 < own.withColumnRenamed("ref", "a").join(probes, "k").where("a != ref").count()
 
 
+def test_parities(spark):
+    """No pair within two edits is told apart by its odd counts; four letters put in at two places are."""
+    rng = random.Random(8)
+
+    def edited(x, n):
+        for _ in range(n):
+            at, c = rng.randrange(len(x) + 1), rng.choice("abé ")
+            x = rng.choice([x[:at] + c + x[at:], x[:at] + x[at + 1 :], x[:at] + c + x[at + 1 :]])
+        return x
+
+    bases = ["".join(rng.choices("abcdé ", k=rng.randrange(0, 40))) for _ in range(600)]
+    df = spark.createDataFrame([(x, edited(x, 2)) for x in bases], "a string, b string")
+    odd = df.select("*", linededup.odd_counts(F.col("a")).alias("x"), linededup.odd_counts(F.col("b")).alias("y"))
+    assert odd.count() == 600 and odd.where(~linededup._close("x", "y", 2)).count() == 0
+    far = spark.createDataFrame([("the quickmpoc brown fox jumps over the dog", "the quick brown fox jumpsbalf over the dog")], "a string, b string")
+    assert far.select(linededup.odd_counts(F.col("a")).alias("x"), linededup.odd_counts(F.col("b")).alias("y")).where(linededup._close("x", "y", 2)).count() == 0
+
+
+def test_near_copies_by_template(spark, monkeypatch):
+    """Lines of one template with four letters put in at one place: nearly all of their pairs are told apart before verification."""
+    rng = random.Random(9)
+    base = sentence(rng, 60)
+    verified = []
+    compared = linededup._compared
+    monkeypatch.setattr(linededup, "_compared", lambda pairs, lines, edits: verified.append(pairs.count()) or compared(pairs, lines, edits))
+
+    def lines(n):
+        for _ in range(n):
+            at = rng.choice([i for i, c in enumerate(base) if c == " "])
+            yield base[:at] + "".join(rng.choices("abcdefghijklmn", k=4)) + base[at:]
+
+    df = spark.createDataFrame(list(enumerate(lines(600))), "doc_id long, text string")
+    gone = {r.doc_id for r in linededup.deduped(df).where("__kept = 0").collect()}
+    near = df.alias("a").crossJoin(df.alias("b")).where((F.col("a.doc_id") < F.col("b.doc_id")) & (F.levenshtein("a.text", "b.text") <= 2)).select("b.doc_id").distinct().collect()
+    assert gone == {r.doc_id for r in near} and 0 < len(gone) < 600
+    assert sum(verified) < 15_000, verified
+
+
 def test_lines_awkward(awkward):
     got = linededup.deduped(awkward)
     assert got.count() == awkward.count() and got.columns[:5] == awkward.columns

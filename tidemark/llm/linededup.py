@@ -12,12 +12,13 @@ doc_id, then row key, then place; blank lines stay.
    number, segment) and looked up under the few substrings that lengths of 0 to
    `edits` less allow.
 3. Lines meet where an index entry and a substring do. Under a key of more than
-   HOT lines, as near copies have it, each is first compared with the earliest
+   WARM lines, as near copies have it, each is first compared with the earliest
    line only, which settles groups of lines that are all alike. The others must
-   share one of the grams that are rarest in each as well (true of all lines
-   within `edits` edits), so that such a group isn't paired in full.
-4. The lines that meet are read again and verified, if their characters of odd
-   number allow it. The band of the edit distance matrix that counts, 2 * edits + 1
+   be alike by step 4's parities, and under a key of more than HOT lines share one
+   of the grams that are rarest in each as well. Both are true of all lines within
+   `edits` edits, so that such a group isn't paired in full and none is missed.
+4. The lines that meet are read again and verified, if the parities of how often
+   they have each class of characters, pairs and triples allow it. The band of the edit distance matrix that counts, 2 * edits + 1
    diagonals, is kept in the bits of one long and moved a character at a time.
 
 Only DataFrame functions are used. Hashes of lines are moved, texts once, at the
@@ -44,8 +45,12 @@ from .common import packed, quoted, row_keys, sha256_hex, table
 EDITS = 2
 #: Lines under one key from which on they must share a rare gram as well.
 HOT = 32
+#: Lines under one key from which on they are paired by their parities.
+WARM = 8
 #: Characters of a gram.
 GRAM = 3
+#: Words of 64 classes of runs by their characters, of which the parity is kept.
+PARITY = {1: 1, 2: 4, 3: 4}
 
 
 def lines_of(text: Column) -> Column:
@@ -140,15 +145,29 @@ def within(a: Column, b: Column, edits: int = EDITS) -> Column:
     return F.when(far, False).when(F.char_length(a) * F.char_length(b) == 0, True).otherwise(let(both, lambda t: walk(t.x, t.y)))
 
 
-def _odd_characters(line: Column) -> Column:
-    """A bit for each of 64 classes of characters: set if the line has an odd number of them."""
-    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.ascii(c) % 64)
-    return F.aggregate(F.split(line, ""), F.lit(0).cast("bigint"), lambda acc, c: acc.bitwiseXOR(bit(c)))
+def odd_counts(line: Column) -> Column:
+    """struct(q1_0, q2_0, q2_1, ...): for each q of PARITY a bit for each class of runs of q characters, set if the line has an odd number of them.
+
+    Runs that begin near the line's end are shorter.
+    """
+    nought = F.lit(0).cast("bigint")
+    toggled = lambda acc, n: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), n % 64))
+
+    def counted(x: Column) -> Column:
+        def words(q: int, many: int) -> Column:
+            classes = F.transform(x, lambda c, i: F.pmod(F.xxhash64(c, *[F.get(x, i + j) for j in range(1, q)]), F.lit(64 * many)).cast("int"))
+            of = lambda n, k: F.aggregate(F.filter(n, lambda m: F.floor(m / 64) == k), nought, toggled)
+            return let(classes, lambda n: F.array(*[of(n, k) for k in range(many)]))
+
+        return let(F.struct(*[words(q, many).alias(f"q{q}") for q, many in PARITY.items()]), lambda w: F.struct(*[w[f"q{q}"][k].alias(f"q{q}_{k}") for q, many in PARITY.items() for k in range(many)]))
+
+    return let(F.split(line, ""), counted)
 
 
 def _close(a: str, b: str, edits: int) -> Column:
-    """Whether two lines' odd characters allow so few edits: one changes the parity of two characters at most."""
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= 2 * edits
+    """Whether two lines' odd counts allow so few edits: one takes q runs of q characters away and puts as many in, at most."""
+    flips = lambda q, k: F.bit_count(F.col(f"{a}.q{q}_{k}").bitwiseXOR(F.col(f"{b}.q{q}_{k}")))
+    return reduce(lambda x, y: x & y, [sum((flips(q, k) for k in range(1, many)), flips(q, 0)) <= 2 * q * edits for q, many in PARITY.items()])
 
 
 def gram_hashes(line: Column, q: int = GRAM) -> Column:
@@ -191,7 +210,7 @@ def _wanted(docs: DataFrame, places: DataFrame) -> DataFrame:
     texts = docs.select("text", *row_keys("doc_id", "text"), "doc_id").join(small(stored(of, "wanted-lines")), ["key_a", "key_b"]).dropDuplicates(["key_a", "key_b"])
     cut = let(lines_of(F.col("text")), lambda w: F.transform("wanted", lambda x: F.struct(x.ref.alias("ref"), x.at.alias("at"), F.element_at(w, x.at + 1).alias("line"))))
     each = texts.select("doc_id", "key_a", "key_b", F.explode(cut).alias("x"))
-    return each.select("x.ref", F.struct("doc_id", "key_a", "key_b", "x.at").alias("place"), "x.line", _odd_characters(F.col("x.line")).alias("odd"))
+    return each.select("x.ref", F.struct("doc_id", "key_a", "key_b", "x.at").alias("place"), "x.line", odd_counts(F.col("x.line")).alias("odd"))
 
 
 def _hot_tokens(lines: DataFrame, edits: int) -> DataFrame:
@@ -221,7 +240,7 @@ def _unordered(pairs: DataFrame) -> DataFrame:
     return pairs.where("ref_a != ref_b").select(F.least("ref_a", "ref_b").alias("ref_a"), F.greatest("ref_a", "ref_b").alias("ref_b")).distinct()
 
 
-def crowded_lines(docs: DataFrame, firsts: DataFrame, own: DataFrame, probes: DataFrame, edits: int) -> tuple[DataFrame, DataFrame]:
+def crowded_lines(docs: DataFrame, firsts: DataFrame, own: DataFrame, probes: DataFrame, edits: int, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """Of lines that meet under crowded keys: (ref) of those known to go, (ref_a, ref_b) of pairs to verify yet.
 
     own, probes: (k, ref), the index entries and the substrings of those keys.
@@ -233,27 +252,40 @@ def crowded_lines(docs: DataFrame, firsts: DataFrame, own: DataFrame, probes: Da
     leads = own.join(places, "ref").groupBy("k").agg(F.min(F.struct("place", "ref")).alias("lead"))
     led = probes.join(leads, "k").select(F.col("lead.ref").alias("ref_a"), F.col("ref").alias("ref_b"))
     gone = stored(_compared(_unordered(led), lines, edits), "led-lines")
-    # then lines that share a rare gram, unless the later one is settled
-    known = lines.join(gone.withColumn("gone", F.lit(True)), "ref", "left").select("ref", "place", "odd", F.coalesce("gone", F.lit(False)).alias("gone"))
-    tokens = stored(_hot_tokens(lines.select("ref", "line"), edits).join(known, "ref"), "rare-grams")
-    side = lambda df, s: df.join(tokens, "ref").select("k", "token", *[F.col(c).alias(f"{c}_{s}") for c in ("ref", "place", "odd", "gone")])
-    a, b = side(own, "a"), side(probes, "b")
-    meet = (a["k"] == b["k"]) & (a["token"] == b["token"]) & _close("odd_a", "odd_b", edits) & (((F.col("place_a") < F.col("place_b")) & ~F.col("gone_b")) | ((F.col("place_b") < F.col("place_a")) & ~F.col("gone_a")))
-    pairs = stored(_unordered(a.join(b, meet).select("ref_a", "ref_b")), "crowded-pairs")
-    dropped(lines, tokens)
+    # then lines of close parities, unless the later one is settled; under the hot keys only those that share a rare gram
+    known = stored(lines.join(gone.withColumn("gone", F.lit(True)), "ref", "left").select("ref", "place", "odd", F.coalesce("gone", F.lit(False)).alias("gone")), "known-lines")
+    heavy = stored(own.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("k"), "hot-keys")
+
+    def met(a: DataFrame, b: DataFrame, known: DataFrame, on: list[str]) -> DataFrame:
+        side = lambda df, s: df.join(known, "ref").select(*on, *[F.col(c).alias(f"{c}_{s}") for c in ("ref", "place", "odd", "gone")])
+        x, y = side(a, "a"), side(b, "b")
+        meet = reduce(lambda p, q: p & q, [x[c] == y[c] for c in on]) & _close("odd_a", "odd_b", edits)
+        later = ((F.col("place_a") < F.col("place_b")) & ~F.col("gone_b")) | ((F.col("place_b") < F.col("place_a")) & ~F.col("gone_a"))
+        return x.join(y, meet & later).select("ref_a", "ref_b")
+
+    keys = small(heavy)
+    pairs = met(own.join(keys, "k", "left_anti"), probes.join(keys, "k", "left_anti"), known, ["k"])
+    if not heavy.isEmpty():
+        own, probes = own.join(keys, "k"), probes.join(keys, "k")
+        refs = own.select("ref").unionByName(probes.select("ref")).distinct()
+        tokens = stored(_hot_tokens(lines.join(refs, "ref", "left_semi").select("ref", "line"), edits).join(known, "ref"), "rare-grams")
+        pairs = pairs.unionByName(met(own, probes, tokens, ["k", "token"]))
+    pairs = stored(_unordered(pairs), "crowded-pairs")
+    dropped(lines, known, heavy)
     return gone, pairs
 
 
-def near_lines(docs: DataFrame, firsts: DataFrame, edits: int = EDITS, hot: int = HOT) -> DataFrame:
+def near_lines(docs: DataFrame, firsts: DataFrame, edits: int = EDITS, hot: int = HOT, warm: int = WARM) -> DataFrame:
     """(key_a, key_b, at): places of the first lines that have an earlier line within `edits` edits.
 
-    Lines meet under a key. Under a key of more than `hot` lines they must share
-    one of their rarest grams as well, and are first compared with one line only.
+    Lines meet under a key. Under a key of more than `warm` lines they are first
+    compared with one line only, and then paired if their parities are close;
+    under one of more than `hot` they must share one of their rarest grams as well.
     """
     n = edits + 1
     own = firsts.select(F.explode(F.slice("keys", 1, n)).alias("k"), "ref")
     probes = firsts.select(F.explode(F.array_distinct(F.slice("keys", n + 1, 1_000))).alias("k"), "ref")
-    crowded = stored(own.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("k"), "crowded-keys")
+    crowded = stored(own.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > min(hot, warm)).select("k"), "crowded-keys")
     paired = lambda a, b: a.withColumnRenamed("ref", "ref_a").join(b.withColumnRenamed("ref", "ref_b"), "k").select("ref_a", "ref_b")
     gone = None
     if crowded.isEmpty():
@@ -261,7 +293,7 @@ def near_lines(docs: DataFrame, firsts: DataFrame, edits: int = EDITS, hot: int
     else:
         keys = small(crowded)
         own_hot, probes_hot = stored(own.join(keys, "k"), "crowded-own"), stored(probes.join(keys, "k"), "crowded-probes")
-        gone, more = crowded_lines(docs, firsts, own_hot, probes_hot, edits)
+        gone, more = crowded_lines(docs, firsts, own_hot, probes_hot, edits, hot)
         pairs = stored(_unordered(paired(own.join(keys, "k", "left_anti"), probes.join(keys, "k", "left_anti")).unionByName(more)), "line-pairs")
         dropped(own_hot, probes_hot, more, crowded)
     refs = pairs.select(F.explode(F.array("ref_a", "ref_b")).alias("ref")).distinct()
